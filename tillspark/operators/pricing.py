@@ -89,3 +89,21 @@ def discount_quote(
     keep = keep if keep is not None else sales.columns
     matched = match_rule(sales, rule_tiers(rules, as_of), amount_col)
     return matched.select(*[F.col(c) for c in keep], F.col("rule_id"), *quote_columns(amount_col))
+
+
+def tier_usage(sales: DataFrame, rules: DataFrame, as_of: dt.date, amount_col: str = "subtotal") -> DataFrame:
+    """W4 + J10: the tiers with the number of sales each one applies to.
+
+    Sales are matched map-side and reduced to one count per tier (partial
+    aggregate); the tier list (bounded) is then left-joined so unused tiers
+    show 0.
+    """
+    tiers = rule_tiers(rules, as_of)
+    counts = (
+        match_rule(sales.select(amount_col), tiers, amount_col)
+        .where(F.col("rule_id").isNotNull())
+        .groupBy(F.col("rule_id").alias("_rid"))
+        .agg(F.count(F.lit(1)).alias("sales"))
+    )
+    j = tiers.join(F.broadcast(counts), F.col("rule_id") == F.col("_rid"), "left")
+    return j.select("rule_id", "rule_type", "rule_value", "lo", "hi", F.coalesce("sales", F.lit(0).cast("long")).alias("sales"))

@@ -55,3 +55,685 @@ LIMIT 5""",
 def top_products_qty(spark, sf_dir):
     m = load_model(spark, sf_dir)
     return reports.top_products_qty(m.tx_details, m.transactions, REPORT_PERIOD, m.as_of)
+
+
+def _view_sql(where: str = "") -> str:
+    return f"""
+SELECT t.invoice_no, t.date, t.time, u.name AS cashier_name, COALESCE(c.name, 'UMUM') AS customer_name,
+       t.subtotal, t.discount, t.total, t.paid, t.change
+FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
+{where}"""
+
+
+_VIEW_USES = ["transactions", "users", "customers"]
+
+
+@register("sales_report_view", with_model(_view_sql(), _VIEW_USES))
+def sales_report_view(spark, sf_dir):
+    m = load_model(spark, sf_dir)
+    return reports.sales_report_view(m.transactions, m.users, m.customers)
+
+
+def _report_rows(period):
+    def fn(spark, sf_dir):
+        m = load_model(spark, sf_dir)
+        return reports.report_rows(m.transactions, m.users, m.customers, period, m.as_of)
+
+    return fn
+
+
+for _period in ("today", "week", "month", "all"):
+    _ps, _pe = _bounds_sql(_period)
+    register(f"report_{_period}", with_model(_view_sql(f"WHERE t.date BETWEEN {_ps} AND {_pe}"), _VIEW_USES))(
+        _report_rows(_period)
+    )
+
+
+@register(
+    "report_summary",
+    with_model(
+        f"""
+SELECT CAST(COALESCE(SUM(total), 0) AS BIGINT) AS revenue, COUNT(*) AS tx_count,
+       CASE WHEN COUNT(*) > 0 THEN CAST(SUM(total) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) ELSE 0.0 END AS average
+FROM transactions WHERE date BETWEEN {_S} AND {_E}""",
+        ["transactions"],
+    ),
+)
+def report_summary(spark, sf_dir):
+    m = load_model(spark, sf_dir)
+    return reports.report_summary(m.transactions, REPORT_PERIOD, m.as_of)
+
+
+_AS, _AE = _bounds_sql("all")
+
+
+@register(
+    "report_daily",
+    with_model(
+        f"""SELECT date, CAST(SUM(total) AS BIGINT) AS total FROM transactions
+WHERE date BETWEEN {_AS} AND {_AE} GROUP BY date""",
+        ["transactions"],
+    ),
+)
+def report_daily(spark, sf_dir):
+    m = load_model(spark, sf_dir)
+    return reports.report_daily(m.transactions, "all", m.as_of)
+
+
+@register(
+    "report_chart",
+    with_model(
+        f"""
+SELECT date, total, strftime(date, '%m-%d') AS label, MAX(total) OVER () AS peak,
+       CASE WHEN MAX(total) OVER () > 0
+            THEN CAST(total AS DOUBLE) / CAST(MAX(total) OVER () AS DOUBLE) * 150 ELSE 0.0 END AS bar_height
+FROM (SELECT date, CAST(SUM(total) AS BIGINT) AS total FROM transactions
+      WHERE date BETWEEN {_AS} AND {_AE} GROUP BY date) d""",
+        ["transactions"],
+    ),
+)
+def report_chart(spark, sf_dir):
+    m = load_model(spark, sf_dir)
+    return reports.report_chart(m.transactions, "all", m.as_of)
+
+
+@register(
+    "top_products_revenue",
+    with_model(
+        """
+SELECT product_name, qty_sold, revenue,
+       row_number() OVER (ORDER BY revenue DESC, lower(product_name), product_name) AS rank
+FROM (SELECT min(product_name) AS product_name, CAST(SUM(qty) AS BIGINT) AS qty_sold,
+             CAST(SUM(subtotal) AS BIGINT) AS revenue
+      FROM tx_details GROUP BY lower(product_name)) s
+ORDER BY revenue DESC, lower(product_name), product_name LIMIT 5""",
+        ["tx_details"],
+    ),
+)
+def top_products_revenue(spark, sf_dir):
+    m = load_model(spark, sf_dir)
+    return reports.top_products_revenue(m.tx_details)
+
+
+@register(
+    "customer_avg_basket",
+    with_model(
+        """
+SELECT c.id AS customer_id, c.name AS customer_name,
+       CAST(SUM(t.total) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS avg_basket
+FROM customers c JOIN transactions t ON c.id = t.customer_id GROUP BY c.id, c.name""",
+        ["customers", "transactions"],
+    ),
+)
+def customer_avg_basket(spark, sf_dir):
+    from tillspark.plans import crm
+
+    m = load_model(spark, sf_dir)
+    return crm.customer_avg_basket(m.customers, m.transactions)
+
+
+# --------------------------------------------------------------------------
+# R5-R7 ledger
+# --------------------------------------------------------------------------
+
+LEDGER_SEARCH = "12"
+LEDGER_START = "1998-01-01"
+LEDGER_PAGE = 3
+
+_LEDGER_WHERE = (
+    f"WHERE t.invoice_no ILIKE '%{LEDGER_SEARCH}%' AND t.date >= DATE '{LEDGER_START}' AND t.date <= {AS_OF_SQL}"
+)
+
+
+def _ledger_sql(where: str, cashier: str, tail: str = "") -> str:
+    return f"""
+SELECT t.id, t.invoice_no, t.date, t.time, COALESCE(u.name, '{cashier}') AS cashier_name,
+       COALESCE(c.name, 'Umum') AS customer_name, t.subtotal, t.discount, t.discount_type, t.total,
+       t.paid, t.change, t.status, COALESCE(ic.items, 0) AS items
+FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
+LEFT JOIN (SELECT tx_id, COUNT(*) AS items FROM tx_details GROUP BY tx_id) ic ON ic.tx_id = t.id
+{where} {tail}"""
+
+
+_LEDGER_USES = ["transactions", "users", "customers", "tx_details"]
+
+
+def _ledger_args(m, filtered: bool):
+    if filtered:
+        return (m.transactions, m.users, m.customers, m.tx_details, LEDGER_SEARCH, LEDGER_START, m.as_of)
+    return (m.transactions, m.users, m.customers, m.tx_details)
+
+
+@register("ledger", with_model(_ledger_sql("", "Kasir"), _LEDGER_USES))
+def ledger_all(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    return ledger.ledger(*_ledger_args(load_model(spark, sf_dir), False))
+
+
+@register("ledger_filtered", with_model(_ledger_sql(_LEDGER_WHERE, "Kasir"), _LEDGER_USES))
+def ledger_filtered(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    return ledger.ledger(*_ledger_args(load_model(spark, sf_dir), True))
+
+
+@register(
+    "ledger_page",
+    with_model(
+        _ledger_sql("", "Kasir", f"ORDER BY t.date DESC, t.time DESC, t.id DESC LIMIT 10 OFFSET {(LEDGER_PAGE - 1) * 10}"),
+        _LEDGER_USES,
+    ),
+)
+def ledger_page(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    return ledger.ledger_page(m.transactions, m.users, m.customers, m.tx_details, LEDGER_PAGE)
+
+
+@register(
+    "ledger_page_info",
+    with_model(
+        f"""SELECT COUNT(*) AS total_rows, CAST(ceil(COUNT(*) / 10.0) AS BIGINT) AS total_pages,
+       CAST({LEDGER_PAGE} AS BIGINT) AS current_page FROM transactions t {_LEDGER_WHERE}""",
+        ["transactions"],
+    ),
+)
+def ledger_page_info(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    return ledger.ledger_page_info(m.transactions, LEDGER_PAGE, LEDGER_SEARCH, LEDGER_START, m.as_of)
+
+
+@register(
+    "sales_by_party",
+    with_model(
+        """SELECT t.invoice_no, u.name AS cashier_name, COALESCE(c.name, 'UMUM') AS customer_name, t.total
+FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id""",
+        ["transactions", "users", "customers"],
+    ),
+)
+def sales_by_party(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    return ledger.sales_by_party(m.transactions, m.users, m.customers)
+
+
+def _filtered_ids(m):
+    from tillspark.operators.filters import ledger_filter
+
+    return ledger_filter(m.transactions.select("id", "invoice_no", "date"), LEDGER_SEARCH, LEDGER_START, m.as_of)
+
+
+@register(
+    "transaction_lines",
+    with_model(
+        f"""SELECT d.tx_id, d.product_id, d.product_name, d.qty AS quantity, d.price,
+       CAST(d.qty AS BIGINT) * d.price AS line_total
+FROM tx_details d WHERE d.tx_id IN (SELECT t.id FROM transactions t {_LEDGER_WHERE})""",
+        ["tx_details", "transactions"],
+    ),
+)
+def transaction_lines(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    return ledger.transaction_lines(m.tx_details, _filtered_ids(m))
+
+
+@register(
+    "transaction_lines_named",
+    with_model(
+        f"""SELECT d.tx_id, d.product_id, d.qty AS quantity, d.price,
+       COALESCE(NULLIF(p.name, ''), 'Produk #' || CAST(d.product_id AS VARCHAR)) AS product_name
+FROM tx_details d LEFT JOIN products p ON d.product_id = p.id
+WHERE d.tx_id IN (SELECT t.id FROM transactions t {_LEDGER_WHERE})""",
+        ["tx_details", "transactions", "products"],
+    ),
+)
+def transaction_lines_named(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    return ledger.named_lines(m.tx_details, m.products, _filtered_ids(m))
+
+
+def _export_sql(date_expr: str) -> str:
+    return with_model(
+        f"""
+SELECT t.invoice_no, {date_expr} AS date_text, COALESCE(u.name, '-') AS cashier_name,
+       COALESCE(c.name, 'Umum') AS customer_name, COALESCE(ic.items, 0) AS items, t.subtotal, t.discount,
+       t.discount_type, t.total, t.paid, t.change
+FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
+LEFT JOIN (SELECT tx_id, COUNT(*) AS items FROM tx_details GROUP BY tx_id) ic ON ic.tx_id = t.id
+{_LEDGER_WHERE}""",
+        _LEDGER_USES,
+    )
+
+
+def _export_ledger(with_time):
+    def fn(spark, sf_dir):
+        from tillspark.plans import ledger
+
+        m = load_model(spark, sf_dir)
+        rows = ledger.export_ledger_rows(*_ledger_args(m, True), with_time=with_time)
+        return rows.select(*ledger.EXPORT_LEDGER_COLUMNS)
+
+    return fn
+
+
+register("export_ledger", _export_sql("strftime(t.date, '%d/%m/%Y') || ' ' || t.time"))(_export_ledger(True))
+register("export_ledger_dateonly", _export_sql("strftime(t.date, '%d/%m/%Y')"))(_export_ledger(False))
+
+
+@register(
+    "export_report",
+    with_model(
+        f"""
+SELECT t.invoice_no, strftime(t.date, '%d/%m/%Y') || ' ' || t.time AS date_text, u.name AS cashier_name,
+       COALESCE(c.name, 'UMUM') AS customer_name, t.subtotal, t.discount, t.total, t.paid, t.change
+FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
+WHERE t.date BETWEEN {_S} AND {_E}""",
+        _VIEW_USES,
+    ),
+)
+def export_report(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    rows = reports.report_rows(m.transactions, m.users, m.customers, REPORT_PERIOD, m.as_of)
+    return ledger.export_report_rows(rows).drop("date", "time")
+
+
+# --------------------------------------------------------------------------
+# R1 dashboard, R2/R3 catalogue, R10 users
+# --------------------------------------------------------------------------
+
+
+@register(
+    "product_list",
+    with_model(
+        """
+SELECT p.*, c.name AS category_name, COALESCE(NULLIF(c.name, ''), '-') AS category_label,
+       COALESCE(NULLIF(p.barcode, ''), '-') AS barcode_label, COALESCE(NULLIF(p.unit, ''), 'pcs') AS unit_label,
+       CASE WHEN p.stock > 0 THEN 'Tersedia' ELSE 'Habis' END AS availability
+FROM products p LEFT JOIN categories c ON p.category_id = c.id""",
+        ["products", "categories"],
+    ),
+)
+def product_list(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    m = load_model(spark, sf_dir)
+    return catalog.product_list(m.products, m.categories)
+
+
+@register(
+    "category_counts",
+    with_model(
+        """
+SELECT id, name, "desc", product_count,
+       row_number() OVER (ORDER BY lower(name), name, id) AS ordinal
+FROM (SELECT c.id, c.name, c."desc", COUNT(p.id) AS product_count
+      FROM categories c LEFT JOIN products p ON c.id = p.category_id GROUP BY c.id, c.name, c."desc") s""",
+        ["categories", "products"],
+    ),
+)
+def category_counts(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    m = load_model(spark, sf_dir)
+    return catalog.category_counts(m.categories, m.products)
+
+
+@register(
+    "low_stock",
+    with_model(
+        """SELECT id, name, stock, min_stock FROM products WHERE stock <= min_stock
+ORDER BY stock NULLS FIRST, id LIMIT 5""",
+        ["products"],
+    ),
+)
+def low_stock(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    return catalog.low_stock_top(load_model(spark, sf_dir).products)
+
+
+@register(
+    "user_list",
+    with_model(
+        """
+SELECT id, name, username, role, status, created_at,
+       CASE WHEN role = 'admin' THEN 'Administrator' ELSE 'Kasir' END AS role_label,
+       CASE WHEN status = 'active' THEN 'Aktif' ELSE 'Non-aktif' END AS status_label,
+       upper(substring(name, 1, 1)) AS initial
+FROM users""",
+        ["users"],
+    ),
+)
+def user_list(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    return catalog.user_list(load_model(spark, sf_dir).users)
+
+
+@register(
+    "active_users",
+    with_model(
+        "SELECT id, name, username, role, status, created_at FROM users WHERE status = 'active'",
+        ["users"],
+    ),
+)
+def active_users(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    return catalog.active_user_list(load_model(spark, sf_dir).users)
+
+
+@register(
+    "recent_sales",
+    with_model(
+        """
+SELECT t.id, t.invoice_no, t.date, t.time, t.total, t.customer_id, u.name AS cashier_name,
+       CASE WHEN t.customer_id IS NOT NULL AND t.customer_id <> 0 THEN 'Member' ELSE 'Umum' END AS customer_type
+FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id
+ORDER BY t.date DESC, t.time DESC, t.id DESC LIMIT 5""",
+        ["transactions", "users"],
+    ),
+)
+def recent_sales(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    m = load_model(spark, sf_dir)
+    return catalog.recent_sales(m.transactions, m.users)
+
+
+@register(
+    "dashboard_kpis",
+    with_model(
+        f"""
+SELECT CAST(COALESCE(SUM(total), 0) AS BIGINT) AS today_revenue, COUNT(*) AS today_transactions,
+       (SELECT COUNT(*) FROM products) AS total_products, (SELECT COUNT(*) FROM customers) AS total_customers
+FROM transactions WHERE date = {AS_OF_SQL}""",
+        ["transactions", "products", "customers"],
+    ),
+)
+def dashboard_kpis(spark, sf_dir):
+    from tillspark.plans import catalog
+
+    m = load_model(spark, sf_dir)
+    return catalog.dashboard_kpis(m.transactions, m.products, m.customers, m.as_of)
+
+
+# --------------------------------------------------------------------------
+# R8/R9 customers
+# --------------------------------------------------------------------------
+
+CUSTOMER_SEARCH = "12"
+
+
+def _customers_sql(where: str = "") -> str:
+    return with_model(
+        f"""
+SELECT c.id, c.name, c.phone, c.email, c.address, c.created_at,
+       COALESCE(s.n, 0) AS total_transactions, CAST(COALESCE(s.spent, 0) AS BIGINT) AS total_spent
+FROM customers c LEFT JOIN (SELECT customer_id, COUNT(*) AS n, SUM(total) AS spent FROM transactions
+                            WHERE customer_id IS NOT NULL GROUP BY customer_id) s ON s.customer_id = c.id
+{where}""",
+        ["customers", "transactions"],
+    )
+
+
+@register("customer_totals", _customers_sql())
+def customer_totals(spark, sf_dir):
+    from tillspark.plans import crm
+
+    m = load_model(spark, sf_dir)
+    return crm.customer_list(m.customers, m.transactions)
+
+
+@register(
+    "customer_search",
+    _customers_sql(f"WHERE c.name ILIKE '%{CUSTOMER_SEARCH}%' OR c.phone ILIKE '%{CUSTOMER_SEARCH}%'"),
+)
+def customer_search(spark, sf_dir):
+    from tillspark.plans import crm
+
+    m = load_model(spark, sf_dir)
+    return crm.customer_list(m.customers, m.transactions, CUSTOMER_SEARCH)
+
+
+_HISTORY_SQL = """
+SELECT t.customer_id, c.name AS customer_name, t.invoice_no, t.date, t.time, t.total, u.name AS cashier_name
+FROM transactions t JOIN customers c ON t.customer_id = c.id LEFT JOIN users u ON t.cashier_id = u.id"""
+
+
+@register("customer_history", with_model(_HISTORY_SQL, ["transactions", "customers", "users"]))
+def customer_history(spark, sf_dir):
+    from tillspark.plans import crm
+
+    m = load_model(spark, sf_dir)
+    return crm.customer_history(m.customers, m.transactions, m.users)
+
+
+@register(
+    "customer_history_doc",
+    with_model(
+        f"""
+SELECT customer_id, invoice_no,
+       CAST(to_json({{'customer': {{'id': customer_id, 'name': customer_name}},
+                      'transaction': {{'invoice_no': invoice_no, 'date': date, 'time': time, 'total': total,
+                                       'cashier_name': cashier_name}}}}) AS VARCHAR) AS document
+FROM ({_HISTORY_SQL}) h""",
+        ["transactions", "customers", "users"],
+    ),
+)
+def customer_history_doc(spark, sf_dir):
+    from tillspark.plans import crm
+
+    m = load_model(spark, sf_dir)
+    return crm.customer_history_doc(m.customers, m.transactions, m.users)
+
+
+# --------------------------------------------------------------------------
+# Inventory
+# --------------------------------------------------------------------------
+
+
+@register(
+    "stock_status",
+    with_model(
+        """SELECT id, name, stock, min_stock,
+       CASE WHEN stock = 0 THEN 'HABIS' WHEN stock <= min_stock THEN 'STOK MENIPIS' ELSE 'TERSEDIA' END AS status
+FROM products""",
+        ["products"],
+    ),
+)
+def stock_status(spark, sf_dir):
+    from tillspark.operators.inventory import refresh_status
+
+    p = load_model(spark, sf_dir).products.select("id", "name", "stock", "min_stock", "status")
+    return refresh_status(p)
+
+
+@register(
+    "restock",
+    with_model(
+        """SELECT id, name, CASE WHEN stock < min_stock THEN stock + 2 * min_stock ELSE stock END AS stock, min_stock
+FROM products""",
+        ["products"],
+    ),
+)
+def restock(spark, sf_dir):
+    from tillspark.operators.inventory import restock as restock_op
+
+    return restock_op(load_model(spark, sf_dir).products.select("id", "name", "stock", "min_stock"))
+
+
+@register(
+    "apply_stock",
+    with_model(
+        """SELECT p.id, p.name, p.min_stock, CAST(COALESCE(s.units, 0) AS BIGINT) AS units_sold,
+       p.stock - CAST(COALESCE(s.units, 0) AS BIGINT) AS stock
+FROM products p LEFT JOIN (SELECT product_id, SUM(qty) AS units FROM tx_details GROUP BY product_id) s
+  ON s.product_id = p.id""",
+        ["products", "tx_details"],
+    ),
+)
+def apply_stock(spark, sf_dir):
+    from tillspark.operators.inventory import apply_stock as apply_op
+
+    m = load_model(spark, sf_dir)
+    return apply_op(m.products.select("id", "name", "stock", "min_stock"), m.tx_details)
+
+
+# --------------------------------------------------------------------------
+# R4 discounts
+# --------------------------------------------------------------------------
+
+
+@register(
+    "discount_quote",
+    with_model(
+        """
+SELECT b.id, b.subtotal, t.rule_id, COALESCE(t.rule_type, 'flat') AS discount_type,
+       COALESCE(t.rule_value, 0) AS discount_value,
+       COALESCE(LEAST(CASE WHEN t.rule_type = 'percent' THEN
+                   CASE WHEN t.max_discount > 0 AND b.subtotal * t.rule_value / 100.0 > t.max_discount
+                        THEN CAST(t.max_discount AS DOUBLE) ELSE b.subtotal * t.rule_value / 100.0 END
+                 ELSE CAST(t.rule_value AS DOUBLE) END, CAST(b.subtotal AS DOUBLE)), 0.0) AS discount_exact,
+       COALESCE(LEAST(CASE WHEN t.rule_type = 'percent' THEN
+                   CASE WHEN t.max_discount > 0 AND b.subtotal * t.rule_value > t.max_discount * 100
+                        THEN t.max_discount ELSE (b.subtotal * t.rule_value + 50) // 100 END
+                 ELSE t.rule_value END, b.subtotal), 0) AS discount_amount
+FROM tx_base b LEFT JOIN rule_tiers t ON b.subtotal >= t.lo AND (t.hi IS NULL OR b.subtotal < t.hi)""",
+        ["tx_base", "rule_tiers"],
+    ),
+)
+def discount_quote(spark, sf_dir):
+    from tillspark.operators.pricing import discount_quote as quote
+
+    m = load_model(spark, sf_dir)
+    q = quote(m.transactions.select("id", "subtotal"), m.discount_rules, m.as_of)
+    return q.drop("total_after_discount")
+
+
+@register(
+    "discount_tiers",
+    with_model(
+        """
+SELECT t.rule_id, t.rule_type, t.rule_value, t.lo, t.hi, COUNT(b.id) AS sales
+FROM rule_tiers t LEFT JOIN tx_base b ON b.subtotal >= t.lo AND (t.hi IS NULL OR b.subtotal < t.hi)
+GROUP BY t.rule_id, t.rule_type, t.rule_value, t.lo, t.hi""",
+        ["tx_base", "rule_tiers"],
+    ),
+)
+def discount_tiers(spark, sf_dir):
+    from tillspark.operators.pricing import tier_usage
+
+    m = load_model(spark, sf_dir)
+    return tier_usage(m.transactions.select("id", "subtotal"), m.discount_rules, m.as_of)
+
+
+# --------------------------------------------------------------------------
+# Scalar functions over whole tables
+# --------------------------------------------------------------------------
+
+
+@register(
+    "format_rupiah",
+    with_model(
+        """
+SELECT id, total, 'Rp ' || replace(format('{:,}', total), ',', '.') AS total_text,
+       'Rp ' || replace(format('{:,}', CAST(round(subtotal * 0.975) AS BIGINT)), ',', '.') AS member_price_text
+FROM transactions""",
+        ["transactions"],
+    ),
+)
+def format_rupiah(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.functions.money import format_rupiah as fmt
+
+    tx = load_model(spark, sf_dir).transactions
+    return tx.select("id", "total", fmt("total").alias("total_text"),
+                     fmt(F.col("subtotal") * 0.975).alias("member_price_text"))
+
+
+@register(
+    "parse_rupiah",
+    with_model(
+        """
+SELECT id, total, COALESCE(TRY_CAST(regexp_replace('Rp ' || replace(format('{:,}', total), ',', '.'),
+                                                   '[^0-9]', '', 'g') AS BIGINT), 0) AS parsed,
+       COALESCE(TRY_CAST(regexp_replace(time, '[^0-9]', '', 'g') AS BIGINT), 0) AS time_digits
+FROM transactions""",
+        ["transactions"],
+    ),
+)
+def parse_rupiah(spark, sf_dir):
+    from tillspark.functions.money import format_rupiah as fmt
+    from tillspark.functions.money import parse_rupiah as parse
+
+    tx = load_model(spark, sf_dir).transactions
+    return tx.select("id", "total", parse(fmt("total")).alias("parsed"), parse("time").alias("time_digits"))
+
+
+@register(
+    "md5_digest",
+    with_model("SELECT id, invoice_no, md5(invoice_no) AS invoice_digest FROM transactions", ["transactions"]),
+)
+def md5_digest(spark, sf_dir):
+    from tillspark.functions.text import digest
+
+    tx = load_model(spark, sf_dir).transactions
+    return tx.select("id", "invoice_no", digest("invoice_no").alias("invoice_digest"))
+
+
+@register(
+    "invoice_instant",
+    with_model(
+        """
+SELECT id, millis, 'INV-' || CAST(millis AS VARCHAR) AS invoice_id, millis AS decoded_millis,
+       strftime(epoch_ms(millis), '%H:%M') AS clock
+FROM (SELECT id, epoch_ms(strptime(CAST(date AS VARCHAR) || ' ' || time, '%Y-%m-%d %H:%M:%S')) AS millis
+      FROM transactions) s""",
+        ["transactions"],
+    ),
+)
+def invoice_instant(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.functions.dates import clock_time, invoice_id, invoice_millis, sale_instant_millis
+
+    tx = load_model(spark, sf_dir).transactions
+    s = tx.select("id", sale_instant_millis("date", "time").alias("millis"))
+    s = s.withColumn("invoice_id", invoice_id("millis"))
+    return s.select(
+        "id", "millis", "invoice_id", invoice_millis(F.col("invoice_id")).alias("decoded_millis"),
+        clock_time("millis").alias("clock"),
+    )
+
+
+@register(
+    "clean_customers",
+    with_model(
+        """
+SELECT id, trim(name, ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS name,
+       trim(phone, ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS phone,
+       upper(substring(trim(name, ' ' || chr(9) || chr(10) || chr(13) || chr(11)), 1, 1)) AS initial
+FROM customers""",
+        ["customers"],
+    ),
+)
+def clean_customers(spark, sf_dir):
+    from tillspark.functions.labels import initial
+    from tillspark.functions.text import clean
+
+    c = load_model(spark, sf_dir).customers
+    return c.select("id", clean("name").alias("name"), clean("phone").alias("phone"),
+                    initial(clean("name")).alias("initial"))
