@@ -737,3 +737,446 @@ def clean_customers(spark, sf_dir):
     c = load_model(spark, sf_dir).customers
     return c.select("id", clean("name").alias("name"), clean("phone").alias("phone"),
                     initial(clean("name")).alias("initial"))
+
+
+# --------------------------------------------------------------------------
+# Mutations (M1-M9), guarded deletes, referential actions
+# --------------------------------------------------------------------------
+
+def _cmp_set(cols: list[str], cur: str = "p", new: str = "u", key: str = "id") -> str:
+    return ", ".join(f"CASE WHEN {new}.{key} IS NOT NULL THEN {new}.{c} ELSE {cur}.{c} END AS {c}" for c in cols)
+
+
+_PRODUCT_UPDATE_COLS = ["name", "category_id", "barcode", "cost", "price", "stock", "min_stock", "unit"]
+
+
+@register(
+    "upsert_products",
+    with_model(
+        f""",
+upd AS (SELECT id, name, category_id, barcode, cost, (price * 9 + 5) // 10 AS price, stock, min_stock, unit
+        FROM products WHERE category_id = 4),
+ins AS (SELECT name || ' (baru)' AS name, category_id, 'R' || barcode AS barcode, cost, price
+        FROM products WHERE stock = 0)
+SELECT p.id, {_cmp_set(_PRODUCT_UPDATE_COLS)}, p.status FROM products p LEFT JOIN upd u ON p.id = u.id
+UNION ALL
+SELECT (SELECT MAX(id) FROM products) + row_number() OVER (ORDER BY barcode) AS id, name, category_id, barcode,
+       cost, price, CAST(0 AS BIGINT) AS stock, CAST(5 AS BIGINT) AS min_stock, 'pcs' AS unit, 'TERSEDIA' AS status
+FROM ins""",
+        ["products"],
+    ),
+)
+def upsert_products(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.mutations import upsert
+    from tillspark.schemas import DEFAULTS
+    from tillspark.sources.changes import product_changes
+
+    m = load_model(spark, sf_dir)
+    return upsert(m.products, product_changes(m), "id", _PRODUCT_UPDATE_COLS, [F.col("barcode")], DEFAULTS["products"])
+
+
+@register(
+    "with_defaults",
+    with_model(
+        """SELECT name || ' (baru)' AS name, category_id, 'R' || barcode AS barcode, cost, price,
+       CAST(0 AS BIGINT) AS stock, CAST(5 AS BIGINT) AS min_stock, 'pcs' AS unit, 'TERSEDIA' AS status
+FROM products WHERE stock = 0""",
+        ["products"],
+    ),
+)
+def with_defaults_q(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.mutations import is_new_key, with_defaults
+    from tillspark.schemas import DEFAULTS, PRODUCTS
+    from tillspark.sources.changes import product_changes
+
+    m = load_model(spark, sf_dir)
+    new = product_changes(m).where(is_new_key("id")).drop("id")
+    return with_defaults(new, DEFAULTS["products"], PRODUCTS).select(
+        *[F.col(c) for c in ["name", "category_id", "barcode", "cost", "price", "stock", "min_stock", "unit", "status"]]
+    )
+
+
+@register(
+    "upsert_categories",
+    with_model(
+        """,
+upd AS (SELECT c.id, c.name, CAST(s.n AS VARCHAR) || ' produk' AS "desc"
+        FROM categories c JOIN (SELECT category_id, COUNT(*) AS n FROM products WHERE category_id IS NOT NULL
+                                GROUP BY category_id) s ON s.category_id = c.id),
+ins AS (SELECT DISTINCT p_brand AS name FROM part)
+SELECT c.id, CASE WHEN u.id IS NOT NULL THEN u.name ELSE c.name END AS name,
+       CASE WHEN u.id IS NOT NULL THEN u."desc" ELSE c."desc" END AS "desc"
+FROM categories c LEFT JOIN upd u ON c.id = u.id
+UNION ALL
+SELECT (SELECT MAX(id) FROM categories) + row_number() OVER (ORDER BY name) AS id, name, CAST(NULL AS VARCHAR) AS "desc"
+FROM ins""",
+        ["categories", "products"],
+    ),
+)
+def upsert_categories(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.mutations import upsert
+    from tillspark.sources.changes import category_changes
+
+    m = load_model(spark, sf_dir)
+    return upsert(m.categories, category_changes(m), "id", ["name", "desc"], [F.col("name")])
+
+
+_CUSTOMER_UPDATE_COLS = ["name", "phone", "email", "address"]
+
+
+@register(
+    "upsert_customers",
+    with_model(
+        f""",
+upd AS (SELECT c_custkey AS id, c_name AS name, printf('08%010d', c_custkey) AS phone,
+               lower(c_name) || '@example.com' AS email, 'Segment ' || c_mktsegment AS address
+        FROM customer WHERE c_mktsegment = 'BUILDING'),
+ins AS (SELECT s_name AS name, printf('09%010d', s_suppkey) AS phone FROM supplier)
+SELECT p.id, {_cmp_set(_CUSTOMER_UPDATE_COLS)}, p.created_at FROM customers p LEFT JOIN upd u ON p.id = u.id
+UNION ALL
+SELECT (SELECT MAX(id) FROM customers) + row_number() OVER (ORDER BY phone) AS id, name, phone,
+       CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS address, {AS_OF_SQL} AS created_at
+FROM ins""",
+        ["customers"],
+    ),
+)
+def upsert_customers(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.mutations import upsert
+    from tillspark.sources.changes import customer_changes
+
+    m = load_model(spark, sf_dir)
+    return upsert(
+        m.customers, customer_changes(m), "id", _CUSTOMER_UPDATE_COLS, [F.col("phone")], {"created_at": m.as_of}
+    )
+
+
+@register(
+    "upsert_users",
+    with_model(
+        f""",
+chg AS (SELECT CASE WHEN s_suppkey < 7 THEN s_suppkey END AS id, upper(s_name) AS name,
+               'user' || CAST(s_suppkey AS VARCHAR) AS username,
+               CASE WHEN s_suppkey = 0 THEN 'admin' ELSE 'kasir' END AS role, 'active' AS status,
+               CASE WHEN s_acctbal > 5000 THEN 'pw-' || CAST(s_suppkey AS VARCHAR) ELSE '' END AS password
+        FROM supplier),
+upd AS (SELECT * FROM chg WHERE id IS NOT NULL AND id > 0),
+ins AS (SELECT * FROM chg WHERE (id IS NULL OR id <= 0) AND password <> ''
+          AND lower(username) NOT IN (SELECT lower(username) FROM users))
+SELECT p.id, {_cmp_set(["name", "username"])},
+       COALESCE(NULLIF(CASE WHEN u.id IS NOT NULL THEN CASE WHEN u.password = '' THEN '' ELSE md5(u.password) END
+                            ELSE p.password_digest END, ''), p.password_digest) AS password_digest,
+       {_cmp_set(["role", "status"])}, p.created_at
+FROM users p LEFT JOIN upd u ON p.id = u.id
+UNION ALL
+SELECT (SELECT MAX(id) FROM users) + row_number() OVER (ORDER BY username) AS id, name, username,
+       md5(password) AS password_digest, role, status, {AS_OF_SQL} AS created_at
+FROM ins""",
+        ["users"],
+    ),
+)
+def upsert_users(spark, sf_dir):
+    from tillspark.plans.master_data import upsert_users as run
+
+    m = load_model(spark, sf_dir)
+    from tillspark.sources.changes import user_changes
+
+    accepted, _rejected = run(m.users, user_changes(m), m.as_of)
+    return accepted
+
+
+def _guard_sql(table: str, cols: str, fact: str, fk: str, protected: str = "") -> str:
+    prot = f"WHEN d.id IN ({protected}) THEN 'rejected: protected' " if protected else ""
+    return f"""
+SELECT {cols}, CASE {prot}WHEN d.id IN (SELECT {fk} FROM {fact} WHERE {fk} IS NOT NULL)
+                    THEN 'rejected: referenced' ELSE 'deleted' END AS decision
+FROM {table} d"""
+
+
+@register(
+    "guarded_delete_category",
+    with_model(_guard_sql("categories", 'd.id, d.name, d."desc"', "products", "category_id"), ["categories", "products"]),
+)
+def guarded_delete_category(spark, sf_dir):
+    from tillspark.operators.mutations import guarded_delete
+
+    m = load_model(spark, sf_dir)
+    return guarded_delete(m.categories, "id", m.products, "category_id")
+
+
+@register(
+    "guarded_delete_customer",
+    with_model(
+        _guard_sql("customers", "d.id, d.name, d.phone, d.email, d.address, d.created_at", "transactions", "customer_id"),
+        ["customers", "transactions"],
+    ),
+)
+def guarded_delete_customer(spark, sf_dir):
+    from tillspark.operators.mutations import guarded_delete
+
+    m = load_model(spark, sf_dir)
+    return guarded_delete(m.customers, "id", m.transactions, "customer_id")
+
+
+@register(
+    "guarded_delete_user",
+    with_model(
+        _guard_sql("users", "d.id, d.name, d.username, d.password_digest, d.role, d.status, d.created_at",
+                   "transactions", "cashier_id", "1"),
+        ["users", "transactions"],
+    ),
+)
+def guarded_delete_user(spark, sf_dir):
+    from tillspark.operators.mutations import guarded_delete
+
+    m = load_model(spark, sf_dir)
+    return guarded_delete(m.users, "id", m.transactions, "cashier_id", protected=(1,))
+
+
+@register(
+    "guarded_delete_product",
+    with_model(
+        _guard_sql("products", "d.*", "tx_details", "product_id").replace("SELECT d.*, CASE", "SELECT d.*, CASE"),
+        ["products", "tx_details"],
+    ),
+)
+def guarded_delete_product(spark, sf_dir):
+    from tillspark.operators.mutations import guarded_delete
+
+    m = load_model(spark, sf_dir)
+    return guarded_delete(m.products, "id", m.tx_details, "product_id")
+
+
+@register(
+    "on_delete_set_null",
+    with_model(
+        """SELECT t.id, CASE WHEN t.customer_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+                  THEN NULL ELSE t.customer_id END AS customer_id, t.invoice_no
+FROM transactions t""",
+        ["transactions"],
+    ),
+)
+def on_delete_set_null(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.mutations import on_delete_set_null as set_null
+
+    m = load_model(spark, sf_dir)
+    gone = m.raw("customer", ["c_custkey", "c_mktsegment"]).where(F.col("c_mktsegment") == "AUTOMOBILE")
+    tx = m.transactions.select("id", "customer_id", "invoice_no")
+    return set_null(tx, gone.select("c_custkey"), "customer_id", salt_col="id")
+
+
+@register(
+    "on_delete_cascade",
+    with_model(
+        """SELECT * FROM tx_details WHERE tx_id NOT IN (SELECT id FROM transactions WHERE date < DATE '1996-01-01')""",
+        ["tx_details", "transactions"],
+    ),
+)
+def on_delete_cascade(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.mutations import on_delete_cascade as cascade
+    from tillspark.sources.changes import ARCHIVE_CUTOFF
+
+    m = load_model(spark, sf_dir)
+    gone = m.transactions.where(F.col("date") < F.lit(ARCHIVE_CUTOFF)).select("id")
+    return cascade(m.tx_details, gone, "tx_id")
+
+
+# --------------------------------------------------------------------------
+# Validation and ingest
+# --------------------------------------------------------------------------
+
+_PARSE_INT = "TRY_CAST(regexp_extract({c}, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT)"
+_PARSE_FLOAT = "TRY_CAST(regexp_extract({c}, '^\\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)', 1) AS DOUBLE)"
+_TRIM = "trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(11))"
+
+
+def _errors_sql(rules: list[tuple[str, str]]) -> str:
+    parts = ", ".join(f"CASE WHEN {cond} THEN '{msg}' END" for cond, msg in rules)
+    none = " AND ".join(f"NOT COALESCE({cond}, FALSE)" for cond, _ in rules)
+    return f"concat_ws('; ', {parts}) AS errors, ({none}) AS accepted"
+
+
+_PRODUCT_FORM = """form AS (SELECT id, name, COALESCE(CAST(category_id AS VARCHAR), '') AS category_id,
+       CAST(cost AS VARCHAR) AS cost, CAST(price AS VARCHAR) AS price, CAST(stock AS VARCHAR) AS stock FROM products)"""
+
+
+def _product_rules() -> list[tuple[str, str]]:
+    cat = _PARSE_INT.format(c="category_id")
+    cost, price = _PARSE_FLOAT.format(c="cost"), _PARSE_FLOAT.format(c="price")
+    stock = _PARSE_INT.format(c="stock")
+    return [
+        (f"(name IS NULL OR {_TRIM.format(c='name')} = '')", "name required"),
+        (f"({cat} IS NULL OR {cat} = 0)", "category required"),
+        (f"({cost} IS NULL OR {price} IS NULL OR {stock} IS NULL)", "cost, price and stock must be numbers"),
+        (f"COALESCE({price} < {cost}, FALSE)", "price below cost"),
+    ]
+
+
+@register(
+    "validate_products",
+    with_model(f""", {_PRODUCT_FORM}
+SELECT id, name, category_id, cost, price, stock, {_errors_sql(_product_rules())} FROM form""", ["products"]),
+)
+def validate_products(spark, sf_dir):
+    from tillspark.operators.quality import validate_products as check
+    from tillspark.sources.changes import product_form_rows
+
+    return check(product_form_rows(load_model(spark, sf_dir)))
+
+
+@register(
+    "validate_customers",
+    with_model(
+        f"""SELECT id, name, phone, email, address, created_at,
+       {_errors_sql([(f"(name IS NULL OR {_TRIM.format(c='name')} = '')", "name required")])} FROM customers""",
+        ["customers"],
+    ),
+)
+def validate_customers(spark, sf_dir):
+    from tillspark.operators.quality import validate_customers as check
+
+    return check(load_model(spark, sf_dir).customers)
+
+
+@register(
+    "cart_lines",
+    """SELECT printf('INV-%07d', l_orderkey) AS invoice_no, l_partkey AS product_id,
+       CAST(SUM(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS INTEGER) ELSE CAST(l_quantity AS INTEGER) END)
+            AS BIGINT) AS qty
+FROM lineitem GROUP BY l_orderkey, l_partkey
+HAVING SUM(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS INTEGER) ELSE CAST(l_quantity AS INTEGER) END) > 0""",
+)
+def cart_lines_q(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators.quality import cart_lines
+    from tillspark.sources.tables import read_table
+
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"])
+    q = F.col("l_quantity").cast("int")
+    events = li.select(
+        F.format_string("INV-%07d", "l_orderkey").alias("invoice_no"),
+        F.col("l_partkey").alias("product_id"),
+        F.when(F.col("l_returnflag") == "R", -q).otherwise(q).alias("qty"),
+    )
+    return cart_lines(events)
+
+
+@register(
+    "resolve_columns",
+    """SELECT o_orderkey AS invoice_no, o_custkey AS customer_id, o_orderstatus, o_totalprice,
+       CAST(o_orderdate AS DATE) AS date, o_orderpriority FROM orders""",
+)
+def resolve_columns_q(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from tillspark.sources.drift import resolve_columns
+    from tillspark.sources.tables import read_table
+
+    spellings = {
+        "invoice_no": ["invoiceNo", "invoice_number", "o_orderkey"],
+        "customer_id": ["customerId", "customer_id", "o_custkey"],
+        "cashier_id": ["cashierId", "cashier_id", "user_id"],
+        "date": ["o_orderdate"],
+    }
+    df = resolve_columns(read_table(spark, sf_dir, "orders"), spellings)
+    return df.withColumn("date", F.col("date").cast("date"))
+
+
+_STORE_CUT = "DATE '1999-01-01'"
+_INGEST_CTES = f""",
+items AS (SELECT tx_id, COUNT(*) AS n_items FROM tx_details GROUP BY tx_id),
+docs AS (SELECT t.*, COALESCE(i.n_items, 0) AS n_items, t.date < {_STORE_CUT} AS stored
+         FROM transactions t LEFT JOIN items i ON i.tx_id = t.id),
+elig AS (SELECT * FROM docs WHERE NOT stored AND n_items > 0 AND paid >= total),
+cl AS (SELECT e.invoice_no, e.date, e.time, d.product_id, SUM(d.qty) AS qty
+       FROM elig e JOIN tx_details d ON d.tx_id = e.id
+       GROUP BY e.invoice_no, e.date, e.time, d.product_id HAVING SUM(d.qty) > 0),
+dem AS (SELECT cl.*, SUM(qty) OVER (PARTITION BY product_id ORDER BY date, time, lower(invoice_no)
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand FROM cl),
+chk AS (SELECT dem.invoice_no, bool_and(p.id IS NOT NULL) AS known,
+               bool_and(COALESCE(dem.demand <= p.stock, FALSE)) AS fits
+        FROM dem LEFT JOIN products p ON p.id = dem.product_id GROUP BY dem.invoice_no),
+decided AS (SELECT d.*, CASE WHEN d.stored THEN 'already stored'
+                             WHEN d.n_items = 0 AND d.paid < d.total THEN 'empty cart; paid below total'
+                             WHEN d.n_items = 0 THEN 'empty cart' WHEN d.paid < d.total THEN 'paid below total'
+                             WHEN c.known IS NULL THEN 'empty cart' WHEN NOT c.known THEN 'unknown product'
+                             WHEN NOT c.fits THEN 'insufficient stock' ELSE 'accepted' END AS decision
+            FROM docs d LEFT JOIN chk c ON c.invoice_no = d.invoice_no)"""
+_INGEST_USES = ["transactions", "tx_details", "products"]
+
+
+def _ingest_inputs(spark, sf_dir, with_reposts=False):
+    from tillspark.sources import changes
+
+    m = load_model(spark, sf_dir)
+    return changes.sale_batch(m, with_reposts), changes.store(m), m.products
+
+
+@register(
+    "ingest_validate",
+    with_model(f"{_INGEST_CTES}\nSELECT invoice_no, CAST(1 AS BIGINT) AS copies, decision FROM decided", _INGEST_USES),
+)
+def ingest_validate(spark, sf_dir):
+    from tillspark.plans import ingest
+
+    return ingest.ingest_decisions(*_ingest_inputs(spark, sf_dir))
+
+
+@register(
+    "ingest_headers",
+    with_model(
+        f"""{_INGEST_CTES}
+SELECT (SELECT MAX(id) FROM transactions WHERE date < {_STORE_CUT})
+         + row_number() OVER (ORDER BY date, time, invoice_no) AS id,
+       invoice_no, date, time, cashier_id, customer_id, subtotal, discount_type, discount_value, discount, total,
+       paid, change, 'completed' AS status, CAST(0 AS BIGINT) AS discount_amount
+FROM decided WHERE decision = 'accepted'""",
+        _INGEST_USES,
+    ),
+)
+def ingest_headers(spark, sf_dir):
+    from tillspark.plans import ingest
+
+    return ingest.ingest_headers(*_ingest_inputs(spark, sf_dir))
+
+
+@register(
+    "ingest_lines",
+    with_model(
+        f"""{_INGEST_CTES}
+SELECT a.invoice_no, l.product_id, l.product_name, l.qty, l.price, l.subtotal
+FROM decided a JOIN tx_details l ON l.tx_id = a.id WHERE a.decision = 'accepted'""",
+        _INGEST_USES,
+    ),
+)
+def ingest_lines(spark, sf_dir):
+    from tillspark.plans import ingest
+
+    return ingest.ingest_lines(*_ingest_inputs(spark, sf_dir))
+
+
+@register(
+    "ingest_dedup",
+    with_model(
+        f"""SELECT invoice_no, CAST(CASE WHEN discount > 0 THEN 2 ELSE 1 END AS BIGINT) AS copies,
+       date < {_STORE_CUT} AS already_stored FROM transactions""",
+        ["transactions"],
+    ),
+)
+def ingest_dedup(spark, sf_dir):
+    from tillspark.plans import ingest
+
+    docs, store_tx, _ = _ingest_inputs(spark, sf_dir, with_reposts=True)
+    return ingest.dedup_report(docs, store_tx)

@@ -110,12 +110,13 @@ SALE_ITEM = T.StructType(
         _f("product_id", L),
         _f("name", S),
         _f("qty", T.IntegerType()),
-        _f("price", L),
-        _f("subtotal", L),
+        _f("price", T.DoubleType()),
+        _f("subtotal", T.DoubleType()),
     ]
 )
 
 # Nested sale document as posted at checkout: header fields plus items.
+# Money may arrive fractional (client floats) and is rounded on ingest.
 SALE_DOCUMENT = T.StructType(
     [
         _f("invoice_no", S),
@@ -123,13 +124,13 @@ SALE_DOCUMENT = T.StructType(
         _f("time", S),
         _f("cashier_id", L),
         _f("customer_id", L),
-        _f("subtotal", L),
+        _f("subtotal", T.DoubleType()),
         _f("discount_type", S),
-        _f("discount_value", L),
-        _f("discount", L),
-        _f("total", L),
-        _f("paid", L),
-        _f("change", L),
+        _f("discount_value", T.DoubleType()),
+        _f("discount", T.DoubleType()),
+        _f("total", T.DoubleType()),
+        _f("paid", T.DoubleType()),
+        _f("change", T.DoubleType()),
         _f("items", T.ArrayType(SALE_ITEM)),
     ]
 )
