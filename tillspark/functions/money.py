@@ -41,7 +41,8 @@ def discount_raw(subtotal: Column, dtype: Column, value: Column, max_discount: C
     pct = subtotal * value / 100.0
     capped = F.when((max_discount > 0) & (pct > max_discount), max_discount.cast("double")).otherwise(pct)
     d = F.when(dtype == "percent", capped).otherwise(value.cast("double"))
-    return F.least(d, subtotal.cast("double"))
+    # least() skips NULLs: without a rule the discount is NULL, not the subtotal.
+    return F.when(dtype.isNotNull(), F.least(d, subtotal.cast("double")))
 
 
 def discount_amount(subtotal: Column, dtype: Column, value: Column, max_discount: Column) -> Column:
@@ -53,7 +54,8 @@ def discount_amount(subtotal: Column, dtype: Column, value: Column, max_discount
     sv = subtotal * value
     pct = F.when((max_discount > 0) & (sv > max_discount * 100), max_discount).otherwise(int_div(sv + 50, 100))
     d = F.when(dtype == "percent", pct).otherwise(value)
-    return F.coalesce(F.least(d, subtotal), F.lit(0).cast("long"))
+    # least() skips NULLs, so guard the no-rule case explicitly.
+    return F.when(dtype.isNotNull(), F.least(d, subtotal)).otherwise(F.lit(0).cast("long"))
 
 
 def page_count(total_rows: Column | str, page_size: int = 10) -> Column:

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from tillspark.operators.filters import period_filter
 
-ZERO = F.lit(0).cast("long")
+
+def zero():
+    """A bigint 0 literal (built lazily: needs an active session)."""
+    return F.lit(0).cast("long")
 
 
 def exact_avg(total: Column, count: Column) -> Column:
@@ -27,7 +30,7 @@ def exact_avg(total: Column, count: Column) -> Column:
 def revenue_summary(tx: DataFrame) -> DataFrame:
     """A1 + A2 + A9: one row (revenue, tx_count, average); empty -> 0, 0, 0."""
     agg = tx.agg(
-        F.coalesce(F.sum("total"), ZERO).alias("revenue"),
+        F.coalesce(F.sum("total"), zero()).alias("revenue"),
         F.count(F.lit(1)).alias("tx_count"),
     )
     return agg.withColumn("average", exact_avg(F.col("revenue"), F.col("tx_count")))

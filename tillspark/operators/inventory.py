@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.labels import stock_status
-from tillspark.operators.aggregates import ZERO, units_sold
+from tillspark.operators.aggregates import zero, units_sold
 
 RESTOCK_FACTOR = 2
 
@@ -31,6 +31,6 @@ def apply_stock(products: DataFrame, lines: DataFrame) -> DataFrame:
     """
     sold = units_sold(lines.select("product_id", "qty"))
     j = products.join(sold, products["id"] == sold["product_id"], "left").drop("product_id")
-    return j.withColumn("units_sold", F.coalesce("units_sold", ZERO)).withColumn(
+    return j.withColumn("units_sold", F.coalesce("units_sold", zero())).withColumn(
         "stock", F.col("stock") - F.col("units_sold")
     )

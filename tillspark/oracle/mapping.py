@@ -90,10 +90,11 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "tx_quoted": (
         """SELECT b.*, COALESCE(t.rule_type, 'flat') AS discount_type,
                   COALESCE(t.rule_value, 0) AS discount_value,
-                  COALESCE(LEAST(CASE WHEN t.rule_type = 'percent' THEN
+                  CASE WHEN t.rule_type IS NULL THEN 0 ELSE
+                       LEAST(CASE WHEN t.rule_type = 'percent' THEN
                                    CASE WHEN t.max_discount > 0 AND b.subtotal * t.rule_value > t.max_discount * 100
                                         THEN t.max_discount ELSE (b.subtotal * t.rule_value + 50) // 100 END
-                                 ELSE t.rule_value END, b.subtotal), 0) AS discount_amount
+                                 ELSE t.rule_value END, b.subtotal) END AS discount_amount
            FROM tx_base b LEFT JOIN rule_tiers t ON b.subtotal >= t.lo AND (t.hi IS NULL OR b.subtotal < t.hi)""",
         ["tx_base", "rule_tiers"],
     ),

@@ -16,15 +16,12 @@ from tillspark.functions.labels import (
     role_label,
     status_label,
 )
-from tillspark.operators.aggregates import ZERO
+from tillspark.operators.aggregates import zero
 from tillspark.operators.filters import active_users, low_stock, on_date
 from tillspark.operators.joins import broadcast_bounded, left_lookup
 from tillspark.operators.topk import TOP_K, name_order, recent_order, top_k, with_ordinal
 
 DIM_BROADCAST_ROWS = 1_000_000
-# Categories are numbered with a one-partition window; above this many the
-# ordinal is left to the caller's paging.
-MAX_ORDINAL_ROWS = 100_000
 
 
 def with_category(products: DataFrame, categories: DataFrame) -> DataFrame:
@@ -58,7 +55,7 @@ def category_counts(categories: DataFrame, products: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("product_count"))
     )
     j = categories.join(counts, categories["id"] == counts["category_id"], "left").drop("category_id")
-    j = j.withColumn("product_count", F.coalesce("product_count", ZERO))
+    j = j.withColumn("product_count", F.coalesce("product_count", zero()))
     return with_ordinal(j, name_order(), "ordinal")
 
 
@@ -83,7 +80,7 @@ def dashboard_kpis(tx: DataFrame, products: DataFrame, customers: DataFrame, as_
     Three one-row aggregates combined by scalar subqueries (no join).
     """
     revenue = on_date(tx.select("date", "total"), as_of).agg(
-        F.coalesce(F.sum("total"), ZERO).alias("today_revenue"),
+        F.coalesce(F.sum("total"), zero()).alias("today_revenue"),
         F.count(F.lit(1)).alias("today_transactions"),
     )
     n_products = products.select("id").agg(F.count(F.lit(1))).scalar()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.operators.aggregates import ZERO, customer_totals, exact_avg
+from tillspark.operators.aggregates import zero, customer_totals, exact_avg
 from tillspark.operators.filters import search_any
 from tillspark.operators.joins import broadcast_bounded, left_lookup
 
@@ -27,8 +27,8 @@ def customer_list(customers: DataFrame, tx: DataFrame, search_text: str | None =
     j = c.join(totals, c["id"] == totals["customer_id"], "left").drop("customer_id")
     return j.select(
         *CUSTOMER_COLUMNS,
-        F.coalesce("tx_count", ZERO).alias("total_transactions"),
-        F.coalesce("total_spent", ZERO).alias("total_spent"),
+        F.coalesce("tx_count", zero()).alias("total_transactions"),
+        F.coalesce("total_spent", zero()).alias("total_spent"),
     )
 
 

@@ -1,0 +1,109 @@
+"""S3: seed-shaped rows (tests only).
+
+Numeric columns follow the reference seed; personal columns are invented
+(``Cashier 1``, ``Customer 1``, ``Product 6``).  Golden answers for these
+rows are in FIXTURES.md section 1.3.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tillspark import schemas
+
+SEED_AS_OF = dt.date(2026, 6, 12)
+
+_TX = """
+1,0001,2026-06-11,09:30:00,1,1,35000,0,35000,50000,15000,flat,0,0
+2,0002,2026-06-11,10:15:00,2,,22500,0,22500,30000,7500,flat,0,0
+3,0003,2026-06-10,14:20:00,1,2,87000,5000,82000,100000,18000,flat,0,0
+4,0004,2026-06-09,11:45:00,2,3,15000,0,15000,20000,5000,flat,0,0
+5,0005,2026-06-08,16:10:00,1,,42000,2000,40000,50000,10000,flat,0,0
+6,1781160401248,2026-06-11,13:46:00,1,,20000,0,20000,25000,5000,flat,0,0
+7,1781160446582,2026-06-11,13:47:00,1,,3500,0,3500,5000,1500,flat,0,0
+8,1781161627352,2026-06-11,14:07:00,1,,60000,10000,50000,60000,10000,flat,10000,10000
+9,1781161664822,2026-06-11,14:07:00,1,,100000,5000,95000,100000,5000,percent,5,5000
+10,1781174748384,2026-06-11,17:45:00,1,,50000,10000,40000,50000,10000,flat,10000,10000
+11,1781199734092,2026-06-11,00:42:00,1,,3500,0,3500,5000,1500,flat,0,0
+12,1781200461771,2026-06-11,00:54:00,1,,3500,0,3500,5000,1500,flat,0,0
+13,1781200834014,2026-06-11,01:00:00,1,,4500,0,4500,5000,500,flat,0,0
+14,1781255324032,2026-06-12,16:08:00,1,,150000,7500,142500,150000,7500,percent,5,0
+15,1781256861223,2026-06-12,16:34:00,1,4,3500,0,3500,5000,1500,flat,0,0
+16,1781258892328,2026-06-12,17:08:00,4,,75000,10000,65000,100000,35000,flat,10000,0
+"""
+
+_LINES = """
+1,1,1,2,3500,7000 2,1,3,8,3500,28000 3,2,2,3,4500,13500 4,2,5,2,4500,9000
+5,3,6,2,25000,50000 6,3,10,2,7000,14000 7,3,11,1,20000,20000 8,4,4,1,10000,10000
+9,4,8,1,5000,5000 10,5,7,2,15000,30000 11,5,12,1,11000,11000 12,6,11,1,20000,20000
+13,7,1,1,3500,3500 14,8,11,3,20000,60000 15,9,6,4,25000,100000 16,10,6,2,25000,50000
+17,11,1,1,3500,3500 18,14,786524,1,150000,150000 19,15,1,1,3500,3500 20,16,6,3,25000,75000
+"""
+
+_PRODUCTS = """
+1,1,2500,3500,44,10 2,1,3000,4500,35,10 3,3,2800,3500,100,20 4,2,8000,10000,24,5
+5,4,3500,5000,30,5 6,5,22000,25000,41,10 7,3,12500,15000,14,5 8,3,13000,15500,20,5
+9,3,14000,17000,13,5 10,1,5500,7000,24,6 11,4,15000,20000,8,3 12,4,8500,11000,20,4
+13,1,4500,5500,32,21 786524,7,150000,150000,4,1 786525,6,15600,16500,100,1 786526,7,35000,35500,1,1
+"""
+
+_RULES = [(1, "percent", 5, 100000), (2, "percent", 10, 200000), (3, "flat", 10000, 50000), (4, "flat", 25000, 100000)]
+
+
+def _int(s: str):
+    return int(s) if s != "" else None
+
+
+def _rows(block: str) -> list[list[str]]:
+    return [r.split(",") for r in block.split()]
+
+
+def product_name(pid: int) -> str:
+    return f"Product {pid}"
+
+
+def seed_rows(table: str) -> list[tuple]:
+    if table == "transactions":
+        out = []
+        for r in _rows(_TX):
+            i, inv, d, t, cash, cust, sub, disc, tot, paid, ch, typ, val, amt = r
+            out.append(
+                (
+                    int(i), f"INV-{inv}", dt.date.fromisoformat(d), t, int(cash), _int(cust),
+                    int(sub), int(disc), int(tot), int(paid), int(ch), "completed", typ, int(val), int(amt),
+                )
+            )
+        return out
+    if table == "tx_details":
+        return [
+            (int(tx), int(p), product_name(int(p)), int(q), int(pr), int(s))
+            for _i, tx, p, q, pr, s in _rows(_LINES)
+        ]
+    if table == "products":
+        return [
+            (int(i), product_name(int(i)), int(c), None, int(cost), int(price), int(st), int(mn), "pcs", "TERSEDIA")
+            for i, c, cost, price, st, mn in _rows(_PRODUCTS)
+        ]
+    if table == "categories":
+        return [(i, f"Category {i}", None) for i in range(1, 8)]
+    if table == "customers":
+        return [(i, f"Customer {i}", f"0812000000{i}", None, None, None) for i in range(1, 5)]
+    if table == "users":
+        return [
+            (i, f"Cashier {i}", f"cashier{i}", None, "admin" if i == 1 else "kasir", "inactive" if i == 3 else "active", None)
+            for i in range(1, 5)
+        ]
+    if table == "discount_rules":
+        return [(i, f"Rule {i}", typ, val, mp, None, True, None, None) for i, typ, val, mp in _RULES]
+    raise KeyError(table)
+
+
+def fixture(spark: SparkSession, table: str) -> DataFrame:
+    """The seed-shaped rows of ``table`` with its declared schema."""
+    return spark.createDataFrame(seed_rows(table), schemas.TABLES[table])
+
+
+def seed_model(spark: SparkSession) -> dict[str, DataFrame]:
+    return {t: fixture(spark, t) for t in schemas.TABLES}
