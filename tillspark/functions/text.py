@@ -36,3 +36,10 @@ def contains_pattern(text: str) -> str:
 def search_match(c: Column | str, text: str) -> Column:
     """P10: case-insensitive substring match (general_ci collation)."""
     return _c(c).ilike(contains_pattern(text))
+
+
+def zero_pad(n: Column | str, width: int) -> Column:
+    """Decimal text of a non-negative integer, left-padded with zeros to
+    ``width`` (like ``%0<width>d``: longer numbers are kept whole)."""
+    s = _c(n).cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))

@@ -1062,13 +1062,14 @@ HAVING SUM(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS INTEGER) ELSE C
 def cart_lines_q(spark, sf_dir):
     from pyspark.sql import functions as F
 
+    from tillspark.functions.text import zero_pad
     from tillspark.operators.quality import cart_lines
     from tillspark.sources.tables import read_table
 
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"])
     q = F.col("l_quantity").cast("int")
     events = li.select(
-        F.format_string("INV-%07d", "l_orderkey").alias("invoice_no"),
+        F.concat(F.lit("INV-"), zero_pad("l_orderkey", 7)).alias("invoice_no"),
         F.col("l_partkey").alias("product_id"),
         F.when(F.col("l_returnflag") == "R", -q).otherwise(q).alias("qty"),
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.money import int_div
-from tillspark.functions.text import digest
+from tillspark.functions.text import digest, zero_pad
 from tillspark.sources.documents import parse_sale_documents, sale_documents, to_json_documents
 from tillspark.sources.mapping import TestModel
 
@@ -74,7 +74,7 @@ def customer_changes(m: TestModel) -> DataFrame:
     updates = c.select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"),
-        F.format_string("08%010d", "c_custkey").alias("phone"),
+        F.concat(F.lit("08"), zero_pad("c_custkey", 10)).alias("phone"),
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
         F.concat(F.lit("Segment "), F.col("c_mktsegment")).alias("address"),
     )
@@ -82,7 +82,7 @@ def customer_changes(m: TestModel) -> DataFrame:
     inserts = s.select(
         F.lit(None).cast("long").alias("id"),
         F.col("s_name").alias("name"),
-        F.format_string("09%010d", "s_suppkey").alias("phone"),
+        F.concat(F.lit("09"), zero_pad("s_suppkey", 10)).alias("phone"),
         F.lit(None).cast("string").alias("email"),
         F.lit(None).cast("string").alias("address"),
     )

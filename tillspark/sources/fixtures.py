@@ -102,7 +102,9 @@ def seed_rows(table: str) -> list[tuple]:
 
 def fixture(spark: SparkSession, table: str) -> DataFrame:
     """The seed-shaped rows of ``table`` with its declared schema."""
-    return spark.createDataFrame(seed_rows(table), schemas.TABLES[table])
+    from tillspark.sources.tables import literal_table
+
+    return literal_table(spark, seed_rows(table), schemas.TABLES[table])
 
 
 def seed_model(spark: SparkSession) -> dict[str, DataFrame]:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tillspark import schemas
 from tillspark.functions.money import int_div, round_money
-from tillspark.functions.text import digest
+from tillspark.functions.text import digest, zero_pad
 from tillspark.operators.pricing import match_rule, quote_columns, rule_tiers
-from tillspark.sources.tables import read_table
+from tillspark.sources.tables import literal_table, read_table
 
 AS_OF = dt.date(2001, 7, 19)
 
@@ -57,11 +57,11 @@ class TestModel:
 
     @cached_property
     def categories(self) -> DataFrame:
-        return self.spark.createDataFrame(CATEGORY_ROWS, schemas.CATEGORIES)
+        return literal_table(self.spark, CATEGORY_ROWS, schemas.CATEGORIES)
 
     @cached_property
     def discount_rules(self) -> DataFrame:
-        return self.spark.createDataFrame(RULE_ROWS, schemas.DISCOUNT_RULES)
+        return literal_table(self.spark, RULE_ROWS, schemas.DISCOUNT_RULES)
 
     @property
     def users(self) -> DataFrame:
@@ -84,7 +84,7 @@ class TestModel:
         return c.select(
             k.alias("id"),
             F.col("c_name").alias("name"),
-            F.format_string("08%010d", k).alias("phone"),
+            F.concat(F.lit("08"), zero_pad(k, 10)).alias("phone"),
             F.lit(None).cast("string").alias("email"),
             F.lit(None).cast("string").alias("address"),
             F.lit(None).cast("date").alias("created_at"),
@@ -100,7 +100,7 @@ class TestModel:
             k.alias("id"),
             F.col("p_name").alias("name"),
             F.when(k % UNCATEGORISED_MODULUS == 0, F.lit(None)).otherwise(F.col("_cid")).alias("category_id"),
-            F.format_string("899%010d", k).alias("barcode"),
+            F.concat(F.lit("899"), zero_pad(k, 10)).alias("barcode"),
             F.floor(rp * 0.8).cast("long").alias("cost"),
             round_money(rp).alias("price"),
             ((k * 7 + size) % 40).cast("long").alias("stock"),
@@ -115,9 +115,9 @@ class TestModel:
         k = F.col("o_orderkey")
         base = o.select(
             k.alias("id"),
-            F.format_string("INV-%07d", k).alias("invoice_no"),
+            F.concat(F.lit("INV-"), zero_pad(k, 7)).alias("invoice_no"),
             F.col("o_orderdate").cast("date").alias("date"),
-            F.format_string("%02d:%02d:00", (k * 7) % 24, (k * 13) % 60).alias("time"),
+            F.concat(zero_pad((k * 7) % 24, 2), F.lit(":"), zero_pad((k * 13) % 60, 2), F.lit(":00")).alias("time"),
             (k % CASHIER_MODULUS).alias("cashier_id"),
             F.when(F.col("o_custkey") % WALK_IN_MODULUS == 0, F.lit(None))
             .otherwise(F.col("o_custkey"))

@@ -75,3 +75,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 def scan(df: DataFrame) -> DataFrame:
     """S1 ``SELECT *`` over an already-mapped table: identity, kept lazy."""
     return df.select("*")
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small literal table built JVM-side (``inline`` of a constant array).
+
+    ``spark.createDataFrame(list)`` would ship the rows through a Python RDD
+    and start a Python worker for every scan; this stays in codegen.
+    """
+    from pyspark.sql import functions as F
+
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
