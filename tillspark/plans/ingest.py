@@ -16,7 +16,7 @@ invoice) order).  Sales failing another rule demand nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillspark.functions.money import round_money
@@ -38,13 +38,20 @@ MONEY = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
 def first_per_invoice(docs: DataFrame) -> DataFrame:
     """M8 within the batch: one document per case-insensitive invoice number,
     the earliest by (date, time, invoice_no, total, paid), plus the number of
-    copies received.  An aggregate, so repeated invoices combine per task."""
-    fields = docs.columns
-    order = F.struct("date", "time", "invoice_no", "total", "paid")
-    agg = docs.groupBy(F.lower("invoice_no").alias("invoice_key")).agg(
-        F.min_by(F.struct(*fields), order).alias("_doc"), F.count(F.lit(1)).alias("copies")
-    )
-    return agg.select("invoice_key", "copies", *[F.col(f"_doc.{c}").alias(c) for c in fields])
+    copies received.
+
+    ``row_number() = 1`` plans as a partial ``WindowGroupLimit`` before the
+    shuffle, so every task forwards at most one document per invoice (a
+    repeated invoice never piles up in one reducer); the copy count is a
+    partial + final hash aggregate.  Both sides are unique per invoice when
+    joined.
+    """
+    d = docs.withColumn("invoice_key", F.lower("invoice_no"))
+    order = Window.partitionBy("invoice_key").orderBy("date", "time", "invoice_no", "total", "paid")
+    first = d.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
+    copies = d.groupBy(F.col("invoice_key").alias("_ck")).agg(F.count(F.lit(1)).alias("copies"))
+    j = first.join(copies, first["invoice_key"] == copies["_ck"], "inner")
+    return j.select("invoice_key", "copies", *docs.columns)
 
 
 def _decide(docs: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
