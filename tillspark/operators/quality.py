@@ -72,12 +72,12 @@ def validate_users(batch: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def validate_sales(docs: DataFrame) -> DataFrame:
-    """Q3: non-empty cart; paid >= total."""
+def validate_sales(headers: DataFrame) -> DataFrame:
+    """Q3: non-empty cart (``n_items`` > 0); paid >= total."""
     return with_errors(
-        docs,
+        headers,
         [
-            (F.coalesce(F.size("items"), F.lit(0)) <= 0, E_EMPTY_CART),
+            (F.coalesce(F.col("n_items"), F.lit(0)) <= 0, E_EMPTY_CART),
             (F.coalesce(F.col("paid") < F.col("total"), F.lit(False)), E_UNDERPAID),
         ],
     )

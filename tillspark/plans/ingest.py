@@ -1,6 +1,11 @@
-"""Batch ingestion of sale documents.
+"""Batch ingestion of sales.
 
-batch of documents -> one document per invoice (first by date, time) ->
+Input is flat: one header row per received document and its line rows,
+linked by ``doc_id``.  Nested JSON documents (S4) are exploded once at the
+source by ``split_documents``; nothing downstream gathers lines back into
+arrays, so no sale is ever collected into one task.
+
+header rows -> one document per invoice (first by date, time) ->
 already-stored check -> cart checks -> stock check in sale order ->
 accepted headers (new ids after the store's maximum) and lines.
 
@@ -33,41 +38,69 @@ NO_STOCK = "insufficient stock"
 
 PRODUCT_BROADCAST_ROWS = 1_000_000
 MONEY = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
+LINE_FIELDS = ["product_id", "name", "qty", "price", "subtotal"]
+
+
+def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested documents -> (header rows, line rows), both keyed by ``doc_id``.
 
+    ``doc_id`` is the SHA-256 of the whole body, so byte-identical re-posts
+    share it; their repeated lines collapse on (doc_id, position), a partial
+    aggregate.  ``n_items`` keeps the cart size for the empty-cart rule.
+    """
+    body = F.to_json(F.struct(*[F.col(c) for c in docs.columns]))
+    d = docs.withColumn("doc_id", F.sha2(body, 256))
+    headers = d.select(
+        "doc_id",
+        *HEADER_FIELDS,
+        F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).alias("n_items"),
+    )
+    lines = (
+        d.select("doc_id", F.posexplode("items").alias("pos", "it"))
+        .select("doc_id", "pos", *[F.col(f"it.{c}").alias(c) for c in LINE_FIELDS])
+        .dropDuplicates(["doc_id", "pos"])
+        .drop("pos")
+    )
+    return headers, lines
 
-def first_per_invoice(docs: DataFrame) -> DataFrame:
+
+def first_per_invoice(headers: DataFrame) -> DataFrame:
     """M8 within the batch: one document per case-insensitive invoice number,
-    the earliest by (date, time, invoice_no, total, paid), plus the number of
-    copies received.
+    the earliest by (date, time, invoice_no, total, paid, doc_id), plus the
+    number of copies received.
 
     ``row_number() = 1`` plans as a partial ``WindowGroupLimit`` before the
-    shuffle, so every task forwards at most one document per invoice (a
+    shuffle, so every task forwards at most one header per invoice (a
     repeated invoice never piles up in one reducer); the copy count is a
     partial + final hash aggregate.  Both sides are unique per invoice when
     joined.
     """
-    d = docs.withColumn("invoice_key", F.lower("invoice_no"))
-    order = Window.partitionBy("invoice_key").orderBy("date", "time", "invoice_no", "total", "paid")
+    d = headers.withColumn("invoice_key", F.lower("invoice_no"))
+    order = Window.partitionBy("invoice_key").orderBy("date", "time", "invoice_no", "total", "paid", "doc_id")
     first = d.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
     copies = d.groupBy(F.col("invoice_key").alias("_ck")).agg(F.count(F.lit(1)).alias("copies"))
     j = first.join(copies, first["invoice_key"] == copies["_ck"], "inner")
-    return j.select("invoice_key", "copies", *docs.columns)
+    return j.select("invoice_key", "copies", *headers.columns)
+
+
+def _stored_keys(store_tx: DataFrame, flag: str) -> DataFrame:
+    return store_tx.select(F.lower("invoice_no").alias("_sk")).distinct().withColumn(flag, F.lit(True))
 
 
-def _decide(docs: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
-    d = first_per_invoice(docs)
+def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+    d = first_per_invoice(headers)
     d = d.select(*[round_money(c).alias(c) if c in MONEY else F.col(c) for c in d.columns])
-    stored = store_tx.select(F.lower("invoice_no").alias("_sk")).distinct().withColumn("_stored", F.lit(True))
+    stored = _stored_keys(store_tx, "_stored")
     d = d.join(stored, d["invoice_key"] == stored["_sk"], "left").drop("_sk")
     d = validate_sales(d)
-    eligible = d.where(F.col("_stored").isNull() & F.col("accepted"))
+    eligible = d.where(F.col("_stored").isNull() & F.col("accepted")).select("doc_id", "invoice_key", "date", "time")
 
-    lines = eligible.select("invoice_key", "date", "time", F.explode("items").alias("it")).select(
-        "invoice_key", "date", "time", F.col("it.product_id").alias("product_id"), F.col("it.qty").alias("qty")
-    )
-    merged = cart_lines(lines, ["invoice_key", "date", "time"])
+    sale_lines = lines.select("doc_id", "product_id", "qty").join(eligible, "doc_id")
+    merged = cart_lines(sale_lines, ["invoice_key", "date", "time"])
     demand = running_demand(merged, "product_id", "date", ["time", "invoice_key"], "qty")
-    p = broadcast_bounded(products.select(F.col("id").alias("_pid"), F.col("stock").alias("_stock")), PRODUCT_BROADCAST_ROWS)
+    p = broadcast_bounded(
+        products.select(F.col("id").alias("_pid"), F.col("stock").alias("_stock")), PRODUCT_BROADCAST_ROWS
+    )
     checked = demand.join(p, F.col("product_id") == F.col("_pid"), "left")
     per_sale = checked.groupBy("invoice_key").agg(
         F.bool_and(F.col("_pid").isNotNull()).alias("_known"),
@@ -85,27 +118,27 @@ def _decide(docs: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFr
     return d.withColumn("decision", decision).drop("_stored", "_known", "_fits", "errors", "accepted")
 
 
-def dedup_report(docs: DataFrame, store_tx: DataFrame) -> DataFrame:
+def dedup_report(headers: DataFrame, store_tx: DataFrame) -> DataFrame:
     """M8: copies received per invoice and whether the store already holds it."""
-    d = first_per_invoice(docs.select("invoice_no", "date", "time", "total", "paid"))
-    stored = store_tx.select(F.lower("invoice_no").alias("_sk")).distinct().withColumn("already_stored", F.lit(True))
+    d = first_per_invoice(headers.select("doc_id", "invoice_no", "date", "time", "total", "paid"))
+    stored = _stored_keys(store_tx, "already_stored")
     j = d.join(stored, d["invoice_key"] == stored["_sk"], "left")
     return j.select("invoice_no", "copies", F.coalesce("already_stored", F.lit(False)).alias("already_stored"))
 
 
-def ingest_decisions(docs: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+def ingest_decisions(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
     """Decision per invoice: accepted or the first failed rule."""
-    return _decide(docs, store_tx, products).select("invoice_no", "copies", "decision")
+    return _decide(headers, lines, store_tx, products).select("invoice_no", "copies", "decision")
 
 
-def ingest_headers(docs: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+def ingest_headers(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
     """Header rows of accepted sales with ids after the store's maximum id.
 
     ``discount_amount`` is 0 as in the reference insert, which omits it.
     """
-    acc = _decide(docs, store_tx, products).where(F.col("decision") == ACCEPTED)
+    acc = _decide(headers, lines, store_tx, products).where(F.col("decision") == ACCEPTED)
     rows = acc.select(
-        *[c for c in HEADER_FIELDS],
+        *HEADER_FIELDS,
         F.lit("completed").alias("status"),
         F.lit(0).cast("long").alias("discount_amount"),
     )
@@ -113,15 +146,15 @@ def ingest_headers(docs: DataFrame, store_tx: DataFrame, products: DataFrame) ->
     return assign_ids(rows, [F.col("date"), F.col("time"), F.col("invoice_no")], start)
 
 
-def ingest_lines(docs: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+def ingest_lines(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
     """Line rows of accepted sales (keyed by the natural invoice number)."""
-    acc = _decide(docs, store_tx, products).where(F.col("decision") == ACCEPTED)
-    lines = acc.select("invoice_no", F.explode("items").alias("it"))
-    return lines.select(
+    acc = _decide(headers, lines, store_tx, products).where(F.col("decision") == ACCEPTED)
+    j = lines.join(acc.select("doc_id", "invoice_no"), "doc_id")
+    return j.select(
         "invoice_no",
-        F.col("it.product_id").alias("product_id"),
-        F.col("it.name").alias("product_name"),
-        F.col("it.qty").alias("qty"),
-        round_money("it.price").alias("price"),
-        round_money("it.subtotal").alias("subtotal"),
+        "product_id",
+        F.col("name").alias("product_name"),
+        "qty",
+        round_money("price").alias("price"),
+        round_money("subtotal").alias("subtotal"),
     )

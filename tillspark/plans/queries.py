@@ -1124,7 +1124,8 @@ def _ingest_inputs(spark, sf_dir, with_reposts=False):
     from tillspark.sources import changes
 
     m = load_model(spark, sf_dir)
-    return changes.sale_batch(m, with_reposts), changes.store(m), m.products
+    headers, lines = changes.sale_rows(m, with_reposts)
+    return headers, lines, changes.store(m), m.products
 
 
 @register(
@@ -1181,5 +1182,5 @@ def ingest_lines(spark, sf_dir):
 def ingest_dedup(spark, sf_dir):
     from tillspark.plans import ingest
 
-    docs, store_tx, _ = _ingest_inputs(spark, sf_dir, with_reposts=True)
-    return ingest.dedup_report(docs, store_tx)
+    headers, _lines, store_tx, _ = _ingest_inputs(spark, sf_dir, with_reposts=True)
+    return ingest.dedup_report(headers, store_tx)

@@ -10,8 +10,9 @@ validation and ingest operators over whole tables.
 * users: every supplier as a staff record -- existing ones updated (an empty
   password keeps the stored digest), others inserted (rejected when they
   carry no password).
-* sale documents: every stored sale re-posted as a JSON document; the store
-  holds sales before ``STORE_CUTOFF``; discounted sales are posted twice.
+* sales: every stored sale re-posted at checkout (flat header + line rows);
+  the store holds sales before ``STORE_CUTOFF``; discounted sales are
+  posted twice.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tillspark.functions.money import int_div
 from tillspark.functions.text import digest, zero_pad
-from tillspark.sources.documents import parse_sale_documents, sale_documents, to_json_documents
+from tillspark.sources.documents import HEADER_FIELDS
 from tillspark.sources.mapping import TestModel
 
 PROMO_CATEGORY_ID = 4
@@ -124,17 +125,34 @@ def product_form_rows(m: TestModel) -> DataFrame:
     )
 
 
-def sale_bodies(m: TestModel) -> DataFrame:
-    """Every sale as the JSON body the checkout posts."""
-    return to_json_documents(sale_documents(m.transactions, m.tx_details))
-
-
-def sale_batch(m: TestModel, with_reposts: bool = False) -> DataFrame:
-    """Parsed documents; optionally discounted sales posted a second time."""
-    docs = parse_sale_documents(sale_bodies(m))
+def sale_rows(m: TestModel, with_reposts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every stored sale as received at checkout, in flat form: one header
+    row per document (``doc_id``, header fields, ``n_items``) and its line
+    rows.  Optionally every discounted sale is posted a second time (a new
+    ``doc_id`` for the same invoice).  Money arrives as the client's floats.
+    """
+    from tillspark.operators.aggregates import item_counts
+
+    tx = m.transactions
+    counts = item_counts(m.tx_details.select("tx_id"))
+    money = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
+    headers = tx.join(counts, tx["id"] == counts["tx_id"], "left").select(
+        F.col("id").cast("string").alias("doc_id"),
+        *[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in HEADER_FIELDS],
+        F.coalesce(F.col("items"), F.lit(0)).cast("int").alias("n_items"),
+    )
+    lines = m.tx_details.select(
+        F.col("tx_id").cast("string").alias("doc_id"),
+        "product_id",
+        F.col("product_name").alias("name"),
+        "qty",
+        F.col("price").cast("double").alias("price"),
+        F.col("subtotal").cast("double").alias("subtotal"),
+    )
     if with_reposts:
-        docs = docs.unionByName(docs.where(F.col("discount") > 0))
-    return docs
+        again = headers.where(F.col("discount") > 0).withColumn("doc_id", F.concat("doc_id", F.lit("#2")))
+        headers = headers.unionByName(again)
+    return headers, lines
 
 
 def store(m: TestModel) -> DataFrame:

@@ -28,28 +28,3 @@ def parse_sale_documents(df: DataFrame, body_col: str = "body") -> DataFrame:
 def to_json_documents(docs: DataFrame, body_col: str = "body") -> DataFrame:
     """one JSON body per document."""
     return docs.select(F.to_json(F.struct(*[F.col(c) for c in SALE_DOCUMENT.fieldNames()])).alias(body_col))
-
-
-def sale_documents(tx: DataFrame, details: DataFrame) -> DataFrame:
-    """Documents as the checkout would post them, rebuilt from stored sales.
-
-    Lines are gathered per sale; a sale's items are one cart, so each group
-    is bounded by a basket, and the gathering is a partial aggregate
-    (``collect_list`` per task, merged per sale).  Sales without lines get
-    an empty ``items`` array.
-    """
-    item = F.struct(
-        F.col("product_id"),
-        F.col("product_name").alias("name"),
-        F.col("qty"),
-        F.col("price").cast("double").alias("price"),
-        F.col("subtotal").cast("double").alias("subtotal"),
-    )
-    items = details.groupBy(F.col("tx_id").alias("_tx")).agg(F.collect_list(item).alias("items"))
-    j = tx.join(items, tx["id"] == items["_tx"], "left")
-    empty = F.array().cast(SALE_DOCUMENT["items"].dataType)
-    money = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
-    return j.select(
-        *[F.col(c).cast("double").alias(c) if c in money else F.col(c) for c in HEADER_FIELDS],
-        F.coalesce(F.col("items"), empty).alias("items"),
-    )

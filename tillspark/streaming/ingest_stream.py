@@ -59,10 +59,11 @@ class SalesIngestSink:
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         store, products = self._state(spark, epoch_id)
-        heads = ingest.ingest_headers(batch, store, products)
+        headers, lines = ingest.split_documents(batch)
+        heads = ingest.ingest_headers(headers, lines, store, products)
         heads.write.mode("overwrite").parquet(os.path.join(self.headers_path, f"epoch={epoch_id}"))
-        lines = ingest.ingest_lines(batch, store, products)
-        lines.write.mode("overwrite").parquet(os.path.join(self.lines_path, f"epoch={epoch_id}"))
+        accepted_lines = ingest.ingest_lines(headers, lines, store, products)
+        accepted_lines.write.mode("overwrite").parquet(os.path.join(self.lines_path, f"epoch={epoch_id}"))
 
 
 def start_sales_ingest(
