@@ -22,7 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Dimension sides are projected to a key and one or two narrow columns
+# before the check, so 1M rows stay in the tens of MB per broadcast.
+DIM_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_ROWS = DIM_BROADCAST_ROWS
 NULL_SALT_BUCKETS = 512
 
 

@@ -18,10 +18,9 @@ from tillspark.functions.labels import (
 )
 from tillspark.operators.aggregates import zero
 from tillspark.operators.filters import active_users, low_stock, on_date
-from tillspark.operators.joins import broadcast_bounded, left_lookup
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, left_lookup
 from tillspark.operators.topk import TOP_K, name_order, recent_order, top_k, with_ordinal
 
-DIM_BROADCAST_ROWS = 1_000_000
 
 
 def with_category(products: DataFrame, categories: DataFrame) -> DataFrame:

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tillspark.operators.aggregates import zero, customer_totals, exact_avg
 from tillspark.operators.filters import search_any
-from tillspark.operators.joins import broadcast_bounded, left_lookup
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, left_lookup
 
 CUSTOMER_COLUMNS = ["id", "name", "phone", "email", "address", "created_at"]
-DIM_BROADCAST_ROWS = 1_000_000
 
 
 def customer_list(customers: DataFrame, tx: DataFrame, search_text: str | None = None) -> DataFrame:

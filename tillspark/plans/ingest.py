@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tillspark.functions.money import round_money
 from tillspark.operators.ids import assign_ids
-from tillspark.operators.joins import broadcast_bounded
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded
 from tillspark.operators.quality import E_EMPTY_CART, cart_lines, running_demand, validate_sales
 from tillspark.sources.documents import HEADER_FIELDS
 
@@ -36,7 +36,6 @@ ALREADY_STORED = "already stored"
 UNKNOWN_PRODUCT = "unknown product"
 NO_STOCK = "insufficient stock"
 
-PRODUCT_BROADCAST_ROWS = 1_000_000
 MONEY = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
 LINE_FIELDS = ["product_id", "name", "qty", "price", "subtotal"]
 
@@ -99,7 +98,7 @@ def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products:
     merged = cart_lines(sale_lines, ["invoice_key", "date", "time"])
     demand = running_demand(merged, "product_id", "date", ["time", "invoice_key"], "qty")
     p = broadcast_bounded(
-        products.select(F.col("id").alias("_pid"), F.col("stock").alias("_stock")), PRODUCT_BROADCAST_ROWS
+        products.select(F.col("id").alias("_pid"), F.col("stock").alias("_stock")), DIM_BROADCAST_ROWS
     )
     checked = demand.join(p, F.col("product_id") == F.col("_pid"), "left")
     per_sale = checked.groupBy("invoice_key").agg(

@@ -16,10 +16,9 @@ from tillspark.functions.dates import axis_label, period_bounds
 from tillspark.functions.labels import WALK_IN_VIEW, label_or
 from tillspark.operators.aggregates import daily_revenue, lines_in_period, product_sales, revenue_summary
 from tillspark.operators.filters import period_filter
-from tillspark.operators.joins import broadcast_bounded, left_lookup
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, left_lookup
 from tillspark.operators.topk import TOP_K, top_k
 
-DIM_BROADCAST_ROWS = 1_000_000
 CHART_HEIGHT = 150
 
 
