@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tillspark.functions.dates import display_date
 from tillspark.functions.labels import CASHIER_EXPORT, CASHIER_LEDGER, WALK_IN_LEDGER, product_label
 from tillspark.functions.money import line_subtotal, page_count
-from tillspark.operators.aggregates import item_counts, row_count
+from tillspark.operators.aggregates import basket_subtotal, item_counts, row_count
 from tillspark.operators.filters import ledger_filter
 from tillspark.operators.joins import semi
 from tillspark.operators.topk import PAGE_SIZE, page, recent_order
@@ -225,3 +225,18 @@ def export_report_rows(view_rows: DataFrame) -> DataFrame:
         "date",
         "time",
     )
+
+
+def basket_check(tx: DataFrame, details: DataFrame) -> DataFrame:
+    """A10 as a data-quality report: the stored header subtotal against the
+    sum of the sale's line subtotals (0 for a sale without lines).  The
+    reference trusts client totals, so the two can disagree."""
+    sums = basket_subtotal(details.select("tx_id", "subtotal"), key="tx_id").withColumnRenamed(
+        "subtotal", "lines_subtotal"
+    )
+    j = tx.select("id", "invoice_no", "subtotal").join(sums, tx["id"] == sums["tx_id"], "left").drop("tx_id")
+    lines_total = F.coalesce(F.col("lines_subtotal"), F.lit(0).cast("long"))
+    return j.select(
+        "id", "invoice_no", "subtotal", lines_total.alias("lines_subtotal"),
+        (F.col("subtotal") == lines_total).alias("consistent"),
+    )

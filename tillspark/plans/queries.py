@@ -1184,3 +1184,20 @@ def ingest_dedup(spark, sf_dir):
 
     headers, _lines, store_tx, _ = _ingest_inputs(spark, sf_dir, with_reposts=True)
     return ingest.dedup_report(headers, store_tx)
+
+
+@register(
+    "basket_subtotal",
+    with_model(
+        """SELECT t.id, t.invoice_no, t.subtotal, CAST(COALESCE(s.lines_subtotal, 0) AS BIGINT) AS lines_subtotal,
+       t.subtotal = COALESCE(s.lines_subtotal, 0) AS consistent
+FROM transactions t
+LEFT JOIN (SELECT tx_id, SUM(subtotal) AS lines_subtotal FROM tx_details GROUP BY tx_id) s ON s.tx_id = t.id""",
+        ["transactions", "tx_details"],
+    ),
+)
+def basket_subtotal_q(spark, sf_dir):
+    from tillspark.plans.ledger import basket_check
+
+    m = load_model(spark, sf_dir)
+    return basket_check(m.transactions, m.tx_details)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillspark import schemas
-from tillspark.functions.money import int_div, round_money
+from tillspark.functions.money import change_due, int_div, round_money
 from tillspark.functions.text import digest, zero_pad
 from tillspark.operators.pricing import match_rule, quote_columns, rule_tiers
 from tillspark.sources.tables import literal_table, read_table
@@ -140,7 +140,7 @@ class TestModel:
             F.col("discount_amount").alias("discount"),
             total.alias("total"),
             paid.alias("paid"),
-            (paid - total).alias("change"),
+            change_due(paid, total).alias("change"),
             F.lit("completed").alias("status"),
             "discount_type",
             "discount_value",
