@@ -17,14 +17,24 @@ from pyspark.sql import functions as F
 from tillspark.session import ensure_checkpoint_dir
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint to the shared ``spark.checkpoint.dir``:
+    computes ``df`` once and cuts its lineage (survives lost executors).
+
+    The folder is read from the session.  Only a local-mode session without
+    one (tests) gets a scratch folder; a cluster without the setting is an
+    error, since a machine-local folder would not be shared.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         import tempfile
 
-        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tillspark-ckpt-"))
-    else:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        folder = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tillspark-ckpt-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -35,7 +45,7 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "positio
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    tagged = _checkpoint(tagged)
+    tagged = materialize(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))

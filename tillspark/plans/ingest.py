@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillspark.functions.money import round_money
-from tillspark.operators.ids import assign_ids
+from tillspark.operators.ids import assign_ids, materialize
 from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded
 from tillspark.operators.quality import E_EMPTY_CART, cart_lines, running_demand, validate_sales
 from tillspark.sources.documents import HEADER_FIELDS
@@ -91,7 +91,10 @@ def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products:
     d = d.select(*[round_money(c).alias(c) if c in MONEY else F.col(c) for c in d.columns])
     stored = _stored_keys(store_tx, "_stored")
     d = d.join(stored, d["invoice_key"] == stored["_sk"], "left").drop("_sk")
-    d = validate_sales(d)
+    # ``d`` feeds two branches (the stock check and the final decision);
+    # they prune different columns, so Spark would not reuse the exchange and
+    # would rescan the batch.  Read the batch once: materialize the winners.
+    d = materialize(validate_sales(d))
     eligible = d.where(F.col("_stored").isNull() & F.col("accepted")).select("doc_id", "invoice_key", "date", "time")
 
     sale_lines = lines.select("doc_id", "product_id", "qty").join(eligible, "doc_id")
