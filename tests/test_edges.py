@@ -155,3 +155,43 @@ def test_low_stock_strict(seed):
 def test_user_list_has_no_secret(seed):
     assert "password_digest" not in catalog.user_list(seed["users"]).columns
     assert {r.name for r in catalog.active_user_list(seed["users"]).collect()} == {"Cashier 1", "Cashier 2", "Cashier 4"}
+
+
+def test_instant_and_clock_independent_of_session_zone(spark):
+    from tillspark.functions.dates import clock_time, invoice_id, invoice_millis, sale_instant_millis
+
+    df = spark.createDataFrame([(dt.date(2026, 6, 11), "17:42:05")], "date date, time string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = []
+        for tz in ("UTC", "Asia/Jakarta"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            r = df.select(sale_instant_millis("date", "time").alias("ms")).select(
+                "ms", invoice_id("ms").alias("inv"), clock_time("ms").alias("clock"),
+                clock_time("ms", 7 * 60).alias("local")).collect()[0]
+            out.append(tuple(r))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert out[0] == out[1]
+    ms, inv, clock, local = out[0]
+    assert ms == int(dt.datetime(2026, 6, 11, 17, 42, 5, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert (clock, local) == ("17:42", "00:42")
+    back = spark.createDataFrame([(inv,)], "i string").select(invoice_millis("i").alias("m")).collect()[0].m
+    assert back == ms
+
+
+def test_null_keys_salted_when_not_broadcast(spark):
+    from tillspark.operators.joins import left_lookup
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = spark.range(2000).select(
+            F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("fk"))
+        dim = spark.range(40).select(F.col("id"), (F.col("id") * 10).alias("v"))
+        salted = left_lookup(fact, dim, "fk", salt_col="id")
+        plain = fact.join(dim.withColumnRenamed("id", "_d"), F.col("fk") == F.col("_d"), "left").drop("_d")
+        assert "SortMergeJoin" in salted._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.select(*salted.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

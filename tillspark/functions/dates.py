@@ -45,10 +45,22 @@ def axis_label(date: Column | str) -> Column:
     return F.date_format(_c(date), "MM-dd")
 
 
+MS_PER_DAY = 86_400_000
+
+
 def sale_instant_millis(date: Column | str, time: Column | str) -> Column:
-    """Epoch millis (UTC) of a sale's date + ``HH:mm:ss`` time."""
-    ts = F.to_timestamp(F.concat_ws(" ", _c(date).cast("string"), _c(time)), "yyyy-MM-dd HH:mm:ss")
-    return F.unix_millis(ts)
+    """Epoch millis of a sale's date + ``HH:mm:ss`` time read as UTC.
+
+    Pure arithmetic (days since epoch and seconds of day), so the result does
+    not depend on ``spark.sql.session.timeZone``.
+    """
+    t = _c(time)
+    secs = (
+        F.substring(t, 1, 2).cast("long") * 3600
+        + F.substring(t, 4, 2).cast("long") * 60
+        + F.coalesce(F.substring(t, 7, 2).try_cast("long"), F.lit(0).cast("long"))
+    )
+    return F.unix_date(_c(date)).cast("long") * MS_PER_DAY + secs * 1000
 
 
 def invoice_id(millis: Column | str) -> Column:
@@ -61,6 +73,11 @@ def invoice_millis(invoice_no: Column | str) -> Column:
     return F.substring(_c(invoice_no), len(INVOICE_PREFIX) + 1, 1 << 20).try_cast("long")
 
 
-def clock_time(millis: Column | str) -> Column:
-    """zero-padded ``HH:mm`` of an epoch-millis instant in the session zone."""
-    return F.date_format(F.timestamp_millis(_c(millis)), "HH:mm")
+def clock_time(millis: Column | str, offset_minutes: int = 0) -> Column:
+    """zero-padded ``HH:mm`` wall clock of an epoch-millis instant at a
+    fixed UTC offset (0 = UTC); arithmetic, independent of the session zone."""
+    from tillspark.functions.text import zero_pad
+
+    ms_of_day = F.pmod(_c(millis) + F.lit(offset_minutes * 60_000), F.lit(MS_PER_DAY))
+    minutes = F.floor(ms_of_day / 60_000).cast("long")
+    return F.concat(zero_pad(F.floor(minutes / 60).cast("long"), 2), F.lit(":"), zero_pad(minutes % 60, 2))

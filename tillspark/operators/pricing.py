@@ -38,10 +38,13 @@ def valid_rules(rules: DataFrame, as_of: dt.date) -> DataFrame:
 def rule_tiers(rules: DataFrame, as_of: dt.date) -> DataFrame:
     """One rule per threshold (lowest id) and the next threshold as ``hi``.
 
-    Windows here run over the rule table only, which is a bounded parameter
-    table (checked in ``match_rule``), never over sales.
+    Windows here run over the rule table only, never over sales; the valid
+    rules are proven to number at most ``MAX_TIERS`` before the (one
+    partition) ``lead`` window is planned.
     """
     v = valid_rules(rules, as_of)
+    if not row_bound_holds(v, MAX_TIERS):
+        raise ValueError(f"more than {MAX_TIERS} valid discount rules; the tier table must stay broadcastable")
     first = v.withColumn("_rn", F.row_number().over(Window.partitionBy("min_purchase").orderBy("id"))).where(
         "_rn = 1"
     )

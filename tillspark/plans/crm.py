@@ -50,7 +50,9 @@ def customer_history(customers: DataFrame, tx: DataFrame, users: DataFrame) -> D
         "customer_id", "invoice_no", "date", "time", "total", "cashier_id"
     )
     u = broadcast_bounded(users.select("id", F.col("name").alias("cashier_name")), DIM_BROADCAST_ROWS)
-    c = customers.select(F.col("id").alias("_cid"), F.col("name").alias("customer_name"))
+    c = broadcast_bounded(
+        customers.select(F.col("id").alias("_cid"), F.col("name").alias("customer_name")), DIM_BROADCAST_ROWS
+    )
     j = left_lookup(sales, u, "cashier_id").join(c, F.col("customer_id") == F.col("_cid"), "inner")
     return j.select("customer_id", "customer_name", "invoice_no", "date", "time", "total", "cashier_name")
 

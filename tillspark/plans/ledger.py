@@ -19,7 +19,7 @@ from tillspark.functions.labels import CASHIER_EXPORT, CASHIER_LEDGER, WALK_IN_L
 from tillspark.functions.money import line_subtotal, page_count
 from tillspark.operators.aggregates import basket_subtotal, item_counts, row_count
 from tillspark.operators.filters import ledger_filter
-from tillspark.operators.joins import semi
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, semi
 from tillspark.operators.topk import PAGE_SIZE, page, recent_order
 from tillspark.plans.reports import VIEW_COLUMNS, with_parties
 
@@ -125,7 +125,7 @@ def named_lines(details: DataFrame, products: DataFrame, tx_ids: DataFrame) -> D
     """J7 + F21: lines with the product's current name, ``Produk #<id>`` when gone."""
     keys = tx_ids.select(F.col("id").alias("_k"))
     lines = semi(details.select("tx_id", "product_id", "qty", "price"), keys, F.col("tx_id") == F.col("_k"))
-    p = products.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"))
+    p = broadcast_bounded(products.select(F.col("id").alias("_pid"), F.col("name").alias("_pname")), DIM_BROADCAST_ROWS)
     j = lines.join(p, F.col("product_id") == F.col("_pid"), "left")
     return j.select(
         "tx_id",
