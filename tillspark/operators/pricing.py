@@ -58,9 +58,12 @@ def rule_tiers(rules: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def match_rule(sales: DataFrame, tiers: DataFrame, amount_col: str = "subtotal") -> DataFrame:
-    """Left range join of every sale to the tier containing its amount."""
-    if not row_bound_holds(tiers, MAX_TIERS):
+def match_rule(sales: DataFrame, tiers: DataFrame, amount_col: str = "subtotal", checked: bool = False) -> DataFrame:
+    """Left range join of every sale to the tier containing its amount.
+
+    ``checked`` says the tier count is already proven (``rule_tiers`` does).
+    """
+    if not checked and not row_bound_holds(tiers, MAX_TIERS):
         raise ValueError(f"more than {MAX_TIERS} discount tiers; the tier table must stay broadcastable")
     t = F.broadcast(tiers)
     amount = F.col(amount_col)
@@ -90,7 +93,7 @@ def discount_quote(
     A sale below every threshold gets ``flat``, 0, 0.
     """
     keep = keep if keep is not None else sales.columns
-    matched = match_rule(sales, rule_tiers(rules, as_of), amount_col)
+    matched = match_rule(sales, rule_tiers(rules, as_of), amount_col, checked=True)
     return matched.select(*[F.col(c) for c in keep], F.col("rule_id"), *quote_columns(amount_col))
 
 
@@ -103,7 +106,7 @@ def tier_usage(sales: DataFrame, rules: DataFrame, as_of: dt.date, amount_col: s
     """
     tiers = rule_tiers(rules, as_of)
     counts = (
-        match_rule(sales.select(amount_col), tiers, amount_col)
+        match_rule(sales.select(amount_col), tiers, amount_col, checked=True)
         .where(F.col("rule_id").isNotNull())
         .groupBy(F.col("rule_id").alias("_rid"))
         .agg(F.count(F.lit(1)).alias("sales"))

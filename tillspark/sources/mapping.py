@@ -124,7 +124,7 @@ class TestModel:
             .alias("customer_id"),
             round_money("o_totalprice").alias("subtotal"),
         )
-        quoted = match_rule(base, rule_tiers(self.discount_rules, self.as_of)).select(
+        quoted = match_rule(base, rule_tiers(self.discount_rules, self.as_of), checked=True).select(
             *base.columns, *quote_columns("subtotal")
         )
         total = F.col("subtotal") - F.col("discount_amount")
