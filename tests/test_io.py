@@ -135,3 +135,19 @@ def test_streaming_ingest(spark, seed, scratch):
     # S1 accepted in epoch 0; S2 finds no stock left; S1 again is already stored.
     assert [r.invoice_no for r in heads] == ["INV-S1"]
     assert heads[0].date == dt.date(2026, 6, 13)
+
+
+def test_snapshot_versions_and_month_pruning(spark, seed, scratch):
+    from tillspark.operators.filters import period_filter
+    from tillspark.sources.export import read_snapshot, with_month, write_snapshot
+
+    root = os.path.join(scratch, "transactions")
+    write_snapshot(with_month(seed["transactions"]), root, "0001", partition_by=["month"])
+    changed = seed["transactions"].where("id <= 10")
+    write_snapshot(with_month(changed), root, "0002", partition_by=["month"])
+    snap = read_snapshot(spark, root)
+    assert snap.count() == 10
+    june = period_filter(snap, dt.date(2026, 6, 10), dt.date(2026, 6, 12))
+    plan = june._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "month" in plan
+    assert june.count() == 8  # ids 1-3 and 6-10; 4 and 5 are dated before 06-10

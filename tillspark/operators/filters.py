@@ -37,8 +37,17 @@ def date_range(df: DataFrame, start: dt.date | str | None = None, end: dt.date |
 
 
 def period_filter(df: DataFrame, start: dt.date, end: dt.date, col: str = "date") -> DataFrame:
-    """``BETWEEN start AND end``."""
-    return df.where(F.col(col).between(F.lit(start), F.lit(end)))
+    """``BETWEEN start AND end``.
+
+    On a month-partitioned sale table (a ``month`` column, see
+    ``sources.export.with_month``) the same bounds are also stated on the
+    partition column, so whole month folders are pruned before any file is
+    opened; the exact day filter still applies inside.
+    """
+    out = df.where(F.col(col).between(F.lit(start), F.lit(end)))
+    if "month" in df.columns:
+        out = out.where(F.col("month").between(F.trunc(F.lit(start), "month"), F.lit(end)))
+    return out
 
 
 def search(df: DataFrame, col: str, text: str | None) -> DataFrame:

@@ -60,3 +60,50 @@ def to_document(df: DataFrame, keep: list[str] | None = None, col: str = "docume
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON-lines part files, one object per row."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+MONTH_COL = "month"
+
+
+def with_month(df: DataFrame, date_col: str = "date") -> DataFrame:
+    """Add the ``month`` partition column (first day of the sale's month)."""
+    return df.withColumn(MONTH_COL, F.trunc(F.col(date_col), "month"))
+
+
+def write_snapshot(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
+    """Write a complete new table version under ``root/version=<version>``.
+
+    Mutations (upserts, deletes, ingest) produce whole new snapshots; readers
+    switch to a version only once it is fully written (``_SUCCESS``), so a
+    failed job never exposes a half-written table and re-running it rewrites
+    the same version folder.  ``partition_by`` (e.g. ``["month"]`` for the
+    sale tables) lets period filters prune whole folders.
+    """
+    path = f"{root.rstrip('/')}/version={version}"
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path
+
+
+def latest_version(root: str) -> str | None:
+    """The newest fully written version folder under ``root`` (local or
+    mounted shared file system)."""
+    import os
+
+    if not os.path.isdir(root):
+        return None
+    done = [
+        d for d in os.listdir(root)
+        if d.startswith("version=") and os.path.exists(os.path.join(root, d, "_SUCCESS"))
+    ]
+    return os.path.join(root, max(done, key=lambda d: d.split("=", 1)[1])) if done else None
+
+
+def read_snapshot(spark, root: str, schema=None) -> DataFrame:
+    path = latest_version(root)
+    if path is None:
+        raise FileNotFoundError(f"no complete snapshot under {root}")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
