@@ -195,3 +195,11 @@ def test_null_keys_salted_when_not_broadcast(spark):
         assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.select(*salted.columns).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_general_ci_key(spark):
+    from tillspark.operators.aggregates import product_sales
+
+    lines = spark.createDataFrame([("Teh ", 1, 10), ("teh", 2, 20), ("Kopi", 1, 5)], "product_name string, qty int, subtotal long")
+    got = {r.product_name.lower().strip(): (r.qty_sold, r.revenue) for r in product_sales(lines, by_name_only=True).collect()}
+    assert got == {"teh": (3, 30), "kopi": (1, 5)}

@@ -43,3 +43,9 @@ def zero_pad(n: Column | str, width: int) -> Column:
     ``width`` (like ``%0<width>d``: longer numbers are kept whole)."""
     s = _c(n).cast("string")
     return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+
+
+def ci_key(c: Column | str) -> Column:
+    """Comparison key of the reference's ``general_ci`` equality: case and
+    trailing blanks do not matter (used for GROUP BY name and UNIQUE keys)."""
+    return F.lower(F.rtrim(_c(c)))

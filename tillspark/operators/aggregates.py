@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillspark.functions.text import ci_key
 from tillspark.operators.filters import period_filter
 
 
@@ -59,13 +60,13 @@ def lines_in_period(details: DataFrame, tx: DataFrame, start: dt.date, end: dt.d
 def product_sales(lines: DataFrame, by_name_only: bool = False) -> DataFrame:
     """A5 (key product_id, product_name) / A6 (key name, case-insensitive).
 
-    A6 groups on ``lower(name)`` like the general_ci collation and shows the
+    A6 groups on ``ci_key(name)`` like the general_ci collation and shows the
     smallest spelling of the group as its name.
     """
     sums = [F.sum("qty").cast("long").alias("qty_sold"), F.sum("subtotal").alias("revenue")]
     if by_name_only:
         return (
-            lines.groupBy(F.lower("product_name").alias("name_key"))
+            lines.groupBy(ci_key("product_name").alias("name_key"))
             .agg(F.min("product_name").alias("product_name"), *sums)
             .drop("name_key")
         )

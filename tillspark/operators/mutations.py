@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillspark.functions.text import ci_key
 from tillspark.operators.ids import assign_ids
 from tillspark.operators.joins import left_lookup
 
@@ -164,7 +165,7 @@ def on_delete_cascade(child: DataFrame, deleted_keys: DataFrame, fk: str) -> Dat
 
 def reject_existing(batch: DataFrame, current: DataFrame, batch_key: Column, current_key: Column) -> tuple[DataFrame, DataFrame]:
     """M8 against the store: (new, already present) by a case-insensitive key."""
-    keys = current.select(F.lower(current_key).alias("_ek")).distinct()
-    b = batch.withColumn("_bk", F.lower(batch_key))
+    keys = current.select(ci_key(current_key).alias("_ek")).distinct()
+    b = batch.withColumn("_bk", ci_key(batch_key))
     cond = F.col("_bk") == F.col("_ek")
     return b.join(keys, cond, "left_anti").drop("_bk"), b.join(keys, cond, "left_semi").drop("_bk")

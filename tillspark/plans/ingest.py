@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillspark.functions.money import round_money
+from tillspark.functions.text import ci_key
 from tillspark.operators.ids import assign_ids, materialize
 from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded
 from tillspark.operators.quality import E_EMPTY_CART, cart_lines, running_demand, validate_sales
@@ -74,7 +75,7 @@ def first_per_invoice(headers: DataFrame) -> DataFrame:
     partial + final hash aggregate.  Both sides are unique per invoice when
     joined.
     """
-    d = headers.withColumn("invoice_key", F.lower("invoice_no"))
+    d = headers.withColumn("invoice_key", ci_key("invoice_no"))
     order = Window.partitionBy("invoice_key").orderBy("date", "time", "invoice_no", "total", "paid", "doc_id")
     first = d.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
     copies = d.groupBy(F.col("invoice_key").alias("_ck")).agg(F.count(F.lit(1)).alias("copies"))
@@ -83,7 +84,7 @@ def first_per_invoice(headers: DataFrame) -> DataFrame:
 
 
 def _stored_keys(store_tx: DataFrame, flag: str) -> DataFrame:
-    return store_tx.select(F.lower("invoice_no").alias("_sk")).distinct().withColumn(flag, F.lit(True))
+    return store_tx.select(ci_key("invoice_no").alias("_sk")).distinct().withColumn(flag, F.lit(True))
 
 
 def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:

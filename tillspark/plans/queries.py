@@ -142,11 +142,11 @@ def report_chart(spark, sf_dir):
     with_model(
         """
 SELECT product_name, qty_sold, revenue,
-       row_number() OVER (ORDER BY revenue DESC, lower(product_name), product_name) AS rank
+       row_number() OVER (ORDER BY revenue DESC, lower(rtrim(product_name)), product_name) AS rank
 FROM (SELECT min(product_name) AS product_name, CAST(SUM(qty) AS BIGINT) AS qty_sold,
              CAST(SUM(subtotal) AS BIGINT) AS revenue
-      FROM tx_details GROUP BY lower(product_name)) s
-ORDER BY revenue DESC, lower(product_name), product_name LIMIT 5""",
+      FROM tx_details GROUP BY lower(rtrim(product_name))) s
+ORDER BY revenue DESC, lower(rtrim(product_name)), product_name LIMIT 5""",
         ["tx_details"],
     ),
 )
@@ -871,7 +871,7 @@ chg AS (SELECT CASE WHEN s_suppkey < 7 THEN s_suppkey END AS id, upper(s_name) A
         FROM supplier),
 upd AS (SELECT * FROM chg WHERE id IS NOT NULL AND id > 0),
 ins AS (SELECT * FROM chg WHERE (id IS NULL OR id <= 0) AND password <> ''
-          AND lower(username) NOT IN (SELECT lower(username) FROM users))
+          AND lower(rtrim(username)) NOT IN (SELECT lower(rtrim(username)) FROM users))
 SELECT p.id, {_cmp_set(["name", "username"])},
        COALESCE(NULLIF(CASE WHEN u.id IS NOT NULL THEN CASE WHEN u.password = '' THEN '' ELSE md5(u.password) END
                             ELSE p.password_digest END, ''), p.password_digest) AS password_digest,
@@ -1106,7 +1106,7 @@ elig AS (SELECT * FROM docs WHERE NOT stored AND n_items > 0 AND paid >= total),
 cl AS (SELECT e.invoice_no, e.date, e.time, d.product_id, SUM(d.qty) AS qty
        FROM elig e JOIN tx_details d ON d.tx_id = e.id
        GROUP BY e.invoice_no, e.date, e.time, d.product_id HAVING SUM(d.qty) > 0),
-dem AS (SELECT cl.*, SUM(qty) OVER (PARTITION BY product_id ORDER BY date, time, lower(invoice_no)
+dem AS (SELECT cl.*, SUM(qty) OVER (PARTITION BY product_id ORDER BY date, time, lower(rtrim(invoice_no))
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand FROM cl),
 chk AS (SELECT dem.invoice_no, bool_and(p.id IS NOT NULL) AS known,
                bool_and(COALESCE(dem.demand <= p.stock, FALSE)) AS fits

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tillspark.functions.dates import axis_label, period_bounds
 from tillspark.functions.labels import WALK_IN_VIEW, label_or
+from tillspark.functions.text import ci_key
 from tillspark.operators.aggregates import daily_revenue, lines_in_period, product_sales, revenue_summary
 from tillspark.operators.filters import period_filter
 from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, left_lookup
@@ -127,5 +128,5 @@ def top_products_qty(
 def top_products_revenue(details: DataFrame, k: int = TOP_K) -> DataFrame:
     """A6 + T4: all-time best sellers by revenue, grouped by name only."""
     sales = product_sales(details.select("product_name", "qty", "subtotal"), by_name_only=True)
-    order = [F.col("revenue").desc(), F.lower("product_name").asc(), F.col("product_name").asc()]
+    order = [F.col("revenue").desc(), ci_key("product_name").asc(), F.col("product_name").asc()]
     return top_k(sales, order, k, rank_col="rank")
