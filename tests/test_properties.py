@@ -101,3 +101,30 @@ def test_global_positions_dense(spark):
     assert all(r.pos == r.k + 1 for r in pos)
     ids = assign_ids(df, [F.col("k")], 100).collect()
     assert sorted(r.id for r in ids) == list(range(101, 1101))
+
+
+def test_report_and_dashboard_composites(seed):
+    from tillspark.plans.catalog import dashboard
+    from tillspark.sources.fixtures import SEED_AS_OF
+
+    rep = reports.sales_report(seed["transactions"], seed["tx_details"], seed["users"], seed["customers"], "month", SEED_AS_OF)
+    assert rep["rows"].count() == 16 and rep["summary"].collect()[0].revenue == 625500
+    assert rep["top_products"].count() == 5
+    assert rep["chart"].agg(F.sum("total")).collect()[0][0] == 625500
+    dash = dashboard(seed["transactions"], seed["products"], seed["customers"], seed["users"], SEED_AS_OF)
+    assert dash["kpis"].collect()[0].today_revenue == 211000 and dash["recent_sales"].count() == 5
+
+
+def test_ingest_decisions_partition_the_batch(spark):
+    from tillspark.plans import ingest
+    from tillspark.sources import changes
+
+    m = load_model(spark, SF)
+    headers, lines = changes.sale_rows(m, with_reposts=True)
+    store = changes.store(m)
+    dec = ingest.ingest_decisions(headers, lines, store, m.products)
+    n_invoices = headers.select(F.lower("invoice_no")).distinct().count()
+    assert dec.count() == n_invoices
+    assert dec.agg(F.sum("copies")).collect()[0][0] == headers.count()
+    accepted = dec.where(F.col("decision") == "accepted").count()
+    assert ingest.ingest_headers(headers, lines, store, m.products).count() == accepted

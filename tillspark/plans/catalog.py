@@ -110,3 +110,14 @@ def low_stock_top(products: DataFrame, n: int = TOP_K) -> DataFrame:
     """The ``n`` lowest stocks among products at or below minimum."""
     low = low_stock(products.select("id", "name", "stock", "min_stock"))
     return top_k(low, [F.col("stock").asc_nulls_first(), F.col("id").asc()], n)
+
+
+def dashboard(
+    tx: DataFrame, products: DataFrame, customers: DataFrame, users: DataFrame, as_of: dt.date
+) -> dict[str, DataFrame]:
+    """The dashboard's figures, five latest sales and five lowest stocks."""
+    return {
+        "kpis": dashboard_kpis(tx, products, customers, as_of),
+        "recent_sales": recent_sales(tx, users),
+        "low_stock": low_stock_top(products),
+    }

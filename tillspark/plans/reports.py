@@ -130,3 +130,24 @@ def top_products_revenue(details: DataFrame, k: int = TOP_K) -> DataFrame:
     sales = product_sales(details.select("product_name", "qty", "subtotal"), by_name_only=True)
     order = [F.col("revenue").desc(), ci_key("product_name").asc(), F.col("product_name").asc()]
     return top_k(sales, order, k, rank_col="rank")
+
+
+def sales_report(
+    tx: DataFrame,
+    details: DataFrame,
+    users: DataFrame,
+    customers: DataFrame,
+    period: str | None,
+    as_of: dt.date,
+) -> dict[str, DataFrame]:
+    """The whole period report as lazy frames sharing one filtered
+    header frame: ``rows`` (write it, do not collect), ``summary`` (one
+    row), ``top_products`` (<= 5 rows) and ``chart`` (one row per day)."""
+    start, end = period_bounds(period, as_of)
+    in_period = period_filter(tx, start, end)
+    return {
+        "rows": sales_report_view(in_period, users, customers),
+        "summary": revenue_summary(in_period.select("total")),
+        "top_products": top_products_qty(details, tx, period, as_of),
+        "chart": scale_to_max(daily_revenue(in_period.select("date", "total"))),
+    }
