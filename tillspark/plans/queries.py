@@ -199,9 +199,10 @@ _LEDGER_USES = ["transactions", "users", "customers", "tx_details"]
 
 
 def _ledger_args(m, filtered: bool):
+    # Item counts read only line keys: the name-free line frame suffices.
     if filtered:
-        return (m.transactions, m.users, m.customers, m.tx_details, LEDGER_SEARCH, LEDGER_START, m.as_of)
-    return (m.transactions, m.users, m.customers, m.tx_details)
+        return (m.transactions, m.users, m.customers, m.tx_lines, LEDGER_SEARCH, LEDGER_START, m.as_of)
+    return (m.transactions, m.users, m.customers, m.tx_lines)
 
 
 @register("ledger", with_model(_ledger_sql("", "Kasir"), _LEDGER_USES))
@@ -229,7 +230,7 @@ def ledger_page(spark, sf_dir):
     from tillspark.plans import ledger
 
     m = load_model(spark, sf_dir)
-    return ledger.ledger_page(m.transactions, m.users, m.customers, m.tx_details, LEDGER_PAGE)
+    return ledger.ledger_page(m.transactions, m.users, m.customers, m.tx_lines, LEDGER_PAGE)
 
 
 @register(
@@ -298,7 +299,7 @@ def transaction_lines_named(spark, sf_dir):
     from tillspark.plans import ledger
 
     m = load_model(spark, sf_dir)
-    return ledger.named_lines(m.tx_details, m.products, _filtered_ids(m))
+    return ledger.named_lines(m.tx_lines, m.products, _filtered_ids(m))
 
 
 def _export_sql(date_expr: str) -> str:
@@ -588,7 +589,7 @@ def apply_stock(spark, sf_dir):
     from tillspark.operators.inventory import apply_stock as apply_op
 
     m = load_model(spark, sf_dir)
-    return apply_op(m.products.select("id", "name", "stock", "min_stock"), m.tx_details)
+    return apply_op(m.products.select("id", "name", "stock", "min_stock"), m.tx_lines)
 
 
 # --------------------------------------------------------------------------
@@ -953,7 +954,7 @@ def guarded_delete_product(spark, sf_dir):
     from tillspark.operators.mutations import guarded_delete
 
     m = load_model(spark, sf_dir)
-    return guarded_delete(m.products, "id", m.tx_details, "product_id")
+    return guarded_delete(m.products, "id", m.tx_lines, "product_id")
 
 
 @register(
@@ -1200,4 +1201,4 @@ def basket_subtotal_q(spark, sf_dir):
     from tillspark.plans.ledger import basket_check
 
     m = load_model(spark, sf_dir)
-    return basket_check(m.transactions, m.tx_details)
+    return basket_check(m.transactions, m.tx_lines)

@@ -134,7 +134,7 @@ def sale_rows(m: TestModel, with_reposts: bool = False) -> tuple[DataFrame, Data
     from tillspark.operators.aggregates import item_counts
 
     tx = m.transactions
-    counts = item_counts(m.tx_details.select("tx_id"))
+    counts = item_counts(m.tx_lines.select("tx_id"))
     money = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
     headers = tx.join(counts, tx["id"] == counts["tx_id"], "left").select(
         F.col("id").cast("string").alias("doc_id"),

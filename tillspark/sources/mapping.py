@@ -148,21 +148,31 @@ class TestModel:
         )
 
     @property
-    def tx_details(self) -> DataFrame:
+    def tx_lines(self) -> DataFrame:
+        """Sale lines without the product-name snapshot: lineitem alone.
+
+        Every line's product exists (foreign key, RESTRICT on delete), so the
+        join that fetches the name drops no line; operators that never read
+        the name use this frame and skip a lineitem-sized join.
+        """
         li = self.raw("lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"])
-        p = self.raw("part", ["p_partkey", "p_name"])
-        j = li.join(p, F.col("l_partkey") == F.col("p_partkey"), "inner")
         qty = F.col("l_quantity").cast("int")
         price = round_money(F.col("l_extendedprice") / F.col("l_quantity"))
-        return j.select(
+        return li.select(
             F.col("l_orderkey").alias("tx_id"),
             F.col("l_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
             qty.alias("qty"),
             price.alias("price"),
             (qty.cast("long") * price).alias("subtotal"),
         )
 
+    @property
+    def tx_details(self) -> DataFrame:
+        """Sale lines with the product name as snapshotted at sale time."""
+        p = self.raw("part", ["p_partkey", "p_name"])
+        j = self.tx_lines.join(p, F.col("product_id") == F.col("p_partkey"), "inner")
+        return j.select("tx_id", "product_id", F.col("p_name").alias("product_name"), "qty", "price", "subtotal")
+
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
