@@ -63,6 +63,11 @@ class TestModel:
     def discount_rules(self) -> DataFrame:
         return literal_table(self.spark, RULE_ROWS, schemas.DISCOUNT_RULES)
 
+    @cached_property
+    def tiers(self) -> DataFrame:
+        """Discount tiers valid on ``as_of`` (bound-checked once per model)."""
+        return rule_tiers(self.discount_rules, self.as_of)
+
     @property
     def users(self) -> DataFrame:
         s = self.raw("supplier", ["s_suppkey", "s_name"]).where(F.col("s_suppkey") < USER_KEY_BOUND)
@@ -124,7 +129,7 @@ class TestModel:
             .alias("customer_id"),
             round_money("o_totalprice").alias("subtotal"),
         )
-        quoted = match_rule(base, rule_tiers(self.discount_rules, self.as_of), checked=True).select(
+        quoted = match_rule(base, self.tiers, checked=True).select(
             *base.columns, *quote_columns("subtotal")
         )
         total = F.col("subtotal") - F.col("discount_amount")
