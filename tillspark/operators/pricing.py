@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tillspark.functions.money import discount_amount, discount_raw
 from tillspark.operators.joins import row_bound_holds
 
-# A shop's rule table; the tier side of the range join is broadcast only
-# after this bound is proven.
-MAX_TIERS = 100_000
+# A shop's rule table.  The tier side of the range join is broadcast only
+# after this bound is proven; the nested-loop range join then costs at most
+# MAX_TIERS comparisons per sale, all map-side.
+MAX_TIERS = 1_000
 
 TIER_COLUMNS = ["rule_id", "rule_type", "rule_value", "max_discount", "lo", "hi"]
 
