@@ -151,3 +151,19 @@ def test_snapshot_versions_and_month_pruning(spark, seed, scratch):
     plan = june._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "month" in plan
     assert june.count() == 8  # ids 1-3 and 6-10; 4 and 5 are dated before 06-10
+
+
+def test_registered_exports_round_trip_through_csv(spark, scratch):
+    import __spark_entry__ as entry
+    from tillspark.plans import ledger as L
+
+    sf = "/root/testdata/sf0.001"
+    for key, header in (("export_ledger", L.LEDGER_CSV_HEADER), ("export_ledger_dateonly", L.LEDGER_DATEONLY_CSV_HEADER),
+                        ("export_report", L.REPORT_CSV_HEADER)):
+        df = entry.queries()[key](spark, sf)
+        path = os.path.join(scratch, key)
+        write_csv(df, path, header=header)
+        schema = T.StructType([T.StructField(h, f.dataType) for h, f in zip(header, df.schema.fields)])
+        back = read_csv(spark, path, schema).toDF(*df.columns)
+        norm = lambda d: d.na.fill("", [c for c, t in d.dtypes if t == "string"])
+        assert norm(back).exceptAll(norm(df)).count() == 0 and back.count() == df.count()
