@@ -128,3 +128,14 @@ def test_ingest_decisions_partition_the_batch(spark):
     assert dec.agg(F.sum("copies")).collect()[0][0] == headers.count()
     accepted = dec.where(F.col("decision") == "accepted").count()
     assert ingest.ingest_headers(headers, lines, store, m.products).count() == accepted
+
+
+def test_keyset_pages_equal_offset_pages(seed):
+    from tillspark.operators.topk import page, page_after, recent_order
+
+    tx = seed["transactions"].select("id", "date", "time")
+    keys = [("date", True), ("time", True), ("id", True)]
+    first = page(tx, 1, recent_order(), size=5).orderBy(*recent_order()).collect()
+    last = first[-1].asDict()
+    nxt = [r.id for r in page_after(tx, last, keys, size=5).collect()]
+    assert nxt == [r.id for r in page(tx, 2, recent_order(), size=5).orderBy(*recent_order()).collect()]

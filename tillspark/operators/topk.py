@@ -63,3 +63,24 @@ def page(df: DataFrame, number: int, order: list[Column], size: int = PAGE_SIZE)
 
     ranked = global_positions(df, order, "_pos")
     return ranked.where((F.col("_pos") > offset) & (F.col("_pos") <= offset + size)).drop("_pos")
+
+
+def page_after(df: DataFrame, last: dict, keys: list[tuple[str, bool]], size: int = PAGE_SIZE) -> DataFrame:
+    """T7, keyset form: the ``size`` rows that follow ``last`` in the order
+    given by ``keys`` ((column, descending) pairs forming a total order).
+
+    A filter on the keys plus a top-k: no offset, so any page costs the same
+    (each task keeps ``size`` rows).  ``last`` holds the key values of the
+    previous page's final row.
+    """
+    from functools import reduce
+
+    conds = []
+    for i, (col, desc) in enumerate(keys):
+        c, v = F.col(col), F.lit(last[col])
+        beyond = c < v if desc else c > v
+        equal_prefix = [F.col(k) == F.lit(last[k]) for k, _ in keys[:i]]
+        conds.append(reduce(lambda a, b: a & b, equal_prefix, beyond) if equal_prefix else beyond)
+    after = reduce(lambda a, b: a | b, conds)
+    order = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
+    return df.where(after).orderBy(*order).limit(size)
