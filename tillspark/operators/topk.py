@@ -24,7 +24,7 @@ def top_k(df: DataFrame, order: list[Column], k: int = TOP_K, rank_col: str | No
     """
     top = df.orderBy(*order).limit(k)
     if rank_col:
-        top = top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
+        top = top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
     return top
 
 
@@ -45,7 +45,7 @@ def recent_order(date: str = "date", time: str | None = "time", key: str = "id")
 def with_ordinal(df: DataFrame, order: list[Column], col: str = "ordinal") -> DataFrame:
     """1-based position in ``order``.  Only for bounded frames (one
     partition); use ``top_k``/``page`` for large ones."""
-    return df.withColumn(col, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def page(df: DataFrame, number: int, order: list[Column], size: int = PAGE_SIZE) -> DataFrame:
