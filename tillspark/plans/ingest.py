@@ -134,12 +134,12 @@ def ingest_decisions(headers: DataFrame, lines: DataFrame, store_tx: DataFrame,
     return _decide(headers, lines, store_tx, products).select("invoice_no", "copies", "decision")
 
 
-def ingest_headers(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+def accepted_headers(decided: DataFrame, store_tx: DataFrame) -> DataFrame:
     """Header rows of accepted sales with ids after the store's maximum id.
 
     ``discount_amount`` is 0 as in the reference insert, which omits it.
     """
-    acc = _decide(headers, lines, store_tx, products).where(F.col("decision") == ACCEPTED)
+    acc = decided.where(F.col("decision") == ACCEPTED)
     rows = acc.select(
         *HEADER_FIELDS,
         F.lit("completed").alias("status"),
@@ -149,9 +149,9 @@ def ingest_headers(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, pr
     return assign_ids(rows, [F.col("date"), F.col("time"), F.col("invoice_no")], start)
 
 
-def ingest_lines(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+def accepted_lines(decided: DataFrame, lines: DataFrame) -> DataFrame:
     """Line rows of accepted sales (keyed by the natural invoice number)."""
-    acc = _decide(headers, lines, store_tx, products).where(F.col("decision") == ACCEPTED)
+    acc = decided.where(F.col("decision") == ACCEPTED)
     j = lines.join(acc.select("doc_id", "invoice_no"), "doc_id")
     return j.select(
         "invoice_no",
@@ -161,3 +161,22 @@ def ingest_lines(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, prod
         round_money("price").alias("price"),
         round_money("subtotal").alias("subtotal"),
     )
+
+
+def ingest(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M12 in one pass: (decisions, accepted headers, accepted lines), all
+    derived from a single decision frame."""
+    decided = _decide(headers, lines, store_tx, products)
+    return (
+        decided.select("invoice_no", "copies", "decision"),
+        accepted_headers(decided, store_tx),
+        accepted_lines(decided, lines),
+    )
+
+
+def ingest_headers(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+    return accepted_headers(_decide(headers, lines, store_tx, products), store_tx)
+
+
+def ingest_lines(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+    return accepted_lines(_decide(headers, lines, store_tx, products), lines)

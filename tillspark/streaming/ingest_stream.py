@@ -60,9 +60,8 @@ class SalesIngestSink:
         spark = batch.sparkSession
         store, products = self._state(spark, epoch_id)
         headers, lines = ingest.split_documents(batch)
-        heads = ingest.ingest_headers(headers, lines, store, products)
+        _decisions, heads, accepted_lines = ingest.ingest(headers, lines, store, products)
         heads.write.mode("overwrite").parquet(os.path.join(self.headers_path, f"epoch={epoch_id}"))
-        accepted_lines = ingest.ingest_lines(headers, lines, store, products)
         accepted_lines.write.mode("overwrite").parquet(os.path.join(self.lines_path, f"epoch={epoch_id}"))
 
 
