@@ -59,6 +59,20 @@ def rule_tiers(rules: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+def frozen_tiers(rules: DataFrame, as_of: dt.date) -> DataFrame:
+    """W4 evaluated once and embedded as a literal table.
+
+    The tier table is proven to hold at most ``MAX_TIERS`` rows, the same
+    bound under which it is broadcast, so bringing it to the driver once
+    moves no more data than the broadcast would; every later plan then
+    carries the tiers as constants instead of re-running the rule windows.
+    """
+    from tillspark.sources.tables import literal_table
+
+    tiers = rule_tiers(rules, as_of)
+    return literal_table(rules.sparkSession, [tuple(r) for r in tiers.collect()], tiers.schema)
+
+
 def match_rule(sales: DataFrame, tiers: DataFrame, amount_col: str = "subtotal", checked: bool = False) -> DataFrame:
     """Left range join of every sale to the tier containing its amount.
 
@@ -94,7 +108,7 @@ def discount_quote(
     A sale below every threshold gets ``flat``, 0, 0.
     """
     keep = keep if keep is not None else sales.columns
-    matched = match_rule(sales, rule_tiers(rules, as_of), amount_col, checked=True)
+    matched = match_rule(sales, frozen_tiers(rules, as_of), amount_col, checked=True)
     return matched.select(*[F.col(c) for c in keep], F.col("rule_id"), *quote_columns(amount_col))
 
 
@@ -105,7 +119,7 @@ def tier_usage(sales: DataFrame, rules: DataFrame, as_of: dt.date, amount_col: s
     aggregate); the tier list (bounded) is then left-joined so unused tiers
     show 0.
     """
-    tiers = rule_tiers(rules, as_of)
+    tiers = frozen_tiers(rules, as_of)
     counts = (
         match_rule(sales.select(amount_col), tiers, amount_col, checked=True)
         .where(F.col("rule_id").isNotNull())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tillspark import schemas
 from tillspark.functions.money import change_due, int_div, round_money
 from tillspark.functions.text import digest, zero_pad
-from tillspark.operators.pricing import match_rule, quote_columns, rule_tiers
+from tillspark.operators.pricing import frozen_tiers, match_rule, quote_columns
 from tillspark.sources.tables import literal_table, read_table
 
 AS_OF = dt.date(2001, 7, 19)
@@ -46,6 +46,9 @@ UNCATEGORISED_MODULUS = 11  # category_id NULL when partkey % 11 = 0
 PAID_STEP = 50000  # tendered cash rounded up to this step
 
 
+_TIER_CACHE: dict = {}
+
+
 @dataclass
 class TestModel:
     spark: SparkSession
@@ -63,10 +66,15 @@ class TestModel:
     def discount_rules(self) -> DataFrame:
         return literal_table(self.spark, RULE_ROWS, schemas.DISCOUNT_RULES)
 
-    @cached_property
+    @property
     def tiers(self) -> DataFrame:
-        """Discount tiers valid on ``as_of`` (bound-checked once per model)."""
-        return rule_tiers(self.discount_rules, self.as_of)
+        """Discount tiers valid on ``as_of``.  The rule table here is a
+        constant, so its tiers are evaluated (and bound-checked) once per
+        session and date, not once per query."""
+        key = (self.spark.sparkContext.applicationId, self.as_of)
+        if key not in _TIER_CACHE:
+            _TIER_CACHE[key] = frozen_tiers(self.discount_rules, self.as_of)
+        return _TIER_CACHE[key]
 
     @property
     def users(self) -> DataFrame:
