@@ -167,3 +167,19 @@ def test_registered_exports_round_trip_through_csv(spark, scratch):
         back = read_csv(spark, path, schema).toDF(*df.columns)
         norm = lambda d: d.na.fill("", [c for c, t in d.dtypes if t == "string"])
         assert norm(back).exceptAll(norm(df)).count() == 0 and back.count() == df.count()
+
+
+def test_read_model_round_trip(spark, seed, scratch):
+    from tillspark.sources.export import with_month, write_snapshot
+    from tillspark.sources.tables import read_model
+
+    root = os.path.join(scratch, "warehouse")
+    for name, df in seed.items():
+        if name == "transactions":
+            write_snapshot(with_month(df), os.path.join(root, name), "1", partition_by=["month"])
+        else:
+            df.write.parquet(os.path.join(root, name))
+    m = read_model(spark, root)
+    assert m["transactions"].count() == 16 and "month" in m["transactions"].columns
+    assert dict(m["tx_details"].dtypes)["qty"] == "int"
+    assert m["products"].count() == 16

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 L, I, S, Dbl, TS = (
@@ -83,11 +84,34 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: T.StructType)
     ``spark.createDataFrame(list)`` would ship the rows through a Python RDD
     and start a Python worker for every scan; this stays in codegen.
     """
-    from pyspark.sql import functions as F
-
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
     structs = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows
     ]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+def read_model(spark: SparkSession, root: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """Read the model tables stored as Parquet under ``root/<table>`` with
+    their declared schemas (``tillspark.schemas``).
+
+    Fact tables written month-partitioned (``sources.export.with_month`` +
+    ``write_snapshot(..., partition_by=["month"])``) keep their ``month``
+    column, which ``period_filter`` uses for partition pruning; a folder of
+    versions is resolved to its newest complete version.
+    """
+    from tillspark import schemas
+    from tillspark.sources.export import MONTH_COL, latest_version
+
+    out: dict[str, DataFrame] = {}
+    for name in tables or list(schemas.TABLES):
+        path = os.path.join(root, name)
+        path = latest_version(path) or path
+        df = spark.read.parquet(path)
+        declared = schemas.TABLES[name]
+        cols = [F.col(f.name).cast(f.dataType) for f in declared.fields]
+        if MONTH_COL in df.columns:
+            cols.append(F.col(MONTH_COL))
+        out[name] = df.select(*cols)
+    return out
