@@ -2,7 +2,7 @@
 
 Broadcast policy:
 * ``broadcast_bounded`` hints a broadcast only after proving the side has at
-  most ``max_rows`` rows (a LIMIT max_rows+1 count, which stops early);
+  most ``max_rows`` rows (an incremental take that stops early);
   beyond the bound it returns the frame unhinted, so Catalyst/AQE choose a
   shuffled join.
 * Frames that are bounded by construction (literal parameter tables, a
@@ -30,8 +30,14 @@ NULL_SALT_BUCKETS = 512
 
 
 def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
-    """True iff ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True iff ``df`` has at most ``max_rows`` rows.
+
+    ``offset(n).isEmpty()`` runs as an incremental take: a few partitions
+    first, more only if needed, stopping as soon as row n+1 exists, with
+    zero-width rows returned.  (``limit(n+1).count()`` would launch every
+    partition of a huge table.)
+    """
+    return df.offset(max_rows).isEmpty()
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
