@@ -183,3 +183,17 @@ def test_read_model_round_trip(spark, seed, scratch):
     assert m["transactions"].count() == 16 and "month" in m["transactions"].columns
     assert dict(m["tx_details"].dtypes)["qty"] == "int"
     assert m["products"].count() == 16
+
+
+def test_history_documents_written_as_json_lines(spark, seed, scratch):
+    from tillspark.plans.crm import customer_history_doc
+    from tillspark.sources.export import write_json
+
+    docs = customer_history_doc(seed["customers"], seed["transactions"], seed["users"])
+    path = os.path.join(scratch, "history")
+    write_json(docs, path)
+    back = spark.read.json(path).collect()
+    assert len(back) == 4
+    parsed = [json.loads(r.document) for r in back]
+    assert {d["customer"]["id"] for d in parsed} == {1, 2, 3, 4}
+    assert all("cashier_name" in d["transaction"] for d in parsed)

@@ -1202,3 +1202,24 @@ def basket_subtotal_q(spark, sf_dir):
 
     m = load_model(spark, sf_dir)
     return basket_check(m.transactions, m.tx_lines)
+
+
+@register(
+    "validate_categories",
+    with_model(
+        f""",
+chg AS (SELECT c.id, c.name, CAST(s.n AS VARCHAR) || ' produk' AS "desc"
+        FROM categories c JOIN (SELECT category_id, COUNT(*) AS n FROM products WHERE category_id IS NOT NULL
+                                GROUP BY category_id) s ON s.category_id = c.id
+        UNION ALL
+        SELECT CAST(NULL AS BIGINT) AS id, p_brand AS name, CAST(NULL AS VARCHAR) AS "desc"
+        FROM (SELECT DISTINCT p_brand FROM part) b)
+SELECT id, name, "desc", {_errors_sql([(f"(name IS NULL OR {_TRIM.format(c='name')} = '')", "name required")])} FROM chg""",
+        ["categories", "products"],
+    ),
+)
+def validate_categories(spark, sf_dir):
+    from tillspark.operators.quality import validate_categories as check
+    from tillspark.sources.changes import category_changes
+
+    return check(category_changes(load_model(spark, sf_dir)))
