@@ -50,7 +50,6 @@ def test_discount_quote_keeps_sales_unshuffled(spark):
 def test_filters_pushed_to_scan(spark):
     m = load_model(spark, SF)
     df = reports.report_summary(m.transactions, "month", m.as_of)
-    df.explain  # noqa: B018
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in text or "DataFilters" in text
     read = df._jdf.queryExecution().sparkPlan().toString()
@@ -70,8 +69,6 @@ def test_deep_page_is_distributed(spark):
 
     m = load_model(spark, SF)
     tx = m.transactions.select("id", "date", "time")
-    deep = page(tx, 1001, recent_order(), size=1)  # offset 1000 > threshold? use a small threshold below
-    assert deep.count() == 1
     import tillspark.operators.topk as topk
 
     old = topk.MAX_OFFSET_ROWS
