@@ -203,3 +203,40 @@ def test_general_ci_key(spark):
     lines = spark.createDataFrame([("Teh ", 1, 10), ("teh", 2, 20), ("Kopi", 1, 5)], "product_name string, qty int, subtotal long")
     got = {r.product_name.lower().strip(): (r.qty_sold, r.revenue) for r in product_sales(lines, by_name_only=True).collect()}
     assert got == {"teh": (3, 30), "kopi": (1, 5)}
+
+
+def test_split_referenced_and_lines_of(seed):
+    from tillspark.operators.joins import split_referenced
+
+    used, unused = split_referenced(seed["categories"], seed["products"], "id", "category_id")
+    assert sorted(r.id for r in used.collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert unused.count() == 0
+    assert sorted(r.product_id for r in filters.lines_of(seed["tx_details"], 3).collect()) == [6, 10, 11]
+
+
+def test_referential_actions(seed):
+    gone_customers = seed["customers"].where("id = 1").select("id")
+    tx = mutations.on_delete_set_null(seed["transactions"], gone_customers, "customer_id", salt_col="id")
+    got = {r.id: r.customer_id for r in tx.collect()}
+    assert got[1] is None and got[3] == 2 and got[2] is None
+    gone_sales = seed["transactions"].where("id IN (1, 3)").select("id")
+    left = mutations.on_delete_cascade(seed["tx_details"], gone_sales, "tx_id")
+    assert left.count() == 20 - 2 - 3 and left.where("tx_id IN (1, 3)").count() == 0
+
+
+def test_upsert_users_rules(spark, seed):
+    from tillspark.plans.master_data import upsert_users
+
+    changes = spark.createDataFrame(
+        [(2, "Cashier Two", "cashier2", "kasir", "active", ""),      # update, keep digest
+         (None, "New One", "newbie", "kasir", "active", "secret"),   # insert
+         (None, "No Pass", "nopass", "kasir", "active", ""),         # insert without password
+         (None, "Dup", "CASHIER1", "kasir", "active", "x")],         # username taken (case-insensitive)
+        "id long, name string, username string, role string, status string, password string")
+    users = seed["users"].withColumn("password_digest", F.md5(F.col("username")))
+    snap, rejected = upsert_users(users, changes, AS_OF)
+    rows = {r.username: r for r in snap.collect()}
+    assert rows["cashier2"].name == "Cashier Two" and rows["cashier2"].password_digest == users.where("id = 2").collect()[0].password_digest
+    assert rows["newbie"].id == 5 and rows["newbie"].created_at == AS_OF
+    assert "nopass" not in rows and "CASHIER1" not in rows
+    assert sorted(r.username for r in rejected.collect()) == ["CASHIER1", "nopass"]
