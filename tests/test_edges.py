@@ -240,3 +240,33 @@ def test_upsert_users_rules(spark, seed):
     assert rows["newbie"].id == 5 and rows["newbie"].created_at == AS_OF
     assert "nopass" not in rows and "CASHIER1" not in rows
     assert sorted(r.username for r in rejected.collect()) == ["CASHIER1", "nopass"]
+
+
+def test_validators_and_cart(spark):
+    from tillspark.operators.quality import cart_lines, validate_products
+
+    form = spark.createDataFrame(
+        [(1, "Teh", "1", "2000", "2500", "10"),     # fine
+         (2, " ", "0", "abc", "2500", "x"),         # blank name, no category, not numbers
+         (3, "Kopi", "2", "3000", "2500", "5")],    # price below cost
+        "id long, name string, category_id string, cost string, price string, stock string")
+    got = {r.id: (r.accepted, r.errors) for r in validate_products(form).collect()}
+    assert got[1] == (True, "")
+    assert got[2][0] is False and got[2][1] == "name required; category required; cost, price and stock must be numbers"
+    assert got[3] == (False, "price below cost")
+    events = spark.createDataFrame([("A", 1, 2), ("A", 1, 1), ("A", 2, 1), ("A", 2, -1), ("B", 1, -3)],
+                                   "invoice_no string, product_id long, qty long")
+    assert sorted(tuple(r) for r in cart_lines(events).collect()) == [("A", 1, 3)]
+
+
+def test_change_floor_and_latest_changes(spark, seed):
+    df = spark.createDataFrame([(5000, 3500), (3000, 3500)], "paid long, total long")
+    rows = df.select(money.change_due().alias("c"), money.change_due(floor_at_zero=True).alias("shown")).collect()
+    assert [(r.c, r.shown) for r in rows] == [(1500, 1500), (-500, 0)]
+    changes = spark.createDataFrame([(1, 9000, 1), (1, 9100, 2), (2, 4700, 1)], "id long, price long, seq long")
+    latest = mutations.latest_per_key(changes, "id", "seq").drop("seq")
+    snap = mutations.upsert(seed["products"], latest, "id", ["price"], [F.col("name")])
+    prices = {r.id: r.price for r in snap.collect()}
+    assert prices[1] == 9100 and prices[2] == 4700 and prices[3] == 3500
+    kept = mutations.kept_after_delete(mutations.guarded_delete(seed["customers"], "id", seed["transactions"], "customer_id"))
+    assert kept.count() == 4
