@@ -80,3 +80,24 @@ def test_deep_page_is_distributed(spark):
     b = {r.id for r in tx.orderBy(*recent_order()).offset(390).limit(10).collect()}
     assert a == b and len(a) == 10
     assert tx.where(F.col("id").isin(list(a))).count() == 10
+
+
+def test_invoice_dedup_limits_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tillspark.plans.ingest import first_per_invoice
+
+    # One invoice holds a third of all copies.
+    headers = spark.range(3000).select(
+        F.col("id").cast("string").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("INV-HOT")).otherwise(F.concat(F.lit("INV-"), F.col("id").cast("string"))).alias("invoice_no"),
+        F.lit("2026-06-13").cast("date").alias("date"),
+        F.lit("08:00:00").alias("time"),
+        F.lit(1.0).alias("total"),
+        F.lit(1.0).alias("paid"),
+    )
+    out = first_per_invoice(headers)
+    rows = {r.invoice_no: r.copies for r in out.collect()}
+    assert rows["INV-HOT"] == 1000 and len(rows) == 2001
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and "Partial" in text
