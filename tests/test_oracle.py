@@ -7,12 +7,13 @@ import sys
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from tillspark import registry
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 from oracle_check import TABLES, digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+registry.load_all()
 TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
               "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
@@ -28,20 +29,20 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(registry.QUERIES) - set(registry.ORACLE)
     assert not missing, f"queries without oracle SQL: {sorted(missing)}"
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]
-    res = con.execute(entry.oracle_sql()[name])
+    res = con.execute(registry.ORACLE[name])
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
     spark_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
-    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {entry.oracle_sql()[name]}").fetchall()}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {registry.ORACLE[name]}").fetchall()}
     assert spark_types == duck_types
     assert len(s_rows) == len(d_rows)
     assert digest(df.columns, s_rows)[0] == digest(d_cols, d_rows)[0]

@@ -2,12 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from tillspark import registry
 from tillspark.operators.pricing import discount_quote
 from tillspark.plans import reports
 from tillspark.sources.mapping import load_model
 
 SF = "/root/testdata/sf0.001"
+registry.load_all()
 
 
 def plan_text(df) -> str:
@@ -15,7 +16,7 @@ def plan_text(df) -> str:
 
 
 def test_no_python_udf_gathering_or_cross_join_in_any_query(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in registry.QUERIES.items():
         text = plan_text(fn(spark, SF))
         for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
                        "collect_list", "collect_set", "CartesianProduct"):
@@ -59,7 +60,7 @@ def test_filters_pushed_to_scan(spark):
 
 @pytest.mark.parametrize("name", ["top_products_qty", "recent_sales", "low_stock", "ledger_page"])
 def test_topk_uses_take_ordered(spark, name):
-    df = entry.queries()[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().sparkPlan().toString()
 
 
