@@ -59,8 +59,10 @@ class Hasher:
 
     def grow(self, n: int) -> None:
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate([[1], np.full(n, BASE, np.uint64)]).astype(np.uint64))
-            self.inverse = np.cumprod(np.concatenate([[1], np.full(n, INVERSE, np.uint64)]).astype(np.uint64))
+            self.power, self.inverse = np.full(n + 1, BASE, np.uint64), np.full(n + 1, INVERSE, np.uint64)
+            self.power[0] = self.inverse[0] = 1
+            np.cumprod(self.power, out=self.power)
+            np.cumprod(self.inverse, out=self.inverse)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.zeros(len(starts), np.uint64)
@@ -71,7 +73,8 @@ class Hasher:
             if hi - lo >= len(self.power):
                 self.grow(hi - lo + 1)
             with np.errstate(over="ignore"):
-                total = np.concatenate([[0], np.cumsum((data[lo:hi].astype(np.uint64) + 1) * self.power[: hi - lo])]).astype(np.uint64)
+                total = np.zeros(hi - lo + 1, np.uint64)
+                np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * self.power[: hi - lo], out=total[1:])
                 s, e = starts[i:j] - lo, ends[i:j] - lo
                 out[i:j] = (total[e] - total[s]) * self.inverse[s]
             i = j
