@@ -20,22 +20,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.common import without
+from tillspark.llm.common import scratch_table, without
+from tillspark.llm.decontaminate import Hasher
 
 #: expected number of labelled rows per language that the model is fitted on
-FIT_ROWS = 4_000
+FIT_ROWS = 2_000
 MAX_WORDS = 50_000
 MAX_GRAMS = 20_000
 GRAM_LENGTHS = (4, 3, 2, 1)
 UNDETERMINED = "und"
+#: marks both ends of a word in n-grams
+EDGE = "_"
+#: texts are scored together in chunks of about this many characters
+CHUNK_CHARS = 1 << 19
+SLOT_BITS = 20
 #: weight of a backoff score against a known word's
 BACKOFF = 0.5
-WORD = r"[^\W\d_]+"
 
 
 def _words(text: Column) -> Column:
     """Lower-cased runs of letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
@@ -53,41 +58,157 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORD
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     texts = known.where(share < rate).dropDuplicates(["lang", "text"])
     words = texts.select("lang", F.explode(_words(F.col("text"))).alias("t")).groupBy("lang", "t").agg(F.count(F.lit(1)).alias("n"))
-    marked = F.concat(F.lit("<"), F.col("t"), F.lit(">"))
-    tables = [words.select(F.lit(0).alias("k"), "lang", "t", "n")]
+    words = scratch_table(words)
+    marked = F.concat(F.lit(EDGE), F.col("t"), F.lit(EDGE))
+    tables_by_length = [words.select(F.lit(0).alias("k"), "lang", "t", "n")]
     for k in GRAM_LENGTHS:
         source = marked if k > 1 else F.col("t")
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(source) - k + 1))
         grams = words.where(F.length(source) >= k).select("lang", "n", F.explode(F.transform(starts, lambda i: F.substring(source, i, F.lit(k)))).alias("t"))
-        tables.append(grams.groupBy("lang", "t").agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "lang", "t", "n"))
+        tables_by_length.append(grams.groupBy("lang", "t").agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "lang", "t", "n"))
     langs = sorted(per_lang)
     index = {lang: i for i, lang in enumerate(langs)}
-    model: dict = {"langs": langs, "tables": {}}
-    for k, table in zip((0, *GRAM_LENGTHS), tables):
+    rows: list[np.ndarray] = []
+    tables: dict[int, dict[str, int]] = {}
+    for k, table in zip((0, *GRAM_LENGTHS), tables_by_length):
         totals = {r[0]: r[1] for r in table.groupBy("lang").agg(F.sum("n")).collect()}
         by_token = table.groupBy("t").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
         top = by_token.orderBy(F.desc("all"), "t").limit(max_words if k == 0 else max_grams).collect()  # bounded
         size = len(top)
         floor = np.array([np.log(0.5 / (totals.get(lang, 0) + size + 1)) for lang in langs], dtype=np.float64)
-        entries = {}
+        tables[k] = {}
         for r in top:
             v = floor.copy()
             for lang, n in r["by"]:
                 v[index[lang]] = np.log((n + 0.5) / (totals[lang] + size + 1))
-            entries[r["t"]] = (v - v.max()).astype(np.float32)  # only differences between languages matter
-        model["tables"][k] = entries
-    return model
-
-
-def backoff_score(word: str, tables: dict, n_langs: int) -> np.ndarray:
-    """Mean score of the word's n-grams of the longest length at which one is known."""
-    marked = f"<{word}>"
-    for k in GRAM_LENGTHS:
+            tables[k][r["t"]] = len(rows)
+            rows.append(v - v.max())  # only differences between languages matter
+    return {"langs": langs, "tables": tables, "scores": np.array(rows, dtype=np.float32).reshape(len(rows), len(langs))}
+
+
+def backoff_rows(word: str, tables: dict, lengths: tuple[int, ...] = GRAM_LENGTHS) -> tuple[list[int], float]:
+    """Rows of the score matrix that an unseen word sums, and the factor on
+    their sum: its n-grams of the longest of ``lengths`` at which any is known,
+    averaged over all its n-grams of that length and weighted by its letters (8
+    at most).  With none known the word scores nothing."""
+    marked = f"{EDGE}{word}{EDGE}"
+    for k in lengths:
         source = marked if k > 1 else word
-        known = [tables[k][g] for g in (source[i : i + k] for i in range(len(source) - k + 1)) if g in tables[k]]
-        if known:
-            return BACKOFF * np.sum(known, axis=0) / max(1, len(source) - k + 1) * min(len(word), 8)
-    return np.zeros(n_langs, np.float32)
+        n = len(source) - k + 1
+        rows = [tables[k][g] for g in (source[i : i + k] for i in range(n)) if g in tables[k]]
+        if rows:
+            return rows, BACKOFF * min(len(word), 8) / n
+    return [], 0.0
+
+
+class Scorer:
+    """Scores chunks of texts with numpy: known words by hash, unseen words by
+    their longest n-grams; only words without a known one take the slow way."""
+
+    def __init__(self, model: dict) -> None:
+        self.langs, self.tables, self.scores = model["langs"], model["tables"], model["scores"]
+        self.hasher = Hasher()
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        self.word_hash, self.word_row = self._hashes(self.tables[0], 0)
+        self.gram_hash, self.gram_row = self._hashes(self.tables[GRAM_LENGTHS[0]], GRAM_LENGTHS[0])
+        slot = (self.gram_hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)  # index of the only gram in a slot; -2: several
+        self.slot[slot] = np.arange(len(slot))
+        used, times = np.unique(slot, return_counts=True)
+        self.slot[used[times > 1]] = -2
+
+    def _codes(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def _hashes(self, table: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+        tokens = list(table)
+        codes = self._codes("".join(t.replace(EDGE, "\0") for t in tokens))
+        if k:
+            flat = self.hasher.grams(codes.astype(np.uint64), k)[::k] if tokens else np.zeros(0, np.uint64)
+        else:
+            ends = np.cumsum([len(t) for t in tokens], dtype=np.int64)
+            flat = self.hasher.words(codes, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if tokens else np.zeros(0, np.uint64)
+        order = np.argsort(flat)
+        return flat[order], np.fromiter(table.values(), np.int64, len(table))[order]
+
+    @staticmethod
+    def _find(sorted_hash: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Index in ``sorted_hash``, -1 where absent."""
+        if not len(sorted_hash):
+            return np.full(len(h), -1)
+        at = np.searchsorted(sorted_hash, h)
+        at[at == len(sorted_hash)] = 0
+        return np.where(sorted_hash[at] == h, at, -1)
+
+    def _gram_rows(self, h: np.ndarray) -> np.ndarray:
+        at = self.slot[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
+        several = np.flatnonzero(at == -2)
+        at[several] = self._find(self.gram_hash, h[several])
+        known = at >= 0
+        rows = np.full(len(h), -1)
+        if known.any():
+            hit = np.flatnonzero(known)
+            hit = hit[self.gram_hash[at[hit]] == h[hit]]
+            rows[hit] = self.gram_row[at[hit]]
+        return rows
+
+    def chunk(self, texts: list[str]) -> list[tuple[str, float]]:
+        joined = "\0" + "\0\0".join(t.lower() for t in texts) + "\0"
+        codes = self._codes(joined)
+        first = np.concatenate([[0], np.cumsum([len(t.lower()) + 2 for t in texts])])
+        is_letter = self.letter[codes]
+        codes = np.where(is_letter, codes, 0)
+        edge = np.diff(is_letter.astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        bound = np.searchsorted(starts, first)
+        n_langs, n_words = len(self.langs), len(starts)
+        if not n_langs or not n_words:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        m = np.zeros((n_words, n_langs))
+        at = self._find(self.word_hash, self.hasher.words(codes, starts, ends))
+        seen = at >= 0
+        m[seen] = self.scores[self.word_row[at[seen]]]
+        k = GRAM_LENGTHS[0]
+        unseen = np.flatnonzero(~seen)
+        rows = self._gram_rows(self.hasher.grams(codes.astype(np.uint64), k))
+        known = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(rows >= 0, out=known[1:])
+        lo = starts[unseen] - 1
+        hi = np.maximum(lo, np.minimum(ends[unseen] + 2 - k, len(rows)))  # one past the last n-gram of the word
+        some = known[hi] > known[lo]
+        length = ends[unseen] - starts[unseen]
+        total = np.zeros(len(rows) + 1)
+        for j in range(n_langs):
+            column = np.append(self.scores[:, j], np.float32(0))  # row -1: nothing
+            np.cumsum(column[rows], dtype=np.float64, out=total[1:])
+            m[unseen, j] = (total[hi] - total[lo]) * BACKOFF * np.minimum(length, 8) / np.maximum(hi - lo, 1)
+        for i in unseen[~some].tolist():
+            m[i] = 0
+            own, factor = backoff_rows(joined[starts[i] : ends[i]], self.tables, GRAM_LENGTHS[1:])
+            if own:
+                m[i] = self.scores[own].sum(axis=0) * factor
+        post = np.exp(m - m.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        out = []
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            if a == b:
+                out.append((UNDETERMINED, 0.0))
+            else:
+                best = int(np.argmax(m[a:b].sum(axis=0)))  # the first of equals, in code-point order
+                out.append((self.langs[best], min(1.0, float(post[a:b, best].mean()))))
+        return out
+
+    def batch(self, texts) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= CHUNK_CHARS:
+                out += self.chunk(held)
+                held, size = [], 0
+        return out + (self.chunk(held) if held else [])
 
 
 def predict(text: Column, model: dict, spark) -> Column:
@@ -97,38 +218,9 @@ def predict(text: Column, model: dict, spark) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        import regex
-
-        langs, tables = held.value["langs"], held.value["tables"]
-        find = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
-        seen: dict = {}
-
-        def score(word: str) -> np.ndarray:
-            v = tables[0].get(word)
-            if v is None:
-                v = seen.get(word)
-                if v is None:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    v = seen[word] = backoff_score(word, tables, len(langs))
-            return v
-
+        scorer = Scorer(held.value)
         for s in batches:
-            out = []
-            for t in s:
-                counts = Counter(find(t.lower())) if t else None
-                if not counts or not langs:
-                    out.append((UNDETERMINED, 0.0))
-                    continue
-                m = np.array([score(w) for w in counts], dtype=np.float64)
-                n = np.fromiter(counts.values(), np.float64, len(counts))
-                best = int(np.argmax(n @ m))  # the first of equals, in code-point order
-                post = np.exp(m - m.max(axis=1, keepdims=True))
-                post /= post.sum(axis=1, keepdims=True)
-                out.append((langs[best], float(n @ post[:, best] / n.sum())))
-            yield pd.DataFrame(out, columns=["lang", "score"])
+            yield pd.DataFrame(scorer.batch(s), columns=["lang", "score"])
 
     return of(text)
 
