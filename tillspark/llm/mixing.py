@@ -28,7 +28,7 @@ from tillspark.operators.joins import broadcast_bounded
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 #: buckets are sized so that one holds about this many documents of the whole table
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 SOURCE_BROADCAST_ROWS = 100_000
 
 
