@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillspark.session import ensure_checkpoint_dir
@@ -46,3 +46,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add (any letter case)."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def with_position(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, read straight from Parquet files, with a dense row number.
+
+    The number of rows in earlier files (by path) plus the index in the file:
+    it does not depend on how the scan is split into tasks.  The broadcast holds
+    one row per input file, as bounded as the driver's own file listing.
+    """
+    meta = rows.metadataColumn("_metadata")
+    placed = rows.withColumns({"__file": meta["file_path"], "__row": meta["row_index"]})
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = files.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = placed.join(F.broadcast(offsets), "__file").withColumn(name, F.col("__before") + F.col("__row"))
+    return numbered.drop("__file", "__row", "__before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import decontaminate, fingerprints, langid, license_scan, mixing, secret_scan, sharding, simhash
+from tillspark.llm import decontaminate, fingerprints, langid, license_scan, mixing, secret_scan, sharding, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,6 +116,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+@register("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir), pinned=True)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op8_licenses")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(documents(spark, sf_dir))
