@@ -12,8 +12,11 @@ share theirs, so one row stands for a run of about fifty suffixes.
   pass 1  digit = hash of the minimiser: runs with a unique one drop out
   pass 2  digit = hash of all bytes the run's windows cover: equal runs are
           repeated as a whole; one of them stays as a witness for the others
-  pass 3  digit = 128-bit hash of each window, for the runs that pass 2 left
-          single among others of their group, and the witnesses
+  pass 3  runs left single are cut into blocks of 16 windows, aligned to the
+          minimiser; digit = hash of the bytes common to all 16: blocks with a
+          unique one drop out; those that cover equal bytes are repeated whole
+  pass 4  digit = 128-bit hash of each window, for the blocks left single
+          among others of their group, and the witnesses
 
 Groups are only counted (map-side partial sums) and joined back, never
 gathered; matches never cross documents.
@@ -34,6 +37,8 @@ from tillspark.operators.joins import broadcast_bounded
 DEPTH = 200
 #: window starts handled together: positions fit the low bits of a rank
 CHUNK_BITS = 20
+#: windows of one block in pass 3
+BLOCK = 16
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -75,7 +80,7 @@ def rolling_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def window_runs(data: np.ndarray, depth: int, hasher: SpanHasher) -> tuple[np.ndarray, ...]:
     """Runs of windows of one piece that share their minimiser:
-    (hash of the minimiser, first start, last start, two hashes of the bytes covered)."""
+    (hash of the minimiser, first start, last start, minimiser, hash of the bytes covered)."""
     gram = depth // 2
     p0 = hasher.prefix(data, 0)
     n = len(data)
@@ -86,9 +91,8 @@ def window_runs(data: np.ndarray, depth: int, hasher: SpanHasher) -> tuple[np.nd
     cut = np.flatnonzero(np.diff(at)) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut, [len(at)]]) - 1
-    p1 = hasher.prefix(data, 1)
-    covered = [hasher.spans(p, first, last + depth, k) for k, p in enumerate((p0, p1))]
-    return grams[at[first]], first, last, covered[0], covered[1]
+    covered = hasher.spans(hasher.prefix(data, 1), first, last + depth, 1)
+    return grams[at[first]], first, last, at[first], covered
 
 
 def pieces(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,66 +106,127 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-RUNS = "h long, key long, lo long, hi long, d1 long, d2 long"
+#: run = first start << 32 | (last - first) << 16 | (minimiser - first)
+RUNS = "h long, key long, run long, d long"
+BLOCKS = "h long, key long, run long, d long, witness boolean"
 WINDOWS = "w1 long, w2 long, key long, at long, witness boolean"
-
-
-def _batch(columns: dict[str, list[np.ndarray]], kinds: dict) -> pa.RecordBatch:
-    flat = {k: np.concatenate(v) if v else np.zeros(0, kinds.get(k, np.int64)) for k, v in columns.items()}
-    flat = {k: v.view(np.int64) if v.dtype == np.uint64 else v for k, v in flat.items()}
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in flat.values()], names=list(flat))
+FLUSH_ROWS = 100_000
+
+
+def _emit(batches: Iterator[pa.RecordBatch], schema: str, rows_of) -> Iterator[pa.RecordBatch]:
+    """Collects the arrays that ``rows_of(row, hasher)`` yields into record batches."""
+    hasher = SpanHasher()
+    names = [c.split()[0] for c in schema.split(", ")]
+    out: list[tuple] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        flat = [np.concatenate(v) for v in zip(*out)]
+        flat = [v.view(np.int64) if v.dtype == np.uint64 else v for v in flat]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in flat], names=names)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for arrays in rows_of({k: batch.column(k)[i].as_py() for k in batch.schema.names}, hasher):
+                out.append(arrays)
+                held += len(arrays[0])
+                if held > FLUSH_ROWS:
+                    yield flush()
+                    out, held = [], 0
+    if out:
+        yield flush()
+
+
+def _unpacked(runs: list[dict]) -> np.ndarray:
+    """Sorted (first, last, minimiser, witness) of a text's packed runs."""
+    v = np.array(sorted((r["run"], r["witness"]) for r in runs), dtype=np.int64).reshape(-1, 2)
+    first = v[:, 0] >> 32
+    return np.stack([first, first + (v[:, 0] >> 16 & 0xFFFF), first + (v[:, 0] & 0xFFFF), v[:, 1]], axis=1)
+
+
+def _inside(runs: np.ndarray, base: int, piece: np.ndarray, depth: int) -> np.ndarray:
+    """The part of the runs that starts in a piece, relative to it.  A run found
+    in one piece lies in it whole."""
+    step = (1 << CHUNK_BITS) - depth
+    own = runs[(runs[:, 0] >= base) & (runs[:, 0] < base + step)] - np.array([base, base, base, 0])
+    return own
 
 
 def _runs(texts: DataFrame, depth: int) -> DataFrame:
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
-        names = [c.split()[0] for c in RUNS.split(", ")]
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            held = 0
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                for at, piece in pieces(_bytes(text.as_py()), depth):
-                    h, lo, hi, d1, d2 = window_runs(piece, depth, hasher)
-                    for name, v in zip(names, (h, np.full(len(h), key), lo + at, hi + at, d1, d2)):
-                        out[name].append(v)
-                    held += len(h)
-                if held > 100_000:
-                    yield _batch(out, {})
-                    out, held = {n: [] for n in names}, 0
-            yield _batch(out, {})
-
-    return texts.mapInArrow(find, RUNS)
+    def of(row: dict, hasher: SpanHasher):
+        for at, piece in pieces(_bytes(row["text"]), depth):
+            h, lo, hi, m, d = window_runs(piece, depth, hasher)
+            yield h, np.full(len(h), row["key"]), (lo + at) << 32 | (hi - lo) << 16 | (m - lo), d
+
+    return texts.mapInArrow(lambda batches: _emit(batches, RUNS, of), RUNS)
+
+
+def _blocks(texts: DataFrame, depth: int) -> DataFrame:
+    """(key, text, runs) -> the blocks of the runs; h is the hash of the common bytes."""
+
+    def of(row: dict, hasher: SpanHasher):
+        runs = _unpacked(row["runs"])
+        for base, piece in pieces(_bytes(row["text"]), depth):
+            own = _inside(runs, base, piece, depth)
+            if not len(own):
+                continue
+            low, high = (own[:, 2] - own[:, 1]) // BLOCK, (own[:, 2] - own[:, 0]) // BLOCK
+            n = high - low + 1
+            r = np.repeat(np.arange(len(own)), n)
+            b = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + low[r]  # block of offsets BLOCK*b ...
+            lo = np.maximum(own[r, 0], own[r, 2] - BLOCK * b - BLOCK + 1)
+            hi = np.minimum(own[r, 1], own[r, 2] - BLOCK * b)
+            common = own[r, 2] - BLOCK * b  # start of the bytes that all windows of the block hold
+            # a first window outside the text only makes the common bytes start earlier than any real window
+            h = hasher.spans(hasher.prefix(piece, 0), common, common - BLOCK + 1 + depth, 0) ^ b.astype(np.uint64)
+            d = hasher.spans(hasher.prefix(piece, 1), lo, hi + depth, 1)
+            packed = (lo + base) << 32 | (hi - lo) << 16 | (own[r, 2] - lo)
+            yield h, np.full(len(r), row["key"]), packed, d, own[r, 3].astype(bool)
+
+    return texts.mapInArrow(lambda batches: _emit(batches, BLOCKS, of), BLOCKS)
 
 
 def _windows(texts: DataFrame, depth: int) -> DataFrame:
-    """(key, text, runs array<(lo, hi, witness)>) -> the hashes of the runs' windows."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
-        names = [c.split()[0] for c in WINDOWS.split(", ")]
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            held = 0
-            for key, text, runs in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("runs")):
-                data = _bytes(text.as_py())
-                runs = sorted((r["lo"], r["hi"], r["witness"]) for r in runs.as_py())
-                for base, piece in pieces(data, depth):
-                    inside = [(max(lo, base), min(hi, base + len(piece) - depth), w) for lo, hi, w in runs]
-                    inside = [r for r in inside if r[0] <= r[1]]
-                    if not inside:
-                        continue
-                    at = np.concatenate([np.arange(lo, hi + 1) for lo, hi, _ in inside]) - base
-                    hashes = [hasher.spans(hasher.prefix(piece, k), at, at + depth, k) for k in (0, 1)]
-                    witness = np.repeat([w for _, _, w in inside], [hi - lo + 1 for lo, hi, _ in inside])
-                    for name, v in zip(names, (*hashes, np.full(len(at), key), at + base, witness)):
-                        out[name].append(v)
-                    held += len(at)
-                if held > 100_000:
-                    yield _batch(out, {"witness": bool})
-                    out, held = {n: [] for n in names}, 0
-            yield _batch(out, {"witness": bool})
-
-    return texts.mapInArrow(find, WINDOWS)
+    """(key, text, runs) -> the hashes of all windows of the runs."""
+
+    def of(row: dict, hasher: SpanHasher):
+        runs = _unpacked(row["runs"])
+        for base, piece in pieces(_bytes(row["text"]), depth):
+            own = _inside(runs, base, piece, depth)
+            if not len(own):
+                continue
+            n = own[:, 1] - own[:, 0] + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(own[:, 0], n)
+            w = [hasher.spans(hasher.prefix(piece, k), at, at + depth, k) for k in (0, 1)]
+            yield *w, np.full(len(at), row["key"]), at + base, np.repeat(own[:, 3], n).astype(bool)
+
+    return texts.mapInArrow(lambda batches: _emit(batches, WINDOWS, of), WINDOWS)
+
+
+def _refine(runs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over runs (h, key, run, d, witness) of one level: the spans that are
+    repeated as a whole, and what the next pass must read: (key, runs)."""
+    kinds = scratch_table(
+        runs.groupBy("h", "d").agg(
+            F.count(F.lit(1)).alias("n"), F.max("witness").alias("seen"), F.min(F.struct("key", "run")).alias("one")
+        )
+    )
+    settled = (F.col("n") > 1) | F.col("seen")
+    split = (
+        kinds.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("kinds"), F.min(settled).alias("done"))
+        .where((F.col("kinds") > 1) & ~F.col("done"))
+        .select("h")
+    )
+    todo = kinds.join(split, "h").select("one.key", F.struct(F.col("one.run").alias("run"), settled.alias("witness")).alias("r"))
+    per_text = scratch_table(todo.groupBy("key").agg(F.collect_list("r").alias("runs")))  # at most a text's length
+    first, length = F.shiftright("run", 32), F.shiftright("run", 16).bitwiseAND(F.lit(0xFFFF))
+    whole = (
+        runs.where(~F.col("witness"))
+        .join(kinds.where("n > 1").select("h", "d"), ["h", "d"])
+        .select("key", first.alias("lo"), (first + length + depth).alias("hi"))
+    )
+    return whole, per_text
 
 
 def _cut(text, spans):
@@ -199,7 +264,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, pinned: bool = False) ->
     table is read straight from Parquet files, else it is first written to the
     shared folder.  Input columns named like the outputs are replaced.
     """
-    if depth < 2 or depth >= 1 << (CHUNK_BITS - 1):
+    if depth < 4 * BLOCK or depth >= 1 << 16:
         raise ValueError("depth out of range")
     rows = without(docs, "n_bytes", "n_removed", "n_spans", "kept", "__pos", "__spans", "__cut")
     rows = with_position(rows if pinned else scratch_table(rows), "__pos")
@@ -208,27 +273,22 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, pinned: bool = False) ->
     runs = _runs(texts, depth)
     # pass 1: the minimiser
     repeated = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    runs = scratch_table(runs.join(repeated, "h"))
+    runs = scratch_table(runs.join(repeated, "h").withColumn("witness", F.lit(False)))
     # pass 2: all bytes of the run
-    same = runs.groupBy("h", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")
-    )
-    same = scratch_table(same)
-    split = same.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    todo = same.join(split, "h").select(
-        F.col("one.key").alias("key"), F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("n") > 1).alias("witness")).alias("run")
-    )
-    whole = runs.join(same.where("n > 1").select("h", "d1", "d2"), ["h", "d1", "d2"]).select(
-        "key", "lo", (F.col("hi") + depth).alias("hi")
-    )
-    # pass 3: each window of what is left
-    per_text = scratch_table(todo.groupBy("key").agg(F.collect_list("run").alias("runs")))  # at most a text's length
-    open_texts = texts.join(broadcast_bounded(per_text.select("key")), "key", "left_semi")
-    windows = scratch_table(_windows(open_texts.join(per_text, "key"), depth))
+    by_run, per_text = _refine(runs, depth)
+
+    def with_runs(todo: DataFrame) -> DataFrame:
+        return texts.join(broadcast_bounded(todo.select("key")), "key", "left_semi").join(todo, "key")
+
+    # pass 3: the bytes common to a block, then all bytes of the block
+    by_block, per_text = _refine(scratch_table(_blocks(with_runs(per_text), depth)), depth)
+    # pass 4: each window of what is left
+    windows = scratch_table(_windows(with_runs(per_text), depth))
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     single = windows.where(~F.col("witness")).join(twice, ["w1", "w2"]).select(
         "key", F.col("at").alias("lo"), (F.col("at") + depth).alias("hi")
     )
+    whole = by_run.union(by_block)
     spans = scratch_table(
         whole.union(single).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # at most a text's length
     )
