@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import decontaminate, fingerprints, langid, license_scan, mixing, secret_scan, sharding, simhash, suffix_dedup
+from tillspark.llm import decontaminate, fingerprints, langid, license_scan, mixing, secret_scan, sharding, simhash, substring, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op2_fuzzy_passages")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(documents(spark, sf_dir), pinned=True)
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT 'd' AS side, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS id, doc_id,
