@@ -270,3 +270,17 @@ def test_change_floor_and_latest_changes(spark, seed):
     assert prices[1] == 9100 and prices[2] == 4700 and prices[3] == 3500
     kept = mutations.kept_after_delete(mutations.guarded_delete(seed["customers"], "id", seed["transactions"], "customer_id"))
     assert kept.count() == 4
+
+
+def test_duplicate_changes_of_one_key_keep_one_row(spark, seed):
+    from pyspark.sql import functions as F
+
+    from tillspark.operators import mutations
+
+    before = seed["products"].count()
+    key = seed["products"].agg(F.min("id")).first()[0]
+    changes = spark.createDataFrame([(key, 1000), (key, 3000), (key, 2000)], "id long, price long")
+    changes = changes.withColumn("price", F.col("price").cast(seed["products"].schema["price"].dataType))
+    snap = mutations.apply_updates(seed["products"], changes, "id", ["price"])
+    assert snap.count() == before
+    assert [int(r.price) for r in snap.where(F.col("id") == key).collect()] == [3000]

@@ -28,10 +28,11 @@ DECISION_PROTECTED = "rejected: protected"
 
 
 def latest_per_key(changes: DataFrame, key: str, seq_col: str) -> DataFrame:
-    """One change per key: the one with the highest ``seq_col``."""
+    """One change per key: the one with the highest ``seq_col``; ties go to the
+    greatest of the other columns in order, so the choice is a total order."""
     cols = [c for c in changes.columns if c != key]
     packed = F.struct(*[F.col(c) for c in cols])
-    agg = changes.groupBy(key).agg(F.max_by(packed, F.col(seq_col)).alias("_last"))
+    agg = changes.groupBy(key).agg(F.max_by(packed, F.struct(F.col(seq_col), packed)).alias("_last"))
     return agg.select(key, *[F.col(f"_last.{c}").alias(c) for c in cols])
 
 
@@ -58,8 +59,11 @@ def apply_updates(
     only_if_present: tuple[str, ...] = (),
 ) -> DataFrame:
     """Replace ``update_cols`` of matched rows; ``only_if_present`` columns
-    keep the old value when the change carries NULL or an empty string."""
-    u = updates.select(F.col(key).alias("_uk"), *[F.col(c).alias(f"_new_{c}") for c in update_cols])
+    keep the old value when the change carries NULL or an empty string.
+    Several changes of one key count as one, the greatest in column order, so
+    no row is duplicated; reduce them with ``latest_per_key`` to choose otherwise."""
+    one = updates.groupBy(F.col(key).alias("_uk")).agg(F.max(F.struct(*update_cols)).alias("_new"))
+    u = one.select("_uk", *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in update_cols])
     j = current.join(u, current[key] == u["_uk"], "left")
     hit = F.col("_uk").isNotNull()
     out = []
@@ -104,8 +108,8 @@ def upsert(
 ) -> DataFrame:
     """M1-M4: new snapshot = updated existing rows + inserted rows.
 
-    ``changes`` must hold one row per key for updates (see
-    ``latest_per_key``); rows without a positive key are inserts.
+    Several updates of one key count as one (see ``apply_updates``;
+    ``latest_per_key`` chooses by a sequence); rows without a positive key are inserts.
     """
     updates = changes.where(~is_new_key(key))
     inserts = changes.where(is_new_key(key))

@@ -22,7 +22,7 @@ from tillspark.sources.tables import literal_table, read_table
 
 AS_OF = dt.date(2001, 7, 19)
 
-# The category list and the rule table of the reference seed.
+# The categories are the part-type words of the test tables.
 CATEGORY_ROWS = [
     (1, "ECONOMY", None),
     (2, "LARGE", None),
@@ -32,6 +32,7 @@ CATEGORY_ROWS = [
     (6, "STANDARD", None),
     (7, "EMPTY", None),
 ]
+# The discount rules, which must equal the seed's for the golden answers.
 RULE_ROWS = [
     (1, "Belanja 100rb", "percent", 5, 100000, None, True, None, None),
     (2, "Belanja 200rb", "percent", 10, 200000, None, True, None, None),
