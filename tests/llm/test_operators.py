@@ -152,6 +152,12 @@ def test_edit_distance_matches_full_table():
                 d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
         for limit in (0, 2, 20):
             assert substring.edit_distance(a, b, limit) == min(d[len(a), len(b)], limit + 1)
+    for edits in (0, 5, 40, 150):  # beyond the first band
+        a = rng.integers(0, 1 << 40, 700)
+        b = a.copy()
+        b[rng.choice(700, edits, replace=False)] = -1
+        assert substring.edit_distance(a, b, 140) == min(edits, 141)
+        assert substring.edit_distance(a, np.concatenate([b[:300], b[300 + edits :]]), 2 * edits + 1) <= 2 * edits
 
 
 # --- 3 decontamination
