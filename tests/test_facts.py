@@ -20,7 +20,7 @@ def test_header_facts(m):
     assert tx.count() == 1500
     assert tx.where(F.col("customer_id").isNull()).count() == 313
     assert tx.where(F.col("date") > F.lit(m.as_of)).count() == 16
-    assert tx.where(F.col("cashier_id") == 7).count() == 187
+    assert tx.where(F.col("cashier_id") == -1).count() == 187
     lines = m.tx_details.select("tx_id").distinct()
     assert tx.join(lines, tx["id"] == lines["tx_id"], "left_anti").count() == 27
 

@@ -211,3 +211,50 @@ def test_replayed_epoch_replaces_its_output(spark, seed, scratch):
     assert spark.read.parquet(os.path.join(scratch, "rl")).count() == 2
     sink(batch, 1)  # a later epoch carrying the same invoices: already stored
     assert spark.read.parquet(os.path.join(scratch, "rh")).count() == 2
+
+
+def test_newest_version_by_number_and_uri(spark, tmp_path):
+    from tillspark.sources.export import latest_version, read_snapshot, write_snapshot
+
+    root = f"file://{tmp_path}/t"
+    assert latest_version(spark, root) is None
+    for v in ("9", "10"):
+        write_snapshot(spark.range(int(v)), root, v)
+    assert latest_version(spark, root).endswith("version=10")
+    assert read_snapshot(spark, root).count() == 10
+
+
+def test_documents_without_invoice_get_their_own_decision(spark):
+    from tillspark.plans import ingest
+    from tillspark.schemas import SALE_DOCUMENT
+
+    docs = spark.createDataFrame([_doc_without_invoice(1), _doc_without_invoice(2)], SALE_DOCUMENT)
+    headers, _ = ingest.split_documents(docs)
+    first = ingest.first_per_invoice(headers)
+    assert first.count() == 2 and {r.copies for r in first.collect()} == {1}
+
+
+def _doc_without_invoice(total):
+    from tillspark.schemas import SALE_DOCUMENT
+
+    return tuple(float(total) if f.name == "total" else None for f in SALE_DOCUMENT.fields)
+
+
+def test_usernames_repeated_in_a_batch(spark):
+    import datetime as dt
+
+    from tillspark.plans.master_data import upsert_users
+
+    users = spark.createDataFrame(
+        [(1, "A", "ann", "x", "kasir", "active", None), (2, "B", "bob", "x", "kasir", "active", None)],
+        "id long, name string, username string, password_digest string, role string, status string, created_at date",
+    )
+    changes = spark.createDataFrame(
+        [(None, "C", "dup", "kasir", "active", "p"), (None, "D", "DUP ", "kasir", "active", "p"),
+         (1, "A", "bob", "kasir", "active", ""), (2, "B2", "bob", "kasir", "active", "")],
+        "id long, name string, username string, role string, status string, password string",
+    )
+    kept, rejected = upsert_users(users, changes, dt.date(2001, 7, 19))
+    rows = {r.id: r.username for r in kept.collect()}
+    assert rows[1] == "ann" and len(rows) == 3 and rows[3].strip().lower() == "dup"
+    assert {r.errors for r in rejected.collect()} == {"username taken"} and rejected.count() == 2

@@ -56,7 +56,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
                   CASE WHEN s_suppkey = 0 THEN 'admin' ELSE 'kasir' END AS role,
                   CASE WHEN s_suppkey % 3 = 2 THEN 'inactive' ELSE 'active' END AS status,
                   CAST(NULL AS DATE) AS created_at
-           FROM supplier WHERE s_suppkey < 7""",
+           FROM supplier""",
         [],
     ),
     "customers": (
@@ -81,7 +81,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
         """SELECT o_orderkey AS id, printf('INV-%07d', o_orderkey) AS invoice_no,
                   CAST(o_orderdate AS DATE) AS date,
                   printf('%02d:%02d:00', (o_orderkey * 7) % 24, (o_orderkey * 13) % 60) AS time,
-                  o_orderkey % 8 AS cashier_id,
+                  CASE WHEN o_orderkey % 8 = 7 THEN CAST(-1 AS BIGINT) ELSE o_orderkey % 8 END AS cashier_id,
                   CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS customer_id,
                   CAST(round(o_totalprice) AS BIGINT) AS subtotal
            FROM orders""",

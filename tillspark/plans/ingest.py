@@ -36,6 +36,7 @@ ACCEPTED = "accepted"
 ALREADY_STORED = "already stored"
 UNKNOWN_PRODUCT = "unknown product"
 NO_STOCK = "insufficient stock"
+NO_INVOICE = "invoice required"
 
 MONEY = ["subtotal", "discount_value", "discount", "total", "paid", "change"]
 LINE_FIELDS = ["product_id", "name", "qty", "price", "subtotal"]
@@ -45,8 +46,8 @@ def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nested documents -> (header rows, line rows), both keyed by ``doc_id``.
 
     ``doc_id`` is the SHA-256 of the whole body, so byte-identical re-posts
-    share it; their repeated lines collapse on (doc_id, position), a partial
-    aggregate.  ``n_items`` keeps the cart size for the empty-cart rule.
+    share it; they collapse to one document before its lines are exploded.
+    ``n_items`` keeps the cart size for the empty-cart rule.
     """
     body = F.to_json(F.struct(*[F.col(c) for c in docs.columns]))
     d = docs.withColumn("doc_id", F.sha2(body, 256))
@@ -56,10 +57,10 @@ def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).alias("n_items"),
     )
     lines = (
-        d.select("doc_id", F.posexplode("items").alias("pos", "it"))
-        .select("doc_id", "pos", *[F.col(f"it.{c}").alias(c) for c in LINE_FIELDS])
-        .dropDuplicates(["doc_id", "pos"])
-        .drop("pos")
+        d.select("doc_id", "items")
+        .dropDuplicates(["doc_id"])
+        .select("doc_id", F.explode("items").alias("it"))
+        .select("doc_id", *[F.col(f"it.{c}").alias(c) for c in LINE_FIELDS])
     )
     return headers, lines
 
@@ -67,7 +68,7 @@ def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def first_per_invoice(headers: DataFrame) -> DataFrame:
     """M8 within the batch: one document per case-insensitive invoice number,
     the earliest by (date, time, invoice_no, total, paid, doc_id), plus the
-    number of copies received.
+    number of copies received.  A document without an invoice number stands alone.
 
     ``row_number() = 1`` plans as a partial ``WindowGroupLimit`` before the
     shuffle, so every task forwards at most one header per invoice (a
@@ -76,10 +77,12 @@ def first_per_invoice(headers: DataFrame) -> DataFrame:
     joined.
     """
     d = headers.withColumn("invoice_key", ci_key("invoice_no"))
-    order = Window.partitionBy("invoice_key").orderBy("date", "time", "invoice_no", "total", "paid", "doc_id")
+    alone = F.when(F.col("invoice_key").isNull(), F.col("doc_id"))  # documents without an invoice number
+    d = d.withColumn("_alone", alone)
+    order = Window.partitionBy("invoice_key", "_alone").orderBy("date", "time", "invoice_no", "total", "paid", "doc_id")
     first = d.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn")
-    copies = d.groupBy(F.col("invoice_key").alias("_ck")).agg(F.count(F.lit(1)).alias("copies"))
-    j = first.join(copies, first["invoice_key"] == copies["_ck"], "inner")
+    copies = d.groupBy(F.col("invoice_key").alias("_ck"), F.col("_alone").alias("_ca")).agg(F.count(F.lit(1)).alias("copies"))
+    j = first.join(copies, F.col("invoice_key").eqNullSafe(F.col("_ck")) & F.col("_alone").eqNullSafe(F.col("_ca")), "inner")
     return j.select("invoice_key", "copies", *headers.columns)
 
 
@@ -96,7 +99,7 @@ def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products:
     # they prune different columns, so Spark would not reuse the exchange and
     # would rescan the batch.  Read the batch once: materialize the winners.
     d = materialize(validate_sales(d))
-    eligible = d.where(F.col("_stored").isNull() & F.col("accepted")).select("doc_id", "invoice_key", "date", "time")
+    eligible = d.where(F.col("_stored").isNull() & F.col("accepted") & F.col("invoice_key").isNotNull()).select("doc_id", "invoice_key", "date", "time")
 
     sale_lines = lines.select("doc_id", "product_id", "qty").join(eligible, "doc_id")
     merged = cart_lines(sale_lines, ["invoice_key", "date", "time"])
@@ -111,7 +114,8 @@ def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products:
     )
     d = d.join(per_sale, "invoice_key", "left")
     decision = (
-        F.when(F.col("_stored").isNotNull(), F.lit(ALREADY_STORED))
+        F.when(F.col("invoice_key").isNull(), F.lit(NO_INVOICE))
+        .when(F.col("_stored").isNotNull(), F.lit(ALREADY_STORED))
         .when(~F.col("accepted"), F.col("errors"))
         .when(F.col("_known").isNull(), F.lit(E_EMPTY_CART))
         .when(~F.col("_known"), F.lit(UNKNOWN_PRODUCT))

@@ -861,38 +861,62 @@ def upsert_customers(spark, sf_dir):
     )
 
 
+_USER_CTES = """,
+chg AS (SELECT CASE WHEN s_acctbal <= 5000 THEN s_suppkey END AS id, upper(s_name) AS name,
+               CASE WHEN s_acctbal > 5000 AND s_acctbal <= 8750
+                    THEN 'new' || CAST(s_suppkey - s_suppkey % 10 AS VARCHAR)
+                    ELSE 'user' || CAST(s_suppkey AS VARCHAR) END AS username,
+               CASE WHEN s_suppkey = 0 THEN 'admin' ELSE 'kasir' END AS role, 'active' AS status,
+               CASE WHEN s_acctbal <= 2500 OR (s_acctbal > 5000 AND s_acctbal <= 5500) THEN ''
+                    ELSE 'pw-' || CAST(s_suppkey AS VARCHAR) END AS password
+        FROM supplier),
+upd AS (SELECT * FROM chg WHERE id > 0),
+news AS (SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY id NULLS FIRST, username, name) AS nth,
+                lower(username) IN (SELECT lower(username) FROM users) AS known
+         FROM chg WHERE (id IS NULL OR id <= 0) AND password <> '')"""
+
+
 @register(
     "upsert_users",
     with_model(
-        f""",
-chg AS (SELECT CASE WHEN s_suppkey < 7 THEN s_suppkey END AS id, upper(s_name) AS name,
-               'user' || CAST(s_suppkey AS VARCHAR) AS username,
-               CASE WHEN s_suppkey = 0 THEN 'admin' ELSE 'kasir' END AS role, 'active' AS status,
-               CASE WHEN s_acctbal > 5000 THEN 'pw-' || CAST(s_suppkey AS VARCHAR) ELSE '' END AS password
-        FROM supplier),
-upd AS (SELECT * FROM chg WHERE id IS NOT NULL AND id > 0),
-ins AS (SELECT * FROM chg WHERE (id IS NULL OR id <= 0) AND password <> ''
-          AND lower(rtrim(username)) NOT IN (SELECT lower(rtrim(username)) FROM users))
+        f"""{_USER_CTES}
 SELECT p.id, {_cmp_set(["name", "username"])},
-       COALESCE(NULLIF(CASE WHEN u.id IS NOT NULL THEN CASE WHEN u.password = '' THEN '' ELSE md5(u.password) END
-                            ELSE p.password_digest END, ''), p.password_digest) AS password_digest,
+       CASE WHEN u.password <> '' THEN md5(u.password) ELSE p.password_digest END AS password_digest,
        {_cmp_set(["role", "status"])}, p.created_at
 FROM users p LEFT JOIN upd u ON p.id = u.id
 UNION ALL
 SELECT (SELECT MAX(id) FROM users) + row_number() OVER (ORDER BY username) AS id, name, username,
        md5(password) AS password_digest, role, status, {AS_OF_SQL} AS created_at
-FROM ins""",
+FROM news WHERE nth = 1 AND NOT known""",
         ["users"],
     ),
 )
 def upsert_users(spark, sf_dir):
-    from tillspark.plans.master_data import upsert_users as run
+    return _upsert_users(spark, sf_dir)[0]
 
-    m = load_model(spark, sf_dir)
+
+@register(
+    "upsert_users_rejected",
+    with_model(
+        f"""{_USER_CTES}
+SELECT id, name, username, role, status, 'username taken' AS errors, FALSE AS accepted
+FROM news WHERE nth > 1 OR known
+UNION ALL
+SELECT id, name, username, role, status, 'password required for new users' AS errors, FALSE AS accepted
+FROM chg WHERE (id IS NULL OR id <= 0) AND password = ''""",
+        ["users"],
+    ),
+)
+def upsert_users_rejected(spark, sf_dir):
+    return _upsert_users(spark, sf_dir)[1]
+
+
+def _upsert_users(spark, sf_dir):
+    from tillspark.plans.master_data import upsert_users as run
     from tillspark.sources.changes import user_changes
 
-    accepted, _rejected = run(m.users, user_changes(m), m.as_of)
-    return accepted
+    m = load_model(spark, sf_dir)
+    return run(m.users, user_changes(m), m.as_of)
 
 
 def _guard_sql(table: str, cols: str, fact: str, fk: str, protected: str = "") -> str:

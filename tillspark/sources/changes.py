@@ -91,18 +91,24 @@ def customer_changes(m: TestModel) -> DataFrame:
 
 
 def user_changes(m: TestModel) -> DataFrame:
-    """Raw staff form rows: id (NULL = new), name, username, role, status, password."""
+    """Raw staff form rows: id (NULL = new), name, username, role, status, password.
+
+    The balance decides: up to 5,000 an update; above, a new record, whose username
+    ten suppliers share (up to 8,750) or whose username is already stored.
+    """
     s = m.raw("supplier", ["s_suppkey", "s_name", "s_acctbal"])
-    k = F.col("s_suppkey")
+    k, balance = F.col("s_suppkey"), F.col("s_acctbal")
+    shared = (balance > 5000) & (balance <= 8750)
+    no_password = (balance <= 2500) | ((balance > 5000) & (balance <= 5500))
     return s.select(
-        F.when(k < 7, k).alias("id"),
+        F.when(balance <= 5000, k).alias("id"),
         F.upper("s_name").alias("name"),
-        F.concat(F.lit("user"), k.cast("string")).alias("username"),
+        F.when(shared, F.concat(F.lit("new"), (k - k % 10).cast("string")))
+        .otherwise(F.concat(F.lit("user"), k.cast("string")))
+        .alias("username"),
         F.when(k == 0, "admin").otherwise("kasir").alias("role"),
         F.lit("active").alias("status"),
-        F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("pw-"), k.cast("string"))).otherwise(F.lit("")).alias(
-            "password"
-        ),
+        F.when(no_password, F.lit("")).otherwise(F.concat(F.lit("pw-"), k.cast("string"))).alias("password"),
     )
 
 

@@ -9,7 +9,7 @@ request: it funnels every row through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,22 +87,30 @@ def write_snapshot(df: DataFrame, root: str, version: str, partition_by: list[st
     return path
 
 
-def latest_version(root: str) -> str | None:
-    """The newest fully written version folder under ``root`` (local or
-    mounted shared file system)."""
-    import os
+def folder_entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any Hadoop file system; none if it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
-    if not os.path.isdir(root):
-        return None
+
+def latest_version(spark: SparkSession, root: str) -> str | None:
+    """The newest fully written version folder under ``root``: numbers by value,
+    after versions that are not numbers (by code point)."""
+    root = root.rstrip("/")
     done = [
-        d for d in os.listdir(root)
-        if d.startswith("version=") and os.path.exists(os.path.join(root, d, "_SUCCESS"))
+        d for d in folder_entries(spark, root) if d.startswith("version=") and "_SUCCESS" in folder_entries(spark, f"{root}/{d}")
     ]
-    return os.path.join(root, max(done, key=lambda d: d.split("=", 1)[1])) if done else None
+
+    def age(folder: str) -> tuple[int, str]:
+        version = folder.split("=", 1)[1]
+        return (int(version) if version.isascii() and version.isdigit() else -1, version)
+
+    return f"{root}/{max(done, key=age)}" if done else None
 
 
 def read_snapshot(spark, root: str, schema=None) -> DataFrame:
-    path = latest_version(root)
+    path = latest_version(spark, root)
     if path is None:
         raise FileNotFoundError(f"no complete snapshot under {root}")
     reader = spark.read.schema(schema) if schema is not None else spark.read

@@ -40,8 +40,7 @@ RULE_ROWS = [
     (4, "Potongan 25rb", "flat", 25000, 100000, None, True, None, None),
 ]
 
-USER_KEY_BOUND = 7  # users are suppliers with s_suppkey < 7
-CASHIER_MODULUS = 8  # cashier_id = orderkey % 8, so cashier 7 has no user row
+CASHIER_MODULUS = 8  # cashier_id = orderkey % 8, and -1, which has no user row, instead of 7
 WALK_IN_MODULUS = 5  # customer_id NULL when custkey % 5 = 0
 UNCATEGORISED_MODULUS = 11  # category_id NULL when partkey % 11 = 0
 PAID_STEP = 50000  # tendered cash rounded up to this step
@@ -79,7 +78,7 @@ class TestModel:
 
     @property
     def users(self) -> DataFrame:
-        s = self.raw("supplier", ["s_suppkey", "s_name"]).where(F.col("s_suppkey") < USER_KEY_BOUND)
+        s = self.raw("supplier", ["s_suppkey", "s_name"])
         k = F.col("s_suppkey")
         return s.select(
             k.alias("id"),
@@ -132,7 +131,9 @@ class TestModel:
             F.concat(F.lit("INV-"), zero_pad(k, 7)).alias("invoice_no"),
             F.col("o_orderdate").cast("date").alias("date"),
             F.concat(zero_pad((k * 7) % 24, 2), F.lit(":"), zero_pad((k * 13) % 60, 2), F.lit(":00")).alias("time"),
-            (k % CASHIER_MODULUS).alias("cashier_id"),
+            F.when(k % CASHIER_MODULUS == CASHIER_MODULUS - 1, F.lit(-1).cast("long"))
+            .otherwise(k % CASHIER_MODULUS)
+            .alias("cashier_id"),
             F.when(F.col("o_custkey") % WALK_IN_MODULUS == 0, F.lit(None))
             .otherwise(F.col("o_custkey"))
             .alias("customer_id"),

@@ -106,8 +106,8 @@ def read_model(spark: SparkSession, root: str, tables: list[str] | None = None)
 
     out: dict[str, DataFrame] = {}
     for name in tables or list(schemas.TABLES):
-        path = os.path.join(root, name)
-        path = latest_version(path) or path
+        path = f"{root.rstrip('/')}/{name}"
+        path = latest_version(spark, path) or path
         df = spark.read.parquet(path)
         declared = schemas.TABLES[name]
         cols = [F.col(f.name).cast(f.dataType) for f in declared.fields]

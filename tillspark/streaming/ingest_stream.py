@@ -13,7 +13,6 @@ subtracted before the next epoch's stock check.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +20,14 @@ from pyspark.sql import functions as F
 from tillspark.operators.inventory import apply_stock
 from tillspark.plans import ingest
 from tillspark.schemas import SALE_DOCUMENT
+from tillspark.sources.export import folder_entries
 
 
 def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    if not os.path.exists(path):
-        return None
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- an empty folder has no parquet yet
+    """The epochs written so far; None before the first one."""
+    if not any(n.startswith("epoch=") for n in folder_entries(spark, path)):
         return None
+    return spark.read.parquet(path)
 
 
 class SalesIngestSink:
@@ -61,8 +59,8 @@ class SalesIngestSink:
         store, products = self._state(spark, epoch_id)
         headers, lines = ingest.split_documents(batch)
         _decisions, heads, accepted_lines = ingest.ingest(headers, lines, store, products)
-        heads.write.mode("overwrite").parquet(os.path.join(self.headers_path, f"epoch={epoch_id}"))
-        accepted_lines.write.mode("overwrite").parquet(os.path.join(self.lines_path, f"epoch={epoch_id}"))
+        heads.write.mode("overwrite").parquet(f"{self.headers_path.rstrip('/')}/epoch={epoch_id}")
+        accepted_lines.write.mode("overwrite").parquet(f"{self.lines_path.rstrip('/')}/epoch={epoch_id}")
 
 
 def start_sales_ingest(
