@@ -284,3 +284,13 @@ def test_duplicate_changes_of_one_key_keep_one_row(spark, seed):
     snap = mutations.apply_updates(seed["products"], changes, "id", ["price"])
     assert snap.count() == before
     assert [int(r.price) for r in snap.where(F.col("id") == key).collect()] == [3000]
+
+
+def test_guarded_delete_of_requested_keys(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id long, name string")
+    facts = spark.createDataFrame([(2,), (None,)], "fk long")
+    asked = spark.createDataFrame([(4,), (4,), (2,), (9,), (None,)], "k long")
+    decided = mutations.guarded_delete(dim, "id", facts, "fk", requested=asked)
+    assert {r.id: r.decision for r in decided.collect()} == {
+        1: mutations.DECISION_KEPT, 2: mutations.DECISION_REFERENCED, 3: mutations.DECISION_KEPT, 4: mutations.DECISION_DELETED}
+    assert sorted(r.id for r in mutations.kept_after_delete(decided).collect()) == [1, 2, 3]

@@ -25,6 +25,7 @@ from tillspark.operators.joins import left_lookup
 DECISION_DELETED = "deleted"
 DECISION_REFERENCED = "rejected: referenced"
 DECISION_PROTECTED = "rejected: protected"
+DECISION_KEPT = "not requested"
 
 
 def latest_per_key(changes: DataFrame, key: str, seq_col: str) -> DataFrame:
@@ -123,8 +124,12 @@ def guarded_delete(
     facts: DataFrame,
     fk: str,
     protected: tuple = (),
+    requested: DataFrame | None = None,
 ) -> DataFrame:
-    """Decide every requested key: protected, referenced (kept) or deleted.
+    """Every row of ``dim`` with its decision: protected, referenced
+    (kept), deleted or, if its key is not in the first column of ``requested``
+    (None: all keys are requested), not requested.  Requested keys without a
+    row, null or repeated ones change nothing.
 
     The facts are reduced to their distinct non-null keys (partial
     aggregate) and joined once; a flag replaces the semi/anti pair.
@@ -142,7 +147,12 @@ def guarded_delete(
         decision = F.when(referenced, DECISION_REFERENCED)
     else:
         decision = decision.when(referenced, DECISION_REFERENCED)
-    return j.select(*dim.columns, decision.otherwise(DECISION_DELETED).alias("decision"))
+    decision = decision.otherwise(DECISION_DELETED)
+    if requested is not None:
+        asked = requested.select(F.col(requested.columns[0]).alias("_asked")).distinct()
+        j = j.join(asked, F.col(key) == F.col("_asked"), "left")
+        decision = F.when(F.col("_asked").isNull(), DECISION_KEPT).otherwise(decision)
+    return j.select(*dim.columns, decision.alias("decision"))
 
 
 def kept_after_delete(decisions: DataFrame) -> DataFrame:

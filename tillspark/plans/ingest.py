@@ -15,8 +15,9 @@ sale is accepted whole or not at all.
 
 Stock rule in batch form: a sale's line for product P passes when the
 quantity of P demanded by all earlier eligible sales of the batch plus this
-one stays within P's stock (first come, first served in (date, time,
-invoice) order).  Sales failing another rule demand nothing.
+one stays within P's stock, in (date, time, invoice) order.  Sales failing
+another rule demand nothing; sales rejected for stock still count as demand,
+so a later sale that would fit may be rejected (README, open items).
 """
 
 from __future__ import annotations
