@@ -124,6 +124,62 @@ def test_passages_of_fifty_words_are_found(docs, nothing):
     assert substring.repeated_passages(nothing).count() == 0
 
 
+def near_windows(a, b):
+    """Starts of the 50-word windows of ``a`` within 10 word edits of some stretch of ``b``."""
+    found = set()
+    b = np.array(b)
+    k = np.arange(len(b) + 1)
+    for s in range(len(a) - 49):
+        row = np.zeros(len(b) + 1, int)  # free start in b
+        for i, w in enumerate(a[s : s + 50]):
+            nxt = row + 1
+            nxt[1:] = np.minimum(nxt[1:], row[:-1] + (b != w))
+            row = np.minimum.accumulate(nxt - k) + k
+            if row.min() > 10:
+                break
+        else:
+            found.add(s)
+    return found
+
+
+def every(passage, step, seed):
+    """Every ``step``-th word replaced, dropped or doubled with a new word, in turn."""
+    out = []
+    for i, w in enumerate(passage):
+        if i % step != step - 1:
+            out.append(w)
+        else:
+            kind = (i // step + seed) % 3
+            out += [[f"new{seed}x{i}"], [], [w, f"more{seed}x{i}"]][kind]
+    return out
+
+
+def assert_whole(spark, texts, want_pairs=None):
+    """Every 50-word window that recurs in another text lies mostly in a passage of that pair."""
+    rows = substring.repeated_passages(frame(spark, [" ".join(t) for t in texts])).collect()
+    pairs = collections.defaultdict(list)
+    for r in rows:
+        assert r.end - r.start >= 50 and r.similarity >= 0.8 - 1e-9
+        size = max(r.end - r.start, r.other_end - r.other_start)
+        d = substring.edit_distance(*(np.array([hash(w) for w in x]) for x in (texts[r.doc_id][r.start : r.end], texts[r.other_id][r.other_start : r.other_end])), size)
+        assert abs(1 - d / size - r.similarity) < 1e-9
+        pairs[r.doc_id, r.other_id].append((r.start, r.end))
+    for a in range(len(texts)):
+        for b in range(a):
+            for s in near_windows(texts[a], texts[b]) if want_pairs is None or (a, b) in want_pairs else ():
+                assert any(min(s + 50, e) - max(s, f) >= 30 for f, e in pairs[a, b]), (a, b, s, pairs[a, b])
+    return pairs
+
+
+def test_each_good_part_of_a_failing_chain_is_returned(spark):
+    one, two = words(60, 21), words(60, 22)
+    long = [words(n, 30 + n) for n in (200, 300)]
+    texts = [one + words(60, 23, 10**6) + two, one + words(60, 24, 10**6) + two]
+    texts += [long[0] + words(150, 25, 10**6) + long[1], long[0] + words(150, 26, 10**6) + long[1]]
+    pairs = assert_whole(spark, texts)
+    assert [sorted(pairs[p]) for p in ((1, 0), (3, 2))] == [[(0, 60), (120, 180)], [(0, 200), (350, 650)]]
+
+
 def test_chain_matches_quadratic_dp():
     rng = np.random.default_rng(4)
     for _ in range(30):
