@@ -180,6 +180,20 @@ def test_each_good_part_of_a_failing_chain_is_returned(spark):
     assert [sorted(pairs[p]) for p in ((1, 0), (3, 2))] == [[(0, 60), (120, 180)], [(0, 200), (350, 650)]]
 
 
+@pytest.mark.parametrize("length,step", [(50, 5), (60, 6), (60, 10), (55, 10), (60, 15), (80, 10), (100, 7), (100, 10)])
+def test_passages_with_regular_edits_are_found(spark, length, step):
+    texts = []
+    for n in range(4):
+        passage = words(length, 100 + n)
+        texts += [words(40, 200 + n, 10**6) + passage + words(40, 300 + n, 10**6), words(30, 400 + n, 10**6) + every(passage, step, n) + words(30, 500 + n, 10**6)]
+    assert_whole(spark, texts)
+    # replaced words only, the changed text first
+    passage = words(length, 600)
+    changed = [f"new{i}" if i % step == step // 2 else w for i, w in enumerate(passage)]
+    pairs = assert_whole(spark, [words(30, 601, 10**6) + changed + words(30, 602, 10**6), words(40, 603, 10**6) + passage + words(9, 604, 10**6)])
+    assert pairs[1, 0]
+
+
 def test_chain_matches_quadratic_dp():
     rng = np.random.default_rng(4)
     for _ in range(30):
