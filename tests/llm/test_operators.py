@@ -194,6 +194,23 @@ def test_passages_with_regular_edits_are_found(spark, length, step):
     assert pairs[1, 0]
 
 
+def test_passages_of_frequent_phrases_are_linked(spark):
+    """B and C share a passage whose phrases all occur before, each in other texts, alone."""
+    phrases = [words(6, 700 + n) for n in range(10)]
+    passage = sum(phrases, [])
+    texts = [words(20, 800 + 40 * n + k, 10**6) + p + words(60, 900 + 40 * n + k, 10**6) for n, p in enumerate(phrases) for k in range(20)]
+    b = len(texts)
+    texts += [words(30, 1300, 10**6) + passage + words(30, 1301, 10**6), words(10, 1302, 10**6) + every(passage, 15, 1) + words(30, 1303, 10**6)]
+    pairs = assert_whole(spark, texts, {(b + 1, b)})
+    assert pairs[b + 1, b]
+    # a line that is in every text, beside a passage of two of them
+    line, shared = words(12, 1400), words(55, 1401)
+    texts = [words(40, 1500 + n, 10**6) + line + words(40, 1600 + n, 10**6) for n in range(40)]
+    texts[20] = line + shared + line
+    texts[39] = words(9, 1700, 10**6) + line + every(shared, 11, 0) + line
+    assert set(assert_whole(spark, texts, {(39, 20)})) == {(39, 20)}
+
+
 def test_chain_matches_quadratic_dp():
     rng = np.random.default_rng(4)
     for _ in range(30):
