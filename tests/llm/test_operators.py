@@ -466,6 +466,82 @@ def test_license_rules(spark, docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Copyright 2020 Some One
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_published_wrapped_and_commented_texts(spark):
+    texts, want = [], []
+    for text, name in [(MIT, "MIT"), (APACHE, "Apache-2.0"), (BSD, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (GPL3, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later")]:
+        lines = text.split("\n")
+        for form in (
+            text,
+            text.replace("\n", "\r\n"),
+            re.sub(r"(?<!\n)(?<!Some One)\n(?!\n|\d\.)", " ", text),  # one line a paragraph
+            "\n".join(f"# {x}".rstrip() for x in lines),
+            "\n".join(["#!/bin/sh", *[f"// {x}".rstrip() for x in lines], "int x;"]),
+            "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "\n */\nint main() { return 0; }",
+            "<!--\n" + text + "\n-->",
+            "Some words of prose. " + "x" * 5000 + "\n\n" + text.replace(" ", "    "),
+        ):
+            texts.append(form)
+            want.append([name])
+    notices = ["SPDX-License-Identifier: MPL-2.0", "a line\nReleased under the MIT License\nanother line", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy", "not released under the MIT license"]
+    texts += notices
+    want += [["MPL-2.0"], ["MIT"], ["MPL-2.0"], []]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert {i: (got[i], w, texts[i]) for i, w in enumerate(want) if got[i] != w} == {}
+
+
 def license_scan_endorse():
     return next(k for k, v in license_scan.SENTENCES.items() if v == "bsd-endorse")
 

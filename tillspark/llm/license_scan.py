@@ -1,6 +1,7 @@
 """Operator 8 -- licence scans by sentence rules, in SQL functions only.
 
-A text is cut into sentences, each sentence is normalised and looked up in a
+A text is cut into sentences at sentence ends and blank lines, after comment marks
+and list items are taken off and wrapped lines joined; each sentence is normalised and looked up in a
 table of known licence sentences; the identifiers of the known ones, in order,
 are matched against ordered licence rules.  Longer rules are matched first and
 consume what they match.  Every step works inside a row; nothing is shuffled.
@@ -8,12 +9,14 @@ consume what they match.  Every step works inside a row; nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.llm.common import text_or_empty, without
 
-# Normalised sentences of public licence texts and notices.
+# Normalised sentences of short notices.
 SENTENCES = {
     "licensed under the apache license version 2.0": "apache-notice",
     "you may not use this file except in compliance with the license": "apache-compliance",
@@ -33,6 +36,116 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-endorse",
     "all rights reserved": "all-rights",
 }
+# Whole sentences of published licence texts and headers, and their variants.
+PUBLISHED = [
+    ("apache-notice", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the License)"),
+    ("apache-notice", 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License")'),
+    ("apache-notice", 'The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
+    ("apache-notice", "Licensed under the Apache License 2.0"),
+    ("apache-notice", "This project is licensed under the Apache License 2.0"),
+    ("apache-copy", "You may obtain a copy of the License at"),
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-title", "Apache License Version 2.0, January 2004"),
+    ("apache-title", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("apache-title", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"),
+    ("mit-notice", "This project is licensed under the MIT License"),
+    ("mit-notice", "Licensed under the MIT License"),
+    ("mit-notice", "Distributed under the MIT License"),
+    (
+        "mit-grant",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    ("mit-include", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    (
+        "mit-warranty",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    ),
+    (
+        "mit-warranty",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT",
+    ),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted (subject to the limitations in the disclaimer below) provided that the following conditions are met"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    (
+        "bsd-binary",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution",
+    ),
+    ("bsd-advertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    *[
+        ("bsd-endorse", f"Neither the name of {who} may be used to endorse or promote products derived from this software without specific prior written permission")
+        for who in (
+            "the copyright holder nor the names of its contributors",
+            "the copyright holders nor the names of its contributors",
+            "the copyright owner nor the names of its contributors",
+            "the organization nor the names of its contributors",
+            "the University nor the names of its contributors",
+            "Google Inc. nor the names of its contributors",
+            "Google LLC nor the names of its contributors",
+        )
+    ],
+    (
+        "isc-grant",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "isc-grant",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("unlicense-grant", "This is free and unencumbered software released into the public domain"),
+    (
+        "zlib-grant",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions",
+    ),
+    ("bsl-title", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("bsl-notice", "Distributed under the Boost Software License, Version 1.0"),
+    ("epl2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("cc0-title", "CC0 1.0 Universal"),
+    ("gpl2-title", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("gpl3-title", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("lgpl21-title", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("lgpl3-title", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("agpl3-title", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("gpl3-notice", "This work is licensed under the GNU General Public License v3.0"),
+]
+#: the Free Software Foundation's headers; a semicolon parts sentences, a colon or comma does not
+GNU = [("gpl", "GNU General Public License"), ("lgpl", "GNU Lesser General Public License"), ("agpl", "GNU Affero General Public License")]
+GNU_VERSIONS = {"gpl": ("2", "3"), "lgpl": ("2.1", "3"), "agpl": ("3",)}
+for _key, _name in GNU:
+    for _what in ("", *[f"This {x} is free software: " for x in ("program", "library", "software", "file")]):
+        _terms = f"{_what}you can redistribute it and/or modify it under the terms of the {_name} as published by the Free Software Foundation"
+        PUBLISHED.append((f"{_key}-terms", _terms))
+        for _version in GNU_VERSIONS[_key]:
+            PUBLISHED.append((f"{_key}{_version}-later", f"{_terms}, either version {_version} of the License, or (at your option) any later version"))
+            PUBLISHED.append((f"{_key}{_version}-only", f"{_terms}, version {_version} of the License"))
+            PUBLISHED.append((f"{_key}{_version}-only", _terms.replace(" as published", f" version {_version} as published")))
+            PUBLISHED.append((f"{_key}{_version}-only", _terms.replace(" as published", f", version {_version}, as published")))
+for _version in ("2", "2.1", "3"):
+    PUBLISHED.append((f"either-{_version}-later", f"either version {_version} of the License, or (at your option) any later version"))
+    PUBLISHED.append((f"only-{_version}", f"version {_version} of the License"))
+for _what in ("library", "software", "file"):
+    PUBLISHED.append(("gpl-hope", f"This {_what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"))
+CC = {"CC-BY-4.0": "Attribution 4.0", "CC-BY-SA-4.0": "Attribution-ShareAlike 4.0", "CC-BY-NC-4.0": "Attribution-NonCommercial 4.0", "CC-BY-ND-4.0": "Attribution-NoDerivatives 4.0", "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike 4.0", "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives 4.0"}
+CC_ID = {"CC-BY-4.0": "cc-by-4-notice", "CC-BY-NC-4.0": "cc-by-nc-4-notice"}
+for _name, _words in CC.items():
+    _id = CC_ID.setdefault(_name, _name.lower().replace("-4.0", "-4-notice"))
+    for _text in (f"This work is licensed under a Creative Commons {_words} International License", f"This work is licensed under the Creative Commons {_words} International License", f"Licensed under {_name[:-4].replace('-', ' ', 1)} 4.0", f"This work is licensed under {_name[:-4].replace('-', ' ', 1)} 4.0", f"Creative Commons {_words} International", f"Creative Commons {_words} International Public License"):
+        PUBLISHED.append((_id, _text))
+SPDX = [
+    "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0", *CC,
+    *[f"{k}-{v}{end}" for k, v in [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")] for end in ("", "-only", "-or-later")],
+]
 # Licence rules, an ordered sequence of sentence identifiers each.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
@@ -47,9 +160,46 @@ RULES = [
     ("GPL", ["gpl-free"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-notice"]),
     ("CC-BY-4.0", ["cc-by-4-notice"]),
+    ("Apache-2.0", ["apache-title"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"]),
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("MPL-2.0", ["mpl2-notice"]),
+    ("Unlicense", ["unlicense-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["bsl-title"]),
+    ("BSL-1.0", ["bsl-notice"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    *[(name, [CC_ID[name]]) for name in CC if name not in ("CC-BY-4.0", "CC-BY-NC-4.0")],
+    *[(name, [f"spdx-{name.lower()}"]) for name in SPDX],
 ]
-#: a sentence ends at a line break or after . ! ? ; before white space
-BREAK = r"[\r\n]+|(?<=[.!?;])\s+"
+for _key, _versions in GNU_VERSIONS.items():
+    for _version in _versions:
+        _name = f"{_key.upper()}-{_version if '.' in _version else _version + '.0'}"
+        RULES += [
+            (f"{_name}-or-later", [f"{_key}-terms", f"either-{_version}-later"]),
+            (f"{_name}-or-later", [f"{_key}{_version}-later"]),
+            (_name, [f"{_key}-terms", f"only-{_version}"]),
+            (_name, [f"{_key}{_version}-only"]),
+        ]
+    RULES.append((_key.upper(), [f"{_key}-terms"]))
+#: a line that holds nothing but comment marks is blank
+MARKS = r"[ \t]*(?:(?:/\*+|\*+/?|//+|#+|;+|%+|--+|<!--|-->|!|\|)|(?i:dnl|rem)(?=[ \t\n]))?[ \t]*"
+#: comment marks at the start of a line, at its end, list items, copyright lines
+LINE_START = rf"(?m)^{MARKS}"
+LINE_END = r"(?m)[ \t]*(?:\*+/|-->)[ \t]*$"
+ITEM = r"(?m)^(?:[0-9]{1,2}[.)]|\([a-z0-9]{1,3}\)|[a-z]\)|[-*\u2022])[ \t]+"
+COPYRIGHT = r"(?mi)^(copyright\b.*|\(c\) .*)$"
+#: a sentence ends at a blank line or after . ! ? ; before white space (not inside "v. 2.0")
+BREAK = r"\n\s*\n|(?<=[.!?;])(?<!\bv\.)\s+"
+#: an unknown sentence is also looked up by its lines and by so many last ones of them
+LAST_LINES = 12
 
 
 def normalised(sentence: Column) -> Column:
@@ -58,6 +208,24 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(kept, r"^[ .-]+|[ .-]+$|(?<= )[.-]+ |[.-]+(?= )", "")
 
 
+def _normal(sentence: str) -> str:
+    """``normalised`` of a fixed sentence."""
+    kept = re.sub(r"[^a-z0-9.-]+", " ", sentence.lower())
+    return re.sub(r"^[ .-]+|[ .-]+$|(?<= )[.-]+ |[.-]+(?= )", "", kept)
+
+
+SENTENCES |= {_normal(text): name for name, text in PUBLISHED}
+SENTENCES |= {_normal(f"SPDX-License-Identifier: {name}"): f"spdx-{name.lower()}" for name in SPDX}
+
+
+def sentences_of(text: Column) -> Column:
+    """Sentences, with the line breaks inside them; without comment marks and list items."""
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace(text, LINE_END, ""), LINE_START, "")
+    text = F.regexp_replace(F.regexp_replace(text, ITEM, "\n\n"), COPYRIGHT, "\n\n$1\n\n")
+    return F.filter(F.split(text, BREAK, -1), lambda s: F.length(F.trim(s)) > 0)
+
+
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """All rows of ``docs`` with ``n_sentences`` (long), ``sentence_ids`` (array,
     in text order) and ``licenses`` (distinct licence names, sorted).
@@ -72,12 +240,29 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     rows = without(docs, "n_sentences", "sentence_ids", "licenses", "__cut", "__seq")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     text = text_or_empty("text")
-    cut = F.filter(F.split(text, BREAK, -1), lambda s: F.length(F.trim(s)) > 0)
-    step = rows.withColumn("__cut", cut)
-    # only sentences short enough to be a known one need to be normalised
-    longest = 4 * max(map(len, sentences))
-    short = F.filter("__cut", lambda s: F.length(s) <= longest)
-    ids = F.filter(F.transform(short, lambda s: F.element_at(known, normalised(s))), lambda i: i.isNotNull())
+    step = rows.withColumn("__cut", sentences_of(text))
+
+    def look_up(sentence: Column) -> Column:
+        return F.element_at(known, normalised(sentence))
+
+    def ids_of(sentence: Column) -> Column:
+        """Its identifier, else those of its lines, or of its last lines read together
+        (an unfinished line, as a heading, may stand before a wrapped sentence)."""
+        lines = F.split(sentence, "\n", -1)
+        last = F.filter(
+            F.transform(
+                F.sequence(F.lit(1), F.least(F.size(lines) - 1, F.lit(LAST_LINES))),
+                lambda n: look_up(F.array_join(F.slice(lines, F.size(lines) - n + 1, n), " ")),
+            ),
+            lambda i: i.isNotNull(),
+        )
+        each = F.filter(F.transform(lines, look_up), lambda i: i.isNotNull())
+        parts = F.when(F.size(each) > 0, each).otherwise(F.slice(last, 1, 1))
+        whole = look_up(sentence)
+        none = F.array().cast("array<string>")
+        return F.when(whole.isNotNull(), F.array(whole)).when(F.instr(sentence, "\n") > 0, parts).otherwise(none)
+
+    ids = F.flatten(F.transform("__cut", ids_of))
     step = step.withColumn("sentence_ids", ids)
     # each identifier is written ",id;" so that a rule is a plain substring
     seq = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit(","), i, F.lit(";"))), "")
