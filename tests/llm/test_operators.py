@@ -617,3 +617,12 @@ def test_span_equality_and_likeness():
     f = lambda t: h.fingerprint(h.prefix(fingerprints.code_points(t)))
     assert fingerprints.likeness(f(long), f(long)) == 1 and fingerprints.likeness(f(""), f("")) == 1
     assert fingerprints.likeness(f(long), f(long + " end")) > 0.7 > 0.2 > fingerprints.likeness(f(long), f(" ".join(words(500, 12))))
+
+
+def test_likeness_holds_for_long_texts():
+    h, rng = fingerprints.PrefixHasher(), np.random.default_rng(13)
+    one, two = (rng.integers(97, 123, 4_000_000, dtype=np.uint32) for _ in range(2))
+    f = lambda codes: h.fingerprint(h.prefix(codes))
+    assert fingerprints.likeness(f(one), f(two)) == 0
+    half = fingerprints.likeness(f(one), f(np.concatenate([one[:2_000_000], two[:2_000_000]])))
+    assert 0.1 < half < 0.6  # a third of the spans of both

@@ -6,8 +6,8 @@ of any two spans is one comparison, and the longest common extension of two
 positions is found by binary search.  Two primes are used together.
 
 A fingerprint holds the text's length, its whole hash under both primes, and
-a 64-bin sketch of the hashes of its spans of 12 code points (the least in each
-bin); the likeness of two fingerprints is the share of equal bins among those
+a 64-bin sketch of the hashes of its spans of 12 code points (16 bits of a second
+mix of the least in each bin: its own bits tend to zero in long texts); the likeness of two fingerprints is the share of equal bins among those
 that either uses, an estimate of the spans they share.
 
 Each document is also compared with an edited text built from the next
@@ -33,6 +33,14 @@ EMPTY = "____"
 BUCKET_ROWS = 8192
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits (SplitMix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class PrefixHasher:
     """Prefix arrays modulo both primes, with power tables that grow to the longest text."""
 
@@ -74,22 +82,27 @@ class PrefixHasher:
         return lo
 
     def spans(self, prefix: list[np.ndarray], width: int) -> np.ndarray:
-        """Hashes of all spans of ``width`` (the whole text if shorter) under the first prime."""
-        p, n = np.uint64(PRIMES[0]), len(prefix[0]) - 1
+        """Hashes of all spans of ``width`` (the whole text if shorter) under both primes, mixed into 64 bits."""
+        n = len(prefix[0]) - 1
         width = min(width, n)
         if n == 0:
             return np.zeros(0, np.uint64)
-        diff = (prefix[0][width:] + p - prefix[0][: n - width + 1]) % p
-        return diff * self.inverse[0][: n - width + 1] % p
+        h = np.zeros(n - width + 1, np.uint64)
+        for k, prime in enumerate(PRIMES):
+            p = np.uint64(prime)
+            diff = (prefix[k][width:] + p - prefix[k][: n - width + 1]) % p
+            h = (h << np.uint64(31)) | (diff * self.inverse[k][: n - width + 1] % p)
+        return mix(h)
 
     def fingerprint(self, prefix: list[np.ndarray]) -> str:
         n = len(prefix[0]) - 1
-        h = self.spans(prefix, SPAN) * np.uint64(0x9E3779B97F4A7C15)
-        v = np.sort((h >> np.uint64(32)).astype(np.uint32))
-        edges = (np.arange(BINS + 1, dtype=np.uint64) << np.uint64(26)).astype(np.uint64)
-        at = np.searchsorted(v, edges[:-1].astype(np.uint32))
-        up = np.append(at[1:], len(v))
-        sketch = "".join(f"{(int(v[a]) >> 10) & 0xFFFF:04x}" if a < b else EMPTY for a, b in zip(at.tolist(), up.tolist()))
+        h = self.spans(prefix, SPAN)
+        at = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.intp)
+        least, used = np.full(BINS, ~np.uint64(0)), np.zeros(BINS, bool)
+        np.minimum.at(least, at, h)
+        used[at] = True
+        kept = mix(least) >> np.uint64(48)  # uniform however small the least hash is
+        sketch = "".join(f"{v:04x}" if u else EMPTY for v, u in zip(kept.tolist(), used.tolist()))
         whole = self.span(prefix, 0, n)
         return f"{n:x}-{whole[0]:08x}{whole[1]:08x}-{sketch}"
 
