@@ -3,12 +3,14 @@
 Base kinds are found by pattern (leftmost, non-overlapping).  The method adds
 spans: candidate strings of a character class (hex, base64) are read with a
 sliding window; the window's Shannon entropy is kept by incremental counts
-(the entering and the leaving character each change one count), and the
-stretch from the first to the last window at or above the class's threshold
-is a span, unless an allow-list pattern matches it or a base span overlaps it.
+(the entering and the leaving character each change one count), and each
+stretch covered by windows at or above the class's threshold is a span.  Base
+spans are cut out of the candidates first, and windows that hold a character of
+an allow-list match do not count.
 
 Long candidates are read in pieces of ``PIECE`` characters that overlap by one
-window less one character, so that no window is missed and cost stays linear.
+window less one character, so that no window is missed and cost stays linear;
+stretches that meet at a piece's border are joined.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ ENTROPY_CLASSES = [
 ]
 #: harmless high-entropy strings: placeholders, alphabets, one-digit fillers, dates and versions
 ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|0123456789|abcdefghij|(.)\1{7}|^[0-9_/=+-]+$"
+#: the same for a part of a string and for a whole window
+ALLOWED_PART = ALLOWED.replace("{7}", "{7,}").removesuffix(r"|^[0-9_/=+-]+$")
+ALLOWED_WINDOW = r"^[0-9_/=+-]+$"
+#: stands for a character that no window may hold
+MASK = "\u0001"
 SPAN = "struct<start:int,end:int,rank:int,kind:string>"
 
 
@@ -70,12 +77,25 @@ def _count(s: Column, ch: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, ch, F.lit("")))
 
 
-def _dense_stretch(c: Column, window: int, bits: float) -> Column:
-    """struct(first, last): the stretch of ``c`` covered by windows whose entropy
-    reaches ``bits`` (last exclusive; first is null if there is none)."""
+def _masked(c: Column, spans: Column) -> Column:
+    """``c`` with MASK in place of every character of ``spans`` (sorted by start)."""
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(c, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        fill = F.repeat(F.lit(MASK), F.greatest(x["end"] - F.greatest(acc["at"], x["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, fill).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(c, acc["at"] + 1, F.length(c))))
+
+
+def _dense_stretches(c: Column, window: int, bits: float) -> Column:
+    """array<struct(first, last)>: the stretches of ``c`` covered by windows
+    whose entropy reaches ``bits`` (last exclusive)."""
     f = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(window + 2)])
     at = lambda n: F.element_at(f, n + 1)
     least = F.lit(window * (math.log2(window) - bits) + 1e-9)  # H >= bits  <=>  sum n log2 n <= least
+    one = lambda acc: F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
     def step(acc: Column, i: Column) -> Column:
         full = i >= window  # the window before this step was full: its first character leaves
@@ -84,23 +104,59 @@ def _dense_stretch(c: Column, window: int, bits: float) -> Column:
         rest = F.when(full, F.substring(before, F.lit(2), F.lit(window - 1))).otherwise(before)
         n_out, n_in = _count(before, leaving), _count(rest, entering)
         total = acc["total"] - F.when(full, at(n_out) - at(n_out - 1)).otherwise(0.0) + at(n_in + 1) - at(n_in)
-        dense = (i >= window - 1) & (total <= least)
+        free = F.when(entering == MASK, 0).otherwise(acc["free"] + 1)  # characters since the last masked one
+        dense = (free >= window) & (total <= least) & ~F.concat(rest, entering).rlike(ALLOWED_WINDOW)
+        apart = dense & (i - window + 1 > acc["last"])
         return F.struct(
             total.alias("total"),
-            F.when(dense, F.coalesce(acc["first"], i - window + 1)).otherwise(acc["first"]).alias("first"),
+            free.alias("free"),
+            F.when(dense & (acc["last"].isNull() | apart), i - window + 1).otherwise(acc["first"]).alias("first"),
             F.when(dense, i + 1).otherwise(acc["last"]).alias("last"),
+            F.when(apart, F.concat(acc["out"], one(acc))).otherwise(acc["out"]).alias("out"),
         )
 
     none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    empty = F.array().cast("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("free"), none.alias("first"), none.alias("last"), empty.alias("out"))
+    end = lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one(acc)))
+    return F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), start, step, end)
+
+
+def _joined(spans: Column) -> Column:
+    """``spans`` in order, those that overlap or touch as one."""
+    kept = lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1)
 
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))
+        both = F.struct(last["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")).cast(SPAN)
+        meets = (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.size(acc))["end"])
+        return F.when(F.size(acc) == 0, F.array(x)).when(meets, F.concat(kept(acc), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
 
-def _entropy_spans(hits: Column, kind: str, rank: int, must: str, must_not: str | None, bits: float) -> Column:
+
+def _entropy_spans(hits: Column, kind: str, rank: int, pattern: str, must: str, must_not: str | None, bits: float) -> Column:
     wanted = lambda x: x["hit"].rlike(must) & (F.lit(True) if must_not is None else ~x["hit"].rlike(must_not))
+    part = lambda start, hit: F.struct(start.cast("int").alias("start"), hit.alias("hit"))
+
+    def rests(x: Column) -> Column:
+        """What base spans leave of a candidate: candidates in their own right."""
+        over = F.filter("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        own = F.transform(
+            over,
+            lambda b: F.struct(
+                F.greatest(b["start"] - x["start"], F.lit(0)).alias("start"), (F.least(b["end"], x["end"]) - x["start"]).alias("end")
+            ),
+        )
+        left = _matches(_masked(x["hit"], F.array_sort(own)), pattern, None)
+        return F.when(F.size(over) == 0, F.array(part(x["start"], x["hit"]))).otherwise(
+            F.transform(left, lambda m: part(x["start"] + m["start"], m["hit"]))
+        )
 
-    def pieces(x: Column) -> Column:
-        cut = F.regexp_extract_all(x["hit"], F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    def stretches(x: Column) -> Column:
+        allowed = F.transform(_matches(x["hit"], ALLOWED_PART, None), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+        text = F.when(x["hit"].rlike(ALLOWED_PART), _masked(x["hit"], allowed)).otherwise(x["hit"])
+        cut = F.regexp_extract_all(text, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
         whole = F.transform(
             cut,
             lambda p, i: F.struct(
@@ -108,20 +164,19 @@ def _entropy_spans(hits: Column, kind: str, rank: int, must: str, must_not: str
                 F.concat(F.when(i > 0, F.right(F.element_at(cut, F.greatest(i, F.lit(1))), F.lit(WINDOW - 1))).otherwise(""), p).alias("hit"),
             ),
         )
-        dense = F.transform(whole, lambda p: F.struct(p["start"].alias("start"), p["hit"].alias("hit"), _dense_stretch(p["hit"], WINDOW, bits).alias("d")))
-        some = F.filter(dense, lambda p: p["d"]["first"].isNotNull())
-        kept = F.filter(some, lambda p: ~F.substring(p["hit"], p["d"]["first"] + 1, p["d"]["last"] - p["d"]["first"]).rlike(ALLOWED))
-        return F.transform(
-            kept,
-            lambda p: F.struct(
-                (p["start"] + p["d"]["first"]).alias("start"),
-                (p["start"] + p["d"]["last"]).alias("end"),
-                F.lit(rank).alias("rank"),
-                F.lit(kind).alias("kind"),
-            ).cast(SPAN),
+        spans = F.transform(
+            whole,
+            lambda p: F.transform(
+                _dense_stretches(p["hit"], WINDOW, bits),
+                lambda d: F.struct(
+                    (p["start"] + d["first"]).alias("start"), (p["start"] + d["last"]).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")
+                ).cast(SPAN),
+            ),
         )
+        return _joined(F.flatten(spans))
 
-    return F.flatten(F.transform(F.filter(hits, wanted), pieces))
+    likely = F.filter(hits, lambda x: x["hit"].rlike(must))
+    return F.flatten(F.transform(F.filter(F.flatten(F.transform(likely, rests)), wanted), stretches))
 
 
 def _base_spans(hits: Column, kind: str, rank: int, least: int) -> Column:
@@ -156,13 +211,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         step = step.withColumn(f"__hits_{kind}", _matches(text, pattern, None))
     step = step.withColumn("base_spans", F.concat(*base))
     added = [
-        _entropy_spans(F.col(f"__hits_{kind}"), kind, len(BASE_KINDS) + i, must, must_not, bits)
-        for i, (kind, _, must, must_not, bits) in enumerate(ENTROPY_CLASSES)
+        _entropy_spans(F.col(f"__hits_{kind}"), kind, len(BASE_KINDS) + i, pattern, must, must_not, bits)
+        for i, (kind, pattern, must, must_not, bits) in enumerate(ENTROPY_CLASSES)
     ]
-    found = F.filter(
-        F.concat(*added),
-        lambda e: ~F.exists("base_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
-    )
-    step = step.withColumn("added_spans", found)
+    step = step.withColumn("added_spans", F.concat(*added))
     step = step.withColumns({"base_list": _listed(F.col("base_spans")), "span_list": _listed(F.concat("base_spans", "added_spans"))})
     return step.select(*[F.col(f"`{c}`") for c in rows.columns], "base_spans", "added_spans", "base_list", "span_list")
