@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import decontaminate, fingerprints, langid, license_scan, mixing, secret_scan, sharding, simhash, substring, suffix_dedup
+from tillspark.llm import decontaminate, fingerprints, langid, license_scan, minhash, mixing, secret_scan, sharding, simhash, substring, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -189,6 +189,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(ws[i : i + 1], ' ') AS sh
+  FROM w, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT rid AS a, rid AS b FROM w
+  UNION
+  SELECT r.a, l.y FROM reach r JOIN both_ways l ON l.x = r.b
+), least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN w ON w.rid = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w JOIN least USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+@register("op11_minhash", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.minhash_components(documents(spark, sf_dir), k=2, percent=80, pinned=True)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
