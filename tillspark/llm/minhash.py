@@ -12,8 +12,9 @@ registers agree with probability J.  The round is mixed into the register.
   3  each member of a bucket is compared with the least member, and again with
      a member drawn anew for each bucket, where their components still differ
   4  what then lies in several components of one bucket is compared in tiles
-     of ``TILE`` x ``TILE`` sketches: the members outside the bucket's largest
-     component against all; no pair is left out, no group is gathered whole
+     of two blocks of bounded bytes: the members outside the bucket's largest
+     component against all; no pair is left out, no group is gathered whole,
+     and only links leave a tile
 
 A comparison estimates J from the agreeing registers, corrected for accidental
 agreement, and drops what lies below the threshold by more than the sketch can
@@ -43,7 +44,10 @@ ROWS = 6
 BANDS = REGISTERS // ROWS
 #: standard deviations of the estimate below which a pair is dropped (2e-8 of the pairs at the threshold)
 SLACK = 5.5
-TILE = 256
+#: bytes of sketches and sets in a block of a bucket
+TILE_BYTES = 1 << 22
+#: the low bits of a bucket's number are its band
+BAND_STEP = 64
 SEED = 42
 VALUE_BITS = 44
 ROUNDS_MAX = 1 << 12
@@ -150,6 +154,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(j + 1, min(j + 3, ROWS)):
                 word = word << np.uint64(16) | part[:, :, i]
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) ^ word)
+        h = h & ~np.uint64(BAND_STEP - 1) | np.arange(BANDS, dtype=np.uint64)
         keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(keys)], names=["bucket", "key"])
 
@@ -208,53 +213,70 @@ def _confirmed(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame
     return scratch_table(both.select("a", "b", ok.alias("ok")).where("ok").select("a", "b"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return scratch_table(members.join(several, "bucket"))
+
+
 def _with_component(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """The members (bucket, key) of buckets that hold several components, with ``comp``."""
+    """(bucket, key, ...) -> (bucket, key, comp) of buckets that hold several components."""
     comps = connected_components(edges)
-    placed = members.select("bucket", "key").join(comps, F.col("key") == F.col("node"), "left").select(
-        "bucket", "key", F.coalesce("root", "key").alias("comp")
+    return _open(
+        scratch_table(members.select("bucket", "key").join(comps, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("comp")))
     )
-    placed = scratch_table(placed)
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return scratch_table(placed.join(open_, "bucket"))
 
 
 def _tiled(percent: int):
+    def linked(x: np.ndarray, others: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Which of the other full sets are linked with the set ``x``."""
+        y = np.frombuffer(b"".join(others), np.uint64)
+        hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+        common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+        return 100 * common >= percent * (len(x) + sizes - common)
+
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """One tile: minor members against all members of two blocks."""
+        """The links of one tile, between its minor members and all members of its two blocks.
+
+        A pair that shares several bands is judged in the first of them only.
+        """
+        band = key[0] & (BAND_STEP - 1)
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        if left.empty or right.empty:
-            return empty
-        regs = np.frombuffer(b"".join(right.regs), np.uint16).reshape(-1, REGISTERS)
-        keys, n, comp = right.key.to_numpy(), right.n.to_numpy(), right.comp.to_numpy()
-        out = []
-        for x in left.itertuples(index=False):
-            agree = (regs == np.frombuffer(x.regs, np.uint16)).sum(axis=1)
-            sized = 100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)
-            fit = np.flatnonzero(sized & (comp != x.comp) & (estimate(agree, np.full(len(n), x.n), n) >= _floor(percent)))
-            out += [(min(x.key, k), max(x.key, k)) for k in keys[fit].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else empty
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            regs = np.frombuffer(b"".join(right.regs), np.uint16).reshape(-1, REGISTERS)
+            keys, n, comp, sets = right.key.to_numpy(), right.n.to_numpy(), right.comp.to_numpy(), right.set.to_numpy()
+            for x in left.itertuples(index=False):
+                same = regs == np.frombuffer(x.regs, np.uint16)
+                fit = (comp != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n))
+                fit &= estimate(same.sum(axis=1), np.full(len(n), x.n), n) >= _floor(percent)
+                at = np.flatnonzero(fit)
+                at = at[same[at, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                if len(at):
+                    at = at[linked(np.frombuffer(x.set, np.uint64), list(sets[at]), n[at])]
+                    out += [(min(x.key, k), max(x.key, k)) for k in keys[at].tolist()]
+        return pd.DataFrame({"a": np.array([o[0] for o in out], np.int64), "b": np.array([o[1] for o in out], np.int64)})
 
     return of
 
 
-def _tiles(open_members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of one bucket and different components that the sketches cannot rule out."""
-    counts = scratch_table(open_members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")))
-    per_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("members"), F.max(F.struct("c", "comp")).alias("most"))
-    placed = open_members.join(per_bucket, "bucket").withColumn("minor", F.col("comp") != F.col("most.comp"))
-    blocks = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
-    placed = placed.withColumns({"nl": blocks(F.col("members") - F.col("most.c")), "nr": blocks(F.col("members"))})
-    own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    left = placed.where("minor").select(
-        "bucket", "key", "comp", F.lit(0).alias("side"), own(F.col("nl")).alias("l"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r")
-    )
-    right = placed.select(
-        "bucket", "key", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), own(F.col("nr")).alias("r")
+def _tiles(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The links between different components of one bucket: members outside
+    the bucket's largest component against all, in blocks of about TILE_BYTES."""
+    weighed = scratch_table(members.join(profiles, "key").withColumn("bytes", F.lit(2 * REGISTERS) + F.octet_length("set")))
+    counts = weighed.groupBy("bucket", "comp").agg(F.sum("bytes").alias("c"))
+    per_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(TILE_BYTES)).cast("int")
+    sized = per_bucket.select(
+        "bucket", F.col("most.comp").alias("major"), blocks(F.col("all") - F.col("most.c")).alias("nl"), blocks(F.col("all")).alias("nr")
     )
-    rows = left.unionByName(right).join(profiles.select("key", "n", "regs"), "key")
-    return rows.groupBy("bucket", "l", "r").applyInPandas(_tiled(percent), "a long, b long").distinct()
+    placed = weighed.drop("bytes").join(sized, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["bucket", "key", "comp", "n", "regs", "set"]
+    left = placed.where(F.col("comp") != F.col("major")).select(*cols, F.lit(0).alias("side"), own(F.col("nl")).alias("l"), every("nr").alias("r"))
+    right = placed.select(*cols, F.lit(1).alias("side"), every("nl").alias("l"), own(F.col("nr")).alias("r"))
+    return left.unionByName(right).groupBy("bucket", "l", "r").applyInPandas(_tiled(percent), "a long, b long")
 
 
 def minhash_components(
@@ -294,18 +316,14 @@ def minhash_components(
         sets.select("key", "n", "regs").join(texts.select("__key", _sets(k)(F.col("text").cast("string")).alias("set")), F.col("key") == F.col("__key")).drop("__key")
     )
     edges = _confirmed(members.where("key > least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), profiles, percent)
-    left = _with_component(members, edges)
-    # a second member of each bucket, drawn anew: links that the least one missed
+    # all pairs with the least member are judged; what a second member, drawn anew for each bucket, links
+    left = _with_component(members.where("key > least"), edges)
     drawn = left.groupBy("bucket").agg(F.min_by(F.struct("key", "comp"), F.xxhash64("bucket", "key")).alias("w"))
-    pairs = (
-        left.join(drawn, "bucket")
-        .where(F.col("comp") != F.col("w.comp"))
-        .select(F.least("key", "w.key").alias("a"), F.greatest("key", "w.key").alias("b"))
-        .distinct()
-    )
+    left = scratch_table(left.join(drawn, "bucket"))
+    pairs = left.where(F.col("comp") != F.col("w.comp")).select(F.least("key", "w.key").alias("a"), F.greatest("key", "w.key").alias("b")).distinct()
     edges = scratch_table(edges.union(_confirmed(pairs, profiles, percent)))
-    left = _with_component(left, edges)
-    edges = edges.union(_confirmed(_tiles(left, profiles, percent), profiles, percent))
+    left = _with_component(left.where(F.col("key") != F.col("w.key")), edges)
+    edges = edges.union(scratch_table(_tiles(left, profiles, percent)))
     comps = connected_components(edges)
     rooted = sets.join(comps, F.col("key") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("__n"), "first_id", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
