@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import decontaminate, fingerprints, langid, license_scan, minhash, mixing, secret_scan, sharding, simhash, substring, suffix_dedup, whitening
+from tillspark.llm import decontaminate, fingerprints, langid, license_scan, minhash, mixing, periodic, secret_scan, sharding, simhash, substring, suffix_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -223,6 +223,81 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         CASE WHEN doc_id IS NOT NULL THEN
+           xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                 lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+               lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT)
+         END AS h
+  FROM documents
+), g AS (SELECT *, len(ws) AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS edited FROM w),
+a AS (SELECT *, CASE WHEN edited THEN g % n END AS a FROM g),
+p AS (SELECT *, CASE WHEN edited THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+words AS (
+  SELECT rid, i, n, CASE WHEN edited AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS word
+  FROM p, unnest(range(0, n)) AS t(i)
+), same AS (  -- words q apart that are equal
+  SELECT x.rid, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT rid, q, min(i) AS start, max(i) - min(i) + 1 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS grp FROM same) GROUP BY rid, q, grp
+), runs AS (
+  SELECT rid, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY rid, start, length
+), best AS (
+  SELECT rid, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256
+  FROM runs GROUP BY rid
+), top AS (
+  SELECT rid, start, length, period FROM (
+    SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs) WHERE k = 1
+), gone AS (SELECT DISTINCT rid, i FROM runs, unnest(range(start + period, start + length)) AS t(i)),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (rid) LEFT JOIN top USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _with_repeated_tail(docs: DataFrame) -> DataFrame:
+    """The edit of operator 13's contract: a tenth of the texts end in a repeated stretch."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = (h % 10 == 0) & F.col("text").rlike(WORD)
+    words = F.when(chosen, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    n = F.size("__w").cast("long")
+    shift = lambda i: F.when(i >= F.col("__a"), F.col("__a") + (i - F.col("__a")) % F.col("__p")).otherwise(i)
+    edited = F.array_join(F.transform("__w", lambda w, i: F.get("__w", shift(i).cast("int"))), " ")
+    return (
+        docs.select("doc_id", "text", words.alias("__w"), F.floor(h / 10).alias("__g"))
+        .withColumn("__a", F.when(F.col("__w").isNotNull(), F.col("__g") % n))
+        .withColumn("__p", F.lit(1) + F.floor((n - F.col("__a")) / (F.lit(3) + F.col("__g") % 8)))
+        .select("doc_id", F.when(F.col("__w").isNull(), F.col("text")).otherwise(edited).alias("text"))
+    )
+
+
+@register("op13_periodic", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_repeated_tail(documents(spark, sf_dir)))
+    denser = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  ties: the earlier one stays
+    first = F.get("runs", F.lit(0))
+    top = F.aggregate("runs", first, lambda best, r: F.when(denser(r, best), r).otherwise(best))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
