@@ -276,7 +276,8 @@ def _tiles(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     cols = ["bucket", "key", "comp", "n", "regs", "set"]
     left = placed.where(F.col("comp") != F.col("major")).select(*cols, F.lit(0).alias("side"), own(F.col("nl")).alias("l"), every("nr").alias("r"))
     right = placed.select(*cols, F.lit(1).alias("side"), every("nl").alias("l"), own(F.col("nr")).alias("r"))
-    return left.unionByName(right).groupBy("bucket", "l", "r").applyInPandas(_tiled(percent), "a long, b long")
+    tiles = left.unionByName(right).repartition("bucket", "l", "r")  # not by the bucket alone, which may be hot
+    return tiles.groupBy("bucket", "l", "r").applyInPandas(_tiled(percent), "a long, b long")
 
 
 def minhash_components(
