@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tillspark.operators.ids import assign_ids, global_positions
 from tillspark.operators.mutations import latest_per_key, upsert
 from tillspark.operators.pricing import discount_quote
-from tillspark.operators.quality import running_demand
 from tillspark.plans import ledger, reports
 from tillspark.schemas import DISCOUNT_RULES
 from tillspark.sources.mapping import load_model
@@ -79,21 +78,6 @@ def test_latest_per_key_hot_key(spark):
     assert got[7] == 2 * 4998
 
 
-def test_running_demand_matches_window(spark):
-    # One product holds a third of all rows (hot key).
-    base = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 50).alias("product_id"),
-        F.date_add(F.lit(dt.date(2026, 1, 1)), (F.col("id") % 17).cast("int")).alias("date"),
-        F.format_string("%05d", F.col("id")).alias("invoice_key"),
-        (F.col("id") % 5 + 1).alias("qty"),
-    )
-    fast = running_demand(base, "product_id", "date", ["invoice_key"], "qty")
-    w = Window.partitionBy("product_id").orderBy("date", "invoice_key").rowsBetween(Window.unboundedPreceding, 0)
-    slow = base.withColumn("demand", F.sum("qty").over(w).cast("long"))
-    assert fast.exceptAll(slow.select(*fast.columns)).count() == 0
-    assert fast.count() == 3000
-
-
 def test_global_positions_dense(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(7)
     pos = global_positions(df, [F.col("k")], "pos").collect()

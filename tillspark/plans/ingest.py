@@ -13,23 +13,31 @@ The reference inserts line by line without a transaction, so a failure
 leaves partial data; here every output derives from one input batch and a
 sale is accepted whole or not at all.
 
-Stock rule in batch form: a sale's line for product P passes when the
-quantity of P demanded by all earlier eligible sales of the batch plus this
-one stays within P's stock, in (date, time, invoice) order.  Sales failing
-another rule demand nothing; sales rejected for stock still count as demand,
-so a later sale that would fit may be rejected (README, open items).
+Stock rule in batch form (``operators.admission``): the outcome equals ringing
+the sales up one by one in (date, time, invoice) order.  A sale is accepted
+whole if every product is in stock after the sales accepted before it; sales
+that fail any rule take nothing.
+
+``decide`` computes the decision frame once (in the shared folder); all four
+outputs -- decisions, header rows, line rows with their ``tx_id`` and the stock
+taken per product -- derive from it.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillspark.functions.money import round_money
 from tillspark.functions.text import ci_key
-from tillspark.operators.ids import assign_ids, materialize
+from tillspark.operators.admission import admit_sales
+from tillspark.operators.aggregates import units_sold
+from tillspark.operators.ids import materialize
 from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded
-from tillspark.operators.quality import E_EMPTY_CART, cart_lines, running_demand, validate_sales
+from tillspark.operators.ordered import with_position
+from tillspark.operators.quality import E_EMPTY_CART, cart_lines, validate_sales
 from tillspark.sources.documents import HEADER_FIELDS
 
 # Ingest decisions (wording of this library).
@@ -91,7 +99,7 @@ def _stored_keys(store_tx: DataFrame, flag: str) -> DataFrame:
     return store_tx.select(ci_key("invoice_no").alias("_sk")).distinct().withColumn(flag, F.lit(True))
 
 
-def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+def decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
     d = first_per_invoice(headers)
     d = d.select(*[round_money(c).alias(c) if c in MONEY else F.col(c) for c in d.columns])
     stored = _stored_keys(store_tx, "_stored")
@@ -104,15 +112,14 @@ def _decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products:
 
     sale_lines = lines.select("doc_id", "product_id", "qty").join(eligible, "doc_id")
     merged = cart_lines(sale_lines, ["invoice_key", "date", "time"])
-    demand = running_demand(merged, "product_id", "date", ["time", "invoice_key"], "qty")
     p = broadcast_bounded(
         products.select(F.col("id").alias("_pid"), F.col("stock").alias("_stock")), DIM_BROADCAST_ROWS
     )
-    checked = demand.join(p, F.col("product_id") == F.col("_pid"), "left")
-    per_sale = checked.groupBy("invoice_key").agg(
-        F.bool_and(F.col("_pid").isNotNull()).alias("_known"),
-        F.bool_and(F.coalesce(F.col("demand") <= F.col("_stock"), F.lit(False))).alias("_fits"),
-    )
+    checked = materialize(merged.join(p, F.col("product_id") == F.col("_pid"), "left"))
+    per_sale = checked.groupBy("invoice_key").agg(F.bool_and(F.col("_pid").isNotNull()).alias("_known"))
+    known = checked.join(per_sale.where("_known").select("invoice_key"), "invoice_key", "left_semi")
+    admitted = admit_sales(known, "invoice_key", "product_id", ["date", "time", "invoice_key"], "qty", "_stock")
+    per_sale = per_sale.join(admitted.withColumnRenamed("admitted", "_fits"), "invoice_key", "left")
     d = d.join(per_sale, "invoice_key", "left")
     decision = (
         F.when(F.col("invoice_key").isNull(), F.lit(NO_INVOICE))
@@ -134,9 +141,13 @@ def dedup_report(headers: DataFrame, store_tx: DataFrame) -> DataFrame:
     return j.select("invoice_no", "copies", F.coalesce("already_stored", F.lit(False)).alias("already_stored"))
 
 
-def ingest_decisions(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
-    """Decision per invoice: accepted or the first failed rule."""
-    return _decide(headers, lines, store_tx, products).select("invoice_no", "copies", "decision")
+class Ingested(NamedTuple):
+    """The outputs of one batch, all of one decision frame."""
+
+    decisions: DataFrame
+    headers: DataFrame
+    lines: DataFrame
+    stock: DataFrame
 
 
 def accepted_headers(decided: DataFrame, store_tx: DataFrame) -> DataFrame:
@@ -146,19 +157,22 @@ def accepted_headers(decided: DataFrame, store_tx: DataFrame) -> DataFrame:
     """
     acc = decided.where(F.col("decision") == ACCEPTED)
     rows = acc.select(
+        "doc_id",
         *HEADER_FIELDS,
         F.lit("completed").alias("status"),
         F.lit(0).cast("long").alias("discount_amount"),
     )
     start = store_tx.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    return assign_ids(rows, [F.col("date"), F.col("time"), F.col("invoice_no")], start)
+    order = ["date", "time", "invoice_no"]
+    numbered = with_position(rows, [F.col(c) for c in order], order, ["doc_id"], "_pos")
+    return numbered.withColumn("id", (start + F.col("_pos")).cast("long")).drop("_pos")
 
 
-def accepted_lines(decided: DataFrame, lines: DataFrame) -> DataFrame:
-    """Line rows of accepted sales (keyed by the natural invoice number)."""
-    acc = decided.where(F.col("decision") == ACCEPTED)
-    j = lines.join(acc.select("doc_id", "invoice_no"), "doc_id")
+def accepted_lines(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """Line rows of the accepted headers, in the columns of ``tx_details``."""
+    j = lines.join(heads.select("doc_id", F.col("id").alias("tx_id"), "invoice_no"), "doc_id")
     return j.select(
+        "tx_id",
         "invoice_no",
         "product_id",
         F.col("name").alias("product_name"),
@@ -168,20 +182,33 @@ def accepted_lines(decided: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def ingest(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M12 in one pass: (decisions, accepted headers, accepted lines), all
-    derived from a single decision frame."""
-    decided = _decide(headers, lines, store_tx, products)
-    return (
-        decided.select("invoice_no", "copies", "decision"),
-        accepted_headers(decided, store_tx),
-        accepted_lines(decided, lines),
-    )
+def stock_taken(accepted: DataFrame, products: DataFrame) -> DataFrame:
+    """Products whose stock the accepted lines change: taken units and new stock."""
+    sold = units_sold(accepted.select("product_id", "qty"))
+    j = products.select("id", "stock").join(sold, F.col("id") == F.col("product_id"))
+    return j.select("id", "units_sold", (F.col("stock") - F.col("units_sold")).alias("stock"))
+
+
+def ingest(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> Ingested:
+    """M12 in one pass over one decision frame."""
+    decided = materialize(decide(headers, lines, store_tx, products))
+    heads = accepted_headers(decided, store_tx)
+    rows = accepted_lines(heads, lines)
+    return Ingested(decided.select("invoice_no", "copies", "decision"), heads.drop("doc_id"), rows, stock_taken(rows, products))
+
+
+def ingest_decisions(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+    """Decision per invoice: accepted or the first failed rule."""
+    return decide(headers, lines, store_tx, products).select("invoice_no", "copies", "decision")
 
 
 def ingest_headers(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
-    return accepted_headers(_decide(headers, lines, store_tx, products), store_tx)
+    return accepted_headers(decide(headers, lines, store_tx, products), store_tx).drop("doc_id")
 
 
 def ingest_lines(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
-    return accepted_lines(_decide(headers, lines, store_tx, products), lines)
+    return accepted_lines(accepted_headers(decide(headers, lines, store_tx, products), store_tx), lines)
+
+
+def ingest_stock(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
+    return stock_taken(ingest_lines(headers, lines, store_tx, products), products)

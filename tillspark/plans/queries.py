@@ -1131,11 +1131,23 @@ elig AS (SELECT * FROM docs WHERE NOT stored AND n_items > 0 AND paid >= total),
 cl AS (SELECT e.invoice_no, e.date, e.time, d.product_id, SUM(d.qty) AS qty
        FROM elig e JOIN tx_details d ON d.tx_id = e.id
        GROUP BY e.invoice_no, e.date, e.time, d.product_id HAVING SUM(d.qty) > 0),
-dem AS (SELECT cl.*, SUM(qty) OVER (PARTITION BY product_id ORDER BY date, time, lower(rtrim(invoice_no))
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS demand FROM cl),
-chk AS (SELECT dem.invoice_no, bool_and(p.id IS NOT NULL) AS known,
-               bool_and(COALESCE(dem.demand <= p.stock, FALSE)) AS fits
-        FROM dem LEFT JOIN products p ON p.id = dem.product_id GROUP BY dem.invoice_no),
+carts AS (SELECT cl.invoice_no, cl.date, cl.time, bool_and(p.id IS NOT NULL) AS known,
+                 list(cl.product_id ORDER BY cl.product_id) AS ps, list(cl.qty ORDER BY cl.product_id) AS qs
+          FROM cl LEFT JOIN products p ON p.id = cl.product_id GROUP BY cl.invoice_no, cl.date, cl.time),
+queue AS (SELECT *, row_number() OVER (ORDER BY date, time, lower(rtrim(invoice_no))) AS k FROM carts WHERE known),
+shelf AS (SELECT list(COALESCE(stock, -1) ORDER BY i) AS left_over
+          FROM range(0, (SELECT MAX(id) FROM products) + 1) r(i) LEFT JOIN products p ON p.id = r.i),
+till AS (  -- one sale after the other; left_over[product + 1] is what the shelf still holds
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS invoice_no, FALSE AS fits, left_over FROM shelf
+  UNION ALL
+  SELECT n.k, n.invoice_no, n.fits,
+         CASE WHEN n.fits THEN list_transform(n.left_over, lambda x, i: x - COALESCE(n.qs[list_position(n.ps, i - 1)], 0))
+              ELSE n.left_over END
+  FROM (SELECT q.k, q.invoice_no, q.ps, q.qs, t.left_over,
+               list_bool_and(list_transform(q.ps, lambda p, j: t.left_over[p + 1] >= q.qs[j])) AS fits
+        FROM till t JOIN queue q ON q.k = t.k + 1) n
+),
+chk AS (SELECT c.invoice_no, c.known, COALESCE(t.fits, FALSE) AS fits FROM carts c LEFT JOIN till t ON t.invoice_no = c.invoice_no),
 decided AS (SELECT d.*, CASE WHEN d.stored THEN 'already stored'
                              WHEN d.n_items = 0 AND d.paid < d.total THEN 'empty cart; paid below total'
                              WHEN d.n_items = 0 THEN 'empty cart' WHEN d.paid < d.total THEN 'paid below total'
@@ -1145,6 +1157,10 @@ decided AS (SELECT d.*, CASE WHEN d.stored THEN 'already stored'
 _INGEST_USES = ["transactions", "tx_details", "products"]
 
 
+def _ingest_sql(body: str) -> str:
+    return with_model(_INGEST_CTES + "\n" + body, _INGEST_USES).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _ingest_inputs(spark, sf_dir, with_reposts=False):
     from tillspark.sources import changes
 
@@ -1155,7 +1171,7 @@ def _ingest_inputs(spark, sf_dir, with_reposts=False):
 
 @register(
     "ingest_validate",
-    with_model(f"{_INGEST_CTES}\nSELECT invoice_no, CAST(1 AS BIGINT) AS copies, decision FROM decided", _INGEST_USES),
+    _ingest_sql("SELECT invoice_no, CAST(1 AS BIGINT) AS copies, decision FROM decided"),
 )
 def ingest_validate(spark, sf_dir):
     from tillspark.plans import ingest
@@ -1163,16 +1179,16 @@ def ingest_validate(spark, sf_dir):
     return ingest.ingest_decisions(*_ingest_inputs(spark, sf_dir))
 
 
+_NEW_ID = f"""(SELECT MAX(id) FROM transactions WHERE date < {_STORE_CUT}) + row_number() OVER (ORDER BY date, time, invoice_no)"""
+
+
 @register(
     "ingest_headers",
-    with_model(
-        f"""{_INGEST_CTES}
-SELECT (SELECT MAX(id) FROM transactions WHERE date < {_STORE_CUT})
-         + row_number() OVER (ORDER BY date, time, invoice_no) AS id,
+    _ingest_sql(
+        f"""SELECT {_NEW_ID} AS id,
        invoice_no, date, time, cashier_id, customer_id, subtotal, discount_type, discount_value, discount, total,
        paid, change, 'completed' AS status, CAST(0 AS BIGINT) AS discount_amount
-FROM decided WHERE decision = 'accepted'""",
-        _INGEST_USES,
+FROM decided WHERE decision = 'accepted'"""
     ),
 )
 def ingest_headers(spark, sf_dir):
@@ -1183,11 +1199,9 @@ def ingest_headers(spark, sf_dir):
 
 @register(
     "ingest_lines",
-    with_model(
-        f"""{_INGEST_CTES}
-SELECT a.invoice_no, l.product_id, l.product_name, l.qty, l.price, l.subtotal
-FROM decided a JOIN tx_details l ON l.tx_id = a.id WHERE a.decision = 'accepted'""",
-        _INGEST_USES,
+    _ingest_sql(
+        f"""SELECT a.tx_id, a.invoice_no, l.product_id, l.product_name, l.qty, l.price, l.subtotal
+FROM (SELECT *, {_NEW_ID} AS tx_id FROM decided WHERE decision = 'accepted') a JOIN tx_details l ON l.tx_id = a.id"""
     ),
 )
 def ingest_lines(spark, sf_dir):
@@ -1196,6 +1210,20 @@ def ingest_lines(spark, sf_dir):
     return ingest.ingest_lines(*_ingest_inputs(spark, sf_dir))
 
 
+@register(
+    "ingest_stock",
+    _ingest_sql(
+        """SELECT p.id, CAST(s.units AS BIGINT) AS units_sold, CAST(p.stock - s.units AS BIGINT) AS stock
+FROM products p JOIN (SELECT l.product_id, SUM(l.qty) AS units FROM decided a JOIN tx_details l ON l.tx_id = a.id
+                      WHERE a.decision = 'accepted' GROUP BY l.product_id) s ON s.product_id = p.id"""
+    ),
+)
+def ingest_stock(spark, sf_dir):
+    from tillspark.plans import ingest
+
+    return ingest.ingest_stock(*_ingest_inputs(spark, sf_dir))
+
+
 @register(
     "ingest_dedup",
     with_model(

@@ -58,9 +58,9 @@ class SalesIngestSink:
         spark = batch.sparkSession
         store, products = self._state(spark, epoch_id)
         headers, lines = ingest.split_documents(batch)
-        _decisions, heads, accepted_lines = ingest.ingest(headers, lines, store, products)
-        heads.write.mode("overwrite").parquet(f"{self.headers_path.rstrip('/')}/epoch={epoch_id}")
-        accepted_lines.write.mode("overwrite").parquet(f"{self.lines_path.rstrip('/')}/epoch={epoch_id}")
+        done = ingest.ingest(headers, lines, store, products)
+        done.headers.write.mode("overwrite").parquet(f"{self.headers_path.rstrip('/')}/epoch={epoch_id}")
+        done.lines.write.mode("overwrite").parquet(f"{self.lines_path.rstrip('/')}/epoch={epoch_id}")
 
 
 def start_sales_ingest(
