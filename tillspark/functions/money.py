@@ -58,6 +58,18 @@ def discount_amount(subtotal: Column, dtype: Column, value: Column, max_discount
     return F.when(dtype.isNotNull(), F.least(d, subtotal)).otherwise(F.lit(0).cast("long"))
 
 
+def discounted_total(subtotal: Column, dtype: Column, value: Column, max_discount: Column) -> Column:
+    """F7 total as stored (bigint): subtotal minus the exact discount, rounded by
+    itself, so at exact halves discount and total add up to one more than the
+    subtotal.  Without a rule the subtotal."""
+    sv = subtotal * value
+    capped = (max_discount > 0) & (sv > max_discount * 100)
+    # round half up of (100 s - s v) / 100 for non-negative amounts
+    pct = F.when(capped, subtotal - max_discount).otherwise(int_div(subtotal * 100 - sv + 50, 100))
+    left = F.when(dtype == "percent", pct).otherwise(subtotal - value)
+    return F.when(dtype.isNotNull(), F.greatest(left, F.lit(0).cast("long"))).otherwise(subtotal)
+
+
 def page_count(total_rows: Column | str, page_size: int = 10) -> Column:
     """``ceil(total / page_size)`` as bigint."""
     return int_div(_c(total_rows) + (page_size - 1), page_size)

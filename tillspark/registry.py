@@ -30,4 +30,5 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
+    import tillspark.plans.extended  # noqa: F401
     import tillspark.plans.queries  # noqa: F401

@@ -33,6 +33,24 @@ ARCHIVE_CUTOFF = dt.date(1996, 1, 1)
 RELIST_SUFFIX = " (baru)"
 
 
+def campaign_rules(m: TestModel) -> DataFrame:
+    """A long rule table (one rule per order): thresholds with ties, percent and
+    flat values, caps, validity windows with open ends, one in ten inactive."""
+    o = m.raw("orders", ["o_orderkey", "o_orderdate"])
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    return o.select(
+        k.alias("id"),
+        F.concat(F.lit("Kampanye "), k.cast("string")).alias("name"),
+        F.when(k % 2 == 0, "percent").otherwise("flat").alias("type"),
+        F.when(k % 2 == 0, k % 30).otherwise((k * 37) % 9000).alias("value"),
+        ((k * 7919) % 500000).alias("min_purchase"),
+        F.when(k % 3 == 0, F.lit(20000).cast("long")).alias("max_discount"),
+        (k % 10 != 0).alias("is_active"),
+        F.when(k % 4 == 0, day).alias("start_date"),
+        F.when(k % 5 == 0, F.date_add(day, 400)).alias("end_date"),
+    )
+
+
 def product_changes(m: TestModel) -> DataFrame:
     p = m.products
     updates = p.where(F.col("category_id") == PROMO_CATEGORY_ID).select(
