@@ -85,3 +85,57 @@ def campaign_tiers(spark, sf_dir):
 
     m, rules = _campaigns(spark, sf_dir)
     return tier_usage(m.transactions.select("id", "subtotal"), rules, m.as_of)
+
+
+# --------------------------------------------------------------------------
+# Posted JSON bodies
+# --------------------------------------------------------------------------
+
+_POSTED = """,
+posted AS (
+  SELECT t.*, COALESCE(i.n, 0) AS n_items, COALESCE(i.units, 0) AS units,
+         CASE WHEN id % 97 = 0 THEN 'malformed' WHEN id % 89 = 0 OR id % 83 = 0 THEN 'empty' WHEN id % 71 = 0 THEN 'malformed' END AS problem
+  FROM transactions t
+  LEFT JOIN (SELECT tx_id, COUNT(*) AS n, SUM(qty) AS units FROM tx_details GROUP BY tx_id) i ON i.tx_id = t.id)"""
+
+
+@register(
+    "json_documents",
+    with_model(
+        f"""{_POSTED}
+SELECT id AS message_id, problem, CASE WHEN problem IS NULL THEN invoice_no END AS invoice_no,
+       CASE WHEN problem IS NULL THEN date END AS date, CASE WHEN problem IS NULL THEN customer_id END AS customer_id,
+       CASE WHEN problem IS NULL THEN CAST(total AS DOUBLE) END AS total,
+       CASE WHEN problem IS NULL THEN CAST(n_items AS INTEGER) END AS n_items,
+       CASE WHEN problem IS NULL THEN CAST(units AS BIGINT) END AS units
+FROM posted, range(CASE WHEN id % 79 = 0 THEN 2 ELSE 1 END)""",
+        ["transactions", "tx_details"],
+    ),
+)
+def json_documents(spark, sf_dir):
+    from tillspark.sources.changes import posted_bodies
+    from tillspark.sources.documents import parse_posted
+
+    parsed = parse_posted(posted_bodies(load_model(spark, sf_dir)))
+    units = F.aggregate("items", F.lit(0).cast("long"), lambda acc, i: acc + i["qty"])
+    return parsed.select("message_id", "problem", "invoice_no", "date", "customer_id", "total", F.size("items").alias("n_items"), units.alias("units"))
+
+
+@register(
+    "json_lines",
+    with_model(
+        f"""{_POSTED}
+SELECT p.invoice_no, d.product_id, d.product_name AS name, d.qty, CAST(d.price AS DOUBLE) AS price, CAST(d.subtotal AS DOUBLE) AS subtotal
+FROM posted p JOIN tx_details d ON d.tx_id = p.id WHERE p.problem IS NULL""",
+        ["transactions", "tx_details"],
+    ),
+)
+def json_lines(spark, sf_dir):
+    """Lines of the sale documents; a body that arrives twice counts once."""
+    from tillspark.plans.ingest import split_documents
+    from tillspark.sources.changes import posted_bodies
+    from tillspark.sources.documents import parse_posted
+
+    good = parse_posted(posted_bodies(load_model(spark, sf_dir))).where("problem IS NULL").drop("message_id", "problem")
+    headers, lines = split_documents(good)
+    return lines.join(headers.select("doc_id", "invoice_no").distinct(), "doc_id").drop("doc_id")

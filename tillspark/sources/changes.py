@@ -179,6 +179,29 @@ def sale_rows(m: TestModel, with_reposts: bool = False) -> tuple[DataFrame, Data
     return headers, lines
 
 
+def posted_bodies(m: TestModel) -> DataFrame:
+    """(message_id, body): every sale as posted JSON text.  By sale number, some
+    bodies are cut off (97), blank (89), an object without fields (83), hold text
+    where a number belongs (71), or arrive twice (79)."""
+    item = F.to_json(F.struct("product_id", F.col("product_name").alias("name"), "qty", "price", "subtotal"))
+    carts = m.tx_details.select("tx_id", item.alias("item")).groupBy("tx_id").agg(
+        F.expr("listagg(item, ',') WITHIN GROUP (ORDER BY item)").alias("items")  # a cart, as one document holds it
+    )
+    tx = m.transactions
+    head = F.to_json(F.struct(*[F.col(c) for c in HEADER_FIELDS]), {"ignoreNullFields": "false"})
+    whole = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"items":['), F.coalesce("items", F.lit("")), F.lit("]}"))
+    k = F.col("id")
+    body = (
+        F.when(k % 97 == 0, F.substring(whole, F.lit(1), F.length(whole) - 9))
+        .when(k % 89 == 0, F.lit("  "))
+        .when(k % 83 == 0, F.lit("{}"))
+        .when(k % 71 == 0, F.regexp_replace(whole, '"paid":[0-9.E]+', '"paid":"lunas"'))
+        .otherwise(whole)
+    )
+    posted = tx.join(carts, k == F.col("tx_id"), "left").select(k.alias("message_id"), body.alias("body"))
+    return posted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("message_id") % 79 == 0, 2).otherwise(1)))).drop("_copy")
+
+
 def store(m: TestModel) -> DataFrame:
     """Sales already held by the store when the batch arrives."""
     return m.transactions.where(F.col("date") < F.lit(STORE_CUTOFF))
