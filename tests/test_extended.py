@@ -74,3 +74,41 @@ def test_discount_and_total_round_by_themselves(spark, subtotal, value, cap, amo
     df = spark.createDataFrame([(subtotal, "percent", value, cap)], "subtotal long, rule_type string, rule_value long, max_discount long")
     r = df.select(*quote_columns()).collect()[0]
     assert (r.discount_amount, r.total_after_discount) == (amount, total)
+
+
+def test_ordered_csv_parts_are_one_sorted_file(spark, scratch):
+    """Concatenated by name, the parts are the sorted ledger with one header line."""
+    import csv
+    import io
+    import os
+
+    from tillspark.plans import ledger
+    from tillspark.sources.export import write_csv_ordered
+
+    m = load_model(spark, SF)
+    rows = ledger.export_ledger_rows(m.transactions, m.users, m.customers, m.tx_lines)
+    out = rows.select(*ledger.EXPORT_LEDGER_COLUMNS, *[F.col(c).alias(f"_{c}") for c in ("date", "time", "id")])
+    path = os.path.join(scratch, "ordered")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_csv_ordered(out, path, [("_date", True), ("_time", True), ("_id", True)], ledger.LEDGER_CSV_HEADER)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
+    assert len(parts) > 2
+    lines = list(csv.reader(io.StringIO("".join(open(os.path.join(path, p)).read() for p in parts))))
+    want = [[str(v) for v in r] for r in rows.orderBy(F.desc("date"), F.desc("time"), F.desc("id")).select(*ledger.EXPORT_LEDGER_COLUMNS).collect()]
+    assert lines == [ledger.LEDGER_CSV_HEADER, *want]
+
+
+def test_ordered_csv_quotes_and_empty_table(spark, scratch):
+    import os
+
+    from tillspark.sources.export import write_csv_ordered
+
+    df = spark.createDataFrame([(2, 'say "hi"', None), (1, "a,b", "")], "n int, text string, other string")
+    write_csv_ordered(df, os.path.join(scratch, "q"), [("n", False)])
+    write_csv_ordered(df.limit(0), os.path.join(scratch, "none"), [("n", False)], ["N", "T", "O"])
+    read = lambda d: "".join(open(os.path.join(scratch, d, p)).read() for p in sorted(os.listdir(os.path.join(scratch, d))) if p.endswith(".csv"))
+    assert read("q") == 'n,text,other\n1,"a,b",\n2,"say ""hi""",\n'
+    assert read("none") == "N,T,O\n"

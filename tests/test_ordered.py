@@ -96,3 +96,26 @@ def test_refused_sales_take_nothing(spark):
 def test_admission_of_nothing(spark):
     empty = spark.createDataFrame([], "at long, sale string, product long, qty long, stock long")
     assert admit_sales(empty, "sale", "product", ["at", "sale"], "qty", "stock").collect() == []
+
+
+def test_ranks_over_nulls_ties_texts_and_numbers(spark, monkeypatch):
+    import tillspark.operators.selection as selection
+    from tillspark.operators.topk import page
+
+    monkeypatch.setattr(selection, "STOP", 3)
+    monkeypatch.setattr(selection, "BUCKETS", 4)
+    rng = random.Random(4)
+    names = [None, "", "a", "a\0", "ab", "Zebra kecil sekali", "Zebra kecil sekalian", "äpfel", "\U0001f600", "x" * 40, "x" * 41]
+    rows = [(rng.choice(names), rng.choice([None, -(2**63), -5, 0, 7, 2**63 - 1]), rng.random() < 0.5, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, n long, flag boolean, id int")
+    for keys in (
+        [("name", False), ("n", False), ("flag", False), ("id", False)],
+        [("name", True), ("n", True), ("flag", True), ("id", True)],
+        [("n", True), ("name", False), ("id", True)],
+    ):
+        order = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
+        everything = [r.id for r in df.orderBy(*order).collect()]
+        for number in (1, 2, 9, 17, 33, 57, 58):
+            assert [r.id for r in page(df, number, keys, 7).collect()] == everything[(number - 1) * 7 : number * 7]
+    with pytest.raises(TypeError):
+        page(spark.createDataFrame([(1.5,)] * 9, "x double"), 9, [("x", False)], 1)

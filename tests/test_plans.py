@@ -64,24 +64,24 @@ def test_topk_uses_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_deep_page_is_distributed(spark):
-    from pyspark.sql import functions as F
-
-    from tillspark.operators.topk import page, recent_order
-
-    m = load_model(spark, SF)
-    tx = m.transactions.select("id", "date", "time")
-    import tillspark.operators.topk as topk
-
-    old = topk.MAX_OFFSET_ROWS
-    topk.MAX_OFFSET_ROWS = 5
-    try:
-        a = {r.id for r in page(tx, 40, recent_order()).collect()}
-    finally:
-        topk.MAX_OFFSET_ROWS = old
-    b = {r.id for r in tx.orderBy(*recent_order()).offset(390).limit(10).collect()}
-    assert a == b and len(a) == 10
-    assert tx.where(F.col("id").isin(list(a))).count() == 10
+def test_deep_pages_need_no_checkpoint_and_no_sort(spark, monkeypatch):
+    """Pages at any depth equal the offset form; the plan stays a filter and a small top-k."""
+    import tillspark.operators.selection as selection
+    from tillspark.operators.topk import RECENT_KEYS, page, recent_order
+
+    monkeypatch.setattr(selection, "STOP", 20)
+    monkeypatch.setattr(selection, "BUCKETS", 16)
+    tx = load_model(spark, SF).transactions.select("id", "date", "time")
+    n = tx.count()
+    everything = [r.id for r in tx.orderBy(*recent_order()).collect()]
+    for number in (1, 2, 3, 40, 149, n // 10, n // 10 + 1, 1_000_000):
+        cut = page(tx, number, RECENT_KEYS)
+        text = cut._jdf.queryExecution().executedPlan().toString()
+        assert "Scan ExistingRDD" not in text and "Window" not in text
+        assert [r.id for r in cut.orderBy(*recent_order()).collect()] == everything[(number - 1) * 10 : number * 10], number
+    deep = page(tx, 100, RECENT_KEYS)._jdf.queryExecution().sparkPlan().toString()
+    assert "TakeOrderedAndProject(limit=" in deep
+    assert int(deep.split("TakeOrderedAndProject(limit=")[1].split(",")[0]) <= 30
 
 
 def test_invoice_dedup_limits_before_the_shuffle(spark):

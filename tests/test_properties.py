@@ -115,11 +115,11 @@ def test_ingest_decisions_partition_the_batch(spark):
 
 
 def test_keyset_pages_equal_offset_pages(seed):
-    from tillspark.operators.topk import page, page_after, recent_order
+    from tillspark.operators.topk import RECENT_KEYS, page, page_after, recent_order
 
     tx = seed["transactions"].select("id", "date", "time")
     keys = [("date", True), ("time", True), ("id", True)]
-    first = page(tx, 1, recent_order(), size=5).orderBy(*recent_order()).collect()
+    first = page(tx, 1, RECENT_KEYS, size=5).orderBy(*recent_order()).collect()
     last = first[-1].asDict()
     nxt = [r.id for r in page_after(tx, last, keys, size=5).collect()]
-    assert nxt == [r.id for r in page(tx, 2, recent_order(), size=5).orderBy(*recent_order()).collect()]
+    assert nxt == [r.id for r in page(tx, 2, RECENT_KEYS, size=5).orderBy(*recent_order()).collect()]

@@ -11,10 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillspark.operators.joins import row_bound_holds
+from tillspark.operators.ordered import with_position
+from tillspark.operators.selection import from_rank
+
 PAGE_SIZE = 10
 TOP_K = 5
-# Deeper than this, ``page`` switches from offset to keyset paging.
-MAX_OFFSET_ROWS = 10_000
+#: newest first, id last, as (column, descending) pairs
+RECENT_KEYS = [("date", True), ("time", True), ("id", True)]
+# W2 numbers up to this many rows in one partition, counted first.
+ORDINAL_ROWS = 10_000
 
 
 def top_k(df: DataFrame, order: list[Column], k: int = TOP_K, rank_col: str | None = None) -> DataFrame:
@@ -42,27 +48,25 @@ def recent_order(date: str = "date", time: str | None = "time", key: str = "id")
     return cols
 
 
-def with_ordinal(df: DataFrame, order: list[Column], col: str = "ordinal") -> DataFrame:
-    """1-based position in ``order``.  Only for bounded frames (one
-    partition); use ``top_k``/``page`` for large ones."""
-    return df.withColumn(col, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def with_ordinal(df: DataFrame, order: list[Column], uses: list[str], key: str = "id", col: str = "ordinal") -> DataFrame:
+    """1-based position in ``order``, a total order over the columns ``uses``.
 
+    A frame counted to hold few rows is numbered in one partition; any other by
+    ``with_position``."""
+    if row_bound_holds(df.select(key), ORDINAL_ROWS):
+        return df.withColumn(col, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return with_position(df, order, uses, [key], col)
 
-def page(df: DataFrame, number: int, order: list[Column], size: int = PAGE_SIZE) -> DataFrame:
-    """``LIMIT size OFFSET (number-1)*size`` under a total ``order``.
 
-    Shallow pages plan as ``TakeOrderedAndProject(limit=offset+size, offset)``:
-    every task keeps offset+size rows.  Beyond ``MAX_OFFSET_ROWS`` that
-    buffer would grow with the page number, so deep pages number rows with
-    the distributed ``global_positions`` and keep the slice by position.
-    """
-    offset = max(number - 1, 0) * size
-    if offset <= MAX_OFFSET_ROWS:
-        return df.orderBy(*order).offset(offset).limit(size)
-    from tillspark.operators.ids import global_positions
+def page(df: DataFrame, number: int, keys: list[tuple[str, bool]], size: int = PAGE_SIZE) -> DataFrame:
+    """``LIMIT size OFFSET (number-1)*size`` under ``keys``, (column,
+    descending) pairs that form a total order.
 
-    ranked = global_positions(df, order, "_pos")
-    return ranked.where((F.col("_pos") > offset) & (F.col("_pos") <= offset + size)).drop("_pos")
+    ``from_rank`` first filters off whole ranges that lie before the page, so
+    every task of the final top-k keeps a few thousand rows at any depth."""
+    rest, skip = from_rank(df, keys, max(number - 1, 0) * size)
+    order = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
+    return rest.orderBy(*order).offset(skip).limit(size)
 
 
 def page_after(df: DataFrame, last: dict, keys: list[tuple[str, bool]], size: int = PAGE_SIZE) -> DataFrame:

@@ -55,7 +55,7 @@ def category_counts(categories: DataFrame, products: DataFrame) -> DataFrame:
     )
     j = categories.join(counts, categories["id"] == counts["category_id"], "left").drop("category_id")
     j = j.withColumn("product_count", F.coalesce("product_count", zero()))
-    return with_ordinal(j, name_order(), "ordinal")
+    return with_ordinal(j, name_order(), ["name", "id"])
 
 
 def user_list(users: DataFrame) -> DataFrame:

@@ -139,3 +139,90 @@ def json_lines(spark, sf_dir):
     good = parse_posted(posted_bodies(load_model(spark, sf_dir))).where("problem IS NULL").drop("message_id", "problem")
     headers, lines = split_documents(good)
     return lines.join(headers.select("doc_id", "invoice_no").distinct(), "doc_id").drop("doc_id")
+
+
+# --------------------------------------------------------------------------
+# Ordered lists with their positions, deep pages
+# --------------------------------------------------------------------------
+
+_BY_NAME = "lower(name), name, id"
+_NEWEST = "date DESC, time DESC, id DESC"
+
+
+def _numbered(base: str, order: str, drop: str = "") -> str:
+    """Oracle of a list: the list's own oracle, numbered by a plain window."""
+    from tillspark import registry
+    from tillspark.plans import queries  # noqa: F401 -- registers the lists
+
+    return f"SELECT * {drop}, row_number() OVER (ORDER BY {order}) AS position FROM ({registry.ORACLE[base]}) list"
+
+
+def _list(base: str, order: list, uses: list[str], key: list[str]):
+    def fn(spark, sf_dir):
+        from tillspark import registry
+        from tillspark.operators.ordered import with_position
+
+        return with_position(registry.QUERIES[base](spark, sf_dir), order, uses, key)
+
+    return fn
+
+
+def _register_lists() -> None:
+    from tillspark.operators.topk import name_order, recent_order
+
+    by_name, newest = name_order(), recent_order()
+    for base in ("product_list", "customer_totals", "user_list"):
+        register(f"{base}_ordered", _numbered(base, _BY_NAME))(_list(base, by_name, ["name", "id"], ["id"]))
+    register("ledger_ordered", _numbered("ledger", _NEWEST))(_list("ledger", newest, ["date", "time", "id"], ["id"]))
+    invoices = [F.col("date").desc(), F.col("time").desc(), F.col("invoice_no").desc()]
+    uses = ["date", "time", "invoice_no"]
+    register("report_rows_ordered", _numbered("report_month", "date DESC, time DESC, invoice_no DESC"))(
+        _list("report_month", invoices, uses, ["invoice_no"])
+    )
+    register("customer_history_ordered", _numbered("customer_history", "customer_id, date DESC, time DESC, invoice_no DESC"))(
+        _list("customer_history", [F.col("customer_id"), *invoices], ["customer_id", *uses], ["invoice_no"])
+    )
+
+
+_register_lists()
+
+
+@register(
+    "export_ledger_ordered",
+    with_model(
+        f"""SELECT t.invoice_no, strftime(t.date, '%d/%m/%Y') || ' ' || t.time AS date_text, COALESCE(u.name, '-') AS cashier_name,
+       COALESCE(c.name, 'Umum') AS customer_name, (SELECT COUNT(*) FROM tx_details d WHERE d.tx_id = t.id) AS items, t.subtotal,
+       t.discount, t.discount_type, t.total, t.paid, t.change, row_number() OVER (ORDER BY t.date DESC, t.time DESC, t.id DESC) AS position
+FROM transactions t LEFT JOIN users u ON u.id = t.cashier_id LEFT JOIN customers c ON c.id = t.customer_id""",
+        ["transactions", "users", "customers", "tx_details"],
+    ),
+)
+def export_ledger_ordered(spark, sf_dir):
+    """S5 rows with the line number they have in the ordered CSV."""
+    from tillspark.operators.ordered import with_position
+    from tillspark.operators.topk import recent_order
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    rows = ledger.export_ledger_rows(m.transactions, m.users, m.customers, m.tx_lines)
+    return with_position(rows, recent_order(), ["date", "time", "id"], ["id"]).select(*ledger.EXPORT_LEDGER_COLUMNS, "position")
+
+DEEP_PAGE = 1200
+
+
+@register(
+    "ledger_deep_page",
+    with_model(
+        f"""SELECT t.id, t.invoice_no, t.date, t.time, COALESCE(u.name, 'Kasir') AS cashier_name,
+       COALESCE(c.name, 'Umum') AS customer_name, t.subtotal, t.discount, t.discount_type, t.total, t.paid, t.change, t.status,
+       (SELECT COUNT(*) FROM tx_details d WHERE d.tx_id = t.id) AS items
+FROM (SELECT * FROM transactions ORDER BY {_NEWEST} LIMIT 10 OFFSET {(DEEP_PAGE - 1) * 10}) t
+LEFT JOIN users u ON u.id = t.cashier_id LEFT JOIN customers c ON c.id = t.customer_id""",
+        ["transactions", "users", "customers", "tx_details"],
+    ),
+)
+def ledger_deep_page(spark, sf_dir):
+    from tillspark.plans import ledger
+
+    m = load_model(spark, sf_dir)
+    return ledger.ledger_page(m.transactions, m.users, m.customers, m.tx_lines, DEEP_PAGE)

@@ -20,7 +20,7 @@ from tillspark.functions.money import line_subtotal, page_count
 from tillspark.operators.aggregates import basket_subtotal, item_counts, row_count
 from tillspark.operators.filters import ledger_filter
 from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, semi
-from tillspark.operators.topk import PAGE_SIZE, page, recent_order
+from tillspark.operators.topk import PAGE_SIZE, RECENT_KEYS, page
 from tillspark.plans.reports import VIEW_COLUMNS, with_parties
 
 LEDGER_COLUMNS = [
@@ -75,7 +75,7 @@ def ledger_page(
 ) -> DataFrame:
     """T7 on R5: newest first (date, time, id descending)."""
     f = ledger_filter(tx, search_text, start, end)
-    cut = page(f, number, recent_order(), size)
+    cut = page(f, number, RECENT_KEYS, size)
     parties = with_parties(cut, users, customers, CASHIER_LEDGER, WALK_IN_LEDGER).select(*LEDGER_COLUMNS)
     ids = F.broadcast(cut.select(F.col("id").alias("_pid")))
     page_lines = semi(details.select("tx_id"), ids, F.col("tx_id") == F.col("_pid"))

@@ -39,6 +39,31 @@ def write_csv(
     )
 
 
+def write_csv_ordered(df: DataFrame, path: str, order: list[tuple[str, bool]], header: list[str] | None = None, mode: str = "overwrite") -> None:
+    """S5-S7 in order: part files that, concatenated by name, are one CSV in
+    ``order`` with a single header line.
+
+    ``orderBy`` deals the rows out by ranges of the order and sorts each range in
+    its own task, so nothing passes through one task; the header line is a row
+    that sorts before all others and so opens the first part.  ``order`` holds
+    (column, descending) pairs; columns whose names begin with an underscore
+    are sorted by but not written.
+    """
+    shown = [c for c in df.columns if not c.startswith("_")]
+    names = header or shown
+    if len(names) != len(shown):
+        raise ValueError("header length differs from the column count")
+    rows = df.select(F.lit(1).alias("__line"), *[F.col(f"`{c}`") for c in df.columns])
+    keys = [f"__k{i}" for i in range(len(order))]
+    rows = rows.select("__line", *[F.col(f"`{c}`").cast("string").alias(c) for c in shown], *[F.col(c).alias(k) for (c, _), k in zip(order, keys)])
+    first = df.sparkSession.range(0, 1, 1, 1).select(
+        F.lit(0).alias("__line"), *[F.lit(n).alias(c) for n, c in zip(names, shown)], *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys]
+    )
+    sorted_rows = first.unionByName(rows).orderBy("__line", *[F.col(k).desc() if desc else F.col(k) for (_, desc), k in zip(order, keys)])
+    writer = sorted_rows.select(*[F.col(f"`{c}`") for c in shown]).write.mode(mode)
+    writer.option("header", False).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+
+
 def read_csv(spark, path: str, schema) -> DataFrame:
     """Read a CSV written by ``write_csv`` back with a declared schema."""
     return (
