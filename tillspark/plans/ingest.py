@@ -150,8 +150,8 @@ class Ingested(NamedTuple):
     stock: DataFrame
 
 
-def accepted_headers(decided: DataFrame, store_tx: DataFrame) -> DataFrame:
-    """Header rows of accepted sales with ids after the store's maximum id.
+def accepted_headers(decided: DataFrame, store_tx: DataFrame, last_id: int | None = None) -> DataFrame:
+    """Header rows of accepted sales with ids after ``last_id`` (None: the store's maximum).
 
     ``discount_amount`` is 0 as in the reference insert, which omits it.
     """
@@ -162,7 +162,8 @@ def accepted_headers(decided: DataFrame, store_tx: DataFrame) -> DataFrame:
         F.lit("completed").alias("status"),
         F.lit(0).cast("long").alias("discount_amount"),
     )
-    start = store_tx.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    highest = store_tx.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
+    start = highest.scalar() if last_id is None else F.lit(last_id).cast("long")
     order = ["date", "time", "invoice_no"]
     numbered = with_position(rows, [F.col(c) for c in order], order, ["doc_id"], "_pos")
     return numbered.withColumn("id", (start + F.col("_pos")).cast("long")).drop("_pos")
@@ -189,10 +190,12 @@ def stock_taken(accepted: DataFrame, products: DataFrame) -> DataFrame:
     return j.select("id", "units_sold", (F.col("stock") - F.col("units_sold")).alias("stock"))
 
 
-def ingest(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> Ingested:
+def ingest(
+    headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame, last_id: int | None = None
+) -> Ingested:
     """M12 in one pass over one decision frame."""
     decided = materialize(decide(headers, lines, store_tx, products))
-    heads = accepted_headers(decided, store_tx)
+    heads = accepted_headers(decided, store_tx, last_id)
     rows = accepted_lines(heads, lines)
     return Ingested(decided.select("invoice_no", "copies", "decision"), heads.drop("doc_id"), rows, stock_taken(rows, products))
 

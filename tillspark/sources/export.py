@@ -119,6 +119,11 @@ def folder_entries(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def latest_version(spark: SparkSession, root: str) -> str | None:
     """The newest fully written version folder under ``root``: numbers by value,
     after versions that are not numbers (by code point)."""

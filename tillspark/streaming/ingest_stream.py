@@ -1,66 +1,105 @@
 """Streaming form of sale ingestion.
 
-``readStream`` of JSON sale documents -> ``foreachBatch`` running the batch
-ingest against the store as it stands (base table + everything accepted by
-earlier micro-batches) -> accepted headers and lines appended per epoch.
-
-Each epoch writes to its own ``epoch=<id>`` folder in overwrite mode, so a
-micro-batch replayed after a failure replaces its own output instead of
-duplicating it; the query checkpoint (in the shared checkpoint folder)
-records which epochs are committed.  Stock consumed by earlier epochs is
-subtracted before the next epoch's stock check.
+``readStream`` of JSON sale documents -> stateful dedup by invoice number ->
+``foreachBatch`` running the batch ingest -> accepted headers and lines appended
+per epoch.  An epoch's work does not grow with the epochs before it:
+
+* invoice numbers seen are Spark's own state (JVM, in the query checkpoint): the
+  first document of a number that arrives is judged, later ones are dropped,
+  whatever became of the first;
+* stock and the last id are a snapshot that each epoch rewrites from the one
+  before.  Only the newest two are kept.
+
+Each epoch writes to its own ``epoch=<id>`` folders in overwrite mode and reads
+the newest complete snapshot of an earlier epoch, so a micro-batch replayed after
+a failure replaces its own output and takes stock once.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.operators.inventory import apply_stock
+from tillspark.functions.text import ci_key
+from tillspark.operators.ids import materialize
 from tillspark.plans import ingest
 from tillspark.schemas import SALE_DOCUMENT
-from tillspark.sources.export import folder_entries
+from tillspark.sources.export import drop_folder, folder_entries
 
+KEPT_SNAPSHOTS = 2
 
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    """The epochs written so far; None before the first one."""
-    if not any(n.startswith("epoch=") for n in folder_entries(spark, path)):
-        return None
-    return spark.read.parquet(path)
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.split("=", 1)[1]) for n in folder_entries(spark, path) if n.startswith("epoch="))
 
 
 class SalesIngestSink:
-    """``foreachBatch`` target: store-aware ingest with per-epoch outputs."""
+    """``foreachBatch`` target: store-aware ingest with per-epoch outputs.
+
+    ``deduplicated``: the batches come from ``start_sales_ingest``, whose state
+    has dropped the invoices seen before.  A sink fed otherwise compares with the
+    invoice numbers of all earlier epochs.
+    """
 
-    def __init__(self, store: DataFrame, products: DataFrame, headers_path: str, lines_path: str):
+    def __init__(self, store: DataFrame, products: DataFrame, headers_path: str, lines_path: str, state_path: str | None = None):
         self.store = store.select("id", "invoice_no")
         self.products = products
-        self.headers_path = headers_path
-        self.lines_path = lines_path
-
-    def _state(self, spark: SparkSession, epoch_id: int) -> tuple[DataFrame, DataFrame]:
-        """Store and stock as left by the epochs before ``epoch_id`` (a replayed
-        epoch must not see its own earlier, partial output)."""
-        store = self.store
-        products = self.products
-        heads = _read_if_exists(spark, self.headers_path)
-        if heads is not None:
-            heads = heads.where(F.col("epoch") < epoch_id)
-            store = store.unionByName(heads.select(F.col("id").cast("long"), "invoice_no"))
-        lines = _read_if_exists(spark, self.lines_path)
-        if lines is not None:
-            lines = lines.where(F.col("epoch") < epoch_id)
-            products = apply_stock(products, lines.select("product_id", "qty")).drop("units_sold")
-        return store, products
+        self.headers_path = headers_path.rstrip("/")
+        self.lines_path = lines_path.rstrip("/")
+        self.state_path = (state_path or f"{self.headers_path}-state").rstrip("/")
+        self.deduplicated = False
+
+    def _snapshots(self, spark: SparkSession, before: int) -> list[int]:
+        """Epochs with a complete snapshot (the id folder is written last)."""
+        return [
+            e
+            for e in _epochs(spark, self.state_path)
+            if e < before and "_SUCCESS" in folder_entries(spark, f"{self.state_path}/epoch={e}/last_id")
+        ]
+
+    def state(self, spark: SparkSession, epoch_id: int) -> tuple[DataFrame, int | None]:
+        """Products as left by the epochs before ``epoch_id``, and the last id
+        given out (None: that of the store)."""
+        done = self._snapshots(spark, epoch_id)
+        if not done:
+            return self.products, None
+        root = f"{self.state_path}/epoch={done[-1]}"
+        stock = spark.read.schema(self.products.schema).parquet(f"{root}/products")
+        return stock, spark.read.schema("id long").parquet(f"{root}/last_id").first().id
+
+    def _stored(self, spark: SparkSession, epoch_id: int) -> DataFrame:
+        if self.deduplicated or not any(e < epoch_id for e in _epochs(spark, self.headers_path)):
+            return self.store
+        heads = spark.read.parquet(self.headers_path).where(F.col("epoch") < epoch_id)
+        return self.store.unionByName(heads.select(F.col("id").cast("long"), "invoice_no"))
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        store, products = self._state(spark, epoch_id)
-        headers, lines = ingest.split_documents(batch)
-        done = ingest.ingest(headers, lines, store, products)
-        done.headers.write.mode("overwrite").parquet(f"{self.headers_path.rstrip('/')}/epoch={epoch_id}")
-        done.lines.write.mode("overwrite").parquet(f"{self.lines_path.rstrip('/')}/epoch={epoch_id}")
+        products, last_id = self.state(spark, epoch_id)
+        # a stateful batch must be read once: what the state let through is fixed here
+        headers, lines = ingest.split_documents(materialize(batch.select(*SALE_DOCUMENT.fieldNames())))
+        done = ingest.ingest(headers, lines, self._stored(spark, epoch_id), products, last_id)
+        folder = f"epoch={epoch_id}"
+        done.headers.write.mode("overwrite").parquet(f"{self.headers_path}/{folder}")
+        done.lines.write.mode("overwrite").parquet(f"{self.lines_path}/{folder}")
+        taken = done.stock.select(F.col("id").alias("_tid"), F.col("stock").alias("_left"))
+        left = products.join(taken, F.col("id") == F.col("_tid"), "left").withColumn("stock", F.coalesce("_left", "stock"))
+        left.select(*products.columns).write.mode("overwrite").parquet(f"{self.state_path}/{folder}/products")
+        highest = spark.read.schema("id long").parquet(f"{self.headers_path}/{folder}").agg(F.max("id").alias("id"))
+        before = F.lit(last_id).cast("long") if last_id is not None else self.store.agg(F.max("id").cast("long")).scalar()
+        highest.select(F.coalesce("id", before, F.lit(0).cast("long")).alias("id")).write.mode("overwrite").parquet(
+            f"{self.state_path}/{folder}/last_id"
+        )
+        for old in self._snapshots(spark, epoch_id + 1)[:-KEPT_SNAPSHOTS]:
+            drop_folder(spark, f"{self.state_path}/epoch={old}")
+
+
+def unseen_invoices(docs: DataFrame) -> DataFrame:
+    """The first document of each invoice number (stateful on a stream).
+    Documents without a number pass once per distinct body."""
+    body = F.sha2(F.to_json(F.struct(*[F.col(c) for c in docs.columns])), 256)
+    keyed = docs.withColumn("_seen", F.coalesce(F.concat(F.lit("#"), ci_key("invoice_no")), body))
+    return keyed.dropDuplicates(["_seen"]).drop("_seen")
 
 
 def start_sales_ingest(
@@ -75,7 +114,8 @@ def start_sales_ingest(
     reader = spark.readStream.schema(SALE_DOCUMENT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    docs = reader.json(source_dir)
+    docs = unseen_invoices(reader.json(source_dir))
+    sink.deduplicated = True
     writer = docs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
