@@ -162,3 +162,47 @@ def test_twenty_epochs_read_one_snapshot_each(spark, seed, scratch):
     stock, last_id = sink.state(spark, 20)
     assert last_id == 31 and stock.where("id = 1").first().stock == 1
     assert spark.read.parquet(sink.headers_path).count() == 15
+
+
+def test_text_compares_without_case_accents_and_trailing_blanks(spark):
+    from tillspark.functions.text import ci_key, fold, search_match
+
+    names = ["Café Été", "CAFE ETE  ", "cafe\u0301 ete", "Ñandú", "nandu", "straße", "Łódź", "teh 100%", None, "日本"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = df.select("name", ci_key("name").alias("k"), fold("name").alias("f"), search_match("name", "FÉ_ET").alias("hit")).collect()
+    keys = {r.name: r.k for r in rows}
+    assert keys["Café Été"] == keys["CAFE ETE  "] == "cafe ete" and keys["Ñandú"] == keys["nandu"]
+    assert keys[None] is None and keys["日本"] == "日本" and keys["straße"] == "straße"
+    assert {r.name for r in rows if r.hit} == {"Café Été", "CAFE ETE  "}
+    # the ICU collation finds the same names equal
+    pairs = df.where("name IN ('Café Été', 'Ñandú')").crossJoin(df.select(F.col("name").alias("other")))
+    equal = pairs.where(F.collate("name", "UNICODE_CI_AI_RTRIM") == F.collate("other", "UNICODE_CI_AI_RTRIM"))
+    by_key = pairs.where(ci_key("name") == ci_key("other"))
+    assert by_key.exceptAll(equal).count() == 0 and equal.count() >= by_key.count() == 4
+
+
+def test_filters_prune_months_and_lines(spark, scratch):
+    import datetime as dt
+    import os
+
+    from tillspark.operators.filters import date_range, on_date
+    from tillspark.plans import ledger
+    from tillspark.sources.export import with_month, write_snapshot
+
+    m = load_model(spark, SF)
+    write_snapshot(with_month(m.transactions), os.path.join(scratch, "tx"), "1", ["month"])
+    tx = spark.read.parquet(os.path.join(scratch, "tx", "version=1"))
+    plain = m.transactions
+    for got, want in (
+        (on_date(tx, dt.date(2001, 7, 19)), on_date(plain, dt.date(2001, 7, 19))),
+        (date_range(tx, "2001-07-02", None), date_range(plain, "2001-07-02", None)),
+        (date_range(tx, "2001-03-15", "2001-05-01"), date_range(plain, "2001-03-15", "2001-05-01")),
+    ):
+        filters = got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert "month" in filters
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+    rows = ledger.ledger(plain, m.users, m.customers, m.tx_lines, None, "2001-07-01", None)
+    text = rows._jdf.queryExecution().sparkPlan().toString()
+    assert any("LeftSemi" in ln and "Broadcast" in ln for ln in text.splitlines()), [ln for ln in text.splitlines() if "Join" in ln]
+    everything = {r.id: r["items"] for r in ledger.ledger(plain, m.users, m.customers, m.tx_lines).collect()}
+    assert {r.id: r["items"] for r in rows.collect()}.items() <= everything.items()

@@ -22,32 +22,33 @@ def active_users(users: DataFrame) -> DataFrame:
     return users.where(F.col("status") == "active")
 
 
+def _in_months(df: DataFrame, start=None, end=None) -> DataFrame:
+    """The same bounds on the partition column of a month-partitioned sale table
+    (``sources.export.with_month``): whole folders are pruned before any file opens."""
+    if "month" not in df.columns:
+        return df
+    if start is not None:
+        df = df.where(F.col("month") >= F.trunc(F.lit(start).cast("date"), "month"))
+    return df if end is None else df.where(F.col("month") <= F.lit(end).cast("date"))
+
+
 def on_date(df: DataFrame, day: dt.date, col: str = "date") -> DataFrame:
     """P6."""
-    return df.where(F.col(col) == F.lit(day))
+    return _in_months(df.where(F.col(col) == F.lit(day)), day, day)
 
 
 def date_range(df: DataFrame, start: dt.date | str | None = None, end: dt.date | str | None = None, col: str = "date") -> DataFrame:
     """Optional, inclusive bounds; an empty bound applies no filter."""
     if start not in (None, ""):
-        df = df.where(F.col(col) >= F.lit(start).cast("date"))
+        df = _in_months(df.where(F.col(col) >= F.lit(start).cast("date")), start=start)
     if end not in (None, ""):
-        df = df.where(F.col(col) <= F.lit(end).cast("date"))
+        df = _in_months(df.where(F.col(col) <= F.lit(end).cast("date")), end=end)
     return df
 
 
 def period_filter(df: DataFrame, start: dt.date, end: dt.date, col: str = "date") -> DataFrame:
-    """``BETWEEN start AND end``.
-
-    On a month-partitioned sale table (a ``month`` column, see
-    ``sources.export.with_month``) the same bounds are also stated on the
-    partition column, so whole month folders are pruned before any file is
-    opened; the exact day filter still applies inside.
-    """
-    out = df.where(F.col(col).between(F.lit(start), F.lit(end)))
-    if "month" in df.columns:
-        out = out.where(F.col("month").between(F.trunc(F.lit(start), "month"), F.lit(end)))
-    return out
+    """P8:``BETWEEN start AND end``."""
+    return _in_months(df.where(F.col(col).between(F.lit(start), F.lit(end))), start, end)
 
 
 def search(df: DataFrame, col: str, text: str | None) -> DataFrame:

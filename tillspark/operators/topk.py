@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillspark.functions.text import fold
 from tillspark.operators.joins import row_bound_holds
 from tillspark.operators.ordered import with_position
 from tillspark.operators.selection import from_rank
@@ -35,8 +36,8 @@ def top_k(df: DataFrame, order: list[Column], k: int = TOP_K, rank_col: str | No
 
 
 def name_order(name: str = "name", key: str = "id") -> list[Column]:
-    """T5: case-insensitive name order (general_ci), id as tie-break."""
-    return [F.lower(F.col(name)).asc(), F.col(name).asc(), F.col(key).asc()]
+    """T5: name order regardless of case and accents (general_ci), id as tie-break."""
+    return [fold(name).asc(), F.col(name).asc(), F.col(key).asc()]
 
 
 def recent_order(date: str = "date", time: str | None = "time", key: str = "id") -> list[Column]:

@@ -226,3 +226,77 @@ def ledger_deep_page(spark, sf_dir):
 
     m = load_model(spark, sf_dir)
     return ledger.ledger_page(m.transactions, m.users, m.customers, m.tx_lines, DEEP_PAGE)
+
+
+# --------------------------------------------------------------------------
+# Text compared without case and accents
+# --------------------------------------------------------------------------
+
+
+def _accented_sql(col: str, key: str = "id") -> str:
+    return (
+        f"CASE WHEN {key} % 2 = 0 THEN translate({col}, 'aeiou', 'áèîõü') WHEN {key} % 3 = 0 THEN upper({col}) ELSE {col} END"
+    )
+
+
+@register(
+    "accent_search",
+    with_model(
+        f""",
+named AS (SELECT id, {_accented_sql("name")} AS name, phone FROM customers)
+SELECT *, row_number() OVER (ORDER BY strip_accents(lower(name)), name, id) AS position
+FROM named WHERE strip_accents(lower(name)) LIKE '%customer#00000_1%' OR phone LIKE '%000077%'""",
+        ["customers"],
+    ),
+)
+def accent_search(spark, sf_dir):
+    """P11 and T5 over names with and without accents and capitals."""
+    from tillspark.operators.filters import search_any
+    from tillspark.operators.ordered import with_position
+    from tillspark.operators.topk import name_order
+    from tillspark.sources.changes import accented
+
+    c = load_model(spark, sf_dir).customers.select("id", accented("name").alias("name"), "phone")
+    found = search_any(c, ["name"], "CÚSTOMER#00000_1").unionByName(search_any(c, ["phone"], "000077")).distinct()
+    return with_position(found, name_order(), ["name", "id"], ["id"])
+
+
+@register(
+    "accent_dedup",
+    with_model(
+        f""",
+batch AS (SELECT id, {_accented_sql("username")} || CASE WHEN id % 5 = 0 THEN '-baru' ELSE '  ' END AS username FROM users)
+SELECT b.id, b.username, b.id % 5 <> 0 AS taken FROM batch b""",
+        ["users"],
+    ),
+)
+def accent_dedup(spark, sf_dir):
+    """M8: a username that differs from a stored one in case, accents or trailing blanks only is taken."""
+    from tillspark.operators.mutations import reject_existing
+    from tillspark.sources.changes import accented
+
+    users = load_model(spark, sf_dir).users
+    suffix = F.when(F.col("id") % 5 == 0, F.lit("-baru")).otherwise(F.lit("  "))
+    batch = users.select("id", F.concat(accented("username"), suffix).alias("username"))
+    fresh, taken = reject_existing(batch, users, F.col("username"), F.col("username"))
+    return fresh.withColumn("taken", F.lit(False)).unionByName(taken.withColumn("taken", F.lit(True)))
+
+
+@register(
+    "accent_revenue",
+    with_model(
+        f""",
+sold AS (SELECT {_accented_sql("product_name", "tx_id")} AS name, qty, subtotal FROM tx_details)
+SELECT min(name) AS product_name, CAST(SUM(qty) AS BIGINT) AS qty_sold, CAST(SUM(subtotal) AS BIGINT) AS revenue
+FROM sold GROUP BY rtrim(strip_accents(lower(name)))""",
+        ["tx_details"],
+    ),
+)
+def accent_revenue(spark, sf_dir):
+    """Snapshots of one name in several spellings are one product."""
+    from tillspark.operators.aggregates import product_sales
+    from tillspark.sources.changes import accented
+
+    lines = load_model(spark, sf_dir).tx_details
+    named = lines.withColumnRenamed("tx_id", "id").withColumn("product_name", accented("product_name"))
+    return product_sales(named, by_name_only=True)

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from tillspark.functions.dates import display_date
 from tillspark.functions.labels import CASHIER_EXPORT, CASHIER_LEDGER, WALK_IN_LEDGER, product_label
 from tillspark.functions.money import line_subtotal, page_count
+from tillspark.functions.text import is_blank_param
 from tillspark.operators.aggregates import basket_subtotal, item_counts, row_count
 from tillspark.operators.filters import ledger_filter
-from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, semi
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, row_bound_holds, semi
 from tillspark.operators.topk import PAGE_SIZE, RECENT_KEYS, page
 from tillspark.plans.reports import VIEW_COLUMNS, with_parties
 
@@ -47,6 +48,20 @@ def with_item_count(tx: DataFrame, details: DataFrame) -> DataFrame:
     return j.withColumn("items", F.coalesce(F.col("items"), F.lit(0).cast("long")))
 
 
+def _lines_of(details: DataFrame, sales: DataFrame, search_text, start, end) -> DataFrame:
+    """The lines to count: those of the filtered sales, if there is a filter.
+
+    Few sales (counted) filter the line scan map-side, so only their lines are
+    counted and shuffled; without a filter, or with many sales, all lines are
+    reduced to counts first, which shuffles less than the lines themselves."""
+    if is_blank_param(search_text) and start in (None, "") and end in (None, ""):
+        return details
+    ids = sales.select(F.col("id").alias("_sid"))
+    if not row_bound_holds(ids, DIM_BROADCAST_ROWS):
+        return details
+    return semi(details.select("tx_id"), F.broadcast(ids), F.col("tx_id") == F.col("_sid"))
+
+
 def ledger(
     tx: DataFrame,
     users: DataFrame,
@@ -59,7 +74,7 @@ def ledger(
     """R5 rows (unpaged): filter first, then parties, then item counts."""
     f = ledger_filter(tx, search_text, start, end)
     parties = with_parties(f, users, customers, CASHIER_LEDGER, WALK_IN_LEDGER).select(*LEDGER_COLUMNS)
-    return with_item_count(parties, details)
+    return with_item_count(parties, _lines_of(details, f, search_text, start, end))
 
 
 def ledger_page(
@@ -190,7 +205,7 @@ def export_ledger_rows(
     """S5 / S7 rows: ``-`` for a missing cashier, ``Umum`` for walk-ins."""
     f = ledger_filter(tx, search_text, start, end)
     j = with_parties(f, users, customers, CASHIER_EXPORT, WALK_IN_LEDGER)
-    j = with_item_count(j, details)
+    j = with_item_count(j, _lines_of(details, f, search_text, start, end))
     return j.select(
         "invoice_no",
         display_date("date", "time" if with_time else None).alias("date_text"),

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.money import int_div
@@ -202,6 +202,12 @@ def posted_bodies(m: TestModel) -> DataFrame:
     return posted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("message_id") % 79 == 0, 2).otherwise(1)))).drop("_copy")
 
 
+def accented(c: str) -> Column:
+    """Every second name with marks on its vowels, every third in capitals."""
+    marked = F.translate(F.col(c), "aeiou", "áèîõü")
+    return F.when(F.col("id") % 2 == 0, marked).when(F.col("id") % 3 == 0, F.upper(c)).otherwise(F.col(c))
+
+
 def store(m: TestModel) -> DataFrame:
     """Sales already held by the store when the batch arrives."""
     return m.transactions.where(F.col("date") < F.lit(STORE_CUTOFF))
