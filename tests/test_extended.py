@@ -206,3 +206,37 @@ def test_filters_prune_months_and_lines(spark, scratch):
     assert any("LeftSemi" in ln and "Broadcast" in ln for ln in text.splitlines()), [ln for ln in text.splitlines() if "Join" in ln]
     everything = {r.id: r["items"] for r in ledger.ledger(plain, m.users, m.customers, m.tx_lines).collect()}
     assert {r.id: r["items"] for r in rows.collect()}.items() <= everything.items()
+
+
+def test_refusals_spread_through_the_key_graph(spark):
+    """c points at b (restrict), b at a (cascade), d at a (cascade, no key): a
+    refused cascade keeps its whole request, and what survives refuses others."""
+    from tillspark.operators.key_graph import CASCADE, RESTRICT, SET_NULL, ForeignKey, delete_requested
+
+    a = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    b = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (30, None)], "id long, a long")
+    c = spark.createDataFrame([(100, 10), (101, None)], "id long, b long")
+    d = spark.createDataFrame([(1, 7), (2, 8), (2, 9), (None, 9)], "a long, e long")
+    e = spark.createDataFrame([(7, 3), (8, 3), (9, 1), (6, None)], "id long, a long")
+    keys = (
+        ForeignKey("b", "a", "a", CASCADE), ForeignKey("c", "b", "b", RESTRICT), ForeignKey("d", "a", "a", CASCADE),
+        ForeignKey("d", "e", "e", RESTRICT), ForeignKey("e", "a", "a", SET_NULL),
+    )
+    tables = {"a": a, "b": b, "c": c, "d": d, "e": e}
+    ask = lambda *ids: spark.createDataFrame([(i,) for i in ids], "key long")
+    out = delete_requested(tables, {"a": ask(1, 2, 2, None, 99), "e": ask(6, 7, 8, 9)}, keys, {"e": (6,)})
+    got = {(r["table"], r["key"]): r.decision for r in out.decisions.collect()}
+    # 10 cannot go (c points at it), so 1 stays, so its d row stays, so e 7 stays; d (null, 9) survives, so e 9 stays
+    assert got == {
+        ("a", 1): "rejected: referenced", ("a", 2): "deleted", ("a", 99): "no such row",
+        ("e", 6): "rejected: protected", ("e", 7): "rejected: referenced", ("e", 8): "deleted", ("e", 9): "rejected: referenced",
+    }
+    rows = {t: sorted(map(tuple, df.collect()), key=str) for t, df in out.tables.items()}
+    assert rows["a"] == [(1,), (3,)] and rows["b"] == [(10, 1), (11, 1), (30, None)] and len(rows["c"]) == 2
+    assert rows["d"] == [(1, 7), (None, 9)] and rows["e"] == [(6, None), (7, 3), (9, 1)]
+    gone = delete_requested(tables, {"c": ask(100), "a": ask(1, 3)}, keys)
+    rows = {t: sorted(map(tuple, df.collect()), key=str) for t, df in gone.tables.items()}
+    assert rows["a"] == [(2,)] and rows["b"] == [(20, 2), (30, None)] and rows["c"] == [(101, None)]
+    assert rows["e"] == [(6, None), (7, None), (8, None), (9, None)]
+    with pytest.raises(ValueError):
+        delete_requested(tables, {"a": ask(1)}, (*keys, ForeignKey("a", "id", "c", RESTRICT)))

@@ -300,3 +300,65 @@ def accent_revenue(spark, sf_dir):
     lines = load_model(spark, sf_dir).tx_details
     named = lines.withColumnRenamed("tx_id", "id").withColumn("product_name", accented("product_name"))
     return product_sales(named, by_name_only=True)
+
+
+# --------------------------------------------------------------------------
+# M5-M7: one delete request over all tables
+# --------------------------------------------------------------------------
+
+_DELETE = """,
+gone_tx AS (SELECT id FROM transactions WHERE id % 29 <> 0 OR cashier_id = 5),
+left_tx AS (SELECT * FROM transactions WHERE id NOT IN (SELECT id FROM gone_tx)),
+left_lines AS (SELECT * FROM tx_details WHERE tx_id NOT IN (SELECT id FROM gone_tx)),
+gone_products AS (SELECT id FROM products WHERE id % 3 = 0 AND id NOT IN (SELECT product_id FROM left_lines)),
+gone_users AS (SELECT id FROM users WHERE id <> 1 AND id NOT IN (SELECT cashier_id FROM left_tx)),
+gone_customers AS (SELECT id FROM customers WHERE id % 4 = 0),
+gone_categories AS (SELECT id FROM categories WHERE id IN (2, 5))"""
+_DELETE_USES = ["transactions", "tx_details", "products", "users", "customers", "categories"]
+_DELETED_BODIES = {
+    "categories": "SELECT * FROM categories WHERE id NOT IN (SELECT id FROM gone_categories)",
+    "customers": "SELECT * FROM customers WHERE id NOT IN (SELECT id FROM gone_customers)",
+    "users": "SELECT * FROM users WHERE id NOT IN (SELECT id FROM gone_users)",
+    "products": """SELECT * REPLACE (CASE WHEN category_id IN (SELECT id FROM gone_categories) THEN NULL ELSE category_id END AS category_id)
+FROM products WHERE id NOT IN (SELECT id FROM gone_products)""",
+    "transactions": """SELECT * REPLACE (CASE WHEN customer_id IN (SELECT id FROM gone_customers) THEN NULL ELSE customer_id END AS customer_id)
+FROM left_tx""",
+    "tx_details": "SELECT * FROM left_lines",
+}
+
+
+def _delete_run(spark, sf_dir):
+    from tillspark.operators.key_graph import delete_requested
+    from tillspark.sources.changes import delete_request
+
+    m = load_model(spark, sf_dir)
+    tables = {t: m.table(t) for t in _DELETED_BODIES}
+    return delete_requested(tables, delete_request(m), protected={"users": (1,)})
+
+
+def _snapshot_after(table: str):
+    return lambda spark, sf_dir: _delete_run(spark, sf_dir).tables[table]
+
+
+for _table, _body in _DELETED_BODIES.items():
+    register(f"delete_run_{_table}", with_model(f"{_DELETE}\n{_body}", _DELETE_USES))(_snapshot_after(_table))
+
+
+@register(
+    "delete_run_decisions",
+    with_model(
+        f"""{_DELETE},
+asked AS (
+  SELECT 'transactions' AS "table", id AS key, TRUE AS real, TRUE AS gone FROM gone_tx
+  UNION ALL SELECT 'products', id, TRUE, id IN (SELECT id FROM gone_products) FROM products WHERE id % 3 = 0
+  UNION ALL SELECT 'products', CAST(i AS BIGINT), FALSE, FALSE FROM range(-3, -1) r(i)
+  UNION ALL SELECT 'users', id, TRUE, id IN (SELECT id FROM gone_users) FROM users
+  UNION ALL SELECT 'customers', id, TRUE, TRUE FROM gone_customers
+  UNION ALL SELECT 'categories', CAST(i AS BIGINT), i < 8, i < 8 FROM range(2, 9, 3) r(i))
+SELECT "table", key, CASE WHEN gone THEN 'deleted' WHEN "table" = 'users' AND key = 1 THEN 'rejected: protected'
+                          WHEN real THEN 'rejected: referenced' ELSE 'no such row' END AS decision FROM asked""",
+        _DELETE_USES,
+    ),
+)
+def delete_run_decisions(spark, sf_dir):
+    return _delete_run(spark, sf_dir).decisions

@@ -208,6 +208,19 @@ def accented(c: str) -> Column:
     return F.when(F.col("id") % 2 == 0, marked).when(F.col("id") % 3 == 0, F.upper(c)).otherwise(F.col(c))
 
 
+def delete_request(m: TestModel) -> dict[str, DataFrame]:
+    """One request over all keyed tables, some keys unknown, two categories used."""
+    unknown = m.spark.range(-3, -1).select(F.col("id").alias("key"))
+    every = lambda df, n: df.where(F.col("id") % n == 0).select(F.col("id").alias("key"))
+    return {
+        "transactions": m.transactions.where((F.col("id") % 29 != 0) | (F.col("cashier_id") == 5)).select(F.col("id").alias("key")),
+        "products": every(m.products, 3).union(unknown),
+        "users": m.users.select(F.col("id").alias("key")),
+        "customers": every(m.customers, 4),
+        "categories": m.spark.range(2, 9, 3).select(F.col("id").alias("key")),
+    }
+
+
 def store(m: TestModel) -> DataFrame:
     """Sales already held by the store when the batch arrives."""
     return m.transactions.where(F.col("date") < F.lit(STORE_CUTOFF))
