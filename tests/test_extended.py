@@ -240,3 +240,43 @@ def test_refusals_spread_through_the_key_graph(spark):
     assert rows["e"] == [(6, None), (7, None), (8, None), (9, None)]
     with pytest.raises(ValueError):
         delete_requested(tables, {"a": ask(1)}, (*keys, ForeignKey("a", "id", "c", RESTRICT)))
+
+
+def test_summaries_equal_a_recount_after_every_epoch(spark, scratch):
+    """Epochs, a replay, a compaction, deleted sales and the open day against a full recount."""
+    from tillspark.operators import summaries
+    from tillspark.operators.summaries import CUSTOMERS, DAILY, PRODUCTS, SummaryStore, partial
+
+    m = load_model(spark, SF)
+    tx, lines = m.transactions.cache(), m.tx_lines.cache()
+    of = lambda cond: (tx.where(cond), lines.join(tx.where(cond).select("id"), F.col("tx_id") == F.col("id"), "left_semi"))
+    store = SummaryStore(spark, scratch)
+    assert store.read(DAILY).count() == 0
+
+    def same(seen, open_cond=None):
+        heads, rows = of(seen)
+        for kind in (DAILY, CUSTOMERS, PRODUCTS):
+            open_rows = None if open_cond is None else of(open_cond)[1 if kind.of_lines else 0]
+            got = store.read(kind, open_rows)
+            want = partial(kind, rows if kind.of_lines else heads)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+    store.add_epoch(0, *of("id < 300"))
+    store.add_epoch(1, *of("id >= 300 AND id < 700"))
+    store.add_epoch(1, *of("id >= 300 AND id < 800"))  # replayed
+    same("id < 800")
+    store.compact()
+    same("id < 800")
+    with pytest.raises(ValueError):
+        store.add_epoch(1, *of("id < 5"))
+    store.add_epoch(2, *of("id >= 800 AND id < 1000"))
+    store.add_epoch(3, *of("id < 50"), sign=-1)
+    same("id >= 50 AND id < 1000")
+    same("id >= 50 AND id < 1100", "id >= 1000 AND id < 1100")
+    store.compact()
+    store.compact()
+    same("id >= 50 AND id < 1000")
+    assert len(store.parts(DAILY)) == 1
+    totals = summaries.customer_totals(m.customers.select("id", "name"), store.read(CUSTOMERS))
+    assert totals.count() == m.customers.count() and totals.agg(F.min("total_transactions")).first()[0] == 0
+    tx.unpersist(), lines.unpersist()

@@ -362,3 +362,75 @@ SELECT "table", key, CASE WHEN gone THEN 'deleted' WHEN "table" = 'users' AND ke
 )
 def delete_run_decisions(spark, sf_dir):
     return _delete_run(spark, sf_dir).decisions
+
+
+# --------------------------------------------------------------------------
+# A4, A8, A13 from maintained summaries
+# --------------------------------------------------------------------------
+
+_EPOCH_YEARS = (1997, 1999, 2001)  # sales before each year are one epoch; later ones are the open period
+
+
+def _summary(m, kind):
+    """Partials of three epochs and of the open period, added up; the middle
+    epoch's walk-in sales are taken back."""
+    from tillspark.operators import summaries
+
+    tx = m.transactions.select("id", "date", "customer_id", "total")
+    lines = m.tx_lines.join(tx.select("id", "date", F.col("customer_id").alias("_c")), F.col("tx_id") == F.col("id")).drop("id")
+    rows = lines if kind.of_lines else tx.withColumn("_c", F.col("customer_id"))
+    year = F.year("date")
+    parts, before = [], 0
+    for y in (*_EPOCH_YEARS, 9999):
+        parts.append(summaries.partial(kind, rows.where((year >= before) & (year < y))))
+        before = y
+    void = rows.where((year >= _EPOCH_YEARS[0]) & (year < _EPOCH_YEARS[1]) & F.col("_c").isNull())
+    return summaries.merged(kind, [*parts, summaries.partial(kind, void, -1)])
+
+
+_SUMMARISED = f""",
+live AS (SELECT * FROM transactions WHERE NOT (year(date) >= {_EPOCH_YEARS[0]} AND year(date) < {_EPOCH_YEARS[1]} AND customer_id IS NULL))"""
+
+
+@register(
+    "summary_daily",
+    with_model(f"{_SUMMARISED}\nSELECT date, CAST(SUM(total) AS BIGINT) AS total FROM live WHERE date <= {AS_OF_SQL} GROUP BY date", ["transactions"]),
+)
+def summary_daily(spark, sf_dir):
+    import datetime as dt
+
+    from tillspark.operators import summaries
+
+    m = load_model(spark, sf_dir)
+    return summaries.daily_revenue(_summary(m, summaries.DAILY), dt.date(1970, 1, 1), m.as_of)
+
+
+@register(
+    "summary_customers",
+    with_model(
+        f"""{_SUMMARISED}
+SELECT c.id, c.name, COUNT(t.id) AS total_transactions, CAST(COALESCE(SUM(t.total), 0) AS BIGINT) AS total_spent
+FROM customers c LEFT JOIN live t ON t.customer_id = c.id GROUP BY c.id, c.name""",
+        ["transactions", "customers"],
+    ),
+)
+def summary_customers(spark, sf_dir):
+    from tillspark.operators import summaries
+
+    m = load_model(spark, sf_dir)
+    return summaries.customer_totals(m.customers.select("id", "name"), _summary(m, summaries.CUSTOMERS))
+
+
+@register(
+    "summary_products",
+    with_model(
+        f"""{_SUMMARISED}
+SELECT d.product_id, COUNT(*) AS rows, CAST(SUM(d.qty) AS BIGINT) AS qty, CAST(SUM(d.subtotal) AS BIGINT) AS subtotal
+FROM live t JOIN tx_details d ON d.tx_id = t.id GROUP BY d.product_id""",
+        ["transactions", "tx_details"],
+    ),
+)
+def summary_products(spark, sf_dir):
+    from tillspark.operators import summaries
+
+    return _summary(load_model(spark, sf_dir), summaries.PRODUCTS)
