@@ -280,3 +280,37 @@ def test_summaries_equal_a_recount_after_every_epoch(spark, scratch):
     totals = summaries.customer_totals(m.customers.select("id", "name"), store.read(CUSTOMERS))
     assert totals.count() == m.customers.count() and totals.agg(F.min("total_transactions")).first()[0] == 0
     tx.unpersist(), lines.unpersist()
+
+
+def test_a_cashier_of_half_of_all_sales_is_dealt_out(spark, monkeypatch):
+    """No broadcast of staff: the hot cashier's sales lie in many partitions, none holds far more than its share."""
+    from tillspark.operators import joins
+    from tillspark.plans.reports import with_parties
+
+    key = F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 400)
+    tx = spark.range(20_000).select("id", key.alias("cashier_id"), (F.col("id") % 90).alias("customer_id"))
+    users = spark.range(300).select("id", F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"))
+    plain = {r.id: (r.cashier_name, r.customer_name) for r in with_parties(tx, users, users).collect()}
+    monkeypatch.setattr(joins, "DIM_BROADCAST_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = with_parties(tx, users, users)
+        text = joined._jdf.queryExecution().sparkPlan().toString()
+        assert text.count("SortMergeJoin") == 2
+        dealt = joins.spread_left_join(tx, users, "cashier_id", "id")
+        parts = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("cashier_id") == 7).cast("int")).alias("hot")).collect()
+        assert len(parts) == 8 and all(r.hot > 0 for r in parts) and max(r.n for r in parts) < 1.5 * 20_000 / 8
+        assert {r.id: (r.cashier_name, r.customer_name) for r in joined.collect()} == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_broadcast_needs_few_bytes_too(spark, monkeypatch):
+    from tillspark.operators import joins
+
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 10_000).alias("name"))
+    assert joins.may_broadcast(wide)
+    monkeypatch.setattr(joins, "SMALL_ESTIMATE", 0)
+    assert joins.byte_bound_holds(wide, 2_000_000) and not joins.byte_bound_holds(wide, 900_000)

@@ -2,8 +2,9 @@
 
 Broadcast policy:
 * ``broadcast_bounded`` hints a broadcast only after proving the side has at
-  most ``max_rows`` rows (an incremental take that stops early);
-  beyond the bound it returns the frame unhinted, so Catalyst/AQE choose a
+  most ``max_rows`` rows (an incremental take that stops early) and, unless
+  Catalyst's estimate is small anyway, at most ``BROADCAST_BYTES`` of values;
+  beyond the bounds it returns the frame unhinted, so Catalyst/AQE choose a
   shuffled join.
 * Frames that are bounded by construction (literal parameter tables, a
   post-aggregate of a bounded key) may use ``F.broadcast`` directly.
@@ -27,6 +28,11 @@ from pyspark.sql import functions as F
 DIM_BROADCAST_ROWS = 1_000_000
 DEFAULT_BROADCAST_ROWS = DIM_BROADCAST_ROWS
 NULL_SALT_BUCKETS = 512
+BROADCAST_BYTES = 256 << 20
+#: estimates up to this are not measured
+SMALL_ESTIMATE = 32 << 20
+#: partitions that the hottest key could fill by itself in ``spread_left_join``
+SPREAD = 200
 
 
 def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
@@ -40,9 +46,64 @@ def row_bound_holds(df: DataFrame, max_rows: int) -> bool:
     return df.offset(max_rows).isEmpty()
 
 
+def byte_bound_holds(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True iff the values of ``df`` (few rows, see ``row_bound_holds``) fit in ``max_bytes``."""
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not texts or estimate <= min(SMALL_ESTIMATE, max_bytes):
+        return True
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes
+
+
+def may_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    return row_bound_holds(df, max_rows) and byte_bound_holds(df)
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when its row count is proven <= ``max_rows``."""
-    return F.broadcast(df) if row_bound_holds(df, max_rows) else df
+    """Broadcast-hint ``df`` only when its rows and bytes are proven to be few."""
+    return F.broadcast(df) if may_broadcast(df, max_rows) else df
+
+
+def spread_left_join(
+    fact: DataFrame, dim: DataFrame, fact_key: str, salt_col: str, dim_key: str = "id", spread: int = SPREAD, counted: DataFrame | None = None
+) -> DataFrame:
+    """Left equi-join whose hot keys are dealt over many tasks, on both sides.
+
+    One partial aggregate counts the fact's keys.  A key with more than a
+    ``spread``-th of all rows is hot, so there are fewer than ``spread``; its fact
+    rows are dealt over as many salts as it has such shares, and its ``dim`` row is
+    repeated once per salt.  Other keys keep one salt, null keys (which match
+    nothing) are dealt over all.  The hot-key table is bounded by construction.
+    ``counted`` is a frame with the fact's keys that is cheaper to count.
+    """
+    keys = fact if counted is None else counted
+    counts = keys.where(F.col(fact_key).isNotNull()).groupBy(F.col(fact_key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
+    total = keys.agg(F.count(F.lit(1))).scalar()
+    hot = counts.where(F.col("_n") * spread > total).select("_hk", F.least(F.lit(spread), F.ceil(F.col("_n") * spread / total)).cast("int").alias("_salts"))
+    hot = F.broadcast(hot)
+    salts = F.when(F.col(fact_key).isNull(), F.lit(spread)).otherwise(F.coalesce("_salts", F.lit(1)))
+    dealt = (
+        fact.join(hot, F.col(fact_key) == F.col("_hk"), "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(salt_col), salts).cast("int"))
+        .drop("_hk", "_salts")
+    )
+    many = (
+        dim.withColumnRenamed(dim_key, "_dk")
+        .join(hot, F.col("_dk") == F.col("_hk"), "left")
+        .withColumn("_ds", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_hk", "_salts")
+    )
+    return dealt.join(many, (F.col(fact_key) == F.col("_dk")) & (F.col("_salt") == F.col("_ds")), "left").drop("_dk", "_salt", "_ds")
+
+
+def party_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, salt_col: str, counted: DataFrame | None = None) -> DataFrame:
+    """Broadcast lookup of a small dimension, else a join with dealt hot keys."""
+    if may_broadcast(dim, DIM_BROADCAST_ROWS):
+        return left_lookup(fact, F.broadcast(dim), fact_key)
+    return spread_left_join(fact, dim, fact_key, salt_col, counted=counted)
 
 
 def left_lookup(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillspark.operators.aggregates import zero, customer_totals, exact_avg
 from tillspark.operators.filters import search_any
-from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, left_lookup
+from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, party_lookup
 
 CUSTOMER_COLUMNS = ["id", "name", "phone", "email", "address", "created_at"]
 
@@ -49,11 +49,11 @@ def customer_history(customers: DataFrame, tx: DataFrame, users: DataFrame) -> D
     sales = tx.where(F.col("customer_id").isNotNull()).select(
         "customer_id", "invoice_no", "date", "time", "total", "cashier_id"
     )
-    u = broadcast_bounded(users.select("id", F.col("name").alias("cashier_name")), DIM_BROADCAST_ROWS)
+    named = party_lookup(sales, users.select("id", F.col("name").alias("cashier_name")), "cashier_id", "invoice_no")
     c = broadcast_bounded(
         customers.select(F.col("id").alias("_cid"), F.col("name").alias("customer_name")), DIM_BROADCAST_ROWS
     )
-    j = left_lookup(sales, u, "cashier_id").join(c, F.col("customer_id") == F.col("_cid"), "inner")
+    j = named.join(c, F.col("customer_id") == F.col("_cid"), "inner")
     return j.select("customer_id", "customer_name", "invoice_no", "date", "time", "total", "cashier_name")
 
 

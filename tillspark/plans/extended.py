@@ -157,12 +157,14 @@ def _numbered(base: str, order: str, drop: str = "") -> str:
     return f"SELECT * {drop}, row_number() OVER (ORDER BY {order}) AS position FROM ({registry.ORACLE[base]}) list"
 
 
-def _list(base: str, order: list, uses: list[str], key: list[str]):
+def _list(base: str, order, uses: list[str], key: str):
+    """``order`` is a function: columns exist only once there is a session."""
+
     def fn(spark, sf_dir):
         from tillspark import registry
         from tillspark.operators.ordered import with_position
 
-        return with_position(registry.QUERIES[base](spark, sf_dir), order, uses, key)
+        return with_position(registry.QUERIES[base](spark, sf_dir), order(), uses, [key])
 
     return fn
 
@@ -170,17 +172,16 @@ def _list(base: str, order: list, uses: list[str], key: list[str]):
 def _register_lists() -> None:
     from tillspark.operators.topk import name_order, recent_order
 
-    by_name, newest = name_order(), recent_order()
     for base in ("product_list", "customer_totals", "user_list"):
-        register(f"{base}_ordered", _numbered(base, _BY_NAME))(_list(base, by_name, ["name", "id"], ["id"]))
-    register("ledger_ordered", _numbered("ledger", _NEWEST))(_list("ledger", newest, ["date", "time", "id"], ["id"]))
-    invoices = [F.col("date").desc(), F.col("time").desc(), F.col("invoice_no").desc()]
+        register(f"{base}_ordered", _numbered(base, _BY_NAME))(_list(base, name_order, ["name", "id"], "id"))
+    register("ledger_ordered", _numbered("ledger", _NEWEST))(_list("ledger", recent_order, ["date", "time", "id"], "id"))
+    invoices = lambda: recent_order(key="invoice_no")
     uses = ["date", "time", "invoice_no"]
     register("report_rows_ordered", _numbered("report_month", "date DESC, time DESC, invoice_no DESC"))(
-        _list("report_month", invoices, uses, ["invoice_no"])
+        _list("report_month", invoices, uses, "invoice_no")
     )
     register("customer_history_ordered", _numbered("customer_history", "customer_id, date DESC, time DESC, invoice_no DESC"))(
-        _list("customer_history", [F.col("customer_id"), *invoices], ["customer_id", *uses], ["invoice_no"])
+        _list("customer_history", lambda: [F.col("customer_id"), *invoices()], ["customer_id", *uses], "invoice_no")
     )
 
 
@@ -315,16 +316,7 @@ gone_users AS (SELECT id FROM users WHERE id <> 1 AND id NOT IN (SELECT cashier_
 gone_customers AS (SELECT id FROM customers WHERE id % 4 = 0),
 gone_categories AS (SELECT id FROM categories WHERE id IN (2, 5))"""
 _DELETE_USES = ["transactions", "tx_details", "products", "users", "customers", "categories"]
-_DELETED_BODIES = {
-    "categories": "SELECT * FROM categories WHERE id NOT IN (SELECT id FROM gone_categories)",
-    "customers": "SELECT * FROM customers WHERE id NOT IN (SELECT id FROM gone_customers)",
-    "users": "SELECT * FROM users WHERE id NOT IN (SELECT id FROM gone_users)",
-    "products": """SELECT * REPLACE (CASE WHEN category_id IN (SELECT id FROM gone_categories) THEN NULL ELSE category_id END AS category_id)
-FROM products WHERE id NOT IN (SELECT id FROM gone_products)""",
-    "transactions": """SELECT * REPLACE (CASE WHEN customer_id IN (SELECT id FROM gone_customers) THEN NULL ELSE customer_id END AS customer_id)
-FROM left_tx""",
-    "tx_details": "SELECT * FROM left_lines",
-}
+_DELETED_TABLES = ["categories", "customers", "users", "products", "transactions", "tx_details"]
 
 
 def _delete_run(spark, sf_dir):
@@ -332,16 +324,44 @@ def _delete_run(spark, sf_dir):
     from tillspark.sources.changes import delete_request
 
     m = load_model(spark, sf_dir)
-    tables = {t: m.table(t) for t in _DELETED_BODIES}
+    tables = {t: m.table(t) for t in _DELETED_TABLES}
     return delete_requested(tables, delete_request(m), protected={"users": (1,)})
 
 
-def _snapshot_after(table: str):
-    return lambda spark, sf_dir: _delete_run(spark, sf_dir).tables[table]
-
-
-for _table, _body in _DELETED_BODIES.items():
-    register(f"delete_run_{_table}", with_model(f"{_DELETE}\n{_body}", _DELETE_USES))(_snapshot_after(_table))
+@register(
+    "delete_run",
+    with_model(
+        f"""{_DELETE}
+SELECT 'categories' AS "table", id AS key, NULL::BIGINT AS ref, name AS label, NULL::BIGINT AS amount
+FROM categories WHERE id NOT IN (SELECT id FROM gone_categories)
+UNION ALL SELECT 'customers', id, NULL, name, NULL FROM customers WHERE id NOT IN (SELECT id FROM gone_customers)
+UNION ALL SELECT 'users', id, NULL, username, NULL FROM users WHERE id NOT IN (SELECT id FROM gone_users)
+UNION ALL SELECT 'products', id, CASE WHEN category_id IN (SELECT id FROM gone_categories) THEN NULL ELSE category_id END, name, stock
+FROM products WHERE id NOT IN (SELECT id FROM gone_products)
+UNION ALL SELECT 'transactions', id, CASE WHEN customer_id IN (SELECT id FROM gone_customers) THEN NULL ELSE customer_id END, invoice_no, total
+FROM left_tx
+UNION ALL SELECT 'tx_details', tx_id, product_id, product_name, subtotal FROM left_lines""",
+        _DELETE_USES,
+    ),
+)
+def delete_run(spark, sf_dir):
+    """Key, pointer, label and amount of every row of the six new snapshots."""
+    after = _delete_run(spark, sf_dir).tables
+    none = F.lit(None).cast("long")
+    shown = {
+        "categories": ("id", none, "name", none),
+        "customers": ("id", none, "name", none),
+        "users": ("id", none, "username", none),
+        "products": ("id", "category_id", "name", "stock"),
+        "transactions": ("id", "customer_id", "invoice_no", "total"),
+        "tx_details": ("tx_id", "product_id", "product_name", "subtotal"),
+    }
+    out = None
+    for table, columns in shown.items():
+        picked = [F.col(c) if isinstance(c, str) else c for c in columns]
+        rows = after[table].select(F.lit(table).alias("table"), *[c.alias(n) for c, n in zip(picked, ("key", "ref", "label", "amount"))])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @register(

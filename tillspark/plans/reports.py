@@ -17,7 +17,7 @@ from tillspark.functions.labels import WALK_IN_VIEW, label_or
 from tillspark.functions.text import ci_key
 from tillspark.operators.aggregates import daily_revenue, lines_in_period, product_sales, revenue_summary
 from tillspark.operators.filters import period_filter
-from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded, left_lookup
+from tillspark.operators.joins import party_lookup
 from tillspark.operators.topk import TOP_K, top_k
 
 CHART_HEIGHT = 150
@@ -32,16 +32,12 @@ def with_parties(
 ) -> DataFrame:
     """Sale headers + cashier name + customer name (both left joins).
 
-    Users are a staff list: broadcast after a checked bound.  Customers are
-    broadcast only under the same check; otherwise a shuffled join whose
-    NULL (walk-in) keys are salted so they spread over reducers.
+    Staff and customers are broadcast after checked bounds; beyond them the join
+    is shuffled, with hot cashiers, regular customers and walk-ins (NULL) dealt
+    over many tasks by counts.
     """
-    u = broadcast_bounded(users.select(F.col("id"), F.col("name").alias("cashier_name")), DIM_BROADCAST_ROWS)
-    c = broadcast_bounded(
-        customers.select(F.col("id"), F.col("name").alias("customer_name")), DIM_BROADCAST_ROWS
-    )
-    j = left_lookup(tx, u, "cashier_id")
-    j = left_lookup(j, c, "customer_id", salt_col="id")
+    j = party_lookup(tx, users.select("id", F.col("name").alias("cashier_name")), "cashier_id", "id")
+    j = party_lookup(j, customers.select("id", F.col("name").alias("customer_name")), "customer_id", "id", counted=tx)
     if cashier_label is not None:
         j = j.withColumn("cashier_name", label_or("cashier_name", cashier_label))
     if customer_label is not None:
