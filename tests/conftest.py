@@ -22,7 +22,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def seed(spark):
-    from tillspark.sources.fixtures import seed_model
+    from seed_rows import seed_model
 
     return seed_model(spark)
 

@@ -13,7 +13,7 @@ from tillspark.operators.inventory import refresh_status, restock
 from tillspark.operators.pricing import discount_quote, valid_rules
 from tillspark.operators.topk import name_order
 from tillspark.plans import catalog
-from tillspark.sources.fixtures import fixture
+from seed_rows import fixture
 
 AS_OF = dt.date(2026, 6, 12)
 

@@ -9,7 +9,7 @@ from tillspark.functions.dates import period_bounds
 from tillspark.operators.inventory import restock
 from tillspark.operators.pricing import discount_quote
 from tillspark.plans import catalog, crm, ledger, reports
-from tillspark.sources.fixtures import SEED_AS_OF
+from seed_rows import SEED_AS_OF
 
 D = dt.date
 

@@ -89,7 +89,7 @@ def test_global_positions_dense(spark):
 
 def test_report_and_dashboard_composites(seed):
     from tillspark.plans.catalog import dashboard
-    from tillspark.sources.fixtures import SEED_AS_OF
+    from seed_rows import SEED_AS_OF
 
     rep = reports.sales_report(seed["transactions"], seed["tx_details"], seed["users"], seed["customers"], "month", SEED_AS_OF)
     assert rep["rows"].count() == 16 and rep["summary"].collect()[0].revenue == 625500

@@ -69,6 +69,16 @@ def initial(c: Column | str) -> Column:
     return F.upper(F.substring(_c(c), 1, 1))
 
 
+def upper(c: Column | str) -> Column:
+    """upper case (status badges)."""
+    return F.upper(_c(c))
+
+
+def title(c: Column | str) -> Column:
+    """each blank-separated word capitalised, the rest in lower case."""
+    return F.initcap(_c(c))
+
+
 def product_label(name: Column | str, product_id: Column | str) -> Column:
     """name, or ``'Produk #<id>'`` when the name is missing or empty."""
     return F.coalesce(

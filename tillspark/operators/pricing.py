@@ -19,6 +19,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillspark.functions.money import discount_amount, discount_raw, discounted_total
 from tillspark.operators.joins import row_bound_holds
@@ -28,7 +29,10 @@ from tillspark.operators.ordered import PART, carry_last, next_value, ranged
 # per sale and tier; rows are six narrow columns, so the broadcast stays small.
 BROADCAST_TIERS = 1_000
 
-TIER_COLUMNS = ["rule_id", "rule_type", "rule_value", "max_discount", "lo", "hi"]
+TIER_SCHEMA = T.StructType(
+    [T.StructField(n, T.StringType() if n == "rule_type" else T.LongType()) for n in ("rule_id", "rule_type", "rule_value", "max_discount", "lo", "hi")]
+)
+TIER_COLUMNS = TIER_SCHEMA.fieldNames()
 
 
 def valid_rules(rules: DataFrame, as_of: dt.date) -> DataFrame:

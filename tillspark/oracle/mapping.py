@@ -118,6 +118,30 @@ CTES: dict[str, tuple[str, list[str]]] = {
 }
 
 
+CTES["named_sales"] = (
+    """SELECT s.*, staff.who_sold, buyer.who_bought, COALESCE(cart.n_lines, 0) AS n_lines
+       FROM transactions s
+       LEFT JOIN (SELECT id AS cashier_id, name AS who_sold FROM users) staff USING (cashier_id)
+       LEFT JOIN (SELECT id AS customer_id, name AS who_bought FROM customers) buyer USING (customer_id)
+       LEFT JOIN (SELECT tx_id AS id, COUNT(*) AS n_lines FROM tx_details GROUP BY tx_id) cart USING (id)""",
+    ["transactions", "users", "customers", "tx_details"],
+)
+
+
+def sale_list_sql(columns: list[str], cashier: str | None, walk_in: str, tail: str = "", with_time: bool = True) -> str:
+    """Oracle of a list of sales: the columns that the operator promises, read
+    from ``named_sales`` with the operator's labels for missing names."""
+    day = "strftime(date, '%d/%m/%Y')"
+    promised = {
+        "cashier_name": "who_sold" if cashier is None else f"COALESCE(who_sold, {_lit(cashier)})",
+        "customer_name": f"COALESCE(who_bought, {_lit(walk_in)})",
+        "items": "n_lines",
+        "date_text": f"{day} || ' ' || time" if with_time else day,
+    }
+    listed = ", ".join(f"{promised[c]} AS {c}" if c in promised else c for c in columns)
+    return with_model(f"SELECT {listed} FROM named_sales {tail}", ["named_sales"])
+
+
 def _closure(uses: list[str]) -> list[str]:
     order: list[str] = []
 

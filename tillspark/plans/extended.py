@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillspark.oracle.mapping import AS_OF_SQL, with_model
+from tillspark.functions.labels import CASHIER_EXPORT, CASHIER_LEDGER, WALK_IN_LEDGER
+from tillspark.oracle.mapping import AS_OF_SQL, sale_list_sql, with_model
+from tillspark.plans import ledger as ledger_plans
 from tillspark.registry import register
 from tillspark.sources.mapping import load_model
 
@@ -190,13 +192,7 @@ _register_lists()
 
 @register(
     "export_ledger_ordered",
-    with_model(
-        f"""SELECT t.invoice_no, strftime(t.date, '%d/%m/%Y') || ' ' || t.time AS date_text, COALESCE(u.name, '-') AS cashier_name,
-       COALESCE(c.name, 'Umum') AS customer_name, (SELECT COUNT(*) FROM tx_details d WHERE d.tx_id = t.id) AS items, t.subtotal,
-       t.discount, t.discount_type, t.total, t.paid, t.change, row_number() OVER (ORDER BY t.date DESC, t.time DESC, t.id DESC) AS position
-FROM transactions t LEFT JOIN users u ON u.id = t.cashier_id LEFT JOIN customers c ON c.id = t.customer_id""",
-        ["transactions", "users", "customers", "tx_details"],
-    ),
+    sale_list_sql([*ledger_plans.EXPORT_LEDGER_COLUMNS, f"row_number() OVER (ORDER BY {_NEWEST}) AS position"], CASHIER_EXPORT, WALK_IN_LEDGER),
 )
 def export_ledger_ordered(spark, sf_dir):
     """S5 rows with the line number they have in the ordered CSV."""
@@ -209,19 +205,10 @@ def export_ledger_ordered(spark, sf_dir):
     return with_position(rows, recent_order(), ["date", "time", "id"], ["id"]).select(*ledger.EXPORT_LEDGER_COLUMNS, "position")
 
 DEEP_PAGE = 1200
+_LEDGER = sale_list_sql([*ledger_plans.LEDGER_COLUMNS, "items"], CASHIER_LEDGER, WALK_IN_LEDGER)
 
 
-@register(
-    "ledger_deep_page",
-    with_model(
-        f"""SELECT t.id, t.invoice_no, t.date, t.time, COALESCE(u.name, 'Kasir') AS cashier_name,
-       COALESCE(c.name, 'Umum') AS customer_name, t.subtotal, t.discount, t.discount_type, t.total, t.paid, t.change, t.status,
-       (SELECT COUNT(*) FROM tx_details d WHERE d.tx_id = t.id) AS items
-FROM (SELECT * FROM transactions ORDER BY {_NEWEST} LIMIT 10 OFFSET {(DEEP_PAGE - 1) * 10}) t
-LEFT JOIN users u ON u.id = t.cashier_id LEFT JOIN customers c ON c.id = t.customer_id""",
-        ["transactions", "users", "customers", "tx_details"],
-    ),
-)
+@register("ledger_deep_page", _LEDGER + f" ORDER BY {_NEWEST} LIMIT 10 OFFSET {(DEEP_PAGE - 1) * 10}")
 def ledger_deep_page(spark, sf_dir):
     from tillspark.plans import ledger
 
@@ -454,3 +441,73 @@ def summary_products(spark, sf_dir):
     from tillspark.operators import summaries
 
     return _summary(load_model(spark, sf_dir), summaries.PRODUCTS)
+
+
+# --------------------------------------------------------------------------
+# Q2 with forms that fail, F19
+# --------------------------------------------------------------------------
+
+_STAFF_FORMS = """SELECT CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_suppkey END AS id,
+         CASE WHEN s_suppkey % 7 = 0 THEN chr(9) || '  ' ELSE s_name END AS name,
+         CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'u' || CAST(s_suppkey AS VARCHAR) END AS username,
+         CASE s_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'pw' END AS password FROM supplier"""
+
+
+@register(
+    "validate_users",
+    f"""SELECT id, name, username, password, array_to_string(failed, '; ') AS errors, len(failed) = 0 AS accepted
+FROM (SELECT *, list_filter([CASE WHEN trim(name, ' ' || chr(9)) = '' THEN 'name required' END,
+                             CASE WHEN trim(COALESCE(username, '')) = '' THEN 'username required' END,
+                             CASE WHEN id IS NULL AND trim(COALESCE(password, '')) = '' THEN 'password required for new users' END],
+                            lambda e: e IS NOT NULL) AS failed
+      FROM ({_STAFF_FORMS}) forms) checked""",
+)
+def validate_users(spark, sf_dir):
+    """Staff forms as posted: some without a name, username or password."""
+    from tillspark.operators.quality import validate_users as check
+    from tillspark.sources.tables import read_table
+
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"])
+    k = F.col("s_suppkey")
+    forms = s.select(
+        F.when(k % 2 != 0, k).alias("id"),
+        F.when(k % 7 == 0, F.lit("\t  ")).otherwise(F.col("s_name")).alias("name"),
+        F.when(k % 5 == 0, F.lit("")).when(k % 5 != 1, F.concat(F.lit("u"), k.cast("string"))).alias("username"),
+        F.when(k % 3 == 0, F.lit(" ")).when(k % 3 == 2, F.lit("pw")).alias("password"),
+    )
+    return check(forms)
+
+
+@register(
+    "validate_names",
+    """SELECT 'customer' AS form, c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'name required' ELSE '' END AS errors FROM customer
+UNION ALL
+SELECT 'category', p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'name required' ELSE '' END FROM part""",
+)
+def validate_names(spark, sf_dir):
+    """Customer and category forms, some with a blank or missing name."""
+    from tillspark.operators.quality import validate_categories, validate_customers
+    from tillspark.sources.tables import read_table
+
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"]).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"]).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    customers = validate_customers(c.withColumn("name", F.when(F.col("id") % 9 == 0, F.lit("\r\n")).otherwise(F.col("name"))))
+    categories = validate_categories(p.withColumn("name", F.when(F.col("id") % 4 != 0, F.col("name"))))
+    shown = lambda df, form: df.select(F.lit(form).alias("form"), "id", "errors")
+    return shown(customers, "customer").unionByName(shown(categories, "category"))
+
+
+@register(
+    "label_case",
+    with_model(
+        """SELECT p.id, upper(p.name) AS upper_name,
+       array_to_string(list_transform(string_split(lower(p.name), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS title,
+       upper(p.status[1:1]) AS initial FROM products p""",
+        ["products"],
+    ),
+)
+def label_case(spark, sf_dir):
+    """F19 over product names and states."""
+    from tillspark.functions.labels import initial, title, upper
+
+    return load_model(spark, sf_dir).products.select("id", upper("name").alias("upper_name"), title("name").alias("title"), initial("status").alias("initial"))

@@ -3,7 +3,9 @@ tables (``sources.mapping``) and carries the equivalent DuckDB SQL."""
 
 from __future__ import annotations
 
-from tillspark.oracle.mapping import AS_OF_SQL, with_model
+from tillspark.functions.labels import CASHIER_EXPORT, CASHIER_LEDGER, WALK_IN_LEDGER, WALK_IN_VIEW
+from tillspark.oracle.mapping import AS_OF_SQL, sale_list_sql, with_model
+from tillspark.plans import ledger as ledger_plans
 from tillspark.plans import reports
 from tillspark.registry import register
 from tillspark.sources.mapping import AS_OF, load_model
@@ -57,18 +59,11 @@ def top_products_qty(spark, sf_dir):
     return reports.top_products_qty(m.tx_details, m.transactions, REPORT_PERIOD, m.as_of)
 
 
-def _view_sql(where: str = "") -> str:
-    return f"""
-SELECT t.invoice_no, t.date, t.time, u.name AS cashier_name, COALESCE(c.name, 'UMUM') AS customer_name,
-       t.subtotal, t.discount, t.total, t.paid, t.change
-FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
-{where}"""
-
-
-_VIEW_USES = ["transactions", "users", "customers"]
+def _view_sql(tail: str = "") -> str:
+    return sale_list_sql(reports.VIEW_COLUMNS, None, WALK_IN_VIEW, tail)
 
 
-@register("sales_report_view", with_model(_view_sql(), _VIEW_USES))
+@register("sales_report_view", _view_sql())
 def sales_report_view(spark, sf_dir):
     m = load_model(spark, sf_dir)
     return reports.sales_report_view(m.transactions, m.users, m.customers)
@@ -84,7 +79,7 @@ def _report_rows(period):
 
 for _period in ("today", "week", "month", "all"):
     _ps, _pe = _bounds_sql(_period)
-    register(f"report_{_period}", with_model(_view_sql(f"WHERE t.date BETWEEN {_ps} AND {_pe}"), _VIEW_USES))(
+    register(f"report_{_period}", _view_sql(f"WHERE date BETWEEN {_ps} AND {_pe}"))(
         _report_rows(_period)
     )
 
@@ -180,22 +175,11 @@ LEDGER_SEARCH = "12"
 LEDGER_START = "1998-01-01"
 LEDGER_PAGE = 3
 
-_LEDGER_WHERE = (
-    f"WHERE t.invoice_no ILIKE '%{LEDGER_SEARCH}%' AND t.date >= DATE '{LEDGER_START}' AND t.date <= {AS_OF_SQL}"
-)
-
-
-def _ledger_sql(where: str, cashier: str, tail: str = "") -> str:
-    return f"""
-SELECT t.id, t.invoice_no, t.date, t.time, COALESCE(u.name, '{cashier}') AS cashier_name,
-       COALESCE(c.name, 'Umum') AS customer_name, t.subtotal, t.discount, t.discount_type, t.total,
-       t.paid, t.change, t.status, COALESCE(ic.items, 0) AS items
-FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
-LEFT JOIN (SELECT tx_id, COUNT(*) AS items FROM tx_details GROUP BY tx_id) ic ON ic.tx_id = t.id
-{where} {tail}"""
+_LEDGER_WHERE = f"WHERE invoice_no ILIKE '%{LEDGER_SEARCH}%' AND date BETWEEN DATE '{LEDGER_START}' AND {AS_OF_SQL}"
 
 
-_LEDGER_USES = ["transactions", "users", "customers", "tx_details"]
+def _ledger_sql(tail: str = "") -> str:
+    return sale_list_sql([*ledger_plans.LEDGER_COLUMNS, "items"], CASHIER_LEDGER, WALK_IN_LEDGER, tail)
 
 
 def _ledger_args(m, filtered: bool):
@@ -205,27 +189,21 @@ def _ledger_args(m, filtered: bool):
     return (m.transactions, m.users, m.customers, m.tx_lines)
 
 
-@register("ledger", with_model(_ledger_sql("", "Kasir"), _LEDGER_USES))
+@register("ledger", _ledger_sql())
 def ledger_all(spark, sf_dir):
     from tillspark.plans import ledger
 
     return ledger.ledger(*_ledger_args(load_model(spark, sf_dir), False))
 
 
-@register("ledger_filtered", with_model(_ledger_sql(_LEDGER_WHERE, "Kasir"), _LEDGER_USES))
+@register("ledger_filtered", _ledger_sql(_LEDGER_WHERE))
 def ledger_filtered(spark, sf_dir):
     from tillspark.plans import ledger
 
     return ledger.ledger(*_ledger_args(load_model(spark, sf_dir), True))
 
 
-@register(
-    "ledger_page",
-    with_model(
-        _ledger_sql("", "Kasir", f"ORDER BY t.date DESC, t.time DESC, t.id DESC LIMIT 10 OFFSET {(LEDGER_PAGE - 1) * 10}"),
-        _LEDGER_USES,
-    ),
-)
+@register("ledger_page", _ledger_sql(f"ORDER BY date DESC, time DESC, id DESC LIMIT 10 OFFSET {(LEDGER_PAGE - 1) * 10}"))
 def ledger_page(spark, sf_dir):
     from tillspark.plans import ledger
 
@@ -237,7 +215,7 @@ def ledger_page(spark, sf_dir):
     "ledger_page_info",
     with_model(
         f"""SELECT COUNT(*) AS total_rows, CAST(ceil(COUNT(*) / 10.0) AS BIGINT) AS total_pages,
-       CAST({LEDGER_PAGE} AS BIGINT) AS current_page FROM transactions t {_LEDGER_WHERE}""",
+       CAST({LEDGER_PAGE} AS BIGINT) AS current_page FROM transactions {_LEDGER_WHERE}""",
         ["transactions"],
     ),
 )
@@ -248,14 +226,7 @@ def ledger_page_info(spark, sf_dir):
     return ledger.ledger_page_info(m.transactions, LEDGER_PAGE, LEDGER_SEARCH, LEDGER_START, m.as_of)
 
 
-@register(
-    "sales_by_party",
-    with_model(
-        """SELECT t.invoice_no, u.name AS cashier_name, COALESCE(c.name, 'UMUM') AS customer_name, t.total
-FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id""",
-        ["transactions", "users", "customers"],
-    ),
-)
+@register("sales_by_party", sale_list_sql(["invoice_no", "cashier_name", "customer_name", "total"], None, WALK_IN_VIEW))
 def sales_by_party(spark, sf_dir):
     from tillspark.plans import ledger
 
@@ -274,7 +245,7 @@ def _filtered_ids(m):
     with_model(
         f"""SELECT d.tx_id, d.product_id, d.product_name, d.qty AS quantity, d.price,
        CAST(d.qty AS BIGINT) * d.price AS line_total
-FROM tx_details d WHERE d.tx_id IN (SELECT t.id FROM transactions t {_LEDGER_WHERE})""",
+FROM tx_details d WHERE d.tx_id IN (SELECT id FROM transactions {_LEDGER_WHERE})""",
         ["tx_details", "transactions"],
     ),
 )
@@ -291,7 +262,7 @@ def transaction_lines(spark, sf_dir):
         f"""SELECT d.tx_id, d.product_id, d.qty AS quantity, d.price,
        COALESCE(NULLIF(p.name, ''), 'Produk #' || CAST(d.product_id AS VARCHAR)) AS product_name
 FROM tx_details d LEFT JOIN products p ON d.product_id = p.id
-WHERE d.tx_id IN (SELECT t.id FROM transactions t {_LEDGER_WHERE})""",
+WHERE d.tx_id IN (SELECT id FROM transactions {_LEDGER_WHERE})""",
         ["tx_details", "transactions", "products"],
     ),
 )
@@ -302,17 +273,8 @@ def transaction_lines_named(spark, sf_dir):
     return ledger.named_lines(m.tx_lines, m.products, _filtered_ids(m))
 
 
-def _export_sql(date_expr: str) -> str:
-    return with_model(
-        f"""
-SELECT t.invoice_no, {date_expr} AS date_text, COALESCE(u.name, '-') AS cashier_name,
-       COALESCE(c.name, 'Umum') AS customer_name, COALESCE(ic.items, 0) AS items, t.subtotal, t.discount,
-       t.discount_type, t.total, t.paid, t.change
-FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
-LEFT JOIN (SELECT tx_id, COUNT(*) AS items FROM tx_details GROUP BY tx_id) ic ON ic.tx_id = t.id
-{_LEDGER_WHERE}""",
-        _LEDGER_USES,
-    )
+def _export_sql(with_time: bool) -> str:
+    return sale_list_sql(ledger_plans.EXPORT_LEDGER_COLUMNS, CASHIER_EXPORT, WALK_IN_LEDGER, _LEDGER_WHERE, with_time)
 
 
 def _export_ledger(with_time):
@@ -326,21 +288,13 @@ def _export_ledger(with_time):
     return fn
 
 
-register("export_ledger", _export_sql("strftime(t.date, '%d/%m/%Y') || ' ' || t.time"))(_export_ledger(True))
-register("export_ledger_dateonly", _export_sql("strftime(t.date, '%d/%m/%Y')"))(_export_ledger(False))
+register("export_ledger", _export_sql(True))(_export_ledger(True))
+register("export_ledger_dateonly", _export_sql(False))(_export_ledger(False))
 
+_REPORT_COLUMNS = [c for c in reports.VIEW_COLUMNS if c not in ("date", "time")] + ["date_text"]
 
-@register(
-    "export_report",
-    with_model(
-        f"""
-SELECT t.invoice_no, strftime(t.date, '%d/%m/%Y') || ' ' || t.time AS date_text, u.name AS cashier_name,
-       COALESCE(c.name, 'UMUM') AS customer_name, t.subtotal, t.discount, t.total, t.paid, t.change
-FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id LEFT JOIN customers c ON t.customer_id = c.id
-WHERE t.date BETWEEN {_S} AND {_E}""",
-        _VIEW_USES,
-    ),
-)
+
+@register("export_report", sale_list_sql(_REPORT_COLUMNS, None, WALK_IN_VIEW, f"WHERE date BETWEEN {_S} AND {_E}"))
 def export_report(spark, sf_dir):
     from tillspark.plans import ledger
 
@@ -439,11 +393,10 @@ def active_users(spark, sf_dir):
     "recent_sales",
     with_model(
         """
-SELECT t.id, t.invoice_no, t.date, t.time, t.total, t.customer_id, u.name AS cashier_name,
-       CASE WHEN t.customer_id IS NOT NULL AND t.customer_id <> 0 THEN 'Member' ELSE 'Umum' END AS customer_type
-FROM transactions t LEFT JOIN users u ON t.cashier_id = u.id
-ORDER BY t.date DESC, t.time DESC, t.id DESC LIMIT 5""",
-        ["transactions", "users"],
+SELECT id, invoice_no, date, time, total, customer_id, who_sold AS cashier_name,
+       CASE WHEN COALESCE(customer_id, 0) <> 0 THEN 'Member' ELSE 'Umum' END AS customer_type
+FROM named_sales ORDER BY date DESC, time DESC, id DESC LIMIT 5""",
+        ["named_sales"],
     ),
 )
 def recent_sales(spark, sf_dir):
@@ -508,12 +461,11 @@ def customer_search(spark, sf_dir):
     return crm.customer_list(m.customers, m.transactions, CUSTOMER_SEARCH)
 
 
-_HISTORY_SQL = """
-SELECT t.customer_id, c.name AS customer_name, t.invoice_no, t.date, t.time, t.total, u.name AS cashier_name
-FROM transactions t JOIN customers c ON t.customer_id = c.id LEFT JOIN users u ON t.cashier_id = u.id"""
+_HISTORY_SQL = """SELECT customer_id, who_bought AS customer_name, invoice_no, date, time, total, who_sold AS cashier_name
+FROM named_sales WHERE who_bought IS NOT NULL"""
 
 
-@register("customer_history", with_model(_HISTORY_SQL, ["transactions", "customers", "users"]))
+@register("customer_history", with_model(_HISTORY_SQL, ["named_sales"]))
 def customer_history(spark, sf_dir):
     from tillspark.plans import crm
 
@@ -530,7 +482,7 @@ SELECT customer_id, invoice_no,
                       'transaction': {{'invoice_no': invoice_no, 'date': date, 'time': time, 'total': total,
                                        'cashier_name': cashier_name}}}}) AS VARCHAR) AS document
 FROM ({_HISTORY_SQL}) h""",
-        ["transactions", "customers", "users"],
+        ["named_sales"],
     ),
 )
 def customer_history_doc(spark, sf_dir):

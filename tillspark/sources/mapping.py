@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tillspark import schemas
 from tillspark.functions.money import change_due, int_div, round_money
 from tillspark.functions.text import digest, zero_pad
-from tillspark.operators.pricing import frozen_tiers, match_rule, quote_columns
+from tillspark.operators.pricing import TIER_SCHEMA, match_rule, quote_columns
 from tillspark.sources.tables import literal_table, read_table
 
 AS_OF = dt.date(2001, 7, 19)
@@ -46,7 +46,16 @@ UNCATEGORISED_MODULUS = 11  # category_id NULL when partkey % 11 = 0
 PAID_STEP = 50000  # tendered cash rounded up to this step
 
 
-_TIER_CACHE: dict = {}
+def _constant_tiers(as_of: dt.date) -> list[tuple]:
+    """The tiers of ``RULE_ROWS``: a constant of this mapping like the rows themselves
+    (``rule_tiers`` evaluates rule tables that are data)."""
+    best: dict[int, tuple] = {}
+    for rule in sorted(RULE_ROWS, reverse=True):
+        key, _name, kind, value, threshold, cap, active, start, end = rule
+        if active and (start or as_of) <= as_of <= (end or as_of):
+            best[threshold] = (key, kind, value, cap)
+    edges = sorted(best)
+    return [(*best[lo], lo, hi) for lo, hi in zip(edges, [*edges[1:], None])]
 
 
 @dataclass
@@ -68,13 +77,8 @@ class TestModel:
 
     @property
     def tiers(self) -> DataFrame:
-        """Discount tiers valid on ``as_of``.  The rule table here is a
-        constant, so its tiers are evaluated (and bound-checked) once per
-        session and date, not once per query."""
-        key = (self.spark.sparkContext.applicationId, self.as_of)
-        if key not in _TIER_CACHE:
-            _TIER_CACHE[key] = frozen_tiers(self.discount_rules, self.as_of)
-        return _TIER_CACHE[key]
+        """Discount tiers valid on ``as_of``."""
+        return literal_table(self.spark, _constant_tiers(self.as_of), TIER_SCHEMA)
 
     @property
     def users(self) -> DataFrame:
