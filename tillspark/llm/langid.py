@@ -6,9 +6,10 @@ A known word scores by its per-language log frequency; an unseen word by its
 n-grams of the longest length at which any is known, falling back to shorter
 ones.  A text's language is the one with the highest sum over all its words.
 
-The counting is a Spark aggregation; the model that tasks receive holds at
-most ``max_words`` words and ``max_grams`` n-grams per length (what it does not
-hold is scored by backoff, so no word goes unscored).
+The counting is a Spark aggregation.  The model that tasks receive holds every
+word and n-gram of the sample; nothing learned is dropped by rank.  Its size is
+bounded by the sample: ``fit_rows`` texts per language, of which a text longer
+than ``fit_chars`` characters teaches nothing.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tillspark.llm.decontaminate import Hasher
 
 #: expected number of labelled rows per language that the model is fitted on
 FIT_ROWS = 2_000
-MAX_WORDS = 50_000
-MAX_GRAMS = 20_000
+#: labelled texts longer than this are not fitted on (they are predicted whole)
+FIT_CHARS = 1 << 17
 GRAM_LENGTHS = (4, 3, 2, 1)
 UNDETERMINED = "und"
 #: marks both ends of a word in n-grams
@@ -43,14 +44,15 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
-    """(text, lang) -> model.  Rows with a null text or lang teach nothing.
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> dict:
+    """(text, lang) -> model.  Rows with a null text or lang, or a text of more
+    than ``fit_chars`` characters, teach nothing.
 
     The sample is Bernoulli by a hash of the text, at rate fit_rows / rows of
     the language: the same rows in every run, about ``fit_rows`` per language
     whatever the table's size; equal texts are in or out together and count once.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    known = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= fit_chars)).select("lang", "text")
     per_lang = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row per language
     rate = F.lit(0.0)
     for lang, n in sorted(per_lang.items()):
@@ -72,8 +74,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORD
     tables: dict[int, dict[str, int]] = {}
     for k, table in zip((0, *GRAM_LENGTHS), tables_by_length):
         totals = {r[0]: r[1] for r in table.groupBy("lang").agg(F.sum("n")).collect()}
-        by_token = table.groupBy("t").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        top = by_token.orderBy(F.desc("all"), "t").limit(max_words if k == 0 else max_grams).collect()  # bounded
+        by_token = table.groupBy("t").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+        top = sorted(by_token.select("t", "by").collect())  # bounded by the sample
         size = len(top)
         floor = np.array([np.log(0.5 / (totals.get(lang, 0) + size + 1)) for lang in langs], dtype=np.float64)
         tables[k] = {}
