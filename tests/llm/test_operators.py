@@ -612,6 +612,36 @@ def test_mix_reaches_targets(docs, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_inclusion_follows_the_odds_inside_a_source(spark):
+    """Pareto sampling: over many draws a document comes as often as its weight says; whole copies always come."""
+    # 40 documents of 10 words, weights 1 and 3; target 2/3 of the source: level 1/3, expected copies 1/3 and 1
+    rows = [(i, " ".join(["w"] * 10), "a", 1.0 if i % 2 else 3.0) for i in range(40)] + [(100 + i, " ".join(["w"] * 10), "b", 1.0) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, odds double")
+    seen = collections.Counter()
+    for seed in range(12):
+        out = mixing.mix_sources(table, weights=(4, 11), seed=seed, weight_col="odds").collect()
+        own = [r for r in out if r.source == "a"]
+        assert abs(own[0].target - 4000 / 15) < 1e-9 and 255 <= sum(r.taken for r in own) <= own[0].target
+        assert all(r.copies == 1 for r in own if r.odds == 3.0)
+        seen.update(r.odds for r in own if r.copies)
+    assert seen[3.0] == 240 and 60 <= seen[1.0] <= 84
+    # fractional on both sides: 0.3 and 0.9 of 400 words
+    seen = collections.Counter()
+    for seed in range(12):
+        out = mixing.mix_sources(table, weights=(24, 76), seed=seed, weight_col="odds").collect()
+        seen.update(r.odds for r in out if r.source == "a" and r.copies)
+        assert 230 <= sum(r.taken for r in out if r.source == "a") <= 240
+    assert 190 <= seen[3.0] <= 236 and 50 <= seen[1.0] <= 92 and seen[3.0] + seen[1.0] >= 12 * 23
+
+
+def test_overshooting_documents_are_passed_over(spark):
+    rows = [(i, " ".join(["w"] * (2000 if i % 70 < 2 else 3 + i % 5)), f"s{i % 2}") for i in range(2100)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("s0", "s1"):
+        own = [r for r in out if r.source == s]
+        assert 0 <= own[0].target - sum(r.taken for r in own) < 8  # less than the longest short document
+
+
 # --- 10 fingerprints
 
 

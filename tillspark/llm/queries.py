@@ -136,7 +136,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          (CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT)
             + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
@@ -159,22 +159,56 @@ t AS (
          CASE WHEN first_open IS NULL OR pos < first_open THEN CAST(cap AS DOUBLE)
               ELSE CAST(w * (SELECT lw FROM lv) AS DOUBLE) / CAST((SELECT lwt FROM lv) AS DOUBLE) END AS target
   FROM c, f
-), r AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t
+), cls AS (
+  SELECT source, 20 - least(16, length(bin(size))) AS weight, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2
+), lvl AS (
+  SELECT cls.*, t.source_size, t.target,
+         (t.target - 3 * coalesce(sum(words) OVER before, 0)) /
+         nullif(CAST(sum(weight * words) OVER (PARTITION BY cls.source) - coalesce(sum(weight * words) OVER before, 0) AS DOUBLE), 0) AS level
+  FROM cls JOIN t ON cls.source IS NOT DISTINCT FROM t.source
+  WINDOW before AS (PARTITION BY cls.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), opened AS (
+  SELECT source, max(weight) AS top, arg_max(level, weight) AS level FROM lvl WHERE level * weight <= 3 GROUP BY source
+), e AS (
+  SELECT lvl.source, lvl.weight, words, source_size, target,
+         CASE WHEN source_size <= 0 THEN 0.0::DOUBLE WHEN top IS NULL OR lvl.weight > top THEN 3.0::DOUBLE ELSE opened.level * lvl.weight END AS copies
+  FROM lvl LEFT JOIN opened ON lvl.source IS NOT DISTINCT FROM opened.source
 ), p AS (
-  SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS lam,
-         target - floor(ratio) * source_size AS need FROM r
+  SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS lam,
+         target - sum(CAST(floor(copies) AS BIGINT) * words) OVER (PARTITION BY source) AS need FROM e
 ), q AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.need, lam,
-         CASE WHEN lam > 0 THEN (u / (1 - u)) / (lam / (1 - lam)) END AS q
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-), k AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q) AS cum,
-         sum(size) OVER (PARTITION BY source, q) AS unit FROM q
-)
-SELECT doc_id, size, source_size, target,
-       CAST((whole + CASE WHEN lam > 0 AND cum - unit / 2 <= need THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM k
+  SELECT d.*, p.source_size, p.target, p.whole, p.need, CASE WHEN lam > 0 THEN (u / (1 - u)) / (lam / (1 - lam)) END AS q
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.weight = 20 - least(16, length(bin(size)))
+), units AS (
+  SELECT source, q, need, max(size) AS size, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY q) AS cum
+  FROM q WHERE q IS NOT NULL GROUP BY source, q, need
+), cut AS (
+  SELECT source, coalesce(max(q) FILTER (cum <= need), -1) AS last_q, any_value(need) - coalesce(max(cum) FILTER (cum <= need), 0) AS left_over
+  FROM units GROUP BY source HAVING max(cum) > any_value(need)
+), passed AS (
+  SELECT u.source, u.q, u.n, c.left_over, sum(u.n) OVER (PARTITION BY u.source ORDER BY u.q) AS cum
+  FROM units u JOIN cut c ON u.source IS NOT DISTINCT FROM c.source AND u.q > c.last_q AND u.size <= c.left_over
+), cut2 AS (
+  SELECT source, coalesce(max(q) FILTER (cum <= left_over), -1) AS last_q, any_value(left_over) - coalesce(max(cum) FILTER (cum <= left_over), 0) AS left_over
+  FROM passed GROUP BY source HAVING max(cum) > any_value(left_over)
+), near AS (
+  SELECT source, left_over, list(CAST(q AS DOUBLE) ORDER BY q) AS qs, list(n ORDER BY q) AS ns
+  FROM (SELECT p.source, p.q, p.n, c.left_over, row_number() OVER (PARTITION BY p.source ORDER BY p.q) AS k
+        FROM passed p JOIN cut2 c ON p.source IS NOT DISTINCT FROM c.source AND p.q > c.last_q)
+  WHERE k <= 64 GROUP BY source, left_over
+), fill AS (
+  SELECT source, qs, ns, CAST(0 AS BIGINT) AS i, CAST(left_over AS DOUBLE) AS left_over, CAST([] AS DOUBLE[]) AS chosen FROM near
+  UNION ALL
+  SELECT source, qs, ns, i + 1, CASE WHEN ns[i + 1] <= left_over THEN left_over - ns[i + 1] ELSE left_over END,
+         CASE WHEN ns[i + 1] <= left_over THEN list_append(chosen, qs[i + 1]) ELSE chosen END
+  FROM fill WHERE i < len(qs)
+), more AS (SELECT source, unnest(chosen) AS q FROM fill WHERE i = len(qs))
+SELECT q.doc_id, q.size, q.source_size, q.target,
+       CAST((q.whole + CASE WHEN q.q IS NOT NULL AND (c.last_q IS NULL OR q.q <= c.last_q OR m.q IS NOT NULL
+                                                      OR q.size <= c.left_over AND (c2.last_q IS NULL OR q.q <= c2.last_q))
+                       THEN 1 ELSE 0 END) * q.size AS BIGINT) AS taken
+FROM q LEFT JOIN cut c ON q.source IS NOT DISTINCT FROM c.source LEFT JOIN cut2 c2 ON q.source IS NOT DISTINCT FROM c2.source
+LEFT JOIN more m ON q.source IS NOT DISTINCT FROM m.source AND q.q = m.q
 """
 
 
