@@ -54,6 +54,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHAR
     """
     known = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= fit_chars)).select("lang", "text")
     per_lang = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row per language
+    if not per_lang:
+        return {"langs": [], "tables": {k: {} for k in (0, *GRAM_LENGTHS)}, "scores": np.zeros((0, 0), np.float32)}
     rate = F.lit(0.0)
     for lang, n in sorted(per_lang.items()):
         rate = F.when(F.col("lang") == lang, min(1.0, fit_rows / n)).otherwise(rate)
@@ -69,23 +71,20 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHAR
         grams = words.where(F.length(source) >= k).select("lang", "n", F.explode(F.transform(starts, lambda i: F.substring(source, i, F.lit(k)))).alias("t"))
         tables_by_length.append(grams.groupBy("lang", "t").agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "lang", "t", "n"))
     langs = sorted(per_lang)
-    index = {lang: i for i, lang in enumerate(langs)}
-    rows: list[np.ndarray] = []
+    scores: list[np.ndarray] = []
     tables: dict[int, dict[str, int]] = {}
+    held = 0
     for k, table in zip((0, *GRAM_LENGTHS), tables_by_length):
-        totals = {r[0]: r[1] for r in table.groupBy("lang").agg(F.sum("n")).collect()}
-        by_token = table.groupBy("t").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
-        top = sorted(by_token.select("t", "by").collect())  # bounded by the sample
-        size = len(top)
-        floor = np.array([np.log(0.5 / (totals.get(lang, 0) + size + 1)) for lang in langs], dtype=np.float64)
-        tables[k] = {}
-        for r in top:
-            v = floor.copy()
-            for lang, n in r["by"]:
-                v[index[lang]] = np.log((n + 0.5) / (totals[lang] + size + 1))
-            tables[k][r["t"]] = len(rows)
-            rows.append(v - v.max())  # only differences between languages matter
-    return {"langs": langs, "tables": tables, "scores": np.array(rows, dtype=np.float32).reshape(len(rows), len(langs))}
+        counts = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("long").alias(f"n{i}") for i, lang in enumerate(langs)]
+        found = table.groupBy("t").agg(*counts).toArrow()  # bounded by the sample; columns, not rows, on the driver
+        tokens = found.column("t").to_pylist()
+        order = sorted(range(len(tokens)), key=tokens.__getitem__)
+        n = np.array([found.column(f"n{i}").to_numpy() for i in range(len(langs))], np.float64).reshape(len(langs), len(tokens)).T[order]
+        v = np.log((n + 0.5) / (n.sum(axis=0) + len(tokens) + 1))
+        scores.append((v - v.max(axis=1, keepdims=True)).astype(np.float32) if len(tokens) else np.zeros((0, len(langs)), np.float32))  # only differences matter
+        tables[k] = {tokens[j]: held + i for i, j in enumerate(order)}
+        held += len(tokens)
+    return {"langs": langs, "tables": tables, "scores": np.concatenate(scores)}
 
 
 def backoff_rows(word: str, tables: dict, lengths: tuple[int, ...] = GRAM_LENGTHS) -> tuple[list[int], float]:
