@@ -571,6 +571,71 @@ def test_published_wrapped_and_commented_texts(spark):
     assert {i: (got[i], w, texts[i]) for i, w in enumerate(want) if got[i] != w} == {}
 
 
+FLAT = lambda text: re.sub(r"\s+", " ", text)
+MIT0 = MIT.replace("MIT License", "MIT No Attribution").replace(", subject to the following conditions:", ".")
+MIT0 = MIT0[: MIT0.index("The above copyright")] + MIT0[MIT0.index("THE SOFTWARE") :]
+
+
+def test_holders_flattened_texts_expressions_and_short_notices(spark):
+    jane = BSD3.replace("the copyright holder nor the names of its\n   contributors", "Jane Doe nor\n   the names of other contributors")
+    cases = [
+        (jane, ["BSD-3-Clause"]),
+        (FLAT(jane), ["BSD-3-Clause"]),
+        (FLAT(BSD), ["BSD-2-Clause"]),
+        (BSD + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", ["BSD-3-Clause"]),
+        (FLAT(MIT), ["MIT"]),
+        (FLAT(MIT).removeprefix("MIT License "), ["MIT"]),
+        ("blah blah " + FLAT(GPL3) + " blah", ["GPL-3.0-or-later"]),
+        (MIT0, ["MIT-0"]),
+        (FLAT(MIT0), ["MIT-0"]),
+        ("// SPDX-License-Identifier: GPL-2.0-only OR MIT", ["GPL-2.0-only", "MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0 OR MIT) */\nint x;", ["GPL-2.0", "MIT"]),
+        ("# SPDX-License-Identifier: LGPL-2.1+ AND CC0-1.0", ["CC0-1.0", "LGPL-2.1-or-later"]),
+        ("SPDX-License-Identifier: Nobody-1.0", []),
+        ("This module is available under the MIT License.", ["MIT"]),
+        ("The foo-bar library is released under the terms of the GNU General Public License v3.0", ["GPL-3.0"]),
+        ("This module is not available under the MIT License.", []),
+        ("Not licensed under the EUPL.", []),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.\nThis license is copied below", ["OFL-1.1"]),
+        ('Licensed under the EUPL, Version 1.2 or \u2013 as soon they will be approved by\nthe European Commission - subsequent versions of the EUPL (the "Licence");', ["EUPL-1.2"]),
+        ("This library is free software; you can redistribute it and/or modify\nit under the same terms as Perl itself.", ["Artistic-1.0-Perl OR GPL-1.0-or-later"]),
+        ("permission to license the warranty of redistribution", []),
+        ("word " * 200_000 + "\n\n" + MIT, ["MIT"]),  # very long
+    ]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(frame(spark, [t for t, _ in cases])).collect()}
+    assert {i: (got[i], w, t[:80]) for i, (t, w) in enumerate(cases) if got[i] != w} == {}
+
+
+def test_scan_equals_a_plain_scanner(spark):
+    """Known sentences in any order and case between unknown ones, against the rules applied by hand."""
+    rng = np.random.default_rng(8)
+    known = sorted(license_scan.SENTENCES)
+    texts, want = [], []
+    for _ in range(60):
+        ids, lines = [], []
+        for _ in range(rng.integers(1, 9)):
+            if rng.random() < 0.4:
+                lines.append(" ".join(words(5, int(rng.integers(1000)))))
+            else:
+                s = known[rng.integers(len(known))]
+                ids.append(license_scan.SENTENCES[s])
+                lines.append(s.upper() if rng.random() < 0.5 else s)
+        texts.append(".\n\n".join(lines))
+        seq = "".join(f",{i};" for i in ids)
+        found = set()
+        for name, parts in sorted(license_scan.RULES, key=lambda r: -len(r[1])):
+            rule = "".join(f",{p};" for p in parts)
+            if rule in seq:
+                found.add(name)
+                seq = seq.replace(rule, "|")
+        want.append((ids, sorted(found)))
+    # a text with a trigger in no sentence, and one without any
+    rows = license_scan.scan_licenses(frame(spark, texts)).collect()
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in rows}
+    assert {i: (got[i], w) for i, w in enumerate(want) if got[i] != w} == {}
+    assert all(any(w in s for w in license_scan.triggers(license_scan.SENTENCES)) for s in known)
+
+
 def license_scan_endorse():
     return next(k for k, v in license_scan.SENTENCES.items() if v == "bsd-endorse")
 
