@@ -85,6 +85,14 @@ def test_minhash_defaults_are_five_words(spark):
     assert got == {i: c for i, (_, c) in enumerate(brute_components(list(enumerate(texts)), 5, 80))} == {0: 0, 1: 0, 2: 2}
 
 
+def test_minhash_keeps_columns_of_any_name(spark):
+    names = ["d1", "d2", "n", "regs", "key", "root", "bucket", "component_id", "KEPT"]
+    rows = spark.createDataFrame([(i, "a b c", *["x"] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = minhash.minhash_components(rows, 2, keep=names)
+    assert out.columns == ["doc_id", *names[:7], "n_shingles", "component_id", "kept"]
+    assert [(r.key, r.component_id) for r in out.collect()] == [("x", 0)] * 3
+
+
 def test_minhash_only_null_ids_and_empty_table(spark):
     rows = minhash.minhash_components(frame(spark, ["a b", "a b", None], [None] * 3), 2).collect()
     assert [(r.n_shingles, r.component_id, r.kept) for r in sorted(rows, key=lambda r: r.n_shingles)] == [(0, None, True), (1, None, True), (1, None, True)]

@@ -295,10 +295,11 @@ def minhash_components(
     doc_id counts as larger than all, and a component of null ids has a null
     component_id (its rows are kept).  Texts are read whole: memory grows with
     the longest single text.  An empty table gives an empty result.
+    Kept columns named like the outputs are left out.
     ``pinned``: the table is read straight from Parquet files, else it is first
     written to the shared folder.
     """
-    names = ["doc_id", *(c for c in keep or [] if c.lower() not in ("doc_id", "text"))]
+    names = ["doc_id", *(c for c in keep or [] if c.lower() not in ("doc_id", "text", "n_shingles", "component_id", "kept"))]
     rows = without(docs.select(*dict.fromkeys([*names, "text"])), "__pos")
     rows = with_position(rows if pinned else scratch_table(rows), "__pos")
     narrow = scratch_table(rows.select(*names, "__pos", _sketches(k)(F.col("text").cast("string")).alias("__s")))
@@ -328,7 +329,7 @@ def minhash_components(
     comps = connected_components(edges)
     rooted = sets.join(comps, F.col("key") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("__n"), "first_id", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_set = rooted.join(least, "root").select("d1", "d2", "__n", "component_id")
-    found = narrow.join(of_set, (s("d1") == F.col("d1")) & (s("d2") == F.col("d2")) & (s("n") == F.col("__n")), "left")
-    component = F.when(s("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    of_set = rooted.join(least, "root").select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), "__n", F.col("component_id").alias("__c"))
+    found = narrow.join(of_set, (s("d1") == F.col("__d1")) & (s("d2") == F.col("__d2")) & (s("n") == F.col("__n")), "left")
+    component = F.when(s("n") > 0, F.col("__c")).otherwise(F.col("doc_id"))
     return found.select(*names, s("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, pinned: bool = False) ->
     """
     if depth < 4 * BLOCK or depth >= 1 << 16:
         raise ValueError("depth out of range")
-    rows = without(docs, "n_bytes", "n_removed", "n_spans", "kept", "__pos", "__spans", "__cut")
+    rows = without(docs, "n_bytes", "n_removed", "n_spans", "kept", "__pos", "__spans", "__cut", "__own", "__key")
     rows = with_position(rows if pinned else scratch_table(rows), "__pos")
     texts = rows.select(F.col("__pos").alias("key"), text_or_empty("text").alias("text")).where(F.octet_length("text") >= depth)
 
@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, pinned: bool = False) ->
         whole.union(single).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # at most a text's length
     )
     keys = broadcast_bounded(spans.select(F.col("key").alias("__key")))
-    hit = rows.join(keys, F.col("__pos") == F.col("__key"), "left_semi").join(spans, F.col("__pos") == F.col("key")).drop("key")
+    own = spans.select(F.col("key").alias("__own"), "__spans")
+    hit = rows.join(keys, F.col("__pos") == F.col("__key"), "left_semi").join(own, F.col("__pos") == F.col("__own")).drop("__own")
     cut = F.pandas_udf(_cut, "kept binary, n_removed long, n_spans long")
     hit = hit.withColumn("__cut", cut(F.col("text"), F.col("__spans"))).drop("__spans")
     clean = rows.join(keys, F.col("__pos") == F.col("__key"), "left_anti").withColumn(
