@@ -134,13 +134,10 @@ FROM posted p JOIN tx_details d ON d.tx_id = p.id WHERE p.problem IS NULL""",
 )
 def json_lines(spark, sf_dir):
     """Lines of the sale documents; a body that arrives twice counts once."""
-    from tillspark.plans.ingest import split_documents
     from tillspark.sources.changes import posted_bodies
-    from tillspark.sources.documents import parse_posted
+    from tillspark.sources.documents import posted_lines
 
-    good = parse_posted(posted_bodies(load_model(spark, sf_dir))).where("problem IS NULL").drop("message_id", "problem")
-    headers, lines = split_documents(good)
-    return lines.join(headers.select("doc_id", "invoice_no").distinct(), "doc_id").drop("doc_id")
+    return posted_lines(posted_bodies(load_model(spark, sf_dir)))
 
 
 # --------------------------------------------------------------------------

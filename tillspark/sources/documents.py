@@ -56,6 +56,14 @@ def parse_posted(df: DataFrame, body_col: str = "body") -> DataFrame:
     return parsed.select(*keep, *[F.when(F.col("problem").isNull(), f).alias(n) for n, f in zip(SALE_DOCUMENT.fieldNames(), fields)], "problem")
 
 
+def posted_lines(df: DataFrame, body_col: str = "body") -> DataFrame:
+    """Lines of the sale documents among posted bodies: (invoice_no, product_id,
+    name, qty, price, subtotal).  Bodies are made distinct before they are parsed, so
+    a re-post of the same text counts once and is parsed once."""
+    documents = parse_posted(df.select(body_col).distinct(), body_col).where("problem IS NULL")
+    return documents.select("invoice_no", F.explode("items").alias("_line")).select("invoice_no", "_line.*")
+
+
 def to_json_documents(docs: DataFrame, body_col: str = "body") -> DataFrame:
     """one JSON body per document."""
     return docs.select(F.to_json(F.struct(*[F.col(c) for c in SALE_DOCUMENT.fieldNames()])).alias(body_col))
