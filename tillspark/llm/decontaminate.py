@@ -239,7 +239,8 @@ def mark_contaminated(
     Null and wordless texts have no words and no hits; wordless items have no
     window; repeated items and rows count each in its own right; an item
     without an id marks words but is not listed.  Empty tables give empty
-    results or no hits.  Input columns named like the outputs are replaced.
+    results or no hits.  Texts are read whole, whatever their length.  Input columns
+    named like the outputs are replaced.
     """
     if gram > window:
         raise ValueError("gram must not exceed window")

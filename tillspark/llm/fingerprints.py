@@ -186,7 +186,8 @@ def compare_with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
     as many (or all) of the next document: descending doc_id, null ids last,
     ties by text hash; after the last comes the first (a single row is its own
     next).  Null text is empty.  Repeated rows follow one another.  An empty
-    table gives an empty result; other columns of ``docs`` are not read.
+    table gives an empty result; other columns of ``docs`` are not read.  Texts are
+    hashed whole: memory grows with the longest text and its neighbour.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

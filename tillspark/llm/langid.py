@@ -237,7 +237,8 @@ def identify_language(docs: DataFrame, model: dict | None = None, **fit_options)
     Without a ``model`` one is fitted on the rows that are not held out.  Only
     the text enters a prediction.  Null texts and texts without a letter get
     ``und`` and score 0, as does every text when nothing could be learned;
-    equal texts get equal results; ties go to the first language in order.
+    equal texts get equal results; ties go to the first language in order.  Texts are
+    scored whole; a task holds about CHUNK_CHARS characters, or one longer text.
     Input columns named like the outputs are replaced.
     """
     rows = without(docs, "held_out", "lang_pred", "score", "__p")

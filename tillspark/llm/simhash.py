@@ -160,6 +160,7 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = HASH
     what links reach.  ``component_id`` is its smallest non-null doc_id (null if
     it has none).  Null and wordless texts have fingerprint 0 and link like any
     other; repeated rows share a fingerprint; an empty table gives an empty result.
+    Texts are hashed whole, in pieces of bounded memory.
     """
     cols = [F.col(c) for c in ["doc_id", *(keep or [])]]
     narrow = scratch_table(docs.select(*cols, fingerprint(F.col("text"), k, seed).alias("__fp")))
