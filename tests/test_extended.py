@@ -314,3 +314,19 @@ def test_broadcast_needs_few_bytes_too(spark, monkeypatch):
     assert joins.may_broadcast(wide)
     monkeypatch.setattr(joins, "SMALL_ESTIMATE", 0)
     assert joins.byte_bound_holds(wide, 2_000_000) and not joins.byte_bound_holds(wide, 900_000)
+
+
+def test_the_last_change_of_a_key_wins_by_sequence(spark):
+    from tillspark.operators.mutations import apply_updates, upsert
+
+    now = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id long, name string, stock long")
+    changes = spark.createDataFrame(
+        [(1, "zzz", 9, 1), (1, "new", 1, 3), (1, "mid", 7, 2), (2, "x", 3, None), (2, "w", 4, 0), (9, "gone", 0, 1), (None, "fresh", 2, 1)],
+        "id long, name string, stock long, seq long",
+    )
+    got = {r.id: (r.name, r.stock) for r in apply_updates(now, changes, "id", ["name", "stock"], seq_col="seq").collect()}
+    assert got == {1: ("new", 1), 2: ("w", 4)}
+    without = {r.id: r.name for r in apply_updates(now, changes, "id", ["name", "stock"]).collect()}
+    assert without == {1: "zzz", 2: "x"}
+    all_ = {r.id: r.name for r in upsert(now, changes, "id", ["name", "stock"], [F.col("name")], seq_col="seq").collect()}
+    assert all_ == {1: "new", 2: "w", 3: "fresh"}

@@ -58,12 +58,16 @@ def apply_updates(
     key: str,
     update_cols: list[str],
     only_if_present: tuple[str, ...] = (),
+    seq_col: str | None = None,
 ) -> DataFrame:
     """Replace ``update_cols`` of matched rows; ``only_if_present`` columns
     keep the old value when the change carries NULL or an empty string.
-    Several changes of one key count as one, the greatest in column order, so
-    no row is duplicated; reduce them with ``latest_per_key`` to choose otherwise."""
-    one = updates.groupBy(F.col(key).alias("_uk")).agg(F.max(F.struct(*update_cols)).alias("_new"))
+    Several changes of one key count as one: the one of greatest ``seq_col`` (null
+    lowest), ties and changes without a sequence by the greatest in column order, so
+    no row is duplicated."""
+    changed = F.struct(*update_cols)
+    rank = changed if seq_col is None else F.struct(F.col(seq_col), changed)
+    one = updates.groupBy(F.col(key).alias("_uk")).agg(F.max_by(changed, rank).alias("_new"))
     u = one.select("_uk", *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in update_cols])
     j = current.join(u, current[key] == u["_uk"], "left")
     hit = F.col("_uk").isNotNull()
@@ -106,15 +110,16 @@ def upsert(
     insert_order: list[Column],
     defaults: dict | None = None,
     only_if_present: tuple[str, ...] = (),
+    seq_col: str | None = None,
 ) -> DataFrame:
     """M1-M4: new snapshot = updated existing rows + inserted rows.
 
-    Several updates of one key count as one (see ``apply_updates``;
-    ``latest_per_key`` chooses by a sequence); rows without a positive key are inserts.
+    Several updates of one key count as one, the last by ``seq_col`` (see
+    ``apply_updates``); rows without a positive key are inserts.
     """
     updates = changes.where(~is_new_key(key))
     inserts = changes.where(is_new_key(key))
-    updated = apply_updates(current, updates, key, update_cols, only_if_present)
+    updated = apply_updates(current, updates, key, update_cols, only_if_present, seq_col)
     return updated.unionByName(insert_rows(current, inserts, key, insert_order, defaults))
 
 
