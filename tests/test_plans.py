@@ -49,6 +49,16 @@ def test_discount_quote_keeps_sales_unshuffled(spark):
     assert not any("Exchange" in ln and "Broadcast" not in ln for ln in sales_path[:3])
 
 
+def test_queries_that_read_no_discount_match_no_tier(spark):
+    """The constant tiers of the mapping are no join: unread, they cost nothing; read, no comparison of pairs."""
+    assert "NestedLoopJoin" not in plan_text(registry.QUERIES["basket_subtotal"](spark, SF))
+    m = load_model(spark, SF)
+    assert "Join" not in plan_text(m.transactions.select("id", "discount", "total"))
+    quoted = discount_quote(m.transactions.select("id", "subtotal"), m.discount_rules, m.as_of)
+    of_rules = quoted.select("id", "discount_type", "discount_value", "discount_amount")
+    assert sorted(m.transactions.select(*of_rules.columns).collect()) == sorted(of_rules.collect())
+
+
 def test_filters_pushed_to_scan(spark):
     m = load_model(spark, SF)
     df = reports.report_summary(m.transactions, "month", m.as_of)

@@ -11,13 +11,13 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillspark import schemas
-from tillspark.functions.money import change_due, int_div, round_money
+from tillspark.functions.money import change_due, int_div, round_double
 from tillspark.functions.text import digest, zero_pad
-from tillspark.operators.pricing import TIER_SCHEMA, match_rule, quote_columns
+from tillspark.operators.pricing import TIER_SCHEMA, quote_columns
 from tillspark.sources.tables import literal_table, read_table
 
 AS_OF = dt.date(2001, 7, 19)
@@ -80,6 +80,18 @@ class TestModel:
         """Discount tiers valid on ``as_of``."""
         return literal_table(self.spark, _constant_tiers(self.as_of), TIER_SCHEMA)
 
+    def _tier_columns(self, amount: Column) -> dict[str, Column]:
+        """The columns of the tier (of ``_constant_tiers``) that holds ``amount``, null where none does."""
+        out = {}
+        for field in TIER_SCHEMA.fields[:-2]:
+            value = F.lit(None).cast(field.dataType)
+            for tier in _constant_tiers(self.as_of):
+                row = dict(zip(TIER_SCHEMA.fieldNames(), tier))
+                inside = amount >= row["lo"] if row["hi"] is None else (amount >= row["lo"]) & (amount < row["hi"])
+                value = F.when(inside, F.lit(row[field.name]).cast(field.dataType)).otherwise(value)
+            out[field.name] = value
+        return out
+
     @property
     def users(self) -> DataFrame:
         s = self.raw("supplier", ["s_suppkey", "s_name"])
@@ -119,7 +131,7 @@ class TestModel:
             F.when(k % UNCATEGORISED_MODULUS == 0, F.lit(None)).otherwise(F.col("_cid")).alias("category_id"),
             F.concat(F.lit("899"), zero_pad(k, 10)).alias("barcode"),
             F.floor(rp * 0.8).cast("long").alias("cost"),
-            round_money(rp).alias("price"),
+            round_double(rp).alias("price"),
             ((k * 7 + size) % 40).cast("long").alias("stock"),
             (5 + size % 10).cast("long").alias("min_stock"),
             F.lit("pcs").alias("unit"),
@@ -141,11 +153,10 @@ class TestModel:
             F.when(F.col("o_custkey") % WALK_IN_MODULUS == 0, F.lit(None))
             .otherwise(F.col("o_custkey"))
             .alias("customer_id"),
-            round_money("o_totalprice").alias("subtotal"),
-        )
-        quoted = match_rule(base, self.tiers, checked=True).select(
-            *base.columns, *quote_columns("subtotal")
+            round_double("o_totalprice").alias("subtotal"),
         )
+        # constant tiers are constants of the row's expression: no join, and nothing of it where no discount is read
+        quoted = base.withColumns(self._tier_columns(F.col("subtotal"))).select(*base.columns, *quote_columns("subtotal"))
         total = F.col("subtotal") - F.col("discount_amount")
         paid = int_div(total + (PAID_STEP - 1), PAID_STEP) * PAID_STEP
         return quoted.select(
@@ -176,7 +187,7 @@ class TestModel:
         """
         li = self.raw("lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"])
         qty = F.col("l_quantity").cast("int")
-        price = round_money(F.col("l_extendedprice") / F.col("l_quantity"))
+        price = round_double(F.col("l_extendedprice") / F.col("l_quantity"))
         return li.select(
             F.col("l_orderkey").alias("tx_id"),
             F.col("l_partkey").alias("product_id"),
