@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillspark.operators.ids import assign_ids, global_positions
+from tillspark.functions.money import round_double, round_money
+from tillspark.operators.ids import assign_ids, global_positions, store_once
 from tillspark.operators.mutations import latest_per_key, upsert
 from tillspark.operators.pricing import discount_quote
 from tillspark.plans import ledger, reports
@@ -123,3 +124,27 @@ def test_keyset_pages_equal_offset_pages(seed):
     last = first[-1].asDict()
     nxt = [r.id for r in page_after(tx, last, keys, size=5).collect()]
     assert nxt == [r.id for r in page(tx, 2, RECENT_KEYS, size=5).orderBy(*recent_order()).collect()]
+
+
+def test_double_rounding_equals_round(spark):
+    """``round_double`` moves exact halves away from zero like ``round``, whatever lies beside them."""
+    import math
+
+    halves = [k + 0.5 for k in range(-6, 6)] + [2.0**51 + 0.5, -(2.0**51) - 0.5, 2.0**52 + 1, 1e15 + 0.3]
+    values = [v for h in halves for v in (math.nextafter(h, -math.inf), h, math.nextafter(h, math.inf))] + [0.0, -0.0, None, 21168.23, 0.49999999999999994]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", round_double("x").alias("a"), round_money("x").alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+    assert "round(" not in df.select(round_double("x"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_frames_run_their_plan_once(spark):
+    """A checkpoint ran the last step twice, once for the count and once for the write."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        calls.add(1)
+        return i
+
+    assert store_once(spark.range(100).select(seen("id").alias("i"))).where("i >= 0").count() == 100
+    assert calls.value == 100

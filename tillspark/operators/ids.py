@@ -4,13 +4,15 @@
 of rows in earlier partitions (a prefix sum over one count per partition,
 a frame as small as the partition count) plus its index inside its own
 partition (from ``monotonically_increasing_id``, whose low 33 bits count
-rows within a partition).  The tagged frame is checkpointed to the shared
-checkpoint folder first, so the partition assignment is fixed once and both
+rows within a partition).  The tagged frame is written to the shared
+folder first, so the partition assignment is fixed once and both
 uses read the same rows, also after a lost executor.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def materialize(df: DataFrame) -> DataFrame:
     (tests) gets a scratch folder; a cluster without the setting is an
     error, since a machine-local folder would not be shared.
     """
+    _shared_folder(df)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(df: DataFrame) -> str:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -38,7 +45,22 @@ def materialize(df: DataFrame) -> DataFrame:
         folder = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tillspark-ckpt-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def store_once(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back.
+
+    Every step of the plan runs once (a checkpoint runs the last one twice: for
+    the count and for the write), and readers take only the columns they use.
+    The files are removed when the session's JVM ends.
+    """
+    path = f"{_shared_folder(df).rstrip('/')}/tillspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def global_positions(df: DataFrame, order: list[Column], pos_col: str = "position") -> DataFrame:
@@ -48,7 +70,7 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "positio
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    tagged = materialize(tagged)
+    tagged = store_once(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))

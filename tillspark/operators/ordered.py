@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillspark.operators.ids import global_positions, materialize
+from tillspark.operators.ids import global_positions, store_once
 
 PART = "_part"
 
@@ -24,7 +24,7 @@ def ranged(df: DataFrame, order: list[Column], parts: int | None = None) -> Data
     """``df`` range-partitioned by ``order``, with the number of its partition in
     ``_part``.  Without ``parts``, adaptive execution joins small partitions."""
     split = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    return materialize(split.withColumn(PART, F.spark_partition_id()))
+    return store_once(split.withColumn(PART, F.spark_partition_id()))
 
 
 def running_sums(parts: DataFrame, by: str, order: list[Column], values: dict[str, Column]) -> DataFrame:
@@ -70,7 +70,7 @@ def next_value(parts: DataFrame, order: list[str], value: str, out: str) -> Data
 def with_position(df: DataFrame, order: list[Column], uses: list[str], key: list[str], pos_col: str = "position") -> DataFrame:
     """``df`` plus its 1-based position under ``order``, a total order over ``uses``.
 
-    Only ``key`` (unique) and ``uses`` are sorted and checkpointed; the position
+    Only ``key`` (unique) and ``uses`` are sorted and stored; the position
     joins back by ``key``, so the wide rows move once, evenly, by their key.
     """
     narrow = df.select(*dict.fromkeys([*key, *uses]))

@@ -27,14 +27,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tillspark.functions.money import round_money
+from tillspark.functions.money import round_double, round_money
 from tillspark.functions.text import ci_key
 from tillspark.operators.admission import admit_sales
 from tillspark.operators.aggregates import units_sold
-from tillspark.operators.ids import materialize
+from tillspark.operators.ids import store_once
 from tillspark.operators.joins import DIM_BROADCAST_ROWS, broadcast_bounded
 from tillspark.operators.ordered import with_position
 from tillspark.operators.quality import E_EMPTY_CART, cart_lines, validate_sales
@@ -95,19 +96,23 @@ def first_per_invoice(headers: DataFrame) -> DataFrame:
     return j.select("invoice_key", "copies", *headers.columns)
 
 
+def _rounded(df: DataFrame, c: str) -> Column:
+    return round_double(c) if df.schema[c].dataType == DoubleType() else round_money(c)
+
+
 def _stored_keys(store_tx: DataFrame, flag: str) -> DataFrame:
     return store_tx.select(ci_key("invoice_no").alias("_sk")).distinct().withColumn(flag, F.lit(True))
 
 
 def decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame) -> DataFrame:
     d = first_per_invoice(headers)
-    d = d.select(*[round_money(c).alias(c) if c in MONEY else F.col(c) for c in d.columns])
+    d = d.select(*[_rounded(d, c).alias(c) if c in MONEY else F.col(c) for c in d.columns])
     stored = _stored_keys(store_tx, "_stored")
     d = d.join(stored, d["invoice_key"] == stored["_sk"], "left").drop("_sk")
     # ``d`` feeds two branches (the stock check and the final decision);
     # they prune different columns, so Spark would not reuse the exchange and
-    # would rescan the batch.  Read the batch once: materialize the winners.
-    d = materialize(validate_sales(d))
+    # would rescan the batch.  Read the batch once: store the winners.
+    d = store_once(validate_sales(d))
     eligible = d.where(F.col("_stored").isNull() & F.col("accepted") & F.col("invoice_key").isNotNull()).select("doc_id", "invoice_key", "date", "time")
 
     sale_lines = lines.select("doc_id", "product_id", "qty").join(eligible, "doc_id")
@@ -115,7 +120,7 @@ def decide(headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products:
     p = broadcast_bounded(
         products.select(F.col("id").alias("_pid"), F.col("stock").alias("_stock")), DIM_BROADCAST_ROWS
     )
-    checked = materialize(merged.join(p, F.col("product_id") == F.col("_pid"), "left"))
+    checked = store_once(merged.join(p, F.col("product_id") == F.col("_pid"), "left"))
     per_sale = checked.groupBy("invoice_key").agg(F.bool_and(F.col("_pid").isNotNull()).alias("_known"))
     known = checked.join(per_sale.where("_known").select("invoice_key"), "invoice_key", "left_semi")
     admitted = admit_sales(known, "invoice_key", "product_id", ["date", "time", "invoice_key"], "qty", "_stock")
@@ -162,6 +167,7 @@ def accepted_headers(decided: DataFrame, store_tx: DataFrame, last_id: int | Non
         F.lit("completed").alias("status"),
         F.lit(0).cast("long").alias("discount_amount"),
     )
+    rows = store_once(rows)  # numbering reads them three times: for the range bounds, the sort and the join
     highest = store_tx.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long"))
     start = highest.scalar() if last_id is None else F.lit(last_id).cast("long")
     order = ["date", "time", "invoice_no"]
@@ -178,8 +184,8 @@ def accepted_lines(heads: DataFrame, lines: DataFrame) -> DataFrame:
         "product_id",
         F.col("name").alias("product_name"),
         "qty",
-        round_money("price").alias("price"),
-        round_money("subtotal").alias("subtotal"),
+        _rounded(lines, "price").alias("price"),
+        _rounded(lines, "subtotal").alias("subtotal"),
     )
 
 
@@ -194,7 +200,7 @@ def ingest(
     headers: DataFrame, lines: DataFrame, store_tx: DataFrame, products: DataFrame, last_id: int | None = None
 ) -> Ingested:
     """M12 in one pass over one decision frame."""
-    decided = materialize(decide(headers, lines, store_tx, products))
+    decided = store_once(decide(headers, lines, store_tx, products))
     heads = accepted_headers(decided, store_tx, last_id)
     rows = accepted_lines(heads, lines)
     return Ingested(decided.select("invoice_no", "copies", "decision"), heads.drop("doc_id"), rows, stock_taken(rows, products))
