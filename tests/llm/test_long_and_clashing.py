@@ -117,7 +117,7 @@ def test_hash_of_python_and_spark_agree(spark):
 
 
 def test_language_scoring_holds_little_at_once():
-    """Three workers of an executor score side by side: 4 million characters took 36 MB of arrays each."""
+    """Three workers of an executor score side by side; a chunk took 36 MB of arrays in each."""
     import tracemalloc
 
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
