@@ -211,6 +211,44 @@ def test_passages_of_frequent_phrases_are_linked(spark):
     assert set(assert_whole(spark, texts, {(39, 20)})) == {(39, 20)}
 
 
+def test_every_partner_of_stock_phrases_is_linked(spark):
+    """40 texts of a few phrases in other orders: each 4-gram is in more texts than were once linked."""
+    phrases = [words(10, 1800 + n) for n in range(12)]
+    rng = np.random.default_rng(8)
+    orders = [rng.permutation(12).tolist() for _ in range(38)]
+    orders[31:33] = [orders[3][:7] + orders[20][7:], orders[5][2:9] + orders[3][:4]]
+    texts = [words(20, 1900 + n, 10**6) + sum((phrases[p] for p in o), []) + words(20, 2000 + n, 10**6) for n, o in enumerate(orders)]
+    pairs = assert_whole(spark, texts)
+    assert pairs[31, 3] and pairs[32, 5]
+    ids = {r.doc_id: r.class_id for r in substring.passage_classes(frame(spark, [" ".join(x) for x in texts])).collect()}
+    linked = list(range(len(texts)))  # smallest text reachable
+    for _ in texts:
+        for (a, b), found in pairs.items():
+            if found:
+                linked[a] = linked[b] = min(linked[a], linked[b])
+    assert ids == dict(enumerate(linked))
+
+
+def test_copies_join_the_class_of_their_text(spark):
+    passage = words(70, 2100)
+    a, b = " ".join(words(30, 2101, 10**6) + passage), " ".join(passage + words(30, 2102, 10**6))
+    rows = substring.passage_classes(frame(spark, [None, a, b, b, a, " ".join(words(90, 2103, 10**6)), "short", "short"])).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6}
+    found = {r.doc_id: tuple(r[2:]) for r in rows if r.similarity is not None}
+    assert found == {2: (0, 70, 1, 30, 100, 1.0), 3: (0, 100, 2, 0, 100, 1.0), 4: (0, 100, 1, 0, 100, 1.0)}
+
+
+def test_texts_that_repeat_themselves_are_compared_whole():
+    a = np.tile(np.arange(3, dtype=np.uint64), 400)
+    want = substring.matched(a, a[7:])
+    most, substring.MATCHES = substring.MATCHES, 1000
+    try:
+        got = substring.matched(a, a[7:])
+    finally:
+        substring.MATCHES = most
+    assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, want.tolist()))
+
+
 def test_chain_matches_quadratic_dp():
     rng = np.random.default_rng(4)
     for _ in range(30):
