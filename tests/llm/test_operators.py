@@ -249,6 +249,71 @@ def test_texts_that_repeat_themselves_are_compared_whole():
     assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, want.tolist()))
 
 
+def test_zones_without_enough_common_words_are_no_candidates():
+    """The bound is that of a count in every stretch; runs of one word in both texts do not reach it."""
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        zone, *others = (rng.integers(0, rng.integers(2, 70), n).astype(np.uint16) for n in rng.integers(1, 300, 4))
+        want = []
+        for other in others:
+            held = np.bincount(other, minlength=70)
+            want.append(max(np.minimum(np.bincount(zone[s : s + substring.REACH], minlength=70), held).sum() for s in range(len(zone))))
+        assert substring.common_words(substring._Zone(zone), [substring._Zone(o) for o in others]).tolist() == want
+    rows = pa.table({"zone": [1, 2, 3], "words": [np.repeat(w, 22).astype(np.uint16).tobytes() for w in ([1, 2, 3, 4, 5], [5, 6, 7, 8, 9], [1, 2, 3, 9])]})
+    pairs = pa.table({"zone": [2, 3, 3], "other_zone": [1, 1, 2], "own": [18, 18, 18]})
+    assert substring._possible(pairs, rows).to_pylist() == [{"zone": 3, "other_zone": 1, "own": 18}]
+
+
+def test_edits_around_runs_match_brute_force():
+    """Fifty words within 10 edits are never missed; what is told lies within MOST_EDITS."""
+    rng = np.random.default_rng(12)
+    hasher, told = substring.Hasher(), [0, 0]
+
+    def least(a, b):
+        found = [99]
+        for s in range(len(a) - 49):
+            row, k = np.zeros(len(b) + 1, int), np.arange(len(b) + 1)
+            for w in a[s : s + 50]:
+                nxt = row + 1
+                nxt[1:] = np.minimum(nxt[1:], row[:-1] + (b != w))
+                row = np.minimum.accumulate(nxt - k) + k
+            found.append(row.min())
+        return min(found)
+
+    for _ in range(60):
+        base, p = rng.integers(1, 60, 58).astype(np.uint64), rng.uniform(0.05, 0.16)
+        kind = rng.choice(4, len(base), p=[p, p, p / 2, 1 - 2.5 * p])
+        changed = sum(([int(rng.integers(100, 200))] if c == 0 else [] if c == 1 else [int(w), 99] if c == 2 else [int(w)] for c, w in zip(kind, base)), [])
+        ends = [rng.integers(1, 60, n).astype(np.uint64) for n in rng.integers(0, 30, 4)]
+        a, b = np.concatenate([ends[0], base, ends[1]]), np.concatenate([ends[2], np.array(changed, np.uint64), ends[3]])
+        runs = substring.matched(hasher.grams(a, substring.GRAM), hasher.grams(b, substring.GRAM), 1)[:, :4]
+        got, want = len(runs) > 0 and substring.within_edits(a, b, runs), min(least(a, b), least(b, a))
+        assert got if want <= 10 else not got or want <= substring.MOST_EDITS
+        told[got] += 1
+    assert min(told) > 5
+
+
+def test_texts_of_repeated_words_are_told_apart_quickly(spark):
+    """Texts of words that repeat share many seeds with each other but no passage: no chain of them is aligned for nothing."""
+    texts = [np.repeat([f"v{w}" for w in np.random.default_rng(3000 + n).permutation(40)[:12]], 22 + n % 4).tolist() for n in range(30)]
+    texts += [words(60, 3100) + words(70, 3101 + n, 10**6) for n in range(2)]
+    calls, paths = [], substring._paths
+    hasher = substring.Hasher()
+    hashed = [substring._words(hasher, " ".join(x)) for x in texts]
+    try:
+        substring._paths = lambda *args: calls.append(1) or paths(*args)
+        found = {(a, b) for a in range(30) for b in range(a) if substring.passages(hashed[a], hashed[b], hasher, 1)}
+    finally:
+        substring._paths = paths
+    assert len(calls) <= 30 * 29 // 2 * (substring.FIRST_CHAINS + 1)
+    ids = {r.doc_id: r.class_id for r in substring.passage_classes(frame(spark, [" ".join(x) for x in texts])).collect()}
+    linked = list(range(len(texts)))
+    for _ in texts:
+        for a, b in found | {(31, 30)}:
+            linked[a] = linked[b] = min(linked[a], linked[b])
+    assert ids == dict(enumerate(linked))
+
+
 def test_chain_matches_quadratic_dp():
     rng = np.random.default_rng(4)
     for _ in range(30):
