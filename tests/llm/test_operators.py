@@ -230,6 +230,64 @@ def test_every_partner_of_stock_phrases_is_linked(spark):
     assert ids == dict(enumerate(linked))
 
 
+def test_every_pair_of_a_class_is_compared(spark):
+    """Links, passages and the longest passage are those of all pairs, not only of pairs that join classes."""
+    phrases = [words(9, 4000 + n) for n in range(10)]
+    texts = [words(15, 4100 + n, 10**6) + sum((phrases[(n + i) % 10] for i in range(7 + n % 3)), []) + words(15, 4200 + n, 10**6) for n in range(24)]
+    texts[20:] = [words(10, 4300, 10**6) + texts[4][:70] + words(70, 4301, 10**6) + texts[2][20:80], *texts[21:], texts[20]]
+    table = frame(spark, [" ".join(x) for x in texts])
+    pairs, best = collections.defaultdict(set), {}
+    for r in substring.repeated_passages(table).collect():
+        pairs[r.doc_id, r.other_id].add(tuple(r)[1:])
+        best[r.doc_id] = min(best.get(r.doc_id, (0,)), (r.start - r.end, r.other_id, r.start, r.other_start, r.end, r.other_end, r.similarity))
+    rows = substring.passage_classes(table, counts=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        mine = [found for pair, found in pairs.items() if r.doc_id in pair]
+        assert (r.links, r.passages) == (len(mine), sum(map(len, mine)))
+        assert (r.start is None) == (r.doc_id not in best)
+        if r.doc_id in best:
+            assert (r.start - r.end, r.other_id, r.start, r.other_start, r.end, r.other_end, r.similarity) == best[r.doc_id]
+    assert sum(r.links for r in rows) > 3 * len(texts)
+
+
+def test_shared_seeds_are_counted_whole():
+    """Counts of tiles equal those of all pairs of zones, whatever is held at a time; places passed over on both sides give nothing."""
+    rng = np.random.default_rng(13)
+    held = substring.PAIRS, substring.CELLS
+    key = np.arange(40) // 2
+    zones = [(int(k) << substring.ZONE_BITS | n % 2, int(rng.integers(3, 12)), np.sort(rng.choice(40, 14, replace=False)).astype(np.uint32)) for n, k in enumerate(key)]
+    counts = [rng.integers(0, 3, 14).astype(np.uint8) for _ in zones]
+    want = set()
+    for i, (a, need, h) in enumerate(zones):
+        for k, (b, other_need, g) in enumerate(zones):
+            both = [(int(counts[i][x]), int(counts[k][y])) for x in range(14) for y in range(14) if h[x] == g[y]]
+            if a >> substring.ZONE_BITS > b >> substring.ZONE_BITS and sum(x for x, _ in both) >= need and sum(y for _, y in both) >= other_need:
+                want.add((a, b, sum(x for x, _ in both)))
+    table = pa.table({"zone": [z[0] for z in zones], "need": [z[1] for z in zones], "hashes": [z[2].tobytes() for z in zones], "counts": [c.tobytes() for c in counts]})
+    try:
+        for substring.PAIRS, substring.CELLS in (held, (7, 90)):
+            got = [tuple(r.values()) for t in (substring.shared_seeds(table), substring.shared_seeds(table[:18], table[18:]), *map(substring.shared_seeds, (table[:18], table[18:]))) for b in t for r in b.to_pylist()]
+            assert sorted(got) == sorted(2 * [*want]) and want
+    finally:
+        substring.PAIRS, substring.CELLS = held
+
+
+def test_texts_go_to_tiles_not_to_partners(spark):
+    """Of 40 texts that all share a passage, each goes to the tiles of its group, and both texts of a pair meet."""
+    texts = spark.createDataFrame([(n, f"text {n}") for n in range(40)], "key long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a)], "key long, other long")
+    dealt, parts = substring._dealt(pairs, texts, substring.GROUPS)
+    there = {(r.of_tile, r.key) for r in parts.collect()}
+    assert parts.count() == len(there) <= 40 * substring.GROUPS
+    assert all({(r.tile, r.key), (r.tile, r.other)} <= there for r in dealt.collect())
+    # more groups go in rounds that each send out few copies, and every tile comes once
+    for groups in (6, 13, 72):
+        rounds = substring._rounds(groups)
+        sent = [sum((max(g, x) % rounds) == n for g in range(groups) for x in range(groups)) / groups for n in range(rounds)]
+        assert max(sent) <= substring.GROUPS + 1 and sum(sent) == pytest.approx(groups)
+
+
 def test_copies_join_the_class_of_their_text(spark):
     passage = words(70, 2100)
     a, b = " ".join(words(30, 2101, 10**6) + passage), " ".join(passage + words(30, 2102, 10**6))
